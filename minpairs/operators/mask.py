@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import DEFAULT_MASK, PROMPT_CUTOFF, SKIPPABLE_TOKENS, count_occurrences, py_strip
-from ..sources.treebank import surface_of
+from ..sources.treebank import ALIGN_COLUMNS, explode_tokens, with_alignment_columns
 from .pattern import Pattern, is_single_node, match, target_ids_in_row
 
 MASKED_COLUMNS = ["sentence_id", "match_id", "match_token", "original_text", "masked_text"]
@@ -37,9 +37,9 @@ def _locate(sub: Column, text: Column, start1: Column) -> Column:
     return F.call_function("locate", sub, text, start1)
 
 
-def align_offset(text: Column, forms_before: Column, target_form: Column) -> Column:
-    """0-based character offset of the target, or NULL when the walk
-    fails (a non-skippable token or the target is missing)."""
+def align_walk(text: Column, forms_before: Column) -> Column:
+    """D1, walk part: ``struct(off, ok)`` after searching every token
+    before the target (``off`` is the 0-based end of the last match)."""
     init = F.struct(F.lit(0).alias("off"), F.lit(True).alias("ok"))
 
     def step(acc, f):
@@ -51,7 +51,13 @@ def align_offset(text: Column, forms_before: Column, target_form: Column) -> Col
             .otherwise(F.struct(acc["off"].alias("off"), F.lit(False).alias("ok")))
         )
 
-    walked = F.aggregate(forms_before, init, step)
+    return F.aggregate(forms_before, init, step)
+
+
+def align_offset(text: Column, forms_before: Column, target_form: Column) -> Column:
+    """0-based character offset of the target, or NULL when the walk
+    fails (a non-skippable token or the target is missing)."""
+    walked = align_walk(text, forms_before)
     at = _locate(target_form, text, walked["off"] + 1)
     return F.when(walked["ok"] & (at > 0), at - 1)
 
@@ -70,47 +76,66 @@ def _attach(sentences: DataFrame, matches: DataFrame) -> DataFrame:
 
 
 def _with_targets(sentences: DataFrame, pattern: Pattern | None, target: str | None,
-                  matches: DataFrame | None, keep: str) -> DataFrame:
+                  matches: DataFrame | None, keep: str, tokens: DataFrame | None = None) -> DataFrame:
     if matches is not None:
         return _attach(sentences, matches)
     if is_single_node(pattern):
-        return sentences.select("*", target_ids_in_row(pattern, target, keep).alias("_targets")) \
-            .where(F.size("_targets") > 0)
-    toks = sentences.select("sid", F.inline("tokens"))
+        return sentences.select("*", target_ids_in_row(pattern, target, keep).alias("_targets"))
+    toks = tokens if tokens is not None else explode_tokens(sentences)
     return _attach(sentences, match(toks, pattern, target, keep))
 
 
+def pinned(df: DataFrame, **exprs: Column) -> DataFrame:
+    """Evaluate ``exprs`` once per row as generator outputs.
+
+    Catalyst substitutes projected aliases into filters pushed below them
+    and into every lambda that references them; for array-walking
+    expressions that multiplies the work per row.  Attributes produced by
+    a Generate are opaque to those rewrites, so each value is computed
+    exactly once.  (``inline_outer`` avoids the inferred size() filter.)"""
+    return df.select("*", F.inline_outer(F.array(F.struct(*[v.alias(k) for k, v in exprs.items()]))))
+
+
 def aligned(sentences: DataFrame, pattern: Pattern | None = None, target: str | None = None,
-            matches: DataFrame | None = None, keep: str = "last", legacy: bool = False) -> DataFrame:
+            matches: DataFrame | None = None, keep: str = "last", legacy: bool = False,
+            tokens: DataFrame | None = None) -> DataFrame:
     """Targets with their alignment: one row per (sentence, target) with
-    ``offset`` (0-based, NULL on failure) and ``reason``."""
-    s = _with_targets(sentences, pattern, target, matches, keep)
-    s = s.select("sid", "sent_ord", "text", "tokens", F.explode("_targets").alias("match_id"))
-    tgt = F.filter("tokens", lambda t: t["tid"] == F.col("match_id"))
-    s = s.withColumn("_t", F.try_element_at(tgt, F.lit(1)))
-    if legacy:
-        seq = F.col("tokens")
-        inside = F.lit(False)
-    else:
-        seq = surface_of("tokens")
-        inside = F.exists("tokens", lambda r: r["range_from"].isNotNull()
-                          & (F.col("_t")["tid"] >= r["range_from"]) & (F.col("_t")["tid"] <= r["range_to"]))
-    before = F.transform(F.filter(seq, lambda t: t["pos"] < F.col("_t")["pos"]), lambda t: t["form"])
-    offset = align_offset(F.col("text"), before, F.col("_t")["form"])
-    s = s.select(
+    ``offset`` (0-based, NULL on failure) and ``reason``.
+
+    Works on the parallel alignment arrays of the sentence row
+    (``sources.treebank.ALIGN_COLUMNS``): locating the target is
+    ``array_position`` and the tokens before it a ``slice``; only the
+    left-to-right search itself is a lambda."""
+    s = _with_targets(with_alignment_columns(sentences), pattern, target, matches, keep, tokens)
+    # explode_outer + NULL filter: the plain generator would make Catalyst
+    # re-evaluate the target array in an inferred size() > 0 filter
+    s = s.select("sid", "sent_ord", "text", *ALIGN_COLUMNS, F.explode_outer("_targets").alias("match_id")) \
+        .where(F.col("match_id").isNotNull())
+    forms, tids = ("forms_all", "tids_all") if legacy else ("forms_surface", "tids_surface")
+    k = F.array_position(tids, F.col("match_id")).cast("int")
+    k_all = F.array_position("tids_all", F.col("match_id")).cast("int")
+    inside = F.lit(False) if legacy else (k == 0) & F.exists(
+        "spans", lambda r: (F.col("match_id") >= r["range_from"]) & (F.col("match_id") <= r["range_to"]))
+    s = s.select("*", k.alias("_k"), F.try_element_at("forms_all", k_all).alias("_form"),
+                 (k_all > 0).alias("_present"), inside.alias("_inside"))
+    before = F.slice(forms, 1, F.greatest(F.col("_k") - 1, F.lit(0)))
+    s = pinned(s, _walk=align_walk(F.col("text"), before))
+    at = _locate(F.col("_form"), F.col("text"), F.col("_walk")["off"] + 1)
+    offset = F.when(F.col("_walk")["ok"] & (F.col("_k") > 0) & (at > 0), at - 1)
+    return s.select(
         F.col("sid").alias("sentence_id"),
         "match_id",
         "sent_ord",
-        F.col("_t")["form"].alias("match_token"),
+        F.col("_form").alias("match_token"),
         F.col("text").alias("original_text"),
-        F.transform("tokens", lambda t: t["form"]).alias("all_tokens"),
-        F.when(F.col("_t").isNull() | F.col("text").isNull(), F.lit(None)).when(~inside, offset).alias("offset"),
-        F.when(F.col("_t").isNull(), "no_target")
+        F.col("forms_all").alias("all_tokens"),
+        F.when(F.col("text").isNull() | F.col("_inside") | ~F.col("_present"), F.lit(None))
+        .otherwise(offset).alias("offset"),
+        F.when(~F.col("_present"), "no_target")
         .when(F.col("text").isNull(), "no_text")
-        .when(inside, "inside_range")
+        .when(F.col("_inside"), "inside_range")
         .when(offset.isNull(), "not_aligned").alias("reason"),
     )
-    return s
 
 
 class MaskResult(NamedTuple):
@@ -147,9 +172,12 @@ class MaskResult(NamedTuple):
 
 def build_masked(sentences: DataFrame, pattern: Pattern | None = None, target: str | None = None,
                  mask_token: str = DEFAULT_MASK, matches: DataFrame | None = None, keep: str = "last",
-                 legacy: bool = False) -> MaskResult:
-    """D3: masked and exception datasets for a pattern (or given matches)."""
-    return MaskResult(aligned(sentences, pattern, target, matches, keep, legacy), mask_token)
+                 legacy: bool = False, tokens: DataFrame | None = None) -> MaskResult:
+    """D3: masked and exception datasets for a pattern (or given matches).
+
+    ``tokens`` (the treebank's token table) is used by multi-node
+    patterns; by default it is exploded from ``sentences``."""
+    return MaskResult(aligned(sentences, pattern, target, matches, keep, legacy, tokens), mask_token)
 
 
 def masked_dataset(sentences, pattern=None, target=None, mask_token=DEFAULT_MASK, **kw) -> DataFrame:

@@ -217,8 +217,8 @@ def match_in_row(sentences: DataFrame, pattern: Pattern, target: str, keep: str
     """Same result as ``match`` for one-node patterns, computed in-row."""
     return sentences.select(
         F.col("sid").alias("sentence_id"),
-        F.explode(target_ids_in_row(pattern, target, keep)).alias("match_id"),
-    )
+        F.explode_outer(target_ids_in_row(pattern, target, keep)).alias("match_id"),
+    ).where(F.col("match_id").isNotNull())
 
 
 def match_any(sentences: DataFrame, tokens: DataFrame, pattern: Pattern, target: str,

@@ -26,6 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scan import spread
 from .treebank import TOKEN_TYPE, Treebank
 
 ORD_STRIDE = 100000
@@ -80,27 +81,83 @@ def _range_row(forms: Column) -> Column:
     ).cast(TOKEN_TYPE)
 
 
-def sentences_from_documents(documents: DataFrame, with_ranges: bool = True) -> DataFrame:
+def _lines(documents: DataFrame, with_ranges: bool) -> DataFrame:
     lines = documents.select(
         "doc_id", "lang", "source",
-        F.posexplode(F.split(F.col("text"), "\n")).alias("ln", "line"),
+        F.posexplode_outer(F.split(F.col("text"), "\n")).alias("ln", "line"),
+    ).where(F.col("ln").isNotNull())
+    s = lines.select(
+        "*",
+        F.filter(F.split(F.col("line"), " "), lambda x: x != "").alias("forms"),
+        (F.col("doc_id") * ORD_STRIDE + F.col("ln")).alias("sent_ord"),
+        F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit("-s"), F.col("ln").cast("string")).alias("sid"),
     )
-    forms = F.filter(F.split(F.col("line"), " "), lambda x: x != "")
-    ordc = F.col("doc_id") * ORD_STRIDE + F.col("ln")
-    ranged = (ordc % 3 == 0) & (F.size(forms) >= 3) if with_ranges else F.lit(False)
-    words = F.transform(forms, lambda f, i: _word(f, i, ranged))
+    ranged = (F.col("sent_ord") % 3 == 0) & (F.size("forms") >= 3) if with_ranges else F.lit(False)
+    return s.select("*", ranged.alias("ranged"))
+
+
+def sentences_from_lines(s: DataFrame) -> DataFrame:
+    # Each step is its own projection so that expensive values (the split
+    # line, the word array) are computed once per row; inlining them into
+    # the per-token lambda would re-split the line for every token.
+    s = s.select("*", F.transform("forms", lambda f, i: _word(f, i, F.col("ranged"))).alias("words"))
     tokens = F.when(
-        ranged,
-        F.concat(F.slice(words, 1, 1), F.array(_range_row(forms)), F.slice(words, 2, F.size(words))),
-    ).otherwise(words)
-    return lines.select(
-        F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit("-s"), F.col("ln").cast("string")).alias("sid"),
-        ordc.alias("sent_ord"),
-        F.col("line").alias("text"),
-        tokens.alias("tokens"),
-        "doc_id", "lang", "source",
+        F.col("ranged"),
+        F.concat(F.slice("words", 1, 1), F.array(_range_row(F.col("forms"))), F.slice("words", 2, F.size("words"))),
+    ).otherwise(F.col("words"))
+    # alignment arrays with native array functions only (no lambdas)
+    n = F.size("forms")
+    tids = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    rng = F.array(F.concat(F.col("forms")[1], F.lit(" "), F.col("forms")[2]))
+    null_id = F.array(F.lit(None).cast("int"))
+    r = F.col("ranged")
+    return s.select(
+        "sid", "sent_ord", F.col("line").alias("text"), tokens.alias("tokens"),
+        F.when(r, F.concat(F.slice("forms", 1, 1), rng, F.slice("forms", 2, n))).otherwise(F.col("forms"))
+        .alias("forms_all"),
+        F.when(r, F.concat(F.array(F.lit(1)), null_id, F.slice(tids, 2, n))).otherwise(tids).alias("tids_all"),
+        F.when(r, F.concat(F.slice("forms", 1, 1), rng, F.slice("forms", 4, n))).otherwise(F.col("forms"))
+        .alias("forms_surface"),
+        F.when(r, F.concat(F.array(F.lit(1)), null_id, F.slice(tids, 4, n))).otherwise(tids).alias("tids_surface"),
+        F.when(r, F.array(F.struct(F.lit(2).alias("range_from"), F.lit(3).alias("range_to"))))
+        .otherwise(F.array().cast("array<struct<range_from:int,range_to:int>>")).alias("spans"),
+        "doc_id", "lang", "source")
+
+
+def tokens_from_lines(s: DataFrame) -> DataFrame:
+    """The same token rows as exploding ``sentences.tokens``, built with a
+    generator and plain column expressions (whole-stage codegen)."""
+    e = s.select("sid", "sent_ord", "ranged", "forms", F.posexplode_outer("forms").alias("i", "form")) \
+        .where(F.col("i").isNotNull())
+    w = e.select("sid", "sent_ord", "ranged", F.col("i"), F.col("form"))
+    tid = F.col("i") + 1
+    n = F.length("form")
+    upos = F.when(n % 3 == 0, "VERB").when(n % 3 == 1, "NOUN").otherwise("ADJ")
+    number = F.when(n % 2 == 0, "Sing").otherwise("Plur")
+    is_noun = n % 3 == 1
+    case = F.when(is_noun, F.when(tid % 2 == 0, "Nom").otherwise("Acc"))
+    feats = F.when(is_noun, F.create_map(F.lit("number"), number, F.lit("case"), case)) \
+        .otherwise(F.create_map(F.lit("number"), number))
+    deprel = (F.when(tid == 1, "root").when(is_noun & (tid % 2 == 0), "nsubj")
+              .when(is_noun, "obj").otherwise("dep"))
+    words = w.select(
+        "sid", "sent_ord",
+        (F.col("i") + F.when(F.col("ranged") & (F.col("i") >= 1), 1).otherwise(0)).cast("int").alias("pos"),
+        tid.cast("string").alias("id"), tid.cast("int").alias("tid"),
+        F.lit(None).cast("int").alias("range_from"), F.lit(None).cast("int").alias("range_to"),
+        "form", F.lower(F.substring("form", 1, 4)).alias("lemma"), upos.alias("upos"),
+        F.lit(None).cast("string").alias("xpos"), feats.alias("feats"), F.col("i").cast("int").alias("head"),
+        deprel.alias("deprel"), F.lit(None).cast("string").alias("deps"), F.lit(None).cast("string").alias("misc"),
     )
+    ranges = s.where("ranged").select("sid", "sent_ord", F.inline(F.array(_range_row(F.col("forms")))))
+    return words.unionByName(ranges)
+
+
+def sentences_from_documents(documents: DataFrame, with_ranges: bool = True) -> DataFrame:
+    return sentences_from_lines(_lines(documents, with_ranges))
 
 
 def derived_treebank(documents: DataFrame, with_ranges: bool = True) -> Treebank:
-    return Treebank(sentences_from_documents(documents, with_ranges))
+    docs = spread(documents.select("doc_id", "text", "lang", "source"), "doc_id")
+    lines = _lines(docs, with_ranges)
+    return Treebank(sentences_from_lines(lines), tokens_from_lines(lines))

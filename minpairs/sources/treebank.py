@@ -47,19 +47,32 @@ TOKEN_FIELDS = [f.name for f in TOKEN_TYPE.fields]
 
 
 class Treebank(NamedTuple):
+    """``sentences`` and ``tokens`` come from the same input; ``tokens`` is
+    built by the cheapest route a source has (an exploded, codegen'd
+    projection rather than array lambdas), and a query that needs only
+    one of them never computes the other (column pruning)."""
     sentences: DataFrame
+    token_frame: DataFrame | None = None
 
     @property
     def tokens(self) -> DataFrame:
-        return explode_tokens(self.sentences)
+        return self.token_frame if self.token_frame is not None else explode_tokens(self.sentences)
 
-    def cache(self) -> "Treebank":
-        return Treebank(self.sentences.persist())
+    def persist(self) -> "Treebank":
+        return Treebank(self.sentences.persist(), None if self.token_frame is None else self.token_frame.persist())
 
 
 def explode_tokens(sentences: DataFrame) -> DataFrame:
-    """One row per token line (narrow: no shuffle)."""
-    return sentences.select("sid", "sent_ord", F.inline("tokens"))
+    """One row per token line (narrow: no shuffle).
+
+    ``inline_outer`` + a NULL filter instead of ``inline``: for the plain
+    generator Catalyst infers ``size(tokens) > 0`` and pushes it below the
+    projections, which evaluates the whole token array a second time."""
+    return explode_outer_rows(sentences.select("sid", "sent_ord", F.inline_outer("tokens")), "pos")
+
+
+def explode_outer_rows(df: DataFrame, probe: str) -> DataFrame:
+    return df.where(F.col(probe).isNotNull())
 
 
 def words_of(tokens_col="tokens"):
@@ -68,11 +81,49 @@ def words_of(tokens_col="tokens"):
     return F.filter(c, lambda t: t["tid"].isNotNull())
 
 
-def surface_of(tokens_col="tokens"):
+ALIGN_COLUMNS = ["forms_all", "tids_all", "forms_surface", "tids_surface", "spans"]
+
+
+def alignment_columns(tokens_col="tokens") -> list:
+    """Parallel arrays used by alignment, derived from a token array:
+    every token line (``*_all``, legacy order), the surface pieces
+    (``*_surface``: ranges plus uncovered words; NULL id for a range) and
+    the range spans.  Sources that can build them without lambdas (see
+    ``sources.derived``) provide them directly."""
+    c = F.col(tokens_col)
+    spans = F.transform(ranges_of(c), lambda r: F.struct(r["range_from"].alias("range_from"),
+                                                         r["range_to"].alias("range_to")))
+    surf = surface_of(c, spans)
+    return [
+        F.transform(c, lambda t: t["form"]).alias("forms_all"),
+        F.transform(c, lambda t: t["tid"]).alias("tids_all"),
+        F.transform(surf, lambda t: t["form"]).alias("forms_surface"),
+        F.transform(surf, lambda t: t["tid"]).alias("tids_surface"),
+        spans.alias("spans"),
+    ]
+
+
+def with_alignment_columns(sentences: DataFrame) -> DataFrame:
+    if all(c in sentences.columns for c in ALIGN_COLUMNS):
+        return sentences
+    return sentences.select("*", *alignment_columns("tokens"))
+
+
+def ranges_of(tokens_col="tokens"):
+    """Multi-word range rows of a sentence."""
+    c = F.col(tokens_col) if isinstance(tokens_col, str) else tokens_col
+    return F.filter(c, lambda t: t["range_from"].isNotNull())
+
+
+def surface_of(tokens_col="tokens", ranges_col=None):
     """Surface rows: range rows plus words not covered by a range, i.e. the
-    pieces that actually appear in the sentence text, in order."""
+    pieces that actually appear in the sentence text, in order.
+
+    Pass ``ranges_col`` (an already computed ``ranges_of`` column) so the
+    range list is not rebuilt inside the per-token lambda."""
     c = F.col(tokens_col) if isinstance(tokens_col, str) else tokens_col
-    ranges = F.filter(c, lambda t: t["range_from"].isNotNull())
+    ranges = ranges_of(c) if ranges_col is None else (
+        F.col(ranges_col) if isinstance(ranges_col, str) else ranges_col)
 
     def covered(t):
         return F.exists(ranges, lambda r: (t["tid"] >= r["range_from"]) & (t["tid"] <= r["range_to"]))
