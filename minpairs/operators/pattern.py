@@ -188,7 +188,8 @@ def match(tokens: DataFrame, pattern: Pattern, target: str, keep: str = "all") -
         bound = _apply_without(tokens, bound, names, w)
     m = bound.select(F.col("sid").alias("sentence_id"), F.col(f"{target}__tid").alias("match_id"))
     if keep == "all":
-        return m.distinct()
+        # one node: (sentence, token) is already unique, no shuffle needed
+        return m if len(names) == 1 else m.distinct()
     agg = F.max if keep == "last" else F.min
     return m.groupBy("sentence_id").agg(agg("match_id").alias("match_id"))
 

@@ -14,7 +14,7 @@ d_lines AS (
   SELECT doc_id, lang, source, unnest(parts) AS line, generate_subscripts(parts, 1) - 1 AS ln
   FROM (SELECT doc_id, lang, source, string_split(text, chr(10)) AS parts FROM documents)
 ),
-d_sent AS (
+d_sent AS MATERIALIZED (
   SELECT 'd' || CAST(doc_id AS VARCHAR) || '-s' || CAST(ln AS VARCHAR) AS sid,
          doc_id * 100000 + ln AS sent_ord, doc_id, lang, source, line AS text,
          list_filter(string_split(line, ' '), lambda x: x <> '') AS forms,
@@ -33,7 +33,7 @@ d_tok0 AS (
          tid - 1 AS head
   FROM d_w
 ),
-d_tok AS (
+d_tok AS MATERIALIZED (
   SELECT *,
          CASE WHEN upos = 'NOUN' THEN (CASE WHEN tid % 2 = 0 THEN 'Nom' ELSE 'Acc' END) END AS cas,
          CASE WHEN tid = 1 THEN 'root' WHEN upos = 'NOUN' AND tid % 2 = 0 THEN 'nsubj'
@@ -43,7 +43,7 @@ d_tok AS (
 d_rng AS (
   SELECT sid, sent_ord, 1 AS pos, '2-3' AS id, forms[2] || ' ' || forms[3] AS form FROM d_sent WHERE ranged
 ),
-d_lex AS (
+d_lex AS MATERIALIZED (
   SELECT sid AS sentence_id, tid - 1 AS token_id, form, lemma, upos, CAST(NULL AS VARCHAR) AS xpos,
          cas AS feats__case, num AS feats__number, sent_ord, tid
   FROM d_tok WHERE form NOT IN ('.', ',', '!', '?', '*')
@@ -51,13 +51,13 @@ d_lex AS (
 """
 
 EDGE_MATCHES = """
-edge_m AS (
+edge_m AS MATERIALIZED (
   SELECT n.sid, n.tid AS n_tid, v.tid AS v_tid
   FROM d_tok n JOIN d_tok v ON v.sid = n.sid AND v.tid = n.head
   WHERE n.upos = 'NOUN' AND v.upos = 'VERB' AND n.deprel = 'nsubj'
 ),
 last_m AS (SELECT sid, max(n_tid) AS tid FROM edge_m GROUP BY sid),
-tgt AS (
+tgt AS MATERIALIZED (
   SELECT s.sid, s.text, s.ranged, s.forms, t.tid, t.form, t.pos
   FROM last_m m JOIN d_sent s ON s.sid = m.sid JOIN d_tok t ON t.sid = m.sid AND t.tid = m.tid
 ),
@@ -184,3 +184,108 @@ SELECT sid AS sentence_id, tid AS match_id, to_json(toks) AS all_tokens, form AS
        text AS original_text, 'not_aligned' AS reason
 FROM leg WHERE off0 IS NULL
 """
+
+# --- minimal pairs -----------------------------------------------------------
+# first-letter case as Python's str.isupper() on one character
+UP = "(upper(substr({f}, 1, 1)) = substr({f}, 1, 1) AND lower(substr({f}, 1, 1)) <> substr({f}, 1, 1))"
+
+PAIRS = """,
+mk AS MATERIALIZED (SELECT sid, tid, form, text, off0 FROM surf WHERE NOT inside),
+own AS (SELECT m.*, l.lemma, l.feats__case AS cas FROM mk m
+        JOIN d_lex l ON l.sentence_id = m.sid AND l.token_id = m.tid - 1),
+idx AS MATERIALIZED (
+  SELECT lemma, feats__case AS cas, feats__number AS num, """ + UP.format(f="form") + """ AS up,
+         arg_min(form, sent_ord * 100000 + tid) AS alt
+  FROM d_lex WHERE length(form) > 0 AND lemma IS NOT NULL GROUP BY ALL
+),
+mp AS MATERIALIZED (
+  SELECT o.sid AS sentence_id, o.tid AS match_id, o.form AS form_grammatical, o.text AS original_text,
+         substr(o.text, 1, CAST(o.off0 AS BIGINT)) || '[MASK]' || substr(o.text, CAST(o.off0 + length(o.form) + 1 AS BIGINT)) AS masked_text,
+         i.alt AS form_ungrammatical
+  FROM own o JOIN idx i ON i.lemma = o.lemma AND i.cas IS NOT DISTINCT FROM o.cas AND i.num = 'Plur'
+       AND i.up = """ + UP.format(f="o.form") + """
+  WHERE i.alt <> o.form
+),
+mps AS (SELECT sentence_id, match_id, ' ' || form_grammatical AS form_grammatical, original_text, masked_text,
+               ' ' || form_ungrammatical AS form_ungrammatical FROM mp),
+vocab AS MATERIALIZED (
+  SELECT form_grammatical, form_ungrammatical,
+         row_number() OVER (ORDER BY md5(form_grammatical || chr(1) || form_ungrammatical),
+                            form_grammatical, form_ungrammatical) - 1 AS pair_pos
+  FROM (SELECT DISTINCT form_grammatical, form_ungrammatical FROM mps)
+)
+"""
+
+SQL["feature_override"] = w(DERIVED, EDGE_MATCHES) + """
+SELECT m.sid AS sentence_id, m.tid AS match_id, 'Plur' AS alt_number, l.feats__case AS alt_case
+FROM last_m m JOIN d_lex l ON l.sentence_id = m.sid AND l.token_id = m.tid - 1
+"""
+
+SQL["minimal_pairs"] = w(DERIVED, EDGE_MATCHES) + PAIRS + "SELECT * FROM mp"
+SQL["minimal_pairs_spaced"] = w(DERIVED, EDGE_MATCHES) + PAIRS + "SELECT * FROM mps"
+SQL["pair_vocabulary"] = w(DERIVED, EDGE_MATCHES) + PAIRS + "SELECT * FROM vocab"
+
+SQL["ood_pairs"] = w(DERIVED, EDGE_MATCHES) + PAIRS + """,
+n AS (SELECT count(*) AS n FROM vocab),
+ownp AS (
+  SELECT m.sentence_id, m.match_id, v.pair_pos,
+         ('0x' || substr(md5(m.sentence_id || ':' || CAST(m.match_id AS VARCHAR) || ':7'), 1, 8))::BIGINT AS h
+  FROM mps m JOIN vocab v USING (form_grammatical, form_ungrammatical)
+),
+picks AS (
+  SELECT o.sentence_id, o.match_id, j AS pick, (o.pair_pos + 1 + ((o.h + j) % (n.n - 1))) % n.n AS p
+  FROM ownp o, n, range(0, 3) r(j)
+)
+SELECT p.sentence_id, p.match_id, p.pick, v.form_grammatical AS ood_form_grammatical,
+       v.form_ungrammatical AS ood_form_ungrammatical
+FROM picks p JOIN vocab v ON v.pair_pos = p.p
+"""
+
+SQL["run_summary"] = w(DERIVED, EDGE_MATCHES) + PAIRS + """
+SELECT (SELECT count(*) FROM surf) AS targets, (SELECT count(*) FROM mk) AS masked,
+       (SELECT count(*) FROM surf WHERE inside) AS exceptions, (SELECT count(*) FROM mp) AS pairs
+"""
+
+SQL["mask_check"] = w(DERIVED, EDGE_MATCHES) + PAIRS + """
+SELECT sid AS sentence_id, tid AS match_id,
+       CAST((length(t) - length(replace(t, '[MASK]', ''))) / 6 AS INTEGER) AS n_masks,
+       CASE WHEN (length(t) - length(replace(t, '[MASK]', ''))) / 6 = 0 THEN 'no_mask'
+            WHEN (length(t) - length(replace(t, '[MASK]', ''))) / 6 > 1 THEN 'multiple_masks' ELSE 'ok' END AS status
+FROM (SELECT sid, tid, substr(text, 1, CAST(off0 AS BIGINT)) || '[MASK]' || substr(text, CAST(off0 + length(form) + 1 AS BIGINT)) AS t FROM mk)
+"""
+
+SQL["truncate_display"] = w(DERIVED, EDGE_MATCHES) + PAIRS + """
+SELECT sid AS sentence_id, tid AS match_id,
+       CASE WHEN length(text) > 50 THEN substr(text, 1, 50) || '...' ELSE text END AS original_text_display,
+       CASE WHEN length(t) > 50 THEN substr(t, 1, 50) || '...' ELSE t END AS masked_text_display
+FROM (SELECT sid, tid, text, substr(text, 1, CAST(off0 AS BIGINT)) || '[MASK]' || substr(text, CAST(off0 + length(form) + 1 AS BIGINT)) AS t FROM mk)
+"""
+
+# Three tasks; the pair step differs per task (override, target pattern)
+TASK_CTE = """,
+node_last AS (SELECT sid, max(tid) AS tid FROM d_tok WHERE upos = 'VERB' AND num = 'Sing' GROUP BY sid),
+node_tgt AS MATERIALIZED (
+  SELECT s.sid, s.text, s.ranged, s.forms, t.tid, t.form,
+         coalesce(list_sum(list_transform(s.forms[1:t.tid - 1], lambda f: length(f))), 0) + (t.tid - 1) AS off0,
+         s.ranged AND t.tid IN (2, 3) AS inside
+  FROM node_last m JOIN d_sent s ON s.sid = m.sid JOIN d_tok t ON t.sid = m.sid AND t.tid = m.tid
+),
+node_own AS (SELECT m.*, l.lemma, l.feats__case AS cas FROM node_tgt m
+             JOIN d_lex l ON l.sentence_id = m.sid AND l.token_id = m.tid - 1 WHERE NOT m.inside),
+node_mp AS (SELECT o.sid FROM node_own o JOIN idx i ON i.lemma = o.lemma AND i.cas IS NOT DISTINCT FROM o.cas
+            AND i.num = 'Plur' AND i.up = """ + UP.format(f="o.form") + """ WHERE i.alt <> o.form),
+own2 AS (SELECT m.*, l.lemma, l.feats__number AS num FROM mk m
+         JOIN d_lex l ON l.sentence_id = m.sid AND l.token_id = m.tid - 1),
+case_mp AS (SELECT o.sid FROM own2 o JOIN idx i ON i.lemma = o.lemma AND i.num IS NOT DISTINCT FROM o.num
+            AND i.cas = 'Acc' AND i.up = """ + UP.format(f="o.form") + """ WHERE i.alt <> o.form)
+"""
+
+SQL["task_batch"] = w(DERIVED, EDGE_MATCHES) + PAIRS + TASK_CTE + """
+SELECT 'nsubj_noun_number' AS task_name, (SELECT count(*) FROM mk) AS structures_masked,
+       (SELECT count(*) FROM surf WHERE inside) AS exceptions, (SELECT count(*) FROM mp) AS minimal_pairs_found
+UNION ALL
+SELECT 'verb_sing_number', (SELECT count(*) FROM node_tgt WHERE NOT inside), (SELECT count(*) FROM node_tgt WHERE inside),
+       (SELECT count(*) FROM node_mp)
+UNION ALL
+SELECT 'nsubj_noun_case', (SELECT count(*) FROM mk), (SELECT count(*) FROM surf WHERE inside), (SELECT count(*) FROM case_mp)
+"""

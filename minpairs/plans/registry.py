@@ -11,7 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import lexicon as L
-from ..operators.mask import build_masked
+from ..functions.text import truncate_text
+from ..operators.mask import build_masked, mask_check
+from ..operators.pairs import minimal_pairs, ood_picks, override_feats, pair_vocabulary
+from ..plans.tasks import Task, run_summary, task_batch
 from ..operators.pattern import Pattern, match, match_in_row
 from ..sources.derived import derived_treebank
 
@@ -56,7 +59,8 @@ def q_candidate_set(spark, sf):
 
 
 def q_pattern_node(spark, sf):
-    return match_in_row(treebank(spark, sf).sentences, P_NODE, "V")
+    # a one-node pattern is a filter on the token table (no join, no shuffle)
+    return match(treebank(spark, sf).tokens, P_NODE, "V")
 
 
 def q_pattern_edge(spark, sf):
@@ -108,6 +112,71 @@ def q_exception_legacy(spark, sf):
     return _exc_flat(_mask(spark, sf, legacy=True).exceptions)
 
 
+OVERRIDE = {"number": "Plur"}
+OOD_K, OOD_SEED = 3, 7
+
+
+def _pairs(spark, sf, leading_space=False):
+    tb = treebank(spark, sf)
+    masked = build_masked(tb.sentences, P_EDGE, "N", tokens=tb.tokens).masked
+    return minimal_pairs(masked, L.lexicon(tb.tokens), OVERRIDE, leading_space=leading_space)
+
+
+def q_feature_override(spark, sf):
+    tb = treebank(spark, sf)
+    lex = L.lexicon(tb.tokens)
+    t = match(tb.tokens, P_EDGE, "N", keep="last")
+    own = lex.select("sentence_id", (F.col("token_id") + 1).alias("match_id"),
+                     override_feats(F.col("feats"), OVERRIDE).alias("alt"))
+    return t.join(own, ["sentence_id", "match_id"]).select(
+        "sentence_id", "match_id", F.col("alt")["number"].alias("alt_number"), F.col("alt")["case"].alias("alt_case"))
+
+
+def q_minimal_pairs(spark, sf):
+    return _pairs(spark, sf, leading_space=False)
+
+
+def q_minimal_pairs_spaced(spark, sf):
+    return _pairs(spark, sf, leading_space=True)
+
+
+def q_pair_vocabulary(spark, sf):
+    return pair_vocabulary(_pairs(spark, sf, leading_space=True))
+
+
+def q_ood_pairs(spark, sf):
+    return ood_picks(_pairs(spark, sf, leading_space=True), OOD_K, OOD_SEED)
+
+
+def q_run_summary(spark, sf):
+    tb = treebank(spark, sf)
+    r = build_masked(tb.sentences, P_EDGE, "N", tokens=tb.tokens)
+    pairs = minimal_pairs(r.masked, L.lexicon(tb.tokens), OVERRIDE)
+    return run_summary(r.masked, r.exceptions, pairs)
+
+
+TASKS = [
+    Task("nsubj_noun_number", P_EDGE, "N", {"number": "Plur"}),
+    Task("verb_sing_number", P_NODE, "V", {"number": "Plur"}),
+    Task("nsubj_noun_case", P_EDGE, "N", {"case": "Acc"}, leading_space=False),
+]
+
+
+def q_task_batch(spark, sf):
+    return task_batch(treebank(spark, sf), TASKS)
+
+
+def q_mask_check(spark, sf):
+    m = _mask(spark, sf).masked
+    return mask_check(m).select("sentence_id", "match_id", "n_masks", "status")
+
+
+def q_truncate_display(spark, sf):
+    m = _mask(spark, sf).masked
+    return m.select("sentence_id", "match_id", truncate_text("original_text").alias("original_text_display"),
+                    truncate_text("masked_text").alias("masked_text_display"))
+
+
 QUERIES = {
     "tokens_scan": q_tokens_scan,
     "lexicon_filter": q_lexicon_filter,
@@ -124,4 +193,13 @@ QUERIES = {
     "prompt_dataset": q_prompt_dataset,
     "masked_legacy": q_masked_legacy,
     "exception_legacy": q_exception_legacy,
+    "feature_override": q_feature_override,
+    "minimal_pairs": q_minimal_pairs,
+    "minimal_pairs_spaced": q_minimal_pairs_spaced,
+    "pair_vocabulary": q_pair_vocabulary,
+    "ood_pairs": q_ood_pairs,
+    "run_summary": q_run_summary,
+    "task_batch": q_task_batch,
+    "mask_check": q_mask_check,
+    "truncate_display": q_truncate_display,
 }
