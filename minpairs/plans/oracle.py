@@ -289,3 +289,177 @@ SELECT 'verb_sing_number', (SELECT count(*) FROM node_tgt WHERE NOT inside), (SE
 UNION ALL
 SELECT 'nsubj_noun_case', (SELECT count(*) FROM mk), (SELECT count(*) FROM surf WHERE inside), (SELECT count(*) FROM case_mp)
 """
+
+# --- metrics ----------------------------------------------------------------------------
+DBL = "CAST({} AS DOUBLE)"
+I = "(CASE WHEN {p} > 0 AND NOT isnan({p}) THEN -log2({p}) ELSE CAST('inf' AS DOUBLE) END)"
+R6 = "(round_even(({x}) * CAST(1000000 AS DOUBLE), 0) / CAST(1000000 AS DOUBLE))"
+R2 = "(round_even(({x}) * CAST(100 AS DOUBLE), 0) / CAST(100 AS DOUBLE))"
+
+LI = """li AS (SELECT l_orderkey, l_linenumber, l_returnflag, l_linestatus, l_discount AS p_g, l_tax AS p_u,
+                 l_quantity / CAST(500 AS DOUBLE) AS p_u2 FROM lineitem)"""
+
+SQL["surprisal"] = w(LI) + f"""
+SELECT l_orderkey, l_linenumber, p_g, p_u, {R6.format(x=I.format(p='p_g'))} AS I_g, {R6.format(x=I.format(p='p_u'))} AS I_u FROM li
+"""
+
+SQL["avg_surprisal"] = w(LI) + f"""
+SELECT {R2.format(x='avg(' + I.format(p='p_g') + ')')} AS avg_I_g, {R2.format(x='avg(' + I.format(p='p_u') + ')')} AS avg_I_u,
+       {R2.format(x='avg(' + I.format(p='p_g') + ') FILTER (WHERE p_g > 0 AND p_u > 0)')} AS avg_I_g_pos,
+       {R2.format(x='avg(' + I.format(p='p_u') + ') FILTER (WHERE p_g > 0 AND p_u > 0)')} AS avg_I_u_pos
+FROM li
+"""
+
+POSAVG = w(LI) + f""", pos AS (SELECT {R2.format(x='avg(' + I.format(p='p_g') + ')')} AS g,
+                                     {R2.format(x='avg(' + I.format(p='p_u') + ')')} AS u
+                              FROM li WHERE p_g > 0 AND p_u > 0)"""
+SQL["asd"] = POSAVG + f" SELECT {R2.format(x='u - g')} AS asd FROM pos"
+SQL["norm_asd"] = POSAVG + " SELECT CASE WHEN g <> 0 THEN round_even((u - g) / g, 0) END AS norm_asd FROM pos"
+
+SQL["predictions"] = w(LI) + """
+SELECT l_orderkey, l_linenumber, CAST(coalesce(p_g > p_u, false) AS INTEGER) AS prediction FROM li
+"""
+SQL["accuracy"] = w(LI) + f"""
+SELECT count(*) AS n, coalesce({R2.format(x='avg(CAST(coalesce(p_g > p_u, false) AS INTEGER))')}, 0.0) AS accuracy FROM li
+"""
+SQL["accuracy_multi"] = w(LI) + f"""
+SELECT coalesce({R2.format(x='avg(CAST(coalesce(p_g > greatest(p_u, p_u2), false) AS INTEGER))')}, 0.0) AS accuracy FROM li
+"""
+SQL["classification_summary"] = w(LI) + f""",
+c AS (SELECT count(*) AS n, sum(CAST(coalesce(p_g > p_u, false) AS INTEGER)) AS tp,
+             {R2.format(x='avg(CAST(coalesce(p_g > p_u, false) AS INTEGER))')} AS acc FROM li)
+SELECT n, tp, n - tp AS fn, CASE WHEN tp > 0 THEN 1.0::DOUBLE END AS precision,
+       {R6.format(x='tp / n')} AS recall,
+       CASE WHEN tp > 0 THEN {R6.format(x='2.0::DOUBLE * 1.0 * (tp / n) / (1.0 + tp / n)')} ELSE 0.0::DOUBLE END AS f1,
+       coalesce(acc, 0.0) AS accuracy
+FROM c
+"""
+
+EMB = """
+e0 AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+e1 AS (SELECT vec_id, label, x, list_transform(x, lambda v: exp(v - list_max(x))) AS ex FROM e0),
+e2 AS (SELECT vec_id, label, len(x) AS n,
+              list_transform(ex, lambda v: v / list_reduce(ex, lambda a, b: a + b)) AS probs FROM e1),
+e3 AS (SELECT vec_id, label, n, list_filter(probs, lambda v: v > 0) AS p FROM e2),
+e4 AS (SELECT vec_id, label, n, p, list_slice(list_reverse_sort(p), 1, 10) AS top FROM e3),
+e5 AS (SELECT vec_id, label, n, p, list_transform(top, lambda v: v / list_reduce(top, lambda a, b: a + b)) AS pk FROM e4),
+ent AS (
+  SELECT vec_id, label, n,
+         CASE WHEN len(p) = 0 THEN NULL WHEN len(p) = 1 THEN 0.0
+              ELSE """ + R2.format(x="-list_reduce(list_transform(p, lambda v: v * ln(v)), lambda a, b: a + b)") + """ END AS h_all,
+         CASE WHEN len(pk) = 0 THEN NULL WHEN len(p) = 1 THEN 0.0
+              ELSE """ + R2.format(x="-list_reduce(list_transform(pk, lambda v: v * ln(v)), lambda a, b: a + b)") + """ END AS h_k10
+  FROM e5
+)
+"""
+SQL["entropy_topk"] = w(EMB) + "SELECT vec_id, h_all AS entropy_all, h_k10 AS entropy_k10 FROM ent"
+SQL["certainty"] = w(EMB) + f"""
+SELECT vec_id, {R2.format(x='1.0::DOUBLE - h_all / ln(n)')} AS certainty_all,
+       {R2.format(x='1.0::DOUBLE - h_k10 / ln(n)')} AS certainty_k10 FROM ent
+"""
+SQL["avg_certainty"] = w(EMB) + f"""
+SELECT label, {R2.format(x='avg(' + R2.format(x='1.0::DOUBLE - h_k10 / ln(n)') + ')')} AS avg_certainty FROM ent GROUP BY label
+"""
+
+# --- n-gram scoring --------------------------------------------------------------------
+NGRAM = """,
+bg AS MATERIALIZED (SELECT b.sid, b.tid, a.form AS prev, b.form AS w FROM d_tok a JOIN d_tok b ON b.sid = a.sid AND b.tid = a.tid + 1),
+bc AS MATERIALIZED (SELECT prev, w, count(*) AS c FROM bg GROUP BY ALL),
+hist AS MATERIALIZED (SELECT prev, count(*) AS h FROM bg GROUP BY ALL),
+vv AS (SELECT CAST(count(DISTINCT form) AS DOUBLE) AS v FROM d_tok),
+tri AS MATERIALIZED (
+  SELECT t.sid, t.tid, coalesce(a.form, '<s>') AS l, t.form AS w, coalesce(b.form, '</s>') AS r
+  FROM d_tok t LEFT JOIN d_tok a ON a.sid = t.sid AND a.tid = t.tid - 1
+               LEFT JOIN d_tok b ON b.sid = t.sid AND b.tid = t.tid + 1
+),
+tc AS MATERIALIZED (SELECT l, w, r, count(*) AS c FROM tri GROUP BY ALL),
+th AS MATERIALIZED (SELECT l, r, count(*) AS h FROM tri GROUP BY ALL)
+"""
+P = "((coalesce({c}, 0) + CAST(0.1 AS DOUBLE)) / (coalesce({h}, 0) + CAST(0.1 AS DOUBLE) * vv.v))"
+
+SQL["ngram_sentence_score"] = w(DERIVED) + NGRAM + f"""
+SELECT bg.sid AS sentence_id, count(*) AS n_scored, {R6.format(x='sum(log2(' + P.format(c='bc.c', h='hist.h') + '))')} AS log2_prob
+FROM bg JOIN bc USING (prev, w) JOIN hist USING (prev), vv GROUP BY bg.sid
+"""
+
+TOKSCORE = """,
+ctx AS (
+  SELECT m.sentence_id, m.match_id, regexp_replace(m.form_grammatical, '^ ', '') AS g,
+         regexp_replace(m.form_ungrammatical, '^ ', '') AS u,
+         coalesce(a.form, '<s>') AS prev, coalesce(a.form, '<s>') AS l, coalesce(b.form, '</s>') AS r
+  FROM mps m LEFT JOIN d_tok a ON a.sid = m.sentence_id AND a.tid = m.match_id - 1
+             LEFT JOIN d_tok b ON b.sid = m.sentence_id AND b.tid = m.match_id + 1
+),
+ntp AS (
+  SELECT c.sentence_id, c.match_id, """ + P.format(c="cg.c", h="h.h") + " AS pg, " + P.format(c="cu.c", h="h.h") + """ AS pu
+  FROM ctx c CROSS JOIN vv LEFT JOIN bc cg ON cg.prev = c.prev AND cg.w = c.g
+       LEFT JOIN bc cu ON cu.prev = c.prev AND cu.w = c.u LEFT JOIN hist h ON h.prev = c.prev
+),
+mlm AS (
+  SELECT c.sentence_id, c.match_id, """ + P.format(c="cg.c", h="h.h") + " AS pg, " + P.format(c="cu.c", h="h.h") + """ AS pu
+  FROM ctx c CROSS JOIN vv LEFT JOIN tc cg ON cg.l = c.l AND cg.r = c.r AND cg.w = c.g
+       LEFT JOIN tc cu ON cu.l = c.l AND cu.r = c.r AND cu.w = c.u LEFT JOIN th h ON h.l = c.l AND h.r = c.r
+)
+"""
+TOKOUT = f"""SELECT sentence_id, match_id, {R6.format(x='pg')} AS p_form_grammatical, {R6.format(x='pu')} AS p_form_ungrammatical,
+       {R6.format(x=I.format(p='pg'))} AS I_form_grammatical, {R6.format(x=I.format(p='pu'))} AS I_form_ungrammatical FROM """
+SQL["ngram_token_score"] = w(DERIVED, EDGE_MATCHES) + PAIRS + NGRAM + TOKSCORE + TOKOUT + "ntp"
+SQL["ngram_masked_score"] = w(DERIVED, EDGE_MATCHES) + PAIRS + NGRAM + TOKSCORE + TOKOUT + "mlm"
+
+SQL["ood_average"] = w(DERIVED, EDGE_MATCHES) + PAIRS + NGRAM + """,
+n AS (SELECT count(*) AS n FROM vocab),
+ownp AS (
+  SELECT m.sentence_id, m.match_id, v.pair_pos,
+         ('0x' || substr(md5(m.sentence_id || ':' || CAST(m.match_id AS VARCHAR) || ':7'), 1, 8))::BIGINT AS h
+  FROM mps m JOIN vocab v USING (form_grammatical, form_ungrammatical)
+),
+picks AS (
+  SELECT o.sentence_id, o.match_id, (o.pair_pos + 1 + ((o.h + j) % (n.n - 1))) % n.n AS p
+  FROM ownp o, n, range(0, 3) r(j)
+),
+pk AS (
+  SELECT p.sentence_id, p.match_id, regexp_replace(v.form_grammatical, '^ ', '') AS g,
+         regexp_replace(v.form_ungrammatical, '^ ', '') AS u, coalesce(a.form, '<s>') AS prev
+  FROM picks p JOIN vocab v ON v.pair_pos = p.p
+       LEFT JOIN d_tok a ON a.sid = p.sentence_id AND a.tid = p.match_id - 1
+),
+sc AS (
+  SELECT k.sentence_id, k.match_id, """ + P.format(c="cg.c", h="h.h") + " AS pg, " + P.format(c="cu.c", h="h.h") + """ AS pu
+  FROM pk k CROSS JOIN vv LEFT JOIN bc cg ON cg.prev = k.prev AND cg.w = k.g
+       LEFT JOIN bc cu ON cu.prev = k.prev AND cu.w = k.u LEFT JOIN hist h ON h.prev = k.prev
+),
+av AS (SELECT sentence_id, match_id, avg(pg) AS ag, avg(pu) AS au FROM sc GROUP BY ALL)
+SELECT sentence_id, match_id, """ + R6.format(x="ag") + " AS ood_avg_p_grammatical, " + R6.format(x="au") + """ AS ood_avg_p_ungrammatical,
+       """ + R6.format(x=I.format(p="ag")) + " AS ood_avg_I_grammatical, " + R6.format(x=I.format(p="au")) + """ AS ood_avg_I_ungrammatical
+FROM av
+"""
+
+SQL["metrics_by_group"] = w(DERIVED, EDGE_MATCHES) + PAIRS + NGRAM + TOKSCORE + """,
+g AS (SELECT s.lang, n.pg, n.pu FROM ntp n JOIN d_sent s ON s.sid = n.sentence_id),
+a AS (SELECT lang, count(*) AS n,
+             coalesce(""" + R2.format(x="avg(CAST(coalesce(pg > pu, false) AS INTEGER))") + """, 0.0) AS accuracy,
+             """ + R2.format(x="avg(" + I.format(p="pg") + ")") + """ AS avg_I_g,
+             """ + R2.format(x="avg(" + I.format(p="pu") + ")") + """ AS avg_I_u
+      FROM g GROUP BY lang)
+SELECT lang, n, accuracy, avg_I_g, avg_I_u, """ + R2.format(x="avg_I_u - avg_I_g") + """ AS asd,
+       CASE WHEN avg_I_g <> 0 THEN round_even((avg_I_u - avg_I_g) / avg_I_g, 0) END AS norm_asd
+FROM a
+"""
+
+LONG = """,
+lng AS (
+  SELECT sentence_id, match_id, 'p_form_grammatical' AS source, 'grammatical' AS x_label, pg AS prob FROM ntp
+  UNION ALL
+  SELECT sentence_id, match_id, 'p_form_ungrammatical', 'ungrammatical', pu FROM ntp
+)
+"""
+SQL["melt_long"] = w(DERIVED, EDGE_MATCHES) + PAIRS + NGRAM + TOKSCORE + LONG + f"""
+SELECT sentence_id, match_id, source, x_label, {R6.format(x='prob')} AS prob, {R6.format(x=I.format(p='prob'))} AS surprisal FROM lng
+"""
+SQL["surprisal_distribution"] = w(DERIVED, EDGE_MATCHES) + PAIRS + NGRAM + TOKSCORE + LONG + """,
+su AS (SELECT x_label, """ + I.format(p="prob") + """ AS s FROM lng)
+SELECT x_label, count(s) AS n, """ + ", ".join(R6.format(x=e) + f" AS {a}" for e, a in [
+    ("min(s)", "min"), ("quantile_cont(s, 0.25)", "p25"), ("quantile_cont(s, 0.5)", "median"),
+    ("quantile_cont(s, 0.75)", "p75"), ("max(s)", "max"), ("avg(s)", "mean")]) + """
+FROM su GROUP BY x_label
+"""

@@ -14,6 +14,9 @@ from ..operators import lexicon as L
 from ..functions.text import truncate_text
 from ..operators.mask import build_masked, mask_check
 from ..operators.pairs import minimal_pairs, ood_picks, override_feats, pair_vocabulary
+from ..functions import metrics as MT
+from ..operators import score as S
+from ..operators.reshape import distribution, histogram, melt_long
 from ..plans.tasks import Task, run_summary, task_batch
 from ..operators.pattern import Pattern, match, match_in_row
 from ..sources.derived import derived_treebank
@@ -177,6 +180,155 @@ def q_truncate_display(spark, sf):
                     truncate_text("masked_text").alias("masked_text_display"))
 
 
+# --- metrics on lineitem (g = l_discount, u = l_tax) ---------------------------------
+
+def r6(c):
+    """Presentation rounding of raw doubles (half-even at 1e-6) so that
+    last-bit differences of log/exp between engines do not matter."""
+    return MT.round_half_even(c, 6)
+
+
+def _li(spark, sf):
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus",
+                                               F.col("l_discount").alias("p_g"), F.col("l_tax").alias("p_u"),
+                                               (F.col("l_quantity") / F.lit(500.0)).alias("p_u2"))
+
+
+def _pos(df):
+    return df.where((F.col("p_g") > 0) & (F.col("p_u") > 0))
+
+
+def q_surprisal(spark, sf):
+    d = _li(spark, sf)
+    return d.select("l_orderkey", "l_linenumber", "p_g", "p_u",
+                    r6(MT.surprisal("p_g")).alias("I_g"), r6(MT.surprisal("p_u")).alias("I_u"))
+
+
+def q_avg_surprisal(spark, sf):
+    d = _li(spark, sf)
+    pos = (F.col("p_g") > 0) & (F.col("p_u") > 0)
+    return d.agg(MT.avg_surprisal("p_g").alias("avg_I_g"), MT.avg_surprisal("p_u").alias("avg_I_u"),
+                 MT.round_half_even(F.avg(F.when(pos, MT.surprisal("p_g")))).alias("avg_I_g_pos"),
+                 MT.round_half_even(F.avg(F.when(pos, MT.surprisal("p_u")))).alias("avg_I_u_pos"))
+
+
+def q_asd(spark, sf):
+    return _pos(_li(spark, sf)).agg(MT.avg_surprisal_difference("p_g", "p_u").alias("asd"))
+
+
+def q_norm_asd(spark, sf):
+    return _pos(_li(spark, sf)).agg(MT.norm_avg_surprisal_difference("p_g", "p_u").alias("norm_asd"))
+
+
+def q_predictions(spark, sf):
+    d = _li(spark, sf)
+    return d.select("l_orderkey", "l_linenumber", MT.predictions("p_g", "p_u").alias("prediction"))
+
+
+def q_accuracy(spark, sf):
+    return _li(spark, sf).agg(F.count(F.lit(1)).alias("n"), MT.accuracy("p_g", "p_u").alias("accuracy"))
+
+
+def q_accuracy_multi(spark, sf):
+    return _li(spark, sf).agg(MT.accuracy("p_g", ["p_u", "p_u2"]).alias("accuracy"))
+
+
+def q_classification_summary(spark, sf):
+    return _li(spark, sf).agg(*MT.classification("p_g", "p_u"))
+
+
+# --- entropy / certainty on embeddings (64 logits -> softmax) ---------------------------
+
+def _probs(spark, sf):
+    e = table(spark, sf, "embeddings")
+    return e.select("vec_id", "label", MT.softmax("embedding").alias("probs"))
+
+
+def q_entropy_topk(spark, sf):
+    p = _probs(spark, sf)
+    return p.select("vec_id", MT.entropy("probs").alias("entropy_all"), MT.entropy("probs", 10).alias("entropy_k10"))
+
+
+def q_certainty(spark, sf):
+    p = _probs(spark, sf)
+    return p.select("vec_id", MT.certainty("probs").alias("certainty_all"),
+                    MT.certainty("probs", 10).alias("certainty_k10"))
+
+
+def q_avg_certainty(spark, sf):
+    p = _probs(spark, sf).select("label", MT.certainty("probs", 10).alias("certainty"))
+    return p.groupBy("label").agg(MT.avg_certainty("certainty").alias("avg_certainty"))
+
+
+# --- n-gram scoring on the derived treebank ---------------------------------------------
+
+def _scored_pairs(spark, sf, order=2):
+    tb = treebank(spark, sf)
+    masked = build_masked(tb.sentences, P_EDGE, "N", tokens=tb.tokens).masked
+    mp = minimal_pairs(masked, L.lexicon(tb.tokens), OVERRIDE, leading_space=True)
+    model = S.fit_bigram(tb.tokens) if order == 2 else S.fit_masked(tb.tokens)
+    return tb, mp, model
+
+
+def q_ngram_sentence_score(spark, sf):
+    tb = treebank(spark, sf)
+    s = S.sentence_scores(tb.tokens, S.fit_bigram(tb.tokens))
+    return s.select("sentence_id", "n_scored", r6("log2_prob").alias("log2_prob"))
+
+
+def _token_out(df):
+    cols = ["p_form_grammatical", "p_form_ungrammatical", "I_form_grammatical", "I_form_ungrammatical"]
+    return df.select("sentence_id", "match_id", *[r6(c).alias(c) for c in cols])
+
+
+def q_ngram_token_score(spark, sf):
+    tb, mp, model = _scored_pairs(spark, sf, 2)
+    return _token_out(S.token_scores(mp, tb.tokens, model))
+
+
+def q_ngram_masked_score(spark, sf):
+    tb, mp, model = _scored_pairs(spark, sf, 3)
+    return _token_out(S.token_scores(mp, tb.tokens, model))
+
+
+def q_ood_average(spark, sf):
+    tb, mp, model = _scored_pairs(spark, sf, 2)
+    o = S.ood_average(ood_picks(mp, OOD_K, OOD_SEED), tb.tokens, model)
+    return o.select("sentence_id", "match_id", *[r6(c).alias(c) for c in o.columns[2:]])
+
+
+def q_metrics_by_group(spark, sf):
+    tb, mp, model = _scored_pairs(spark, sf, 2)
+    sc = S.token_scores(mp, tb.tokens, model)
+    lang = tb.sentences.select(F.col("sid").alias("sentence_id"), "lang")
+    g, u = "p_form_grammatical", "p_form_ungrammatical"
+    return sc.join(lang, "sentence_id").groupBy("lang").agg(
+        F.count(F.lit(1)).alias("n"), MT.accuracy(g, u).alias("accuracy"),
+        MT.avg_surprisal(g).alias("avg_I_g"), MT.avg_surprisal(u).alias("avg_I_u"),
+        MT.avg_surprisal_difference(g, u).alias("asd"), MT.norm_avg_surprisal_difference(g, u).alias("norm_asd"))
+
+
+def _long(spark, sf):
+    tb, mp, model = _scored_pairs(spark, sf, 2)
+    sc = S.token_scores(mp, tb.tokens, model)
+    return melt_long(sc, ["sentence_id", "match_id"], ["p_form_grammatical", "p_form_ungrammatical"],
+                     ["grammatical", "ungrammatical"])
+
+
+def q_melt_long(spark, sf):
+    return _long(spark, sf).select("sentence_id", "match_id", "source", "x_label", r6("prob").alias("prob"),
+                                   r6("surprisal").alias("surprisal"))
+
+
+def q_surprisal_distribution(spark, sf):
+    d = distribution(_long(spark, sf), exact=True)
+    return d.select("x_label", "n", *[r6(c).alias(c) for c in ["min", "p25", "median", "p75", "max", "mean"]])
+
+
+def q_histogram(spark, sf):
+    return histogram(_long(spark, sf))
+
+
 QUERIES = {
     "tokens_scan": q_tokens_scan,
     "lexicon_filter": q_lexicon_filter,
@@ -202,4 +354,23 @@ QUERIES = {
     "task_batch": q_task_batch,
     "mask_check": q_mask_check,
     "truncate_display": q_truncate_display,
+    "surprisal": q_surprisal,
+    "avg_surprisal": q_avg_surprisal,
+    "asd": q_asd,
+    "norm_asd": q_norm_asd,
+    "predictions": q_predictions,
+    "accuracy": q_accuracy,
+    "accuracy_multi": q_accuracy_multi,
+    "classification_summary": q_classification_summary,
+    "entropy_topk": q_entropy_topk,
+    "certainty": q_certainty,
+    "avg_certainty": q_avg_certainty,
+    "ngram_sentence_score": q_ngram_sentence_score,
+    "ngram_token_score": q_ngram_token_score,
+    "ngram_masked_score": q_ngram_masked_score,
+    "ood_average": q_ood_average,
+    "metrics_by_group": q_metrics_by_group,
+    "melt_long": q_melt_long,
+    "surprisal_distribution": q_surprisal_distribution,
+    "histogram": q_histogram,
 }
