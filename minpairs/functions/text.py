@@ -67,6 +67,20 @@ def feat_key(feats) -> Column:
     return F.to_json(F.array_sort(F.map_entries(m)))
 
 
+# marker for "feature absent" in a feature key (values never hold control characters)
+_ABSENT = "\u0002"
+_SEP = "\u0001"
+
+
+def feat_key_fixed(feats, names: list[str]) -> Column:
+    """C13 over a known, bounded list of feature names: one slot per name,
+    an absent (or NULL) value gets a marker.  Built from map lookups and
+    ``concat_ws`` only, so it runs in generated code (``feat_key`` needs
+    array lambdas and JSON)."""
+    m = col_(feats)
+    return F.concat_ws(_SEP, *[F.coalesce(F.concat(F.lit("="), m[n]), F.lit(_ABSENT)) for n in sorted(names)])
+
+
 def nullif_nan_string(c) -> Column:
     """B3 (legacy): the literal string ``nan`` becomes NULL."""
     c = col_(c)

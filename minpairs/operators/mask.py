@@ -79,7 +79,7 @@ def _with_targets(sentences: DataFrame, pattern: Pattern | None, target: str | N
                   matches: DataFrame | None, keep: str, tokens: DataFrame | None = None) -> DataFrame:
     if matches is not None:
         return _attach(sentences, matches)
-    if is_single_node(pattern):
+    if is_single_node(pattern) and "tokens" in sentences.columns:
         return sentences.select("*", target_ids_in_row(pattern, target, keep).alias("_targets"))
     toks = tokens if tokens is not None else explode_tokens(sentences)
     return _attach(sentences, match(toks, pattern, target, keep))

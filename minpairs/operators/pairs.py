@@ -15,7 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import feat_key, starts_upper
+from ..functions.text import feat_key, feat_key_fixed, starts_upper
+from ..session import cut_lineage
 from . import lexicon as L
 
 
@@ -31,11 +32,17 @@ def override_feats(feats: Column, morph: dict) -> Column:
     return F.map_concat(kept, extra)
 
 
-def lexicon_index(lex: DataFrame, with_upos: bool = False) -> DataFrame:
+def _key(feats, names):
+    return feat_key(feats) if names is None else feat_key_fixed(feats, names)
+
+
+def lexicon_index(lex: DataFrame, with_upos: bool = False, names: list[str] | None = None) -> DataFrame:
     """First form (treebank order) per lemma, feature set and case
     of the first letter.  Map-side partial aggregation makes the shuffle
-    proportional to the number of distinct keys, not to the lexicon."""
-    keys = [F.col("lemma").alias("_lemma"), feat_key("feats").alias("_fkey"),
+    proportional to the number of distinct keys, not to the lexicon.
+    With ``names`` (the lexicon's feature names) the feature key is a
+    generated-code expression."""
+    keys = [F.col("lemma").alias("_lemma"), _key(F.col("feats"), names).alias("_fkey"),
             starts_upper("form").alias("_upper")]
     if with_upos:
         keys.append(F.col("upos").alias("_upos"))
@@ -45,16 +52,24 @@ def lexicon_index(lex: DataFrame, with_upos: bool = False) -> DataFrame:
 
 
 def alternative_forms(targets: DataFrame, lex: DataFrame, morph: dict, universal: dict | None = None,
-                      validate: bool = True) -> DataFrame:
+                      validate: bool = True, names: list[str] | None = None,
+                      index: DataFrame | None = None) -> DataFrame:
     """E2 for many targets at once: ``targets`` has ``sentence_id`` and
     ``match_id`` (1-based); adds ``form_ungrammatical`` (NULL when the
-    lexicon holds no such word)."""
+    lexicon holds no such word).
+
+    ``names``: the lexicon's feature names (collected once if not given);
+    ``index``: a prebuilt ``lexicon_index`` to share between tasks."""
     universal = universal or {}
+    bad = [k for k in universal if k != "upos"]
+    if bad:
+        raise KeyError(f"unsupported universal override: {bad}")
+    if names is None and validate:
+        names = L.collect_feature_names(lex)
     if validate:
-        L._check_keys(lex, morph, {})
-        bad = [k for k in universal if k != "upos"]
-        if bad:
-            raise KeyError(f"unsupported universal override: {bad}")
+        unknown = [k for k in morph if k.lower() not in set(names)]
+        if unknown:
+            raise KeyError(f"Invalid feature provided to confound set: {unknown}")
     # C11: the target's own lexicon row (lemma, features), by key join
     own = lex.select(F.col("sentence_id").alias("_s"), (F.col("token_id") + 1).alias("_m"),
                      F.col("lemma").alias("_lemma"), override_feats(F.col("feats"), morph).alias("_alt"),
@@ -62,20 +77,21 @@ def alternative_forms(targets: DataFrame, lex: DataFrame, morph: dict, universal
     t = targets.join(own, (F.col("sentence_id") == F.col("_s")) & (F.col("match_id") == F.col("_m")), "left") \
         .drop("_s", "_m")
     form_col = "match_token" if "match_token" in targets.columns else "form_grammatical"
-    t = t.withColumn("_fkey", feat_key(F.col("_alt"))).withColumn("_upper", starts_upper(form_col))
+    t = t.withColumn("_fkey", _key(F.col("_alt"), names)).withColumn("_upper", starts_upper(form_col))
     keys = ["_lemma", "_fkey", "_upper"]
     if "upos" in universal:
         t = t.withColumn("_upos", F.lit(universal["upos"]))
         keys.append("_upos")
-    idx = lexicon_index(lex, with_upos="upos" in universal)
+    idx = index if index is not None else lexicon_index(lex, with_upos="upos" in universal, names=names)
     out = t.join(idx, keys, "left")
     return out.drop(*keys, "_alt", "_own_upos")
 
 
 def minimal_pairs(dataset: DataFrame, lex: DataFrame, morph: dict, universal: dict | None = None,
-                  leading_space: bool = True, validate: bool = True) -> DataFrame:
+                  leading_space: bool = True, validate: bool = True, names: list[str] | None = None,
+                  index: DataFrame | None = None) -> DataFrame:
     """E5: masked or prompt dataset -> minimal-pair dataset."""
-    out = alternative_forms(dataset, lex, morph, universal, validate)
+    out = alternative_forms(dataset, lex, morph, universal, validate, names, index)
     out = out.withColumnRenamed("match_token", "form_grammatical")             # B12
     out = out.where(F.col("form_ungrammatical").isNotNull())                    # B10
     out = out.where(F.col("form_grammatical") != F.col("form_ungrammatical"))   # B11
@@ -118,6 +134,10 @@ def ood_picks(mp: DataFrame, k: int, seed: int = 0, key_cols=("sentence_id", "ma
     pick j (0..k-1) is position ``(p + 1 + ((h + j) mod (n-1))) mod n``
     where h hashes the row key and the seed.  Never the own pair, no
     repeats, no cross join; one lookup join on the position."""
+    key_cols = list(key_cols)
+    # the input feeds a count and two joins: materialise it once in the
+    # checkpoint folder instead of recomputing the pair pipeline each time
+    mp = cut_lineage(mp.select(*key_cols, "form_grammatical", "form_ungrammatical"))
     vocab = pair_vocabulary(mp)
     n = vocab.count()
     if n - 1 < k:

@@ -78,6 +78,9 @@ def distribution(long: DataFrame, value: str = "surprisal", by: str = "x_label",
     ``percentile_approx`` has bounded memory per group; ``exact`` gives the
     interpolated quantiles through a distributed sort."""
     v = F.col(value)
+    if exact:
+        # read several times (counts, sort, ranks): materialise once
+        long = cut_lineage(long.select(by, value))
     base = long.groupBy(by).agg(F.count(v).alias("n"), F.min(v).alias("min"), F.max(v).alias("max"),
                                 F.avg(v).alias("mean"),
                                 *([] if exact else [F.percentile_approx(v, F.lit(p)).alias(k)

@@ -19,7 +19,10 @@ from ..operators import score as S
 from ..operators.reshape import distribution, histogram, melt_long
 from ..plans.tasks import Task, run_summary, task_batch
 from ..operators.pattern import Pattern, match, match_in_row
+from ..session import ensure_checkpoint_dir
 from ..sources.derived import derived_treebank
+from ..sources.scan import exists, input_fingerprint
+from ..sources.treebank import read_treebank
 
 # Patterns used by the registered queries (fixed test definitions).
 P_NODE = Pattern(nodes={"V": {"upos": "VERB", "Number": "Sing"}})
@@ -35,8 +38,27 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+_MATERIALISED: dict = {}
+
+
 def treebank(spark: SparkSession, sf: str):
-    return derived_treebank(table(spark, sf, "documents"))
+    """The derived treebank of ``sf``, parsed once per input version.
+
+    The first query writes sentences and tokens as parquet into the shared
+    checkpoint folder (keyed by the documents' path, size and mtime);
+    every query then scans those tables, with column pruning and pushed
+    filters, instead of re-deriving them from the raw text."""
+    docs = f"{sf}/documents.parquet"
+    key = input_fingerprint(spark, docs)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/treebank-{key}"
+    tb = _MATERIALISED.get(path)
+    if tb is None:
+        if exists(spark, f"{path}/tokens/_SUCCESS") and exists(spark, f"{path}/sentences/_SUCCESS"):
+            tb = read_treebank(spark, path)
+        else:
+            tb = derived_treebank(spark.read.parquet(docs)).write(path)
+        _MATERIALISED[path] = tb
+    return tb
 
 
 def q_tokens_scan(spark, sf):

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from ..operators import lexicon as L
 from ..operators.mask import build_masked
-from ..operators.pairs import minimal_pairs
+from ..operators.pairs import lexicon_index, minimal_pairs
+from ..session import cut_lineage
 from ..operators.pattern import Pattern, match
 from ..sources.treebank import Treebank
 
@@ -30,13 +31,14 @@ class Task:
     legacy: bool = False
 
 
-def task_outputs(tb: Treebank, task: Task, lex: DataFrame | None = None):
+def task_outputs(tb: Treebank, task: Task, lex: DataFrame | None = None, names: list[str] | None = None,
+                 index: DataFrame | None = None):
     """(masked, exceptions, pairs) of one task."""
     lex = lex if lex is not None else L.lexicon(tb.tokens)
     # matches come from the token table (a filter or joins, no token arrays)
     m = match(tb.tokens, task.pattern, task.target, keep=task.keep)
     r = build_masked(tb.sentences, matches=m, legacy=task.legacy)
-    pairs = minimal_pairs(r.masked, lex, task.morph, leading_space=task.leading_space)
+    pairs = minimal_pairs(r.masked, lex, task.morph, leading_space=task.leading_space, names=names, index=index)
     return r.masked, r.exceptions, pairs
 
 
@@ -56,9 +58,17 @@ def task_batch(tb: Treebank, tasks: list[Task]) -> DataFrame:
     if len({t.name for t in tasks}) != len(tasks):
         raise ValueError("task names must be unique")
     lex = L.lexicon(tb.tokens)
+    names = L.collect_feature_names(lex)
+    for t in tasks:
+        unknown = [k for k in t.morph if k.lower() not in set(names)]
+        if unknown:
+            raise KeyError(f"task {t.name}: invalid feature(s) {unknown}")
+    # one lexicon index for every task, materialised once (it is read by
+    # each task's join)
+    index = cut_lineage(lexicon_index(lex, names=names))
     parts = []
     for t in tasks:
-        masked, exc, pairs = task_outputs(tb, t, lex)
+        masked, exc, pairs = task_outputs(tb, t, lex, names, index)
         name = F.lit(t.name).alias("task_name")
         parts += [masked.select(name, F.lit("m").alias("k")),
                   exc.select(name, F.lit("e").alias("k")),

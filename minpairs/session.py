@@ -22,6 +22,11 @@ PLAN_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # joins on (sid, x) may reuse a hash partitioning on sid alone
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
+    # broadcast only what is measured: no broadcast from planner estimates,
+    # AQE converts a join once the shuffled side is known to be small
+    # (explicit broadcast() hints are kept for tables of fixed size)
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "16MB",
 }
 
 

@@ -96,23 +96,19 @@ def _lines(documents: DataFrame, with_ranges: bool) -> DataFrame:
     return s.select("*", ranged.alias("ranged"))
 
 
-def sentences_from_lines(s: DataFrame) -> DataFrame:
-    # Each step is its own projection so that expensive values (the split
-    # line, the word array) are computed once per row; inlining them into
-    # the per-token lambda would re-split the line for every token.
-    s = s.select("*", F.transform("forms", lambda f, i: _word(f, i, F.col("ranged"))).alias("words"))
-    tokens = F.when(
-        F.col("ranged"),
-        F.concat(F.slice("words", 1, 1), F.array(_range_row(F.col("forms"))), F.slice("words", 2, F.size("words"))),
-    ).otherwise(F.col("words"))
-    # alignment arrays with native array functions only (no lambdas)
+def sentences_from_lines(s: DataFrame, token_arrays: bool = False) -> DataFrame:
+    """Sentence rows with the alignment arrays, built with native array
+    functions only.  ``token_arrays=True`` also builds the per-sentence
+    token struct array (needed only by in-row pattern matching; it costs
+    one interpreted lambda per token, so it is off by default and the
+    token table serves pattern matching instead)."""
     n = F.size("forms")
     tids = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
     rng = F.array(F.concat(F.col("forms")[1], F.lit(" "), F.col("forms")[2]))
     null_id = F.array(F.lit(None).cast("int"))
     r = F.col("ranged")
-    return s.select(
-        "sid", "sent_ord", F.col("line").alias("text"), tokens.alias("tokens"),
+    cols = [
+        "sid", "sent_ord", F.col("line").alias("text"),
         F.when(r, F.concat(F.slice("forms", 1, 1), rng, F.slice("forms", 2, n))).otherwise(F.col("forms"))
         .alias("forms_all"),
         F.when(r, F.concat(F.array(F.lit(1)), null_id, F.slice(tids, 2, n))).otherwise(tids).alias("tids_all"),
@@ -121,7 +117,18 @@ def sentences_from_lines(s: DataFrame) -> DataFrame:
         F.when(r, F.concat(F.array(F.lit(1)), null_id, F.slice(tids, 4, n))).otherwise(tids).alias("tids_surface"),
         F.when(r, F.array(F.struct(F.lit(2).alias("range_from"), F.lit(3).alias("range_to"))))
         .otherwise(F.array().cast("array<struct<range_from:int,range_to:int>>")).alias("spans"),
-        "doc_id", "lang", "source")
+        "doc_id", "lang", "source",
+    ]
+    if token_arrays:
+        # separate projection: the word array is referenced several times
+        s = s.select("*", F.transform("forms", lambda f, i: _word(f, i, F.col("ranged"))).alias("words"))
+        tokens = F.when(
+            F.col("ranged"),
+            F.concat(F.slice("words", 1, 1), F.array(_range_row(F.col("forms"))),
+                     F.slice("words", 2, F.size("words"))),
+        ).otherwise(F.col("words"))
+        cols.insert(3, tokens.alias("tokens"))
+    return s.select(*cols)
 
 
 def tokens_from_lines(s: DataFrame) -> DataFrame:
@@ -153,11 +160,12 @@ def tokens_from_lines(s: DataFrame) -> DataFrame:
     return words.unionByName(ranges)
 
 
-def sentences_from_documents(documents: DataFrame, with_ranges: bool = True) -> DataFrame:
-    return sentences_from_lines(_lines(documents, with_ranges))
+def sentences_from_documents(documents: DataFrame, with_ranges: bool = True,
+                             token_arrays: bool = True) -> DataFrame:
+    return sentences_from_lines(_lines(documents, with_ranges), token_arrays)
 
 
-def derived_treebank(documents: DataFrame, with_ranges: bool = True) -> Treebank:
+def derived_treebank(documents: DataFrame, with_ranges: bool = True, token_arrays: bool = False) -> Treebank:
     docs = spread(documents.select("doc_id", "text", "lang", "source"), "doc_id")
     lines = _lines(docs, with_ranges)
-    return Treebank(sentences_from_lines(lines), tokens_from_lines(lines))
+    return Treebank(sentences_from_lines(lines, token_arrays), tokens_from_lines(lines))

@@ -18,3 +18,27 @@ def spread(df: DataFrame, *keys: str, min_partitions: int | None = None) -> Data
     if df.rdd.getNumPartitions() >= want:
         return df
     return df.repartition(want, *keys) if keys else df.repartition(want)
+
+
+def _fs(spark, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def input_fingerprint(spark, path: str) -> str:
+    """md5 of (path, size, mtime) of every file under ``path``."""
+    import hashlib
+
+    p, fs = _fs(spark, path)
+    parts = [path]
+    it = fs.listFiles(p, True)
+    while it.hasNext():
+        st = it.next()
+        parts.append(f"{st.getPath().toString()}:{st.getLen()}:{st.getModificationTime()}")
+    return hashlib.md5("\n".join(sorted(parts)).encode()).hexdigest()
+
+
+def exists(spark, path: str) -> bool:
+    p, fs = _fs(spark, path)
+    return bool(fs.exists(p))

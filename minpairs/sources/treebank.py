@@ -61,6 +61,19 @@ class Treebank(NamedTuple):
     def persist(self) -> "Treebank":
         return Treebank(self.sentences.persist(), None if self.token_frame is None else self.token_frame.persist())
 
+    def write(self, path: str, mode: str = "overwrite") -> "Treebank":
+        """Parse once, persist: store both tables as parquet and return a
+        treebank that reads them (scans then prune columns and push
+        filters down)."""
+        spark = self.sentences.sparkSession
+        self.sentences.write.mode(mode).parquet(f"{path}/sentences")
+        self.tokens.write.mode(mode).parquet(f"{path}/tokens")
+        return read_treebank(spark, path)
+
+
+def read_treebank(spark, path: str) -> Treebank:
+    return Treebank(spark.read.parquet(f"{path}/sentences"), spark.read.parquet(f"{path}/tokens"))
+
 
 def explode_tokens(sentences: DataFrame) -> DataFrame:
     """One row per token line (narrow: no shuffle).
@@ -106,6 +119,8 @@ def alignment_columns(tokens_col="tokens") -> list:
 def with_alignment_columns(sentences: DataFrame) -> DataFrame:
     if all(c in sentences.columns for c in ALIGN_COLUMNS):
         return sentences
+    if "tokens" not in sentences.columns:
+        raise ValueError("sentences need either the alignment arrays or a token array")
     return sentences.select("*", *alignment_columns("tokens"))
 
 
