@@ -13,9 +13,10 @@ and, at token level, ``certainty``):
 * model scorers (S1-S5): a user object scored with ``mapInPandas``; the
   model is loaded once per Python worker and rows stream in Arrow batches.
 
-Consecutive words are paired by a self join on ``(sid, tid) = (sid,
-tid - 1)`` rather than a window, so a very long sentence is spread over
-many tasks instead of one.
+n-grams are built inside each sentence row from its word array
+(``arrays_zip`` of shifted slices, then explode): no self join and no
+window, so the only shuffles are the count aggregations (map-side
+combined) and the lookups.
 """
 
 from __future__ import annotations
@@ -27,32 +28,41 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.metrics import surprisal
+from ..sources.treebank import with_alignment_columns
 
 BOS, EOS = "<s>", "</s>"
 DEFAULT_ALPHA = 0.1
 
 
-def words(tokens: DataFrame) -> DataFrame:
-    return tokens.where(F.col("tid").isNotNull()).select("sid", "tid", "form")
+def word_rows(sentences: DataFrame) -> DataFrame:
+    """(sid, words): the word forms of each sentence in id order."""
+    return with_alignment_columns(sentences).select("sid", "words")
 
 
-def bigrams(tokens: DataFrame) -> DataFrame:
-    """(sid, tid, prev, w) for every word that has a predecessor."""
-    w = words(tokens)
-    a = w.select(F.col("sid").alias("_s"), F.col("tid").alias("_t"), F.col("form").alias("prev"))
-    return w.join(a, (F.col("sid") == F.col("_s")) & (F.col("tid") == F.col("_t") + 1)) \
-        .select("sid", "tid", "prev", F.col("form").alias("w"))
+def bigrams(sentences: DataFrame) -> DataFrame:
+    """(sid, tid, prev, w) for every word that has a predecessor.
 
+    Consecutive words are already in the same sentence row, so the pairs
+    come from native array functions (``arrays_zip`` of two slices) and an
+    explode -- no self join, no shuffle before the counting aggregation."""
+    s = word_rows(sentences)
+    n = F.size("words")
+    z = F.arrays_zip(F.slice("words", 1, n - 1).alias("prev"), F.slice("words", 2, n - 1).alias("w"))
+    e = s.select("sid", F.posexplode_outer(F.when(n >= 2, z)).alias("i", "bg")).where(F.col("bg").isNotNull())
+    return e.select("sid", (F.col("i") + 2).cast("int").alias("tid"), F.col("bg")["prev"].alias("prev"),
+                    F.col("bg")["w"].alias("w"))
 
-def trigrams(tokens: DataFrame) -> DataFrame:
+
+def trigrams(sentences: DataFrame) -> DataFrame:
     """(sid, tid, l, w, r) for every word, padded with sentence markers."""
-    w = words(tokens)
-    left = w.select(F.col("sid").alias("_ls"), F.col("tid").alias("_lt"), F.col("form").alias("_l"))
-    right = w.select(F.col("sid").alias("_rs"), F.col("tid").alias("_rt"), F.col("form").alias("_r"))
-    j = w.join(left, (F.col("sid") == F.col("_ls")) & (F.col("tid") == F.col("_lt") + 1), "left") \
-        .join(right, (F.col("sid") == F.col("_rs")) & (F.col("tid") == F.col("_rt") - 1), "left")
-    return j.select("sid", "tid", F.coalesce("_l", F.lit(BOS)).alias("l"), F.col("form").alias("w"),
-                    F.coalesce("_r", F.lit(EOS)).alias("r"))
+    s = word_rows(sentences)
+    n = F.size("words")
+    left = F.concat(F.array(F.lit(BOS)), F.slice("words", 1, n - 1))
+    right = F.concat(F.slice("words", 2, n - 1), F.array(F.lit(EOS)))
+    z = F.arrays_zip(left.alias("l"), F.col("words").alias("w"), right.alias("r"))
+    e = s.select("sid", F.posexplode_outer(F.when(n >= 1, z)).alias("i", "tg")).where(F.col("tg").isNotNull())
+    return e.select("sid", (F.col("i") + 1).cast("int").alias("tid"), F.col("tg")["l"].alias("l"),
+                    F.col("tg")["w"].alias("w"), F.col("tg")["r"].alias("r"))
 
 
 class NgramModel(NamedTuple):
@@ -63,23 +73,24 @@ class NgramModel(NamedTuple):
     order: int
 
 
-def vocab_size(tokens: DataFrame) -> int:
+def vocab_size(sentences: DataFrame) -> int:
     """V: one scalar, computed by a distributed distinct count."""
-    return words(tokens).select(F.countDistinct("form")).first()[0]
+    return word_rows(sentences).select(F.explode("words").alias("f")).select(F.countDistinct("f")).first()[0]
 
 
-def fit_bigram(tokens: DataFrame, alpha: float = DEFAULT_ALPHA, vocab: int | None = None) -> NgramModel:
-    bg = bigrams(tokens)
+def fit_bigram(sentences: DataFrame, alpha: float = DEFAULT_ALPHA, vocab: int | None = None) -> NgramModel:
+    """Bigram counts (map-side combined aggregations over exploded pairs)."""
+    bg = bigrams(sentences)
     grams = bg.groupBy("prev", "w").agg(F.count(F.lit(1)).alias("c"))
     ctx = bg.groupBy("prev").agg(F.count(F.lit(1)).alias("h"))
-    return NgramModel(grams, ctx, vocab if vocab is not None else vocab_size(tokens), alpha, 2)
+    return NgramModel(grams, ctx, vocab if vocab is not None else vocab_size(sentences), alpha, 2)
 
 
-def fit_masked(tokens: DataFrame, alpha: float = DEFAULT_ALPHA, vocab: int | None = None) -> NgramModel:
-    tg = trigrams(tokens)
+def fit_masked(sentences: DataFrame, alpha: float = DEFAULT_ALPHA, vocab: int | None = None) -> NgramModel:
+    tg = trigrams(sentences)
     grams = tg.groupBy("l", "w", "r").agg(F.count(F.lit(1)).alias("c"))
     ctx = tg.groupBy("l", "r").agg(F.count(F.lit(1)).alias("h"))
-    return NgramModel(grams, ctx, vocab if vocab is not None else vocab_size(tokens), alpha, 3)
+    return NgramModel(grams, ctx, vocab if vocab is not None else vocab_size(sentences), alpha, 3)
 
 
 def _ctx_keys(model: NgramModel) -> list[str]:
@@ -111,10 +122,10 @@ def _and(conds):
     return out
 
 
-def sentence_scores(tokens: DataFrame, model: NgramModel) -> DataFrame:
+def sentence_scores(sentences: DataFrame, model: NgramModel) -> DataFrame:
     """S6 with the bigram model: sum of log2 p(w_i | w_i-1) over each
     sentence, first word skipped (a 1-word sentence has no row)."""
-    bg = bigrams(tokens)
+    bg = bigrams(sentences)
     scored = probability(bg, model, "w", "p").drop("_h")
     return scored.groupBy(F.col("sid").alias("sentence_id")).agg(
         F.count(F.lit(1)).alias("n_scored"), F.sum(F.log2("p")).alias("log2_prob"))
@@ -124,23 +135,22 @@ def _strip_space(c):
     return F.regexp_replace(F.col(c), r"^ ", "")
 
 
-def token_scores(pairs: DataFrame, tokens: DataFrame, model: NgramModel,
+def token_scores(pairs: DataFrame, sentences: DataFrame, model: NgramModel,
                  cols=("form_grammatical", "form_ungrammatical"), key=("sentence_id", "match_id")) -> DataFrame:
     """S3/S5 (and S9 for any list of target columns): score each target
-    column in the context of the target position (``match_id``)."""
+    column in the context of the target position (``match_id``).  The
+    neighbouring words are read from the sentence's word array after one
+    join on the sentence id."""
     key = list(key)
-    w = words(tokens)
+    ctx = word_rows(sentences).select(F.col("sid").alias("_cs"), F.col("words").alias("_words"))
+    df = pairs.join(ctx, F.col("sentence_id") == F.col("_cs"), "left").drop("_cs")
+    prev = F.when(F.col("match_id") > 1, F.try_element_at("_words", F.col("match_id") - 1))
+    nxt = F.try_element_at("_words", F.col("match_id") + 1)
     if model.order == 2:
-        ctx = w.select(F.col("sid").alias("_cs"), (F.col("tid") + 1).alias("_ct"), F.col("form").alias("prev"))
-        df = pairs.join(ctx, (F.col("sentence_id") == F.col("_cs")) & (F.col("match_id") == F.col("_ct")), "left") \
-            .drop("_cs", "_ct").withColumn("prev", F.coalesce("prev", F.lit(BOS)))
+        df = df.withColumn("prev", F.coalesce(prev, F.lit(BOS)))
     else:
-        lc = w.select(F.col("sid").alias("_ls"), (F.col("tid") + 1).alias("_lt"), F.col("form").alias("l"))
-        rc = w.select(F.col("sid").alias("_rs"), (F.col("tid") - 1).alias("_rt"), F.col("form").alias("r"))
-        df = pairs.join(lc, (F.col("sentence_id") == F.col("_ls")) & (F.col("match_id") == F.col("_lt")), "left") \
-            .join(rc, (F.col("sentence_id") == F.col("_rs")) & (F.col("match_id") == F.col("_rt")), "left") \
-            .drop("_ls", "_lt", "_rs", "_rt") \
-            .withColumn("l", F.coalesce("l", F.lit(BOS))).withColumn("r", F.coalesce("r", F.lit(EOS)))
+        df = df.withColumn("l", F.coalesce(prev, F.lit(BOS))).withColumn("r", F.coalesce(nxt, F.lit(EOS)))
+    df = df.drop("_words")
     for c in cols:
         df = df.withColumn(f"_w_{c}", _strip_space(c))
         df = probability(df, model, f"_w_{c}", f"p_{c}").drop(f"_w_{c}")
@@ -148,12 +158,12 @@ def token_scores(pairs: DataFrame, tokens: DataFrame, model: NgramModel,
     return df.drop("_h", *_ctx_keys(model))
 
 
-def ood_average(picks: DataFrame, tokens: DataFrame, model: NgramModel,
+def ood_average(picks: DataFrame, sentences: DataFrame, model: NgramModel,
                 key=("sentence_id", "match_id")) -> DataFrame:
     """Mean probability of each row's OOD pairs (scored in the row's
     own context) and the surprisal of that mean."""
     key = list(key)
-    s = token_scores(picks, tokens, model, cols=("ood_form_grammatical", "ood_form_ungrammatical"), key=key)
+    s = token_scores(picks, sentences, model, cols=("ood_form_grammatical", "ood_form_ungrammatical"), key=key)
     agg = s.groupBy(*key).agg(F.avg("p_ood_form_grammatical").alias("ood_avg_p_grammatical"),
                               F.avg("p_ood_form_ungrammatical").alias("ood_avg_p_ungrammatical"))
     return agg.select(*key, "ood_avg_p_grammatical", "ood_avg_p_ungrammatical",

@@ -39,6 +39,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 _MATERIALISED: dict = {}
+# bump when the stored layout of the derived treebank changes
+LAYOUT_VERSION = 2
 
 
 def treebank(spark: SparkSession, sf: str):
@@ -50,7 +52,7 @@ def treebank(spark: SparkSession, sf: str):
     filters, instead of re-deriving them from the raw text."""
     docs = f"{sf}/documents.parquet"
     key = input_fingerprint(spark, docs)
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/treebank-{key}"
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/treebank-v{LAYOUT_VERSION}-{key}"
     tb = _MATERIALISED.get(path)
     if tb is None:
         if exists(spark, f"{path}/tokens/_SUCCESS") and exists(spark, f"{path}/sentences/_SUCCESS"):
@@ -288,13 +290,13 @@ def _scored_pairs(spark, sf, order=2):
     tb = treebank(spark, sf)
     masked = build_masked(tb.sentences, P_EDGE, "N", tokens=tb.tokens).masked
     mp = minimal_pairs(masked, L.lexicon(tb.tokens), OVERRIDE, leading_space=True)
-    model = S.fit_bigram(tb.tokens) if order == 2 else S.fit_masked(tb.tokens)
+    model = S.fit_bigram(tb.sentences) if order == 2 else S.fit_masked(tb.sentences)
     return tb, mp, model
 
 
 def q_ngram_sentence_score(spark, sf):
     tb = treebank(spark, sf)
-    s = S.sentence_scores(tb.tokens, S.fit_bigram(tb.tokens))
+    s = S.sentence_scores(tb.sentences, S.fit_bigram(tb.sentences))
     return s.select("sentence_id", "n_scored", r6("log2_prob").alias("log2_prob"))
 
 
@@ -305,23 +307,23 @@ def _token_out(df):
 
 def q_ngram_token_score(spark, sf):
     tb, mp, model = _scored_pairs(spark, sf, 2)
-    return _token_out(S.token_scores(mp, tb.tokens, model))
+    return _token_out(S.token_scores(mp, tb.sentences, model))
 
 
 def q_ngram_masked_score(spark, sf):
     tb, mp, model = _scored_pairs(spark, sf, 3)
-    return _token_out(S.token_scores(mp, tb.tokens, model))
+    return _token_out(S.token_scores(mp, tb.sentences, model))
 
 
 def q_ood_average(spark, sf):
     tb, mp, model = _scored_pairs(spark, sf, 2)
-    o = S.ood_average(ood_picks(mp, OOD_K, OOD_SEED), tb.tokens, model)
+    o = S.ood_average(ood_picks(mp, OOD_K, OOD_SEED), tb.sentences, model)
     return o.select("sentence_id", "match_id", *[r6(c).alias(c) for c in o.columns[2:]])
 
 
 def q_metrics_by_group(spark, sf):
     tb, mp, model = _scored_pairs(spark, sf, 2)
-    sc = S.token_scores(mp, tb.tokens, model)
+    sc = S.token_scores(mp, tb.sentences, model)
     lang = tb.sentences.select(F.col("sid").alias("sentence_id"), "lang")
     g, u = "p_form_grammatical", "p_form_ungrammatical"
     return sc.join(lang, "sentence_id").groupBy("lang").agg(
@@ -332,7 +334,7 @@ def q_metrics_by_group(spark, sf):
 
 def _long(spark, sf):
     tb, mp, model = _scored_pairs(spark, sf, 2)
-    sc = S.token_scores(mp, tb.tokens, model)
+    sc = S.token_scores(mp, tb.sentences, model)
     return melt_long(sc, ["sentence_id", "match_id"], ["p_form_grammatical", "p_form_ungrammatical"],
                      ["grammatical", "ungrammatical"])
 

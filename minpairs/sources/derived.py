@@ -109,6 +109,7 @@ def sentences_from_lines(s: DataFrame, token_arrays: bool = False) -> DataFrame:
     r = F.col("ranged")
     cols = [
         "sid", "sent_ord", F.col("line").alias("text"),
+        F.col("forms").alias("words"),
         F.when(r, F.concat(F.slice("forms", 1, 1), rng, F.slice("forms", 2, n))).otherwise(F.col("forms"))
         .alias("forms_all"),
         F.when(r, F.concat(F.array(F.lit(1)), null_id, F.slice(tids, 2, n))).otherwise(tids).alias("tids_all"),

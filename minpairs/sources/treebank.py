@@ -94,14 +94,14 @@ def words_of(tokens_col="tokens"):
     return F.filter(c, lambda t: t["tid"].isNotNull())
 
 
-ALIGN_COLUMNS = ["forms_all", "tids_all", "forms_surface", "tids_surface", "spans"]
+ALIGN_COLUMNS = ["forms_all", "tids_all", "forms_surface", "tids_surface", "spans", "words"]
 
 
 def alignment_columns(tokens_col="tokens") -> list:
-    """Parallel arrays used by alignment, derived from a token array:
-    every token line (``*_all``, legacy order), the surface pieces
-    (``*_surface``: ranges plus uncovered words; NULL id for a range) and
-    the range spans.  Sources that can build them without lambdas (see
+    """Parallel arrays used by alignment and n-gram counting, derived from a
+    token array: every token line (``*_all``, legacy order), the surface
+    pieces (``*_surface``: ranges plus uncovered words; NULL id for a
+    range), the range spans and the word forms in id order (``words``).  Sources that can build them without lambdas (see
     ``sources.derived``) provide them directly."""
     c = F.col(tokens_col)
     spans = F.transform(ranges_of(c), lambda r: F.struct(r["range_from"].alias("range_from"),
@@ -113,6 +113,7 @@ def alignment_columns(tokens_col="tokens") -> list:
         F.transform(surf, lambda t: t["form"]).alias("forms_surface"),
         F.transform(surf, lambda t: t["tid"]).alias("tids_surface"),
         spans.alias("spans"),
+        F.transform(words_of(c), lambda t: t["form"]).alias("words"),
     ]
 
 
