@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators import lexicon as L
 from ..operators.mask import build_masked
-from ..operators.pairs import lexicon_index, minimal_pairs
+from ..operators.pairs import alternative_forms, lexicon_index, minimal_pairs
 from ..session import cut_lineage
 from ..operators.pattern import Pattern, match
 from ..sources.treebank import Treebank
@@ -53,8 +53,22 @@ def run_summary(masked: DataFrame, exceptions: DataFrame, pairs: DataFrame) -> D
                       c("e").alias("exceptions"), c("p").alias("pairs"))
 
 
+def _task_rows(tb: Treebank, t: Task, lex: DataFrame, names: list[str], index: DataFrame) -> DataFrame:
+    """One pass per task: aligned targets with their alternative form; the
+    masked / exception / pair counts are conditions on these rows."""
+    m = match(tb.tokens, t.pattern, t.target, keep=t.keep)
+    al = build_masked(tb.sentences, matches=m, legacy=t.legacy).frame
+    alt = alternative_forms(al, lex, t.morph, names=names, index=index)
+    ok = F.col("reason").isNull()
+    is_pair = ok & F.col("form_ungrammatical").isNotNull() & (F.col("form_ungrammatical") != F.col("match_token"))
+    return alt.select(F.lit(t.name).alias("task_name"), ok.alias("_ok"), is_pair.alias("_pair"))
+
+
 def task_batch(tb: Treebank, tasks: list[Task]) -> DataFrame:
-    """One row per task: structures masked, exceptions, pairs found."""
+    """One row per task: structures masked, exceptions, pairs found.
+
+    All tasks share the token table, the lexicon index (materialised once)
+    and a single final aggregation."""
     if len({t.name for t in tasks}) != len(tasks):
         raise ValueError("task names must be unique")
     lex = L.lexicon(tb.tokens)
@@ -63,19 +77,12 @@ def task_batch(tb: Treebank, tasks: list[Task]) -> DataFrame:
         unknown = [k for k in t.morph if k.lower() not in set(names)]
         if unknown:
             raise KeyError(f"task {t.name}: invalid feature(s) {unknown}")
-    # one lexicon index for every task, materialised once (it is read by
-    # each task's join)
     index = cut_lineage(lexicon_index(lex, names=names))
-    parts = []
+    u = None
     for t in tasks:
-        masked, exc, pairs = task_outputs(tb, t, lex, names, index)
-        name = F.lit(t.name).alias("task_name")
-        parts += [masked.select(name, F.lit("m").alias("k")),
-                  exc.select(name, F.lit("e").alias("k")),
-                  pairs.select(name, F.lit("p").alias("k"))]
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
-    c = lambda v: F.count(F.when(F.col("k") == v, 1))
-    return u.groupBy("task_name").agg(c("m").alias("structures_masked"), c("e").alias("exceptions"),
-                                      c("p").alias("minimal_pairs_found"))
+        rows = _task_rows(tb, t, lex, names, index)
+        u = rows if u is None else u.unionByName(rows)
+    return u.groupBy("task_name").agg(
+        F.count(F.when(F.col("_ok"), 1)).alias("structures_masked"),
+        F.count(F.when(~F.col("_ok"), 1)).alias("exceptions"),
+        F.count(F.when(F.col("_pair"), 1)).alias("minimal_pairs_found"))
