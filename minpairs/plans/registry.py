@@ -53,13 +53,14 @@ def treebank(spark: SparkSession, sf: str):
     docs = f"{sf}/documents.parquet"
     key = input_fingerprint(spark, docs)
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/treebank-v{LAYOUT_VERSION}-{key}"
-    tb = _MATERIALISED.get(path)
+    memo = (spark.sparkContext.applicationId, path)
+    tb = _MATERIALISED.get(memo)
     if tb is None:
         if exists(spark, f"{path}/tokens/_SUCCESS") and exists(spark, f"{path}/sentences/_SUCCESS"):
             tb = read_treebank(spark, path)
         else:
             tb = derived_treebank(spark.read.parquet(docs)).write(path)
-        _MATERIALISED[path] = tb
+        _MATERIALISED[memo] = tb
     return tb
 
 
