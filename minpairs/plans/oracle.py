@@ -463,3 +463,25 @@ SELECT x_label, count(s) AS n, """ + ", ".join(R6.format(x=e) + f" AS {a}" for e
     ("quantile_cont(s, 0.75)", "p75"), ("max(s)", "max"), ("avg(s)", "mean")]) + """
 FROM su GROUP BY x_label
 """
+
+SQL["morph_features"] = w(DERIVED) + """
+SELECT sentence_id, token_id, form, lemma, upos, xpos, feats__case AS "case", feats__number AS "number" FROM d_lex
+"""
+
+SQL["feature_lookup"] = w(DERIVED, EDGE_MATCHES) + PAIRS + """
+SELECT m.sid AS sentence_id, m.tid - 1 AS token_id, l.lemma, l.feats__number AS "number", l.feats__case AS "case"
+FROM mk m JOIN d_lex l ON l.sentence_id = m.sid AND l.token_id = m.tid - 1
+"""
+
+SQL["metrics_rollup"] = w(DERIVED, EDGE_MATCHES) + PAIRS + NGRAM + TOKSCORE + """,
+g AS (SELECT s.lang, s.source, n.pg, n.pu FROM ntp n JOIN d_sent s ON s.sid = n.sentence_id)
+SELECT lang, source, count(*) AS n,
+       coalesce(""" + R2.format(x="avg(CAST(coalesce(pg > pu, false) AS INTEGER))") + """, 0.0) AS accuracy,
+       """ + R2.format(x=R2.format(x="avg(" + I.format(p="pu") + ")") + " - " + R2.format(x="avg(" + I.format(p="pg") + ")")) + """ AS asd
+FROM g GROUP BY ROLLUP (lang, source)
+"""
+
+SQL["scores_row_limit"] = w(DERIVED, EDGE_MATCHES) + PAIRS + NGRAM + TOKSCORE + TOKOUT + """
+(SELECT n.* FROM ntp n JOIN (SELECT sentence_id, match_id FROM mps ORDER BY sentence_id, match_id LIMIT 100) f
+ USING (sentence_id, match_id))
+"""

@@ -354,6 +354,40 @@ def q_histogram(spark, sf):
     return histogram(_long(spark, sf))
 
 
+def q_morph_features(spark, sf):
+    """The wide lexicon with plain feature names."""
+    return L.morphological_features(L.lexicon(treebank(spark, sf).tokens), DERIVED_FEATURES)
+
+
+def q_feature_lookup(spark, sf):
+    """C11: lemma and features of every masked target, by key join."""
+    tb = treebank(spark, sf)
+    masked = build_masked(tb.sentences, P_EDGE, "N", tokens=tb.tokens).masked
+    keys = masked.select("sentence_id", (F.col("match_id") - 1).alias("token_id"))
+    got = L.lookup(L.lexicon(tb.tokens), keys)
+    return got.select("sentence_id", "token_id", "lemma", F.col("feats")["number"].alias("number"),
+                      F.col("feats")["case"].alias("case"))
+
+
+def q_metrics_rollup(spark, sf):
+    """M12 with subtotals: per (lang, source), per lang and overall."""
+    tb, mp, model = _scored_pairs(spark, sf, 2)
+    sc = S.token_scores(mp, tb.sentences, model)
+    meta = tb.sentences.select(F.col("sid").alias("sentence_id"), "lang", "source")
+    g, u = "p_form_grammatical", "p_form_ungrammatical"
+    return sc.join(meta, "sentence_id").rollup("lang", "source").agg(
+        F.count(F.lit(1)).alias("n"), MT.accuracy(g, u).alias("accuracy"),
+        MT.avg_surprisal_difference(g, u).alias("asd"))
+
+
+def q_scores_row_limit(spark, sf):
+    """The first 100 pairs in key order are scored (the limit is the
+    feature: evaluation of a sample of the dataset)."""
+    tb, mp, model = _scored_pairs(spark, sf, 2)
+    first = mp.orderBy("sentence_id", "match_id").limit(100)
+    return _token_out(S.token_scores(first, tb.sentences, model))
+
+
 QUERIES = {
     "tokens_scan": q_tokens_scan,
     "lexicon_filter": q_lexicon_filter,
@@ -398,4 +432,8 @@ QUERIES = {
     "melt_long": q_melt_long,
     "surprisal_distribution": q_surprisal_distribution,
     "histogram": q_histogram,
+    "morph_features": q_morph_features,
+    "feature_lookup": q_feature_lookup,
+    "metrics_rollup": q_metrics_rollup,
+    "scores_row_limit": q_scores_row_limit,
 }
