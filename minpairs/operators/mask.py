@@ -119,9 +119,21 @@ def aligned(sentences: DataFrame, pattern: Pattern | None = None, target: str |
     s = s.select("*", k.alias("_k"), F.try_element_at("forms_all", k_all).alias("_form"),
                  (k_all > 0).alias("_present"), inside.alias("_inside"))
     before = F.slice(forms, 1, F.greatest(F.col("_k") - 1, F.lit(0)))
-    s = pinned(s, _walk=align_walk(F.col("text"), before))
-    at = _locate(F.col("_form"), F.col("text"), F.col("_walk")["off"] + 1)
-    offset = F.when(F.col("_walk")["ok"] & (F.col("_k") > 0) & (at > 0), at - 1)
+    # Fast path: when the text starts with the preceding tokens joined by
+    # single spaces, the left-to-right search can only stop at exactly
+    # those positions, so the offset is the prefix length.  Only other rows
+    # pay for the interpreted walk (CASE evaluates it lazily).
+    prefix = F.when(F.col("_k") > 1, F.concat(F.array_join(before, " "), F.lit(" "))).otherwise(F.lit(""))
+    s = s.select("*", prefix.alias("_prefix"))
+    plen = F.length("_prefix")
+    fast = (F.col("_k") > 0) & F.col("text").startswith(F.col("_prefix")) \
+        & (F.substring(F.col("text"), plen + 1, F.length("_form")) == F.col("_form")) \
+        & ~F.array_contains(before, " ") & ~F.col("_form").startswith(" ")
+    s = pinned(s, _fast=fast)
+    walk_off = F.when(F.col("_k") > 0, align_offset(F.col("text"), before, F.col("_form")))
+    offset = F.when(F.col("_fast"), plen).otherwise(walk_off)
+    s = pinned(s, _off=offset)
+    offset = F.col("_off")
     return s.select(
         F.col("sid").alias("sentence_id"),
         "match_id",

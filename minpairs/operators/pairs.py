@@ -70,21 +70,26 @@ def alternative_forms(targets: DataFrame, lex: DataFrame, morph: dict, universal
         unknown = [k for k in morph if k.lower() not in set(names)]
         if unknown:
             raise KeyError(f"Invalid feature provided to confound set: {unknown}")
-    # C11: the target's own lexicon row (lemma, features), by key join
-    own = lex.select(F.col("sentence_id").alias("_s"), (F.col("token_id") + 1).alias("_m"),
-                     F.col("lemma").alias("_lemma"), override_feats(F.col("feats"), morph).alias("_alt"),
-                     F.col("upos").alias("_own_upos"))
-    t = targets.join(own, (F.col("sentence_id") == F.col("_s")) & (F.col("match_id") == F.col("_m")), "left") \
-        .drop("_s", "_m")
     form_col = "match_token" if "match_token" in targets.columns else "form_grammatical"
-    t = t.withColumn("_fkey", _key(F.col("_alt"), names)).withColumn("_upper", starts_upper(form_col))
-    keys = ["_lemma", "_fkey", "_upper"]
+    # Narrow first, join back last: the lookups run on key columns only, so
+    # AQE can measure the target keys small and broadcast them (the lexicon
+    # and the index are then streamed, not shuffled); the wide target rows
+    # (texts) meet the result in one join on (sentence_id, match_id).
+    keys = targets.select(F.col("sentence_id").alias("_s"), F.col("match_id").alias("_m"),
+                          starts_upper(form_col).alias("_upper")).dropDuplicates(["_s", "_m"])
+    # C11: the target's own lexicon row (lemma, features), by key join
+    own = lex.select(F.col("sentence_id").alias("_ls"), (F.col("token_id") + 1).alias("_lm"),
+                     F.col("lemma").alias("_lemma"), override_feats(F.col("feats"), morph).alias("_alt"))
+    t = keys.join(own, (F.col("_s") == F.col("_ls")) & (F.col("_m") == F.col("_lm")), "inner").drop("_ls", "_lm")
+    t = t.withColumn("_fkey", _key(F.col("_alt"), names)).drop("_alt")
+    jk = ["_lemma", "_fkey", "_upper"]
     if "upos" in universal:
         t = t.withColumn("_upos", F.lit(universal["upos"]))
-        keys.append("_upos")
+        jk.append("_upos")
     idx = index if index is not None else lexicon_index(lex, with_upos="upos" in universal, names=names)
-    out = t.join(idx, keys, "left")
-    return out.drop(*keys, "_alt", "_own_upos")
+    found = t.join(idx, jk, "inner").select("_s", "_m", "form_ungrammatical")
+    out = targets.join(found, (F.col("sentence_id") == F.col("_s")) & (F.col("match_id") == F.col("_m")), "left")
+    return out.drop("_s", "_m")
 
 
 def minimal_pairs(dataset: DataFrame, lex: DataFrame, morph: dict, universal: dict | None = None,
