@@ -7,6 +7,8 @@ on scores computed from the treebank.  Every query reads whole tables.
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +41,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 _MATERIALISED: dict = {}
+_LOCK = threading.Lock()
 # bump when the stored layout of the derived treebank changes
 LAYOUT_VERSION = 2
 
@@ -54,13 +57,14 @@ def treebank(spark: SparkSession, sf: str):
     key = input_fingerprint(spark, docs)
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/treebank-v{LAYOUT_VERSION}-{key}"
     memo = (spark.sparkContext.applicationId, path)
-    tb = _MATERIALISED.get(memo)
-    if tb is None:
-        if exists(spark, f"{path}/tokens/_SUCCESS") and exists(spark, f"{path}/sentences/_SUCCESS"):
-            tb = read_treebank(spark, path)
-        else:
-            tb = derived_treebank(spark.read.parquet(docs)).write(path)
-        _MATERIALISED[memo] = tb
+    with _LOCK:  # queries may be planned from several threads
+        tb = _MATERIALISED.get(memo)
+        if tb is None:
+            if exists(spark, f"{path}/tokens/_SUCCESS") and exists(spark, f"{path}/sentences/_SUCCESS"):
+                tb = read_treebank(spark, path)
+            else:
+                tb = derived_treebank(spark.read.parquet(docs)).write(path)
+            _MATERIALISED[memo] = tb
     return tb
 
 
