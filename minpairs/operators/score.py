@@ -131,19 +131,20 @@ def sentence_scores(sentences: DataFrame, model: NgramModel) -> DataFrame:
         F.count(F.lit(1)).alias("n_scored"), F.sum(F.log2("p")).alias("log2_prob"))
 
 
-def _strip_space(c):
-    return F.regexp_replace(F.col(c), r"^ ", "")
-
-
 def token_scores(pairs: DataFrame, sentences: DataFrame, model: NgramModel,
                  cols=("form_grammatical", "form_ungrammatical"), key=("sentence_id", "match_id")) -> DataFrame:
     """S3/S5 (and S9 for any list of target columns): score each target
-    column in the context of the target position (``match_id``).  The
-    neighbouring words are read from the sentence's word array after one
-    join on the sentence id."""
+    column in the context of the target position (``match_id``).
+
+    The lookups run on a narrow frame (key, target forms, context words):
+    AQE can measure it small and broadcast it against the count tables,
+    and the wide input rows are joined back once at the end."""
     key = list(key)
+    cols = list(cols)
+    narrow = pairs.select(*key, *[F.regexp_replace(F.col(c), r"^ ", "").alias(f"_w_{c}") for c in cols]) \
+        .dropDuplicates(key)
     ctx = word_rows(sentences).select(F.col("sid").alias("_cs"), F.col("words").alias("_words"))
-    df = pairs.join(ctx, F.col("sentence_id") == F.col("_cs"), "left").drop("_cs")
+    df = narrow.join(ctx, F.col(key[0]) == F.col("_cs"), "left").drop("_cs")
     prev = F.when(F.col("match_id") > 1, F.try_element_at("_words", F.col("match_id") - 1))
     nxt = F.try_element_at("_words", F.col("match_id") + 1)
     if model.order == 2:
@@ -152,10 +153,15 @@ def token_scores(pairs: DataFrame, sentences: DataFrame, model: NgramModel,
         df = df.withColumn("l", F.coalesce(prev, F.lit(BOS))).withColumn("r", F.coalesce(nxt, F.lit(EOS)))
     df = df.drop("_words")
     for c in cols:
-        df = df.withColumn(f"_w_{c}", _strip_space(c))
         df = probability(df, model, f"_w_{c}", f"p_{c}").drop(f"_w_{c}")
         df = df.withColumn(f"I_{c}", surprisal(F.col(f"p_{c}")))
-    return df.drop("_h", *_ctx_keys(model))
+    scored = df.drop("_h", *_ctx_keys(model))
+    back = scored.select(*[F.col(k).alias(f"_k_{k}") for k in key], *[c for c in scored.columns if c not in key])
+    cond = None
+    for k in key:
+        e = F.col(k) == F.col(f"_k_{k}")
+        cond = e if cond is None else cond & e
+    return pairs.join(back, cond, "left").drop(*[f"_k_{k}" for k in key])
 
 
 def ood_average(picks: DataFrame, sentences: DataFrame, model: NgramModel,
@@ -163,7 +169,9 @@ def ood_average(picks: DataFrame, sentences: DataFrame, model: NgramModel,
     """Mean probability of each row's OOD pairs (scored in the row's
     own context) and the surprisal of that mean."""
     key = list(key)
-    s = token_scores(picks, sentences, model, cols=("ood_form_grammatical", "ood_form_ungrammatical"), key=key)
+    # several picks per row: the pick number is part of the row key here
+    s = token_scores(picks, sentences, model, cols=("ood_form_grammatical", "ood_form_ungrammatical"),
+                     key=key + ["pick"])
     agg = s.groupBy(*key).agg(F.avg("p_ood_form_grammatical").alias("ood_avg_p_grammatical"),
                               F.avg("p_ood_form_ungrammatical").alias("ood_avg_p_ungrammatical"))
     return agg.select(*key, "ood_avg_p_grammatical", "ood_avg_p_ungrammatical",
