@@ -74,3 +74,25 @@ def test_alignment_columns(tiny):
     assert s.tids_surface == [1, 2, 3, None, 6, 7]
     assert s.forms_all[3:6] == ["del", "de", "el"]
     assert s.words == ["A", "dog", "barks", "de", "el", "mar", "."]
+
+
+def test_multi_split_read_equals_single_split(spark, tmp_path, tiny_path):
+    # many copies of the treebank in one file, read with tiny splits: the
+    # record reader must resynchronise on blank lines and the ordinal must
+    # still follow file order
+    text = open(tiny_path, encoding="utf-8").read()
+    big = tmp_path / "big.conllu"
+    big.write_text("".join(text.replace("sent_id = t-", f"sent_id = c{i}-t-") for i in range(40)),
+                   encoding="utf-8")
+    one = read_conllu(spark, str(big)).sentences
+    expected = [(r.sid, r.text, len(r.tokens)) for r in one.orderBy("sent_ord").collect()]
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+        many = read_conllu(spark, str(big)).sentences
+        assert many.rdd.getNumPartitions() > 5
+        got = [(r.sid, r.text, len(r.tokens)) for r in many.orderBy("sent_ord").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == expected
+    assert [g[0] for g in got][:4] == ["c0-t-1", "c0-t-2", "c0-t-3", "c0-t-4"]
