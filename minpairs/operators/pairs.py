@@ -118,6 +118,9 @@ def pair_vocabulary(pairs: DataFrame, buckets: int = 4096) -> DataFrame:
     p = pairs.select("form_grammatical", "form_ungrammatical").distinct().withColumn("_h", h)
     digits = max(1, (buckets - 1).bit_length() // 4)
     p = p.withColumn("_b", F.conv(F.substring("_h", 1, digits), 16, 10).cast("int"))
+    # the distinct pairs feed both the ranking and the bucket counts:
+    # materialise them once instead of evaluating the input plan twice
+    p = cut_lineage(p)
     w = Window.partitionBy("_b").orderBy("_h", "form_grammatical", "form_ungrammatical")
     p = p.withColumn("_rk", F.row_number().over(w))
     counts = p.groupBy("_b").agg(F.count(F.lit(1)).alias("_c"))

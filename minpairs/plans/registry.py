@@ -19,7 +19,7 @@ from ..operators.pairs import minimal_pairs, ood_picks, override_feats, pair_voc
 from ..functions import metrics as MT
 from ..operators import score as S
 from ..operators.reshape import distribution, histogram, melt_long
-from ..plans.tasks import Task, run_summary, task_batch
+from ..plans.tasks import Task, run_summary, summary_one_pass, task_batch
 from ..operators.pattern import Pattern, match, match_in_row
 from ..session import ensure_checkpoint_dir
 from ..sources.derived import derived_treebank
@@ -181,10 +181,7 @@ def q_ood_pairs(spark, sf):
 
 
 def q_run_summary(spark, sf):
-    tb = treebank(spark, sf)
-    r = build_masked(tb.sentences, P_EDGE, "N", tokens=tb.tokens)
-    pairs = minimal_pairs(r.masked, L.lexicon(tb.tokens), OVERRIDE)
-    return run_summary(r.masked, r.exceptions, pairs)
+    return summary_one_pass(treebank(spark, sf), Task("nsubj_noun_number", P_EDGE, "N", OVERRIDE))
 
 
 TASKS = [

@@ -53,7 +53,17 @@ def run_summary(masked: DataFrame, exceptions: DataFrame, pairs: DataFrame) -> D
                       c("e").alias("exceptions"), c("p").alias("pairs"))
 
 
-def _task_rows(tb: Treebank, t: Task, lex: DataFrame, names: list[str], index: DataFrame) -> DataFrame:
+def summary_one_pass(tb: Treebank, task: Task) -> DataFrame:
+    """D7 for one task in a single pass over its aligned targets."""
+    lex = L.lexicon(tb.tokens)
+    names = L.collect_feature_names(lex)
+    rows = _task_rows(tb, task, lex, names, None)
+    return rows.agg(F.count(F.lit(1)).alias("targets"), F.count(F.when(F.col("_ok"), 1)).alias("masked"),
+                    F.count(F.when(~F.col("_ok"), 1)).alias("exceptions"),
+                    F.count(F.when(F.col("_pair"), 1)).alias("pairs"))
+
+
+def _task_rows(tb: Treebank, t: Task, lex: DataFrame, names: list[str], index: DataFrame | None) -> DataFrame:
     """One pass per task: aligned targets with their alternative form; the
     masked / exception / pair counts are conditions on these rows."""
     m = match(tb.tokens, t.pattern, t.target, keep=t.keep)
