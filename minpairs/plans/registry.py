@@ -68,6 +68,19 @@ def treebank(spark: SparkSession, sf: str):
     return tb
 
 
+_VOCAB: dict = {}
+
+
+def vocab(spark: SparkSession, sf: str) -> int:
+    """V of the derived treebank, counted once per session and input version."""
+    tb = treebank(spark, sf)
+    key = (spark.sparkContext.applicationId, id(tb))
+    with _LOCK:
+        if key not in _VOCAB:
+            _VOCAB[key] = S.vocab_size(tb.sentences)
+        return _VOCAB[key]
+
+
 def q_tokens_scan(spark, sf):
     t = treebank(spark, sf).tokens
     return t.select(
@@ -151,7 +164,8 @@ OOD_K, OOD_SEED = 3, 7
 def _pairs(spark, sf, leading_space=False):
     tb = treebank(spark, sf)
     masked = build_masked(tb.sentences, P_EDGE, "N", tokens=tb.tokens).masked
-    return minimal_pairs(masked, L.lexicon(tb.tokens), OVERRIDE, leading_space=leading_space)
+    return minimal_pairs(masked, L.lexicon(tb.tokens), OVERRIDE, leading_space=leading_space,
+                         names=DERIVED_FEATURES)
 
 
 def q_feature_override(spark, sf):
@@ -291,14 +305,15 @@ def q_avg_certainty(spark, sf):
 def _scored_pairs(spark, sf, order=2):
     tb = treebank(spark, sf)
     masked = build_masked(tb.sentences, P_EDGE, "N", tokens=tb.tokens).masked
-    mp = minimal_pairs(masked, L.lexicon(tb.tokens), OVERRIDE, leading_space=True)
-    model = S.fit_bigram(tb.sentences) if order == 2 else S.fit_masked(tb.sentences)
+    mp = minimal_pairs(masked, L.lexicon(tb.tokens), OVERRIDE, leading_space=True, names=DERIVED_FEATURES)
+    v = vocab(spark, sf)
+    model = S.fit_bigram(tb.sentences, vocab=v) if order == 2 else S.fit_masked(tb.sentences, vocab=v)
     return tb, mp, model
 
 
 def q_ngram_sentence_score(spark, sf):
     tb = treebank(spark, sf)
-    s = S.sentence_scores(tb.sentences, S.fit_bigram(tb.sentences))
+    s = S.sentence_scores(tb.sentences, S.fit_bigram(tb.sentences, vocab=vocab(spark, sf)))
     return s.select("sentence_id", "n_scored", r6("log2_prob").alias("log2_prob"))
 
 
