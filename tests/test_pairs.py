@@ -61,3 +61,22 @@ def test_ood_picks_invariants(spark):
         ood_picks(mp, 7)
     arr = with_ood_pairs(mp, 2).first().ood_minimal_pairs
     assert len(arr) == 2
+
+
+def test_universal_override_and_legacy_nan(spark, tiny, tmp_path):
+    lex = L.lexicon(tiny.tokens)
+    masked = build_masked(tiny.sentences, SUBJ, "N", keep="all").masked
+    # Asking for another part of speech; no VERB with lemma 'dog' exists
+    got = minimal_pairs(masked, lex, {"number": "Plur"}, universal={"upos": "NOUN"}, leading_space=False)
+    assert {(r.sentence_id, r.form_ungrammatical) for r in got.collect()} == {("t-2", "dogs"), ("t-4", "dogs")}
+    assert minimal_pairs(masked, lex, {"number": "Plur"}, universal={"upos": "VERB"}).count() == 0
+    # The legacy reading turns the string 'nan' into NULL, the default keeps the word
+    from minpairs.sources.conllu import read_conllu
+    p = tmp_path / "nan.conllu"
+    p.write_text("# sent_id = n-1\n# text = nan bread\n1\tnan\tnan\tNOUN\t_\tNumber=Sing\t0\troot\t_\t_\n"
+                 "2\tbread\tbread\tNOUN\t_\tNumber=nan\t1\tnmod\t_\t_\n\n", encoding="utf-8")
+    tb = read_conllu(spark, str(p))
+    keep = {r.token_id: (r.form, r.feats) for r in L.lexicon(tb.tokens).collect()}
+    legacy = {r.token_id: (r.form, r.feats) for r in L.lexicon(tb.tokens, legacy_nan=True).collect()}
+    assert keep[0][0] == "nan" and keep[1][1] == {"number": "nan"}
+    assert legacy[0][0] is None and legacy[1][1] == {}
