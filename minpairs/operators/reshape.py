@@ -37,8 +37,9 @@ def exact_quantiles(df: DataFrame, value: str, by: str, probs: dict) -> DataFram
     The values are sorted by a range-partitioned sort; every row's rank
     inside its partition comes from ``monotonically_increasing_id`` (its
     low 33 bits count rows within the partition), partition offsets from a
-    table with one row per partition, and group offsets from a table with
-    one row per group.  Only the rows at the wanted ranks are kept."""
+    table with one row per partition, and group offsets from
+    an aggregation (a group's first position).  Only the rows at the
+    wanted ranks are kept."""
     v = df.select(F.col(by).alias("_g"), F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
     n_part = max(1, df.sparkSession.sparkContext.defaultParallelism)
     srt = v.repartitionByRange(n_part, "_g", "_v").sortWithinPartitions("_g", "_v")
@@ -48,14 +49,15 @@ def exact_quantiles(df: DataFrame, value: str, by: str, probs: dict) -> DataFram
     # (range bounds come from a sample): materialise in the checkpoint dir
     srt = cut_lineage(srt)
     psize = srt.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c"))
+    # one row per partition (the partition count is a parameter): safe to
+    # rank in one window and to broadcast
     poff = psize.select("_pid", F.coalesce(F.sum("_c").over(
         Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_po"))
-    gsize = v.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
-    goff = gsize.select("_g", "_n", F.coalesce(F.sum("_n").over(
-        Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_go"))
-    # both offset tables are bounded: one row per partition / per group
-    ranked = srt.join(F.broadcast(poff), "_pid").join(F.broadcast(goff), "_g") \
-        .select("_g", "_v", "_n", (F.col("_po") + F.col("_i") - F.col("_go")).alias("_r"))
+    pos = srt.join(F.broadcast(poff), "_pid").select("_g", "_v", (F.col("_po") + F.col("_i")).alias("_gp"))
+    # groups are contiguous in the sort: a group's first global position is
+    # its offset (an aggregation, so any number of groups is fine)
+    gsize = pos.groupBy("_g").agg(F.min("_gp").alias("_go"), F.count(F.lit(1)).alias("_n"))
+    ranked = pos.join(gsize, "_g").select("_g", "_v", "_n", (F.col("_gp") - F.col("_go")).alias("_r"))
     wanted = []
     for name, p in probs.items():
         pos = (F.col("_n") - 1) * F.lit(float(p))
