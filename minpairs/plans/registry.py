@@ -8,6 +8,7 @@ on scores computed from the treebank.  Every query reads whole tables.
 from __future__ import annotations
 
 import threading
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +24,7 @@ from ..plans.tasks import Task, run_summary, summary_one_pass, task_batch
 from ..operators.pattern import Pattern, match, match_in_row
 from ..session import ensure_checkpoint_dir
 from ..sources.derived import derived_treebank
-from ..sources.scan import exists, input_fingerprint
+from ..sources.scan import exists, input_fingerprint, publish
 from ..sources.treebank import read_treebank
 
 # Patterns used by the registered queries (fixed test definitions).
@@ -60,10 +61,13 @@ def treebank(spark: SparkSession, sf: str):
     with _LOCK:  # queries may be planned from several threads
         tb = _MATERIALISED.get(memo)
         if tb is None:
-            if exists(spark, f"{path}/tokens/_SUCCESS") and exists(spark, f"{path}/sentences/_SUCCESS"):
-                tb = read_treebank(spark, path)
-            else:
-                tb = derived_treebank(spark.read.parquet(docs)).write(path)
+            if not (exists(spark, f"{path}/tokens/_SUCCESS") and exists(spark, f"{path}/sentences/_SUCCESS")):
+                # write aside, then publish with one rename: concurrent
+                # sessions never read a half-written treebank
+                tmp = f"{path}.tmp-{uuid.uuid4().hex}"
+                derived_treebank(spark.read.parquet(docs)).write(tmp)
+                publish(spark, tmp, path)
+            tb = read_treebank(spark, path)
             _MATERIALISED[memo] = tb
     return tb
 

@@ -42,3 +42,13 @@ def input_fingerprint(spark, path: str) -> str:
 def exists(spark, path: str) -> bool:
     p, fs = _fs(spark, path)
     return bool(fs.exists(p))
+
+
+def publish(spark, tmp: str, final: str) -> bool:
+    """Atomically move a finished output folder into place; False when
+    another writer published ``final`` first."""
+    src, fs = _fs(spark, tmp)
+    dst, _ = _fs(spark, final)
+    if fs.exists(dst):
+        return False
+    return bool(fs.rename(src, dst))
