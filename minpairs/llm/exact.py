@@ -114,3 +114,26 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         out = out.unionByName(rows.join(chain, ["key", "norm"]).select(
             "doc_id", "keep_id", "group_size", kept.alias("kept"), F.sha2("norm", 256).alias("text_sha256")))
     return out
+
+
+def keep_distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that ``exact_dedup`` keeps, with all their columns.
+
+    Rows that are dropped are found by id and digest; only those ids travel.
+    Of repeated rows (same id, equal text) one stays."""
+    found = stage(exact_dedup(docs, id_col, text_col, **options), "exact")
+    sha = F.sha2(ascii_lower(F.col(text_col)), 256)
+    keep_one = found.where("kept").groupBy("doc_id", "text_sha256").agg(F.count("*").alias("n"))
+    again = stage(keep_one.where("n > 1").select("doc_id", "text_sha256"), "repeated_rows")
+    gone = stage(found.where("not kept").select("doc_id", "text_sha256").distinct(), "gone")
+
+    def matches(other: DataFrame, how: str, rows: DataFrame) -> DataFrame:
+        other = other.select(F.col("doc_id").alias("_gone_id"), F.col("text_sha256").alias("_gone_sha"))
+        return rows.join(bounded(other), F.col(id_col).eqNullSafe(F.col("_gone_id")) & (sha == F.col("_gone_sha")), how)
+
+    out = matches(gone, "left_anti", docs)
+    if not again.isEmpty():
+        twice = matches(again, "left_semi", docs).withColumn("_sha", sha)
+        one = twice.dropDuplicates([id_col, "_sha"]).drop("_sha")
+        out = matches(again, "left_anti", out).unionByName(one)
+    return out
