@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact, packing
+from . import classifier, exact, minhash, mixing, packing, rules
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -17,13 +18,46 @@ def op1_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_minhash(spark: SparkSession, sf: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact.exact_dedup(table(spark, sf, "documents"))
 
 
+def op7_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return rules.quality_rules(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+# target weights of the registered mix
+MIX_WEIGHTS = {"domain": {"web": 5, "books": 3, "code": 2}, "lang": {"en": 6, "de": 2, "fr": 1, "es": 1}, "source": {"src0": 2}}
+
+
+def mix_domain() -> Column:
+    """Domain of a document, from the number at the end of its source."""
+    n = F.regexp_extract("source", r"(\d+)$", 1)
+    return F.when(n == "", "other").otherwise(F.element_at(F.array(*map(F.lit, ("web", "books", "code"))), (F.try_to_number(n, F.lit("999999999")) % 3 + 1).cast("int")))
+
+
+def op9_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    out = mixing.mix(docs, weights=MIX_WEIGHTS, domain=mix_domain(), share=0.8, max_epochs=3, seed=17)
+    return out.select("doc_id", F.col("mix_domain").alias("domain"), "lang", "source", F.col("mix_tokens").alias("n_tokens"), F.col("mix_epoch").alias("epoch"))
+
+
+def op10_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return classifier.classify(docs, classifier.train_on(docs, table(spark, sf, "labels")))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_minhash": op2_minhash,
     "op4_exact_dedup": op4_exact_dedup,
+    "op7_quality_rules": op7_quality_rules,
+    "op9_mixing": op9_mixing,
+    "op10_classifier": op10_classifier,
 }
 
 SQL = {
@@ -32,4 +66,18 @@ WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVW
 g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
 SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(t) AS text_sha256
 FROM n JOIN g USING (t)""",
+    # links between classes of equal shingle sets; least id reachable, by recursion
+    "op2_minhash": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                   '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(ws) < 5 THEN array_to_string(ws, ' ')
+                              ELSE array_to_string(ws[i:i + 4], ' ') END AS sh
+      FROM w, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS u(i) WHERE len(ws) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT c.a, c.b FROM c JOIN n x ON x.doc_id = c.a JOIN n y ON y.doc_id = c.b WHERE 100 * common >= 85 * (x.n + y.n - common)),
+r(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+k AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, w.doc_id = component_id AS kept
+FROM w LEFT JOIN n USING (doc_id) JOIN k ON k.doc_id = w.doc_id""",
 }
