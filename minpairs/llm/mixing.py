@@ -32,6 +32,8 @@ def word_tokens(text: Column) -> Column:
 def _weight(level: str, weights: dict[str, int]) -> Column:
     given = F.lit(1)
     for name, w in weights.items():
+        if w != int(w) or w < 1:
+            raise ValueError(f"weight of {level} {name!r} is {w!r}: whole numbers of 1 or more are asked for")
         given = F.when(F.col(level) == name, F.lit(w)).otherwise(given)
     return given.cast("double")
 
@@ -39,18 +41,17 @@ def _weight(level: str, weights: dict[str, int]) -> Column:
 def _share(nodes: DataFrame, family: list[str], level: str) -> DataFrame:
     """Give each node of ``level`` its part ``budget`` of its parent's ``parent`` budget.
 
-    Children in order of capacity per weight: a child is full if, with all before it
-    full, an even share by weight of the rest would exceed its capacity."""
+    Children stand in order of capacity per weight; ``rate`` is what a unit of weight
+    gets if all children before are full and the rest share what they leave."""
     order = Window.partitionBy(*family).orderBy(F.col("cap") / F.col("weight"), level)
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy(*family)
     rate = (F.col("parent") - F.coalesce(F.sum("cap").over(before), F.lit(0))) / (
         F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-    nodes = nodes.withColumn("rate", rate).withColumn("full", F.col("cap") <= F.col("rate") * F.col("weight"))
-    # full children come first; the first that is not sets the rate for all that are not
-    nodes = nodes.withColumn("level_rate", F.min(F.when(~F.col("full"), F.col("rate"))).over(every))
-    part = F.when(F.col("full"), F.col("cap")).otherwise(F.floor(F.col("level_rate") * F.col("weight")))
-    return nodes.withColumn("budget", F.greatest(F.lit(0), F.least("cap", part)).cast("long")).drop("rate", "full", "level_rate")
+    # the rate rises while children are full and falls after that: its peak is the rate of those that are not
+    nodes = nodes.withColumn("rate", rate).withColumn("rate", F.max("rate").over(every))
+    part = F.floor(F.col("rate") * F.col("weight"))
+    return nodes.withColumn("budget", F.greatest(F.lit(0), F.least("cap", part)).cast("long")).drop("rate")
 
 
 def _order_key(seed: int, epoch: Column, doc_id: Column) -> Column:

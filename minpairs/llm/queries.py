@@ -46,6 +46,35 @@ def op9_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("doc_id", F.col("mix_domain").alias("domain"), "lang", "source", F.col("mix_tokens").alias("n_tokens"), F.col("mix_epoch").alias("epoch"))
 
 
+def _mix_sql(share: float, max_epochs: int, seed: int) -> str:
+    """The mix in plain SQL: one level of sharing after another, then each leaf's order by window."""
+    def weight(level: str) -> str:
+        return "CASE " + " ".join(f"WHEN {level} = '{k}' THEN {v}" for k, v in MIX_WEIGHTS[level].items()) + " ELSE 1 END::DOUBLE"
+
+    def shared(name: str, keys: list[str], level: str, parent: str) -> str:
+        part = f"PARTITION BY {', '.join(keys)}" if keys else ""
+        rows = f"({part} ORDER BY cap / w, {level} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+        at = ", ".join([*keys, level])
+        source = f"(SELECT {at}, sum(cap) AS cap, {weight(level)} AS w FROM leaves GROUP BY ALL) n " + (
+            f"JOIN {parent} p USING ({', '.join(keys)})" if keys else f"CROSS JOIN {parent} p")
+        return f"""
+{name} AS (SELECT {at}, greatest(0, least(cap, floor(max(rate) OVER ({part}) * w)))::BIGINT AS budget FROM (
+  SELECT *, (budget - coalesce(sum(cap) OVER {rows}, 0)) / (sum(w) OVER ({part}) - coalesce(sum(w) OVER {rows}, 0)) AS rate FROM {source}))"""
+
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, lang AS lang0, source AS source0,
+  CASE WHEN regexp_extract(source, '(\d+)$', 1) = '' THEN 'other' ELSE (['web', 'books', 'code'])[regexp_extract(source, '(\d+)$', 1)::BIGINT % 3 + 1] END AS domain,
+  len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS n_tokens FROM documents),
+leaves AS (SELECT domain, lang, source, sum(n_tokens) AS tokens, sum(n_tokens) * {max_epochs} AS cap FROM d GROUP BY ALL),
+root AS (SELECT floor(sum(tokens) * {share}::DOUBLE)::BIGINT AS budget FROM leaves),{shared("b1", [], "domain", "root")},{
+        shared("b2", ["domain"], "lang", "b1")},{shared("b3", ["domain", "lang"], "source", "b2")},
+l AS (SELECT domain, lang, source, budget // tokens AS epochs, budget % tokens AS rest FROM leaves JOIN b3 USING (domain, lang, source) WHERE tokens > 0),
+o AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('{seed}:' || (epochs + 1) || ':' || doc_id), doc_id
+        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n_tokens AS before FROM d JOIN l USING (domain, lang, source) WHERE n_tokens > 0),
+c AS (SELECT *, epochs + CASE WHEN before < rest AND 2 * before + n_tokens <= 2 * rest THEN 1 ELSE 0 END AS copies FROM o)
+SELECT doc_id, domain, lang0 AS lang, source0 AS source, n_tokens, unnest(range(1, (copies + 1)::BIGINT)) AS epoch FROM c"""
+
+
 def op10_classifier(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     return classifier.classify(docs, classifier.train_on(docs, table(spark, sf, "labels")))
@@ -80,4 +109,5 @@ r(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM r JO
 k AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
 SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, w.doc_id = component_id AS kept
 FROM w LEFT JOIN n USING (doc_id) JOIN k ON k.doc_id = w.doc_id""",
+    "op9_mixing": _mix_sql(share=0.8, max_epochs=3, seed=17),
 }

@@ -107,10 +107,15 @@ def _all(conditions: list[Condition]) -> Column:
     return out
 
 
+def _bin(stat: str, thresholds: list[float]) -> Column:
+    """Number of thresholds below the value."""
+    return F.size(F.filter(F.array(*map(F.lit, thresholds)), lambda t: t < F.col(stat)))
+
+
 def _grow(rows: DataFrame, thresholds: dict[str, list[float]]) -> list[Condition]:
     """Add the condition of the largest gain until no good row is covered."""
     rule: list[Condition] = []
-    bins = F.array(*[F.size(F.filter(F.array(*map(F.lit, thresholds[s])), lambda t, s=s: t < F.col(s))) for s in thresholds])
+    bins = F.array(*[_bin(s, t) for s, t in thresholds.items()])
     names = list(thresholds)
     while len(rule) < MAX_CONDITIONS:
         counts = (rows.where(_all(rule)).select("bad", F.posexplode(bins).alias("stat", "bin")).groupBy("stat", "bin")
