@@ -14,58 +14,12 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from . import extendible
 from .common import ascii_lower, bounded, partitions, stage
 
-MAX_BITS = 63
-
-
-def _prefix(key: Column, bits: int) -> Column:
-    """The leading ``bits`` bits of a 64-bit key, as a long."""
-    return F.shiftrightunsigned(key, 64 - bits) if bits else F.lit(0).cast("long")
-
-
-def build_directory(keys: DataFrame, capacity: int) -> tuple[DataFrame, int]:
-    """Extendible-hash directory of distinct 64-bit ``key`` values.
-
-    Returns ``(directory, bits)``: the directory has one row per used slot
-    (a ``bits``-bit prefix ``slot``) with its bucket's ``depth`` and ``bucket``
-    (prefix of that depth). Buckets at or under ``capacity`` share a directory
-    slot range, overfull ones split on the next bit; the directory doubles
-    (``bits`` grows by one) only while some bucket is overfull."""
-    total = keys.count()
-    bits = min(MAX_BITS, max(1, math.ceil(math.log2(max(2.0, total / capacity))) + 2))
-    while True:
-        slots = stage(keys.groupBy(_prefix(F.col("key"), bits).alias("slot")).agg(F.count("*").alias("n")), "slots")
-        top = slots.agg(F.max("n")).first()[0] or 0
-        if top <= capacity or bits == MAX_BITS:
-            break
-        bits += 1  # directory doubling
-    # local depth: the first bit count at which the slot's bucket fits
-    depth = F.lit(bits)
-    d = slots
-    for b in reversed(range(bits)):
-        w = Window.partitionBy(F.shiftright("slot", bits - b))
-        if b and 2 ** b * capacity * 4 < total:  # a bucket this shallow cannot fit: keys are spread evenly
-            break
-        if b == 0:
-            fits = F.lit(total <= capacity)
-        else:
-            d = d.withColumn("_s", F.sum("n").over(w))
-            fits = F.col("_s") <= capacity
-        d = d.withColumn("_depth", F.when(fits, F.lit(b)).otherwise(F.col("_depth") if "_depth" in d.columns else depth))
-    if "_depth" not in d.columns:
-        d = d.withColumn("_depth", depth)
-    d = d.select("slot", F.col("_depth").alias("depth"),
-                 F.expr(f"shiftright(slot, {bits} - _depth)").alias("bucket"))
-    return stage(d, "directory"), bits
-
-
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
                 bucket_keys: int = 200_000, key_bits: int = 64) -> DataFrame:
     """One row per input row: ``doc_id, keep_id, group_size, kept, text_sha256``.
@@ -89,8 +43,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     src = src.withColumn("key", key)
     entries = stage(src.select("doc_id", "key", F.sha2("norm", 256).alias("sha")), "entries")
     keys = stage(entries.groupBy("key").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "keys")
-    directory, bits = build_directory(keys, bucket_keys)
-    index = (keys.withColumn("slot", _prefix(F.col("key"), bits)).join(bounded(directory), "slot")
+    path = F.shiftrightunsigned("key", 1)  # 63 bits: a key's way through the directory
+    directory, bits = extendible.build(keys.select(path.alias("key"), F.lit(1).alias("size")), bucket_keys)
+    index = (keys.withColumn("slot", extendible.prefix(path, bits)).join(bounded(directory), "slot")
              .select("bucket", "depth", "key", "keep_id", "group_size")
              .repartition(partitions(docs.sparkSession), "depth", "bucket").sortWithinPartitions("depth", "bucket", "key"))
     index = stage(index, "index")

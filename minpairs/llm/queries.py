@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, exact, minhash, mixing, packing, rules
+from . import classifier, exact, lines, minhash, mixing, packing, rules, sharding, warc, wordpiece
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -22,14 +22,36 @@ def op2_minhash(spark: SparkSession, sf: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf, "documents"))
 
 
+def op3_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return lines.line_dedup(table(spark, sf, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact.exact_dedup(table(spark, sf, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf: str) -> DataFrame:
+    manifest, folder = warc.archive(table(spark, sf, "pages"))
+    return warc.read_archives(manifest, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op6_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    import public_tokenizers
+
+    return wordpiece.token_counts(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 def op7_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return rules.quality_rules(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+SHARD_BYTES = 1 << 20
+
+
+def op8_sharding(spark: SparkSession, sf: str) -> DataFrame:
+    return sharding.shard(table(spark, sf, "documents"), SHARD_BYTES)
+
+
 # target weights of the registered mix
 MIX_WEIGHTS = {"domain": {"web": 5, "books": 3, "code": 2}, "lang": {"en": 6, "de": 2, "fr": 1, "es": 1}, "source": {"src0": 2}}
 
@@ -64,7 +86,8 @@ def _mix_sql(share: float, max_epochs: int, seed: int) -> str:
     return rf"""
 WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, lang AS lang0, source AS source0,
   CASE WHEN regexp_extract(source, '(\d+)$', 1) = '' THEN 'other' ELSE (['web', 'books', 'code'])[regexp_extract(source, '(\d+)$', 1)::BIGINT % 3 + 1] END AS domain,
-  len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS n_tokens FROM documents),
+  len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) AS n_tokens FROM documents),
 leaves AS (SELECT domain, lang, source, sum(n_tokens) AS tokens, sum(n_tokens) * {max_epochs} AS cap FROM d GROUP BY ALL),
 root AS (SELECT floor(sum(tokens) * {share}::DOUBLE)::BIGINT AS budget FROM leaves),{shared("b1", [], "domain", "root")},{
         shared("b2", ["domain"], "lang", "b1")},{shared("b3", ["domain", "lang"], "source", "b2")},
@@ -83,8 +106,12 @@ def op10_classifier(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_minhash": op2_minhash,
+    "op3_line_dedup": op3_line_dedup,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_warc": op5_warc,
+    "op6_token_counts": op6_token_counts,
     "op7_quality_rules": op7_quality_rules,
+    "op8_sharding": op8_sharding,
     "op9_mixing": op9_mixing,
     "op10_classifier": op10_classifier,
 }
@@ -110,4 +137,39 @@ k AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
 SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, w.doc_id = component_id AS kept
 FROM w LEFT JOIN n USING (doc_id) JOIN k ON k.doc_id = w.doc_id""",
     "op9_mixing": _mix_sql(share=0.8, max_epochs=3, seed=17),
+    # a later window covers its three lines, less those its first occurrence covers itself
+    "op3_line_dedup": r"""
+WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+w AS (SELECT doc_id, i - 1 AS i, ls[i] AS line, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS j
+      FROM l, unnest(range(1, len(ls) + 1)) AS u(i) WHERE regexp_matches(ls[i], '[^\x20\x09-\x0D]')),
+t AS (SELECT doc_id, j AS k, line AS a, lead(line) OVER d AS b, lead(line, 2) OVER d AS c, lead(j, 2) OVER d AS z FROM w
+      WINDOW d AS (PARTITION BY doc_id ORDER BY j)),
+f AS (SELECT *, first_value(doc_id) OVER o AS f_doc, first_value(k) OVER o AS f_k FROM t WHERE z IS NOT NULL
+      WINDOW o AS (PARTITION BY a, b, c ORDER BY doc_id, k)),
+g AS (SELECT DISTINCT doc_id, unnest(range(CASE WHEN doc_id = f_doc THEN greatest(k, f_k + 3) ELSE k END, k + 3)) AS j
+      FROM f WHERE NOT (doc_id = f_doc AND k = f_k)),
+r AS (SELECT doc_id, w.i FROM g JOIN w USING (doc_id, j)),
+n AS (SELECT doc_id, count(*) AS n_lines FROM w GROUP BY doc_id),
+m AS (SELECT doc_id, count(*) AS n_removed FROM r GROUP BY doc_id),
+x AS (SELECT doc_id, string_agg(ls[i], chr(10) ORDER BY i) AS text FROM l, unnest(range(1, len(ls) + 1)) AS u(i)
+      WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.doc_id = l.doc_id AND r.i = u.i - 1) GROUP BY doc_id)
+SELECT l.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed,
+       CASE WHEN l.text IS NULL THEN NULL ELSE coalesce(x.text, '') END AS text
+FROM l LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id) LEFT JOIN x USING (doc_id)""",
+    "op5_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+k AS (SELECT h, max(page_id) AS keep_id FROM p GROUP BY h),
+d AS (SELECT page_id, keep_id, strlen(h) AS n, sha1(h) AS x FROM p JOIN k USING (h)),
+b AS (SELECT *, list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      ((('0x' || substr(x, (i // 8) * 10 + 1, 10))::BIGINT >> (35 - 5 * (i % 8))) & 31) + 1, 1)) AS c FROM d)
+SELECT page_id, n AS payload_bytes, array_to_string(c, '') AS payload_digest, CASE WHEN page_id = keep_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> keep_id THEN keep_id END AS refers_to FROM b""",
+    # the shortest md5 prefix whose rows fit
+    "op8_sharding": f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(strlen(text), 0) AS n_bytes, ('0x' || substr(md5(doc_id::VARCHAR), 1, 10))::BIGINT AS key FROM documents),
+b(depth) AS (SELECT 0 UNION ALL SELECT depth + 1 FROM b WHERE depth < 40),
+s AS (SELECT depth, key >> (40 - depth) AS prefix, sum(n_bytes) AS size FROM d CROSS JOIN b GROUP BY ALL),
+f AS (SELECT doc_id, n_bytes, min(b.depth) FILTER (size <= {SHARD_BYTES}) AS depth, key FROM d CROSS JOIN b JOIN s ON s.depth = b.depth AND s.prefix = d.key >> (40 - b.depth)
+      GROUP BY doc_id, n_bytes, key)
+SELECT doc_id, n_bytes, depth::BIGINT AS shard_depth, key >> (40 - depth) AS shard_prefix FROM f""",
 }
