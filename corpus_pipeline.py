@@ -9,9 +9,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from minpairs.llm import common, exact, packing
+from minpairs.llm import classifier, common, exact, minhash, mixing, packing, queries
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier predicts as 0 go."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return classifier.keep_good(docs, classifier.train_on(docs, labels))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,23 +24,37 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact.keep_distinct(docs)
 
 
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the least doc_id stays."""
+    return minhash.keep_representatives(docs)
+
+
+def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Domains, languages and sources at their target weights, over at most two epochs;
+    the budget is as many tokens as there are. A document occurs once per epoch it is in."""
+    return mixing.mix(docs, weights=queries.MIX_WEIGHTS, domain=queries.mix_domain(), share=1.0, max_epochs=2, seed=17).select(*docs.columns)
+
+
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The remaining documents as sequences of 2048 ids."""
+    """The mix as sequences of 2048 ids."""
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_classifier", quality_stage),
     ("exact_dedup", exact_stage),
+    ("minhash_near_dedup", near_stage),
+    ("mix_sources", mix_stage),
     ("pack", pack_stage),
 ]
 
-ORACLE_SQL = None
+ORACLE_SQL = None  # the classifier has no SQL form; tests hold run() against a plain version
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, f in STAGES[:-1]:
-        docs = common.stage(f(spark, docs, sf_dir), f"pipeline_{name}")
+    for name, stage in STAGES[:-1]:
+        docs = common.stage(stage(spark, docs, sf_dir), f"pipeline_{name}")
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -175,3 +175,15 @@ def classify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
 
     return docs.select(F.col(id_col).alias("doc_id"), (fold(id_col) == 0).alias("held_out"), F.col(text_col).alias("text")).mapInArrow(
         run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+
+
+def keep_good(docs: DataFrame, model: Model, *, text_col: str = "text", cut: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` that score ``cut`` or more, with all their columns, unchanged."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            good = [model.score(np.frombuffer((t.as_py() or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)) >= cut for t in b.column(at)]
+            yield b.filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
