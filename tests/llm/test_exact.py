@@ -1,0 +1,50 @@
+from collections import defaultdict
+from hashlib import sha256
+
+import pytest
+
+from minpairs.llm import exact
+
+UP, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def brute(rows):
+    norm = [(i, (t or "").translate(str.maketrans(UP, LOW))) for i, t, *_ in rows]
+    group = defaultdict(list)
+    for i, t in norm:
+        group[t].append(i)
+    out = []
+    for i, t in norm:
+        keep = max((x for x in group[t] if x is not None), default=None)
+        out.append((i, keep, len(group[t]), i == keep, sha256(t.encode()).hexdigest()))
+    return sorted(out, key=str)
+
+
+def result(df):
+    return sorted([tuple(r) for r in df.select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()], key=str)
+
+
+@pytest.mark.parametrize("key_bits", [64, 2])  # two bits: nearly every key is a chain of collisions
+def test_matches_brute_force(docs_of, odd_rows, key_bits):
+    rows = odd_rows + [(100 + i, f"Text {i % 7}".upper() if i % 2 else f"text {i % 7}") for i in range(60)]
+    got = exact.exact_dedup(docs_of(rows, extra=True), key_bits=key_bits, bucket_keys=3)
+    assert result(got) == brute(rows)
+
+
+def test_only_ascii_letters_fold(docs_of):
+    rows = [(1, "É"), (2, "é"), (3, "ABC é"), (4, "abc é"), (5, "İ"), (6, "i̇")]
+    assert result(exact.exact_dedup(docs_of(rows))) == brute(rows)
+
+
+def test_hot_copy_and_empty(docs_of):
+    rows = [(i, "same" if i % 3 else f"t{i}") for i in range(300)]
+    assert result(exact.exact_dedup(docs_of(rows), bucket_keys=10)) == brute(rows)
+    assert exact.exact_dedup(docs_of([])).collect() == []
+
+
+def test_keep_distinct_keeps_one_row_of_each_text(docs_of, odd_rows):
+    df = docs_of(odd_rows, extra=True)
+    got = exact.keep_distinct(df)
+    assert got.columns == df.columns
+    texts = [(r["text"] or "").translate(str.maketrans(UP, LOW)) for r in got.collect() if r["doc_id"] is not None]
+    assert len(texts) == len(set(texts)) == len({(t or "").translate(str.maketrans(UP, LOW)) for _, t, *_ in odd_rows})
