@@ -7,26 +7,26 @@ DataFrame in, DataFrame out:
     lex  = lexicon(tb.tokens)                                       # B1-B8
     pat  = Pattern(nodes={"V": {"upos": "VERB"}, "N": {"upos": "NOUN"}},
                    edges=[("V", "nsubj", "N")])                     # C1-C5
-    res  = build_masked(tb.sentences, pat, "V", tokens=tb.tokens)   # C6-D8
-    mp   = minimal_pairs(res.masked, lex, {"number": "Plur"})       # E1-E5
-    mp   = with_ood_pairs(mp, 3)                                    # E6
-    sc   = token_scores(mp, tb.sentences, fit_bigram(tb.sentences)) # S8
-    sc.agg(accuracy("p_form_grammatical", "p_form_ungrammatical"))  # M10
+    res  = build_masked(tb.sentences, pat, "V")                     # C6-D8
+    mp   = minimal_pairs(res.masked_with_context, lex, {"number": "Plur"})  # E1-E5
+    sc   = token_scores(mp, fit_bigram(tb.sentences).stored())      # S8
+    pair_metrics(sc)                                                # M1-M10
+    with_ood_pairs(mp, 3)                                           # E6
 """
 
 from .functions.metrics import (accuracy, avg_certainty, avg_surprisal, avg_surprisal_difference, certainty,
-                                classification, entropy, norm_avg_surprisal_difference, predictions,
+                                classification, entropy, norm_avg_surprisal_difference, pair_metrics, predictions,
                                 round_half_even, softmax, surprisal)
-from .functions.text import py_strip, same_start_case, starts_upper, truncate_text
+from .functions.text import py_strip, starts_upper, truncate_text
 from .operators.lexicon import (candidate_set, collect_feature_names, feature_names, lexicon, lookup,
                                 morphological_features, wide)
 from .operators.mask import build_masked, mask_check, masked_dataset, prompt_dataset
 from .operators.pairs import (alternative_forms, lexicon_index, minimal_pairs, ood_picks, override_feats,
                               pair_vocabulary, with_ood_pairs)
-from .operators.pattern import Pattern, match, match_any, match_in_row
+from .operators.pattern import Pattern, match, match_in_row
 from .operators.reshape import distribution, exact_quantiles, has_pair, histogram, melt_long
-from .operators.score import (evaluate, fit_bigram, fit_masked, ood_average, sentence_scores,
-                              token_scores)
+from .operators.score import (evaluate, evaluate_file, fit_bigram, fit_masked, ood_average, sentence_pair_scores,
+                              sentence_scores, token_scores)
 from .plans.tasks import Task, run_summary, task_batch
 from .session import cut_lineage, local_session, tune
 from .sources.conllu import read_conllu

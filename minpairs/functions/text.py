@@ -27,12 +27,6 @@ def starts_upper(c) -> Column:
     return F.when(F.length(c) > 0, c.rlike(r"^\p{IsUppercase}"))
 
 
-def same_start_case(a, b) -> Column:
-    """Both start upper or both not; empty/NULL never matches."""
-    ua, ub = starts_upper(a), starts_upper(b)
-    return F.coalesce((ua == ub), F.lit(False))
-
-
 def py_strip(c) -> Column:
     """Python ``str.strip()``: removes every Unicode whitespace at both ends
     (``trim`` only removes spaces)."""

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.text import LEXICON_EXCLUDED_FORMS, nullif_nan_string
 
 FEAT_PREFIX = "feats__"
+MAX_FEATURES = 10_000
 UNIVERSAL_COLUMNS = ("form", "lemma", "upos", "xpos")
 
 
@@ -46,9 +47,13 @@ def feature_names(lex: DataFrame) -> DataFrame:
 
 
 def collect_feature_names(lex: DataFrame) -> list[str]:
-    """Driver copy of B5; the feature vocabulary is small by nature
-    (tens of names per treebank) so collecting it is bounded."""
-    return sorted(r[0] for r in feature_names(lex).collect())
+    """Driver copy of B5; the feature vocabulary is small by nature (tens of
+    names per treebank).  More than ``MAX_FEATURES`` means a broken FEATS
+    column: that raises, nothing is cut."""
+    names = [r[0] for r in feature_names(lex).limit(MAX_FEATURES + 1).collect()]
+    if len(names) > MAX_FEATURES:
+        raise ValueError(f"more than {MAX_FEATURES} feature names, such as {sorted(names)[:5]}: is the FEATS column broken?")
+    return sorted(names)
 
 
 def wide(lex: DataFrame, features: list[str] | None = None, prefix: str = FEAT_PREFIX,
@@ -71,7 +76,7 @@ def _check_keys(lex: DataFrame, morph: dict, universal: dict) -> None:
         known = set(collect_feature_names(lex))
         bad_m = [k for k in morph if k.lower() not in known]
     if bad_u or bad_m:
-        raise KeyError(f"Features provided for candidate set are not valid features in the dataset: {bad_u + bad_m}")
+        raise KeyError(f"no such column or feature: {bad_u + bad_m} (columns {list(UNIVERSAL_COLUMNS)}; features are lower-cased)")
 
 
 def constraint(morph: dict | None = None, universal: dict | None = None, feats: str = "feats") -> Column:
@@ -91,8 +96,11 @@ def candidate_set(lex: DataFrame, morph: dict | None = None, universal: dict | N
     return lex.where(constraint(morph, universal))
 
 
-def lookup(lex: DataFrame, keys: DataFrame, sentence_col: str = "sentence_id",
+def lookup(lex: DataFrame, keys: DataFrame, sentence_col: str | None = None,
            token_col: str = "token_id") -> DataFrame:
-    """C11: features and lemma of given (sentence, token) keys, as a join."""
-    k = keys.select(F.col(sentence_col).alias("sentence_id"), F.col(token_col).alias("token_id")).distinct()
-    return k.join(lex, ["sentence_id", "token_id"], "inner")
+    """C11: features and lemma of given (sentence, token) keys, as a join on
+    the sentence key ``sent_ord`` where the keys have it, else on the id."""
+    sentence_col = sentence_col or ("sent_ord" if "sent_ord" in keys.columns else "sentence_id")
+    on = "sent_ord" if sentence_col == "sent_ord" else "sentence_id"
+    k = keys.select(F.col(sentence_col).alias(on), F.col(token_col).alias("token_id")).distinct()
+    return k.join(lex, [on, "token_id"], "inner")

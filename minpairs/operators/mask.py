@@ -25,11 +25,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import DEFAULT_MASK, PROMPT_CUTOFF, SKIPPABLE_TOKENS, count_occurrences, py_strip
-from ..sources.treebank import ALIGN_COLUMNS, explode_tokens, with_alignment_columns
-from .pattern import Pattern, is_single_node, match, target_ids_in_row
+from ..sources.treebank import ALIGN_COLUMNS, TOKEN_TYPE, with_alignment_columns
+from .pattern import Pattern, match, target_ids_in_row
 
 MASKED_COLUMNS = ["sentence_id", "match_id", "match_token", "original_text", "masked_text"]
 PROMPT_COLUMNS = ["sentence_id", "match_id", "match_token", "original_text", "prompt_text"]
+# what later steps need of a target and its neighbours, taken while its sentence row is in hand
+CONTEXT_COLUMNS = ["sent_ord", "lemma", "upos", "feats", "prev_word", "next_word"]
 EXCEPTION_COLUMNS = ["sentence_id", "match_id", "all_tokens", "match_token", "original_text", "reason"]
 
 
@@ -68,21 +70,21 @@ def token_surgery(text: Column, offset0: Column, form: Column, replacement: Colu
 
 
 def _attach(sentences: DataFrame, matches: DataFrame) -> DataFrame:
-    """Targets grouped per sentence, then one equi join on the sentence id
-    (the grouped side is already hash-partitioned on the key)."""
-    per_sent = matches.groupBy(F.col("sentence_id").alias("_sid")).agg(
+    """Given targets grouped per sentence, then one equi join on the sentence
+    key (on the id where the matches carry no ``sent_ord``; ids must then be unique)."""
+    ours, theirs = ("sent_ord", "sent_ord") if "sent_ord" in matches.columns else ("sid", "sentence_id")
+    per_sent = matches.groupBy(F.col(theirs).alias("_key")).agg(
         F.array_sort(F.collect_set("match_id")).alias("_targets"))
-    return sentences.join(per_sent, F.col("sid") == F.col("_sid"), "inner").drop("_sid")
+    return sentences.join(per_sent, F.col(ours) == F.col("_key"), "inner").drop("_key")
 
 
 def _with_targets(sentences: DataFrame, pattern: Pattern | None, target: str | None,
                   matches: DataFrame | None, keep: str, tokens: DataFrame | None = None) -> DataFrame:
     if matches is not None:
         return _attach(sentences, matches)
-    if is_single_node(pattern) and "tokens" in sentences.columns:
+    if "tokens" in sentences.columns:
         return sentences.select("*", target_ids_in_row(pattern, target, keep).alias("_targets"))
-    toks = tokens if tokens is not None else explode_tokens(sentences)
-    return _attach(sentences, match(toks, pattern, target, keep))
+    return _attach(sentences, match(tokens, pattern, target, keep))
 
 
 def pinned(df: DataFrame, **exprs: Column) -> DataFrame:
@@ -98,7 +100,7 @@ def pinned(df: DataFrame, **exprs: Column) -> DataFrame:
 
 def aligned(sentences: DataFrame, pattern: Pattern | None = None, target: str | None = None,
             matches: DataFrame | None = None, keep: str = "last", legacy: bool = False,
-            tokens: DataFrame | None = None) -> DataFrame:
+            tokens: DataFrame | None = None, targets_ready: bool = False, carry: list[str] | None = None) -> DataFrame:
     """Targets with their alignment: one row per (sentence, target) with
     ``offset`` (0-based, NULL on failure) and ``reason``.
 
@@ -106,11 +108,23 @@ def aligned(sentences: DataFrame, pattern: Pattern | None = None, target: str |
     (``sources.treebank.ALIGN_COLUMNS``): locating the target is
     ``array_position`` and the tokens before it a ``slice``; only the
     left-to-right search itself is a lambda."""
-    s = _with_targets(with_alignment_columns(sentences), pattern, target, matches, keep, tokens)
+    carry = list(carry or [])
+    s = with_alignment_columns(sentences)
+    if not targets_ready:  # else ``_targets`` holds the ids already
+        s = _with_targets(s, pattern, target, matches, keep, tokens)
     # explode_outer + NULL filter: the plain generator would make Catalyst
     # re-evaluate the target array in an inferred size() > 0 filter
-    s = s.select("sid", "sent_ord", "text", *ALIGN_COLUMNS, F.explode_outer("_targets").alias("match_id")) \
-        .where(F.col("match_id").isNotNull())
+    if "tokens" in s.columns:
+        token = lambda i: F.get(F.filter("tokens", lambda t: t["tid"] == i), 0)
+        targets = F.transform("_targets", lambda i: F.struct(i.alias("match_id"), token(i).alias("t")))
+    else:
+        targets = F.transform("_targets", lambda i: F.struct(i.alias("match_id"), F.lit(None).cast(TOKEN_TYPE).alias("t")))
+    s = s.select("sid", "sent_ord", "text", *carry, *ALIGN_COLUMNS, F.explode_outer(targets).alias("_target")) \
+        .where(F.col("_target").isNotNull())
+    s = s.select("sid", "sent_ord", "text", *carry, *ALIGN_COLUMNS, "_target.match_id", F.col("_target.t.lemma").alias("lemma"),
+                 F.col("_target.t.upos").alias("upos"), F.col("_target.t.feats").alias("feats"),
+                 F.get("words", F.col("_target.match_id") - 2).alias("prev_word"),
+                 F.get("words", F.col("_target.match_id")).alias("next_word"))
     forms, tids = ("forms_all", "tids_all") if legacy else ("forms_surface", "tids_surface")
     k = F.array_position(tids, F.col("match_id")).cast("int")
     k_all = F.array_position("tids_all", F.col("match_id")).cast("int")
@@ -137,7 +151,7 @@ def aligned(sentences: DataFrame, pattern: Pattern | None = None, target: str |
     return s.select(
         F.col("sid").alias("sentence_id"),
         "match_id",
-        "sent_ord",
+        *CONTEXT_COLUMNS, *carry,
         F.col("_form").alias("match_token"),
         F.col("text").alias("original_text"),
         F.col("forms_all").alias("all_tokens"),
@@ -160,9 +174,14 @@ class MaskResult(NamedTuple):
 
     @property
     def masked(self) -> DataFrame:
+        return self.masked_with_context.select(*MASKED_COLUMNS)
+
+    @property
+    def masked_with_context(self) -> DataFrame:
+        """The masked dataset with the columns that pair search and scoring use."""
         f = self.frame.where(F.col("reason").isNull())
         return f.select(
-            "sentence_id", "match_id", "match_token", "original_text",
+            "sentence_id", "match_id", "match_token", "original_text", *CONTEXT_COLUMNS,
             token_surgery(F.col("original_text"), F.col("offset"), F.col("match_token"),
                           F.lit(self.mask_token)).alias("masked_text"),
         )
@@ -208,4 +227,4 @@ def mask_check(df: DataFrame, col: str = "masked_text", mask_token: str = DEFAUL
     """Rows must hold exactly one mask; adds ``n_masks`` and ``status``."""
     n = count_occurrences(F.col(col), mask_token)
     return df.select("*", n.alias("n_masks"),
-                     F.when(n == 0, "no_mask").when(n > 1, "multiple_masks").otherwise("ok").alias("status"))
+                     F.when(n.isNull(), "no_text").when(n == 0, "no_mask").when(n > 1, "multiple_masks").otherwise("ok").alias("status"))

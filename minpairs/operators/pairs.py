@@ -5,17 +5,21 @@ features except the overridden ones?" by copying and scanning the whole
 lexicon once per target.  Here the lexicon is first collapsed into an
 index with one row per ``(lemma, feature key, starts upper)`` -- the first
 form in treebank order -- and every target is resolved by one equi join.
-The index side is unique per key, so a hot key on the target side only
-lengthens one task's stream (AQE splits skewed partitions); the index is
-broadcast when AQE measures it small.
+The target rows carry their own lemma and features from the masking step,
+so that is the only join.  The index is stored before use: with an exchange
+of its own on both sides AQE can split a lemma that many targets share (an
+aggregate joined on its own keys has none, and is never split).
 """
 
 from __future__ import annotations
 
+import math
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import feat_key, feat_key_fixed, starts_upper
+from ..functions.text import LEXICON_EXCLUDED_FORMS, feat_key, feat_key_fixed, starts_upper
 from ..session import cut_lineage
 from . import lexicon as L
 
@@ -36,7 +40,17 @@ def _key(feats, names):
     return feat_key(feats) if names is None else feat_key_fixed(feats, names)
 
 
-def lexicon_index(lex: DataFrame, with_upos: bool = False, names: list[str] | None = None) -> DataFrame:
+class LexiconIndex(NamedTuple):
+    """The index and the feature names its key is made of."""
+    frame: DataFrame
+    names: list[str] | None
+    with_upos: bool = False
+
+    def stored(self) -> "LexiconIndex":
+        return self._replace(frame=cut_lineage(self.frame))
+
+
+def lexicon_index(lex: DataFrame, with_upos: bool = False, names: list[str] | None = None) -> LexiconIndex:
     """First form (treebank order) per lemma, feature set and case
     of the first letter.  Map-side partial aggregation makes the shuffle
     proportional to the number of distinct keys, not to the lexicon.
@@ -46,55 +60,66 @@ def lexicon_index(lex: DataFrame, with_upos: bool = False, names: list[str] | No
             starts_upper("form").alias("_upper")]
     if with_upos:
         keys.append(F.col("upos").alias("_upos"))
-    return (lex.where(F.col("lemma").isNotNull() & (F.length("form") > 0))
-            .groupBy(*keys)
-            .agg(F.min_by("form", F.struct("sent_ord", "tid")).alias("form_ungrammatical")))
+    frame = (lex.where(F.col("lemma").isNotNull() & (F.length("form") > 0))
+             .groupBy(*keys)
+             .agg(F.min_by("form", F.struct("sent_ord", "tid")).alias("form_ungrammatical")))
+    return LexiconIndex(frame, names, with_upos)
+
+
+def _own_features(targets: DataFrame, lex: DataFrame) -> DataFrame:
+    """C11 for targets that do not carry their lemma and features: a key join
+    with the lexicon (on the sentence key, or on the id where there is none)."""
+    ours, theirs = ("sent_ord", "sent_ord") if "sent_ord" in targets.columns else ("sentence_id", "sentence_id")
+    own = lex.select(F.col(theirs).alias("_ls"), (F.col("token_id") + 1).alias("_lm"), "lemma", "feats")
+    on = (F.col(ours) == F.col("_ls")) & (F.col("match_id") == F.col("_lm"))
+    return targets.join(own, on, "left").drop("_ls", "_lm")
 
 
 def alternative_forms(targets: DataFrame, lex: DataFrame, morph: dict, universal: dict | None = None,
                       validate: bool = True, names: list[str] | None = None,
-                      index: DataFrame | None = None) -> DataFrame:
+                      index: LexiconIndex | None = None) -> DataFrame:
     """E2 for many targets at once: ``targets`` has ``sentence_id`` and
     ``match_id`` (1-based); adds ``form_ungrammatical`` (NULL when the
     lexicon holds no such word).
 
-    ``names``: the lexicon's feature names (collected once if not given);
-    ``index``: a prebuilt ``lexicon_index`` to share between tasks."""
+    Targets with ``lemma`` and ``feats`` (``MaskResult.masked_with_context``)
+    need one join; others look their features up first.  ``names``: the
+    lexicon's feature names (collected once if not given); ``index``: a
+    ``lexicon_index`` to share between tasks, whose names then hold."""
     universal = universal or {}
     bad = [k for k in universal if k != "upos"]
     if bad:
         raise KeyError(f"unsupported universal override: {bad}")
+    if index is not None:
+        if names is not None and index.names is not None and sorted(names) != sorted(index.names):
+            raise ValueError(f"the index is built on features {index.names}, not on {names}")
+        if index.with_upos != ("upos" in universal):
+            raise ValueError("an index with upos goes with an upos override, and only with one")
+        names = index.names
     if names is None and validate:
         names = L.collect_feature_names(lex)
     if validate:
         unknown = [k for k in morph if k.lower() not in set(names)]
         if unknown:
-            raise KeyError(f"Invalid feature provided to confound set: {unknown}")
-    form_col = "match_token" if "match_token" in targets.columns else "form_grammatical"
-    # Narrow first, join back last: the lookups run on key columns only, so
-    # AQE can measure the target keys small and broadcast them (the lexicon
-    # and the index are then streamed, not shuffled); the wide target rows
-    # (texts) meet the result in one join on (sentence_id, match_id).
-    keys = targets.select(F.col("sentence_id").alias("_s"), F.col("match_id").alias("_m"),
-                          starts_upper(form_col).alias("_upper")).dropDuplicates(["_s", "_m"])
-    # C11: the target's own lexicon row (lemma, features), by key join
-    own = lex.select(F.col("sentence_id").alias("_ls"), (F.col("token_id") + 1).alias("_lm"),
-                     F.col("lemma").alias("_lemma"), override_feats(F.col("feats"), morph).alias("_alt"))
-    t = keys.join(own, (F.col("_s") == F.col("_ls")) & (F.col("_m") == F.col("_lm")), "inner").drop("_ls", "_lm")
-    t = t.withColumn("_fkey", _key(F.col("_alt"), names)).drop("_alt")
+            raise KeyError(f"cannot override {unknown}: the lexicon has the features {sorted(names)}")
+    form = F.col("match_token" if "match_token" in targets.columns else "form_grammatical")
+    carried = {"lemma", "feats"} <= set(targets.columns)
+    t = targets if carried else _own_features(targets, lex)
+    # a form outside the lexicon has no alternative; carried rows skip the lookup that would show it
+    t = t.withColumns({"_lemma": F.when(~form.isin(LEXICON_EXCLUDED_FORMS), F.col("lemma")),
+                       "_fkey": _key(override_feats(F.col("feats"), morph), names), "_upper": starts_upper(form)})
     jk = ["_lemma", "_fkey", "_upper"]
     if "upos" in universal:
         t = t.withColumn("_upos", F.lit(universal["upos"]))
         jk.append("_upos")
     idx = index if index is not None else lexicon_index(lex, with_upos="upos" in universal, names=names)
-    found = t.join(idx, jk, "inner").select("_s", "_m", "form_ungrammatical")
-    out = targets.join(found, (F.col("sentence_id") == F.col("_s")) & (F.col("match_id") == F.col("_m")), "left")
-    return out.drop("_s", "_m")
+    out = t.join(idx.frame, jk, "left").drop(*jk)
+    return out if carried else out.drop("lemma", "feats")
 
 
 def minimal_pairs(dataset: DataFrame, lex: DataFrame, morph: dict, universal: dict | None = None,
                   leading_space: bool = True, validate: bool = True, names: list[str] | None = None,
-                  index: DataFrame | None = None) -> DataFrame:
+                  index: LexiconIndex | None = None) -> DataFrame:
     """E5: masked or prompt dataset -> minimal-pair dataset."""
     out = alternative_forms(dataset, lex, morph, universal, validate, names, index)
     out = out.withColumnRenamed("match_token", "form_grammatical")             # B12
@@ -106,17 +131,19 @@ def minimal_pairs(dataset: DataFrame, lex: DataFrame, morph: dict, universal: di
     return out
 
 
-def pair_vocabulary(pairs: DataFrame, buckets: int = 4096) -> DataFrame:
+def pair_vocabulary(pairs: DataFrame, buckets: int | None = None) -> DataFrame:
     """Distinct (grammatical, ungrammatical) pairs with a dense position
     ``0..n-1`` in md5 order.
 
     No global window: rows are ranked inside hash buckets (the md5 prefix,
     so bucket order is md5 order), and bucket offsets come from a table of
-    at most ``buckets`` counts, which is broadcast (its size is fixed by the
-    parameter, not by the data)."""
+    at most ``buckets`` counts, which is broadcast.  ``buckets`` is rounded up
+    to a power of 16; by default four per shuffle partition."""
+    if buckets is None:
+        buckets = 4 * int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     h = F.md5(F.concat_ws("\u0001", "form_grammatical", "form_ungrammatical"))
     p = pairs.select("form_grammatical", "form_ungrammatical").distinct().withColumn("_h", h)
-    digits = max(1, (buckets - 1).bit_length() // 4)
+    digits = max(1, -(-(buckets - 1).bit_length() // 4))
     p = p.withColumn("_b", F.conv(F.substring("_h", 1, digits), 16, 10).cast("int"))
     # the distinct pairs feed both the ranking and the bucket counts:
     # materialise them once instead of evaluating the input plan twice
@@ -136,27 +163,36 @@ def _row_hash(cols: list, seed: int) -> Column:
     return F.conv(F.substring(m, 1, 8), 16, 10).cast("long")
 
 
-def ood_picks(mp: DataFrame, k: int, seed: int = 0, key_cols=("sentence_id", "match_id")) -> DataFrame:
+STRIDES = (1, 3, 7, 11, 13, 17, 19, 23, 29, 31, 37, 41, 43, 47, 53, 59)  # 1 and primes
+
+
+def coprime_stride(cols: list, seed: int, m: int) -> Column:
+    """A stride per row, by hash, among those of ``STRIDES`` that are coprime to ``m``."""
+    fit = [s for s in STRIDES if math.gcd(s, m) == 1]
+    return F.get(F.array(*map(F.lit, fit)), F.pmod(_row_hash(cols, seed + 1), F.lit(len(fit))).cast("int")).cast("long")
+
+
+def ood_picks(mp: DataFrame, k: int, seed: int = 0, key_cols=("sentence_id", "match_id"), carry=()) -> DataFrame:
     """E6 (long form): for every row, ``k`` distinct pairs other than its own,
     drawn deterministically: with n pairs and the row's own position p,
-    pick j (0..k-1) is position ``(p + 1 + ((h + j) mod (n-1))) mod n``
-    where h hashes the row key and the seed.  Never the own pair, no
-    repeats, no cross join; one lookup join on the position."""
+    pick j (0..k-1) is position ``(p + 1 + ((h + j * s) mod (n-1))) mod n``
+    where h and the stride s hash the row key and the seed; s is made
+    coprime to n-1, so rows that share a pick do not share the others.
+    Never the own pair, no repeats, no cross join; one lookup join on the
+    position."""
     key_cols = list(key_cols)
     # the input feeds a count and two joins: materialise it once in the
     # checkpoint folder instead of recomputing the pair pipeline each time
-    mp = cut_lineage(mp.select(*key_cols, "form_grammatical", "form_ungrammatical"))
+    carry = [c for c in carry if c not in key_cols]
+    mp = cut_lineage(mp.select(*key_cols, *carry, "form_grammatical", "form_ungrammatical"))
     vocab = pair_vocabulary(mp)
     n = vocab.count()
     if n - 1 < k:
         raise ValueError(f"Sample larger than population: {k} OOD pairs requested, {n - 1} available")
-    key_cols = list(key_cols)
-    own = mp.select(*key_cols, "form_grammatical", "form_ungrammatical") \
-        .join(vocab, ["form_grammatical", "form_ungrammatical"]) \
-        .select(*key_cols, "pair_pos", _row_hash(key_cols, seed).alias("_h"))
-    picks = own.select(*key_cols, "pair_pos", "_h", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("pick"))
-    picks = picks.select(*key_cols, "pick",
-                         F.pmod(F.col("pair_pos") + 1 + F.pmod(F.col("_h") + F.col("pick"), F.lit(n - 1)),
+    own = mp.join(vocab, ["form_grammatical", "form_ungrammatical"]).select(*key_cols, *carry, "pair_pos", _row_hash(key_cols, seed).alias("_h"), coprime_stride(key_cols, seed, n - 1).alias("_st"))
+    picks = own.select(*key_cols, *carry, "pair_pos", "_h", "_st", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("pick"))
+    picks = picks.select(*key_cols, *carry, "pick",
+                         F.pmod(F.col("pair_pos") + 1 + F.pmod(F.col("_h") + F.col("pick") * F.col("_st"), F.lit(n - 1)),
                                 F.lit(n)).alias("_p"))
     v = vocab.select(F.col("pair_pos").alias("_p"),
                      F.col("form_grammatical").alias("ood_form_grammatical"),

@@ -16,11 +16,12 @@ A pattern is given as a small Python spec, not as text:
 * ``without`` clauses are negative conditions: names shared with the
   pattern are bound, new names are existential.
 
-Plan: every node is a filtered, projected token frame; edges are equi
-joins on ``(sid, tid) = (sid, head)``; ``without`` is a ``left_anti``
-join on the sentence and the shared node ids.  Join keys are the
-sentence plus a token id, so no key is hot even if one sentence is huge.
-One-node patterns need no join at all (``match_in_row``).
+Plan: a sentence's tokens are in one row, so a pattern is one expression
+over that row (``match_in_row``): the head of a bound token is found by
+position, its dependents by ``exists``, and a ``without`` clause is a
+negated ``exists``.  Matching shuffles nothing.  ``match`` does the same on
+a token table alone, with equi joins on ``(sent_ord, tid) = (sent_ord,
+head)`` and ``left_anti`` joins.
 Patterns must be connected: unrelated nodes would bind every pair of
 tokens within a sentence.
 """
@@ -87,12 +88,16 @@ def _check_connected(names: set, edges: list, start: set) -> None:
         raise ValueError(f"pattern nodes {sorted(missing)} are not connected to the rest by an edge")
 
 
-def _frame(tokens: DataFrame, name: str, constraints: dict, sid: str = "_sid") -> DataFrame:
+def _unknown(name: str, names: set) -> str:
+    return f"target {name!r} is not a node of the pattern (nodes: {', '.join(sorted(names))})"
+
+
+def _frame(tokens: DataFrame, name: str, constraints: dict, key: str = "_sid") -> DataFrame:
     # fresh aliases for every column: frames of one token table are joined
     # with each other, so no attribute may be shared between the sides
     cond = node_condition(constraints, F.col) & F.col("tid").isNotNull()
     return tokens.where(cond).select(
-        F.col("sid").alias(sid),
+        F.col("sent_ord").alias(key), *([F.col("sid").alias("_name")] if key == "sid" else []),
         F.col("tid").alias(f"{name}__tid"),
         F.col("head").alias(f"{name}__head"),
         F.col("deprel").alias(f"{name}__deprel"),
@@ -149,9 +154,9 @@ def bindings(tokens: DataFrame, pattern: Pattern, start: str) -> tuple[DataFrame
     ``<name>__tid/__head/__deprel`` per node)."""
     names = pattern.all_names()
     if start not in names:
-        raise KeyError(f"You must provide a dependency node name which exists in your pattern: {start!r}")
+        raise KeyError(_unknown(start, names))
     _check_connected(names, pattern.edges, {start})
-    root = _frame(tokens, start, pattern.nodes.get(start, {}), sid="sid")
+    root = _frame(tokens, start, pattern.nodes.get(start, {}), key="sid")
     return _bind(tokens, root, [start], pattern.nodes, pattern.edges)
 
 
@@ -167,7 +172,7 @@ def _apply_without(tokens: DataFrame, bound: DataFrame, names: list, w: Pattern)
         cons = w.nodes.get(n)
         if cons:
             fr = tokens.where(node_condition(cons, F.col)).select(
-                F.col("sid").alias("_s"), F.col("tid").alias("_t"))
+                F.col("sent_ord").alias("_s"), F.col("tid").alias("_t"))
             ext = ext.join(fr, (F.col("sid") == F.col("_s")) & (F.col(f"{n}__tid") == F.col("_t")), "left_semi")
     new_nodes = {n: c for n, c in w.nodes.items() if n not in names}
     ext, _ = _bind(tokens, ext, list(names), new_nodes, w.edges, exclude_from=list(names))
@@ -186,45 +191,95 @@ def match(tokens: DataFrame, pattern: Pattern, target: str, keep: str = "all") -
     bound, names = bindings(tokens, pattern, target)
     for w in pattern.without:
         bound = _apply_without(tokens, bound, names, w)
-    m = bound.select(F.col("sid").alias("sentence_id"), F.col(f"{target}__tid").alias("match_id"))
+    m = bound.select(F.col("sid").alias("sent_ord"), F.col("_name").alias("sentence_id"), F.col(f"{target}__tid").alias("match_id"))
     if keep == "all":
         # one node: (sentence, token) is already unique, no shuffle needed
         return m if len(names) == 1 else m.distinct()
     agg = F.max if keep == "last" else F.min
-    return m.groupBy("sentence_id").agg(agg("match_id").alias("match_id"))
+    return m.groupBy("sent_ord").agg(F.first("sentence_id").alias("sentence_id"), agg("match_id").alias("match_id"))
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, also where lambdas use it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _sure(c: Column) -> Column:
+    return F.coalesce(c, F.lit(False))
+
+
+def _extend(words: Column, bound: dict, nodes: dict, edges: list, then) -> Column:
+    """True if the edges can be bound one after another, each to a new token,
+    and ``then(bound)`` holds."""
+    def label(e, dependent) -> Column:
+        return _label_cond(dependent["deprel"], e[1])
 
+    for e in edges:
+        h, _, d = e
+        rest = [x for x in edges if x is not e]
+        if h in bound and d in bound:
+            return (bound[d]["head"] == bound[h]["tid"]) & label(e, bound[d]) & _extend(words, bound, nodes, rest, then)
+        if h not in bound and d not in bound:
+            continue
+        new = d if h in bound else h
 
-def is_single_node(pattern: Pattern) -> bool:
-    return len(pattern.all_names()) == 1 and not pattern.edges and not pattern.without
+        def fits(x):  # used before the loop goes on
+            cond = node_condition(nodes.get(new, {}), lambda k: x[k])
+            if h in bound:
+                cond = (x["head"] == bound[e[0]]["tid"]) & label(e, x) & cond
+            for other in bound.values():
+                cond = cond & (x["tid"] != other["tid"])
+            return _sure(cond & _extend(words, {**bound, new: x}, nodes, rest, then))
+
+        if h in bound:
+            return F.exists(words, fits)
+        # the head stands at its own position, unless ids have gaps
+        at = bound[d]["head"]
+        there = F.when((at >= 1) & _sure(F.get(words, at - 1)["tid"] == at), F.slice(words, F.greatest(at, F.lit(1)), 1)).otherwise(
+            F.filter(words, lambda w: w["tid"] == at))
+        return label(e, bound[d]) & F.exists(there, fits)
+    return then(bound)
 
 
 def target_ids_in_row(pattern: Pattern, target: str, keep: str = "all", tokens_col: str = "tokens") -> Column:
-    """One-node patterns evaluated inside the sentence row: the array of
-    matching word ids (no join, no shuffle)."""
-    if not is_single_node(pattern):
-        raise ValueError("in-row matching needs a one-node pattern without edges")
-    if target not in pattern.all_names():
-        raise KeyError(f"You must provide a dependency node name which exists in your pattern: {target!r}")
-    cons = pattern.nodes.get(target, {})
-    ids = F.transform(F.filter(words_of(tokens_col), lambda t: node_condition(cons, lambda k: t[k])),
-                      lambda t: t["tid"])
+    """C1-C8 inside the sentence row: the array of target ids (no join, no shuffle)."""
+    if keep not in ("all", "last", "first"):
+        raise ValueError("keep must be 'all', 'last' or 'first'")
+    names = pattern.all_names()
+    if target not in names:
+        raise KeyError(_unknown(target, names))
+    _check_connected(names, pattern.edges, {target})
+    for w in pattern.without:
+        shared = w.all_names() & names
+        if not shared:
+            raise ValueError("a without clause must mention at least one node of the pattern")
+        _check_connected(w.all_names(), w.edges, shared)
+
+    def clauses(words, bound) -> Column:
+        ok = F.lit(True)
+        for w in pattern.without:
+            cond = F.lit(True)
+            for n in w.all_names() & names:
+                cond = cond & node_condition(w.nodes.get(n, {}), lambda k, n=n: bound[n][k])
+            ok = ok & ~_sure(cond & _extend(words, bound, w.nodes, list(w.edges), lambda b: F.lit(True)))
+        return ok
+
+    def ids(words) -> Column:
+        def fits(t):
+            return _sure(node_condition(pattern.nodes.get(target, {}), lambda k: t[k])
+                         & _extend(words, {target: t}, pattern.nodes, list(pattern.edges), lambda b: clauses(words, b)))
+        return F.array_distinct(F.transform(F.filter(words, fits), lambda t: t["tid"]))
+
+    found = let(words_of(tokens_col), ids)
     if keep == "all":
-        return F.array_distinct(ids)
-    pick = F.array_max(ids) if keep == "last" else F.array_min(ids)
-    return F.when(F.size(ids) > 0, F.array(pick)).otherwise(F.array().cast("array<int>"))
+        return found
+    pick = F.array_max if keep == "last" else F.array_min
+    return let(found, lambda x: F.when(F.size(x) > 0, F.array(pick(x))).otherwise(F.slice(x, 1, 0)))
 
 
 def match_in_row(sentences: DataFrame, pattern: Pattern, target: str, keep: str = "all") -> DataFrame:
-    """Same result as ``match`` for one-node patterns, computed in-row."""
+    """Same result as ``match``, computed in-row."""
     return sentences.select(
-        F.col("sid").alias("sentence_id"),
+        "sent_ord", F.col("sid").alias("sentence_id"),
         F.explode_outer(target_ids_in_row(pattern, target, keep)).alias("match_id"),
     ).where(F.col("match_id").isNotNull())
-
-
-def match_any(sentences: DataFrame, tokens: DataFrame, pattern: Pattern, target: str,
-              keep: str = "all") -> DataFrame:
-    """Pick the cheapest plan: in-row for one-node patterns, joins otherwise."""
-    if is_single_node(pattern):
-        return match_in_row(sentences, pattern, target, keep)
-    return match(tokens, pattern, target, keep)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.metrics import surprisal
+from ..functions.metrics import require_columns, surprisal
 from ..session import cut_lineage
 
 
@@ -15,10 +15,14 @@ def has_pair(df: DataFrame, col: str = "form_ungrammatical") -> DataFrame:
 
 
 def melt_long(results: DataFrame, ids: list[str], value_cols: list[str], labels: list[str],
-              value_name: str = "prob", is_log: bool = False) -> DataFrame:
+              value_name: str = "prob", is_log: bool = False, pair_col: str | None = None) -> DataFrame:
     """V1: one row per (row, measured column) with the fixed x label and
     the surprisal of the value.  Column names are parameters (the scorer
-    writes ``p_<target column>``)."""
+    writes ``p_<target column>``).  With ``pair_col``, rows without an
+    alternative form in it are left out first (B16)."""
+    require_columns(results, *ids, *value_cols, *([pair_col] if pair_col else []))
+    if pair_col:
+        results = has_pair(results, pair_col)
     if len(value_cols) != len(labels):
         raise ValueError("one label per value column")
     long = results.unpivot(ids, value_cols, "source", value_name)
@@ -55,21 +59,16 @@ def exact_quantiles(df: DataFrame, value: str, by: str, probs: dict) -> DataFram
         Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_po"))
     pos = srt.join(F.broadcast(poff), "_pid").select("_g", "_v", (F.col("_po") + F.col("_i")).alias("_gp"))
     # groups are contiguous in the sort: a group's first global position is
-    # its offset (an aggregation, so any number of groups is fine)
+    # its offset, so a wanted rank is one wanted position -- no join on the
+    # label, only one on the (unique) position with a few rows per label
     gsize = pos.groupBy("_g").agg(F.min("_gp").alias("_go"), F.count(F.lit(1)).alias("_n"))
-    ranked = pos.join(gsize, "_g").select("_g", "_v", "_n", (F.col("_gp") - F.col("_go")).alias("_r"))
-    wanted = []
-    for name, p in probs.items():
-        pos = (F.col("_n") - 1) * F.lit(float(p))
-        wanted.append(gsize.select("_g", F.lit(name).alias("_q"), pos.alias("_pos"),
-                                   F.floor(pos).cast("long").alias("_lo"), F.ceil(pos).cast("long").alias("_hi")))
-    w = wanted[0]
-    for x in wanted[1:]:
-        w = w.unionByName(x)
-    lo = ranked.select("_g", F.col("_r").alias("_lo"), F.col("_v").alias("_vlo"))
-    hi = ranked.select("_g", F.col("_r").alias("_hi"), F.col("_v").alias("_vhi"))
-    q = w.join(lo, ["_g", "_lo"]).join(hi, ["_g", "_hi"]).select(
-        "_g", "_q", (F.col("_vlo") + (F.col("_pos") - F.col("_lo")) * (F.col("_vhi") - F.col("_vlo"))).alias("_val"))
+    spots = F.array(*[F.struct(F.lit(name).alias("_q"), ((F.col("_n") - 1) * F.lit(float(p))).alias("_pos")) for name, p in probs.items()])
+    want = gsize.select("_g", "_go", F.explode(spots).alias("x")).select("_g", "_go", "x.*")
+    ends = F.array(*[F.struct(F.lit(e).alias("_end"), (F.col("_go") + f("_pos").cast("long")).alias("_gp")) for e, f in (("lo", F.floor), ("hi", F.ceil))])
+    want = want.select("_g", "_q", "_pos", F.explode(ends).alias("x")).select("_g", "_q", "_pos", "x.*")
+    got = want.join(pos.select("_gp", "_v"), "_gp").groupBy("_g", "_q", "_pos").agg(
+        F.max(F.when(F.col("_end") == "lo", F.col("_v"))).alias("_vlo"), F.max(F.when(F.col("_end") == "hi", F.col("_v"))).alias("_vhi"))
+    q = got.select("_g", "_q", (F.col("_vlo") + (F.col("_pos") - F.floor("_pos")) * (F.col("_vhi") - F.col("_vlo"))).alias("_val"))
     return q.groupBy(F.col("_g").alias(by)).pivot("_q", list(probs)).agg(F.first("_val"))
 
 
@@ -92,6 +91,10 @@ def distribution(long: DataFrame, value: str = "surprisal", by: str = "x_label",
     return base.join(exact_quantiles(long, value, by, QUARTILES), by, "left")
 
 
-def histogram(long: DataFrame, value: str = "surprisal", by: str = "x_label", bins: int = 10) -> DataFrame:
-    """Approximate histogram per label (``histogram_numeric``)."""
-    return long.groupBy(by).agg(F.histogram_numeric(F.col(value), F.lit(bins)).alias("histogram"))
+def histogram(long: DataFrame, value: str = "surprisal", by: str = "x_label", width: float = 1.0) -> DataFrame:
+    """Rows per label and bin of fixed ``width``: ``bin`` b covers ``[b * width, (b + 1) * width)``;
+    infinite, NaN and NULL values are in the NULL bin."""
+    v = F.col(value).cast("double")
+    finite = v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))
+    b = F.when(finite, F.floor(F.when(finite, v) / F.lit(float(width))))
+    return long.groupBy(by, b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))

@@ -3,31 +3,37 @@
 Two kinds of scorer share one output contract (``p_<col>``, ``I_<col>``
 and, at token level, ``certainty``):
 
-* the corpus n-gram scorer (S8), made only of DataFrame operators:
-  counts are ``groupBy`` aggregations (map-side combined), lookups are
-  equi joins with ``coalesce(count, 0)``.  NTP uses bigrams
-  p(w | prev) = (c(prev, w) + a) / (c(prev, *) + a V); the masked (MLM)
-  variant uses the left and right neighbours
+* the corpus n-gram scorer (S8), made only of DataFrame operators.  NTP
+  uses bigrams p(w | prev) = (c(prev, w) + a) / (c(prev, *) + a V); the
+  masked (MLM) variant uses both neighbours
   p(w | l, r) = (c(l, w, r) + a) / (c(l, *, r) + a V); V is the number of
-  distinct word forms and a = 0.1 by default.
-* model scorers (S1-S5): a user object scored with ``mapInPandas``; the
-  model is loaded once per Python worker and rows stream in Arrow batches.
+  distinct word forms and a = 0.1 by default.  Certainty is 1 - H / ln V of
+  the whole distribution, from sums per context plus the unseen mass.
+* model scorers (S1-S5): a user object scored batch by batch with
+  ``mapInPandas``; the model is loaded once per Python worker.
 
 n-grams are built inside each sentence row from its word array
-(``arrays_zip`` of shifted slices, then explode): no self join and no
-window, so the only shuffles are the count aggregations (map-side
-combined) and the lookups.
+(``arrays_zip`` of shifted slices, then explode): no self join, no window.
+Contexts are sums over the n-gram counts, not a second pass over tokens.
+Count tables are stored before use (``NgramModel.stored``): a lookup join
+then has an exchange on both sides, which is what AQE needs to split a very
+frequent word; an aggregate joined on its own keys would be read in place.
+Targets are unpivoted, so any number of target columns is one lookup.
 """
 
 from __future__ import annotations
 
-from typing import Callable, NamedTuple
+import math
+from collections.abc import Callable
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.metrics import surprisal
+from ..functions.metrics import require_columns, round_half_even, surprisal
+from ..session import cut_lineage
+from ..sources import tables
 from ..sources.treebank import with_alignment_columns
 
 BOS, EOS = "<s>", "</s>"
@@ -35,12 +41,12 @@ DEFAULT_ALPHA = 0.1
 
 
 def word_rows(sentences: DataFrame) -> DataFrame:
-    """(sid, words): the word forms of each sentence in id order."""
-    return with_alignment_columns(sentences).select("sid", "words")
+    """(sent_ord, sid, words): the word forms of each sentence in id order."""
+    return with_alignment_columns(sentences).select("sent_ord", "sid", "words")
 
 
 def bigrams(sentences: DataFrame) -> DataFrame:
-    """(sid, tid, prev, w) for every word that has a predecessor.
+    """(sent_ord, sid, tid, prev, w) for every word that has a predecessor.
 
     Consecutive words are already in the same sentence row, so the pairs
     come from native array functions (``arrays_zip`` of two slices) and an
@@ -48,71 +54,80 @@ def bigrams(sentences: DataFrame) -> DataFrame:
     s = word_rows(sentences)
     n = F.size("words")
     z = F.arrays_zip(F.slice("words", 1, n - 1).alias("prev"), F.slice("words", 2, n - 1).alias("w"))
-    e = s.select("sid", F.posexplode_outer(F.when(n >= 2, z)).alias("i", "bg")).where(F.col("bg").isNotNull())
-    return e.select("sid", (F.col("i") + 2).cast("int").alias("tid"), F.col("bg")["prev"].alias("prev"),
+    e = s.select("sent_ord", "sid", F.posexplode_outer(F.when(n >= 2, z)).alias("i", "bg")).where(F.col("bg").isNotNull())
+    return e.select("sent_ord", "sid", (F.col("i") + 2).cast("int").alias("tid"), F.col("bg")["prev"].alias("prev"),
                     F.col("bg")["w"].alias("w"))
 
 
 def trigrams(sentences: DataFrame) -> DataFrame:
-    """(sid, tid, l, w, r) for every word, padded with sentence markers."""
+    """(sent_ord, sid, tid, l, w, r) for every word, padded with sentence markers."""
     s = word_rows(sentences)
     n = F.size("words")
     left = F.concat(F.array(F.lit(BOS)), F.slice("words", 1, n - 1))
     right = F.concat(F.slice("words", 2, n - 1), F.array(F.lit(EOS)))
     z = F.arrays_zip(left.alias("l"), F.col("words").alias("w"), right.alias("r"))
-    e = s.select("sid", F.posexplode_outer(F.when(n >= 1, z)).alias("i", "tg")).where(F.col("tg").isNotNull())
-    return e.select("sid", (F.col("i") + 1).cast("int").alias("tid"), F.col("tg")["l"].alias("l"),
+    e = s.select("sent_ord", "sid", F.posexplode_outer(F.when(n >= 1, z)).alias("i", "tg")).where(F.col("tg").isNotNull())
+    return e.select("sent_ord", "sid", (F.col("i") + 1).cast("int").alias("tid"), F.col("tg")["l"].alias("l"),
                     F.col("tg")["w"].alias("w"), F.col("tg")["r"].alias("r"))
 
 
 class NgramModel(NamedTuple):
-    grams: DataFrame      # bigram: (prev, w, c); trigram: (l, w, r, c)
-    contexts: DataFrame   # bigram: (prev, h);    trigram: (l, r, h)
+    grams: DataFrame      # bigram: (prev, w, c, h);  trigram: (l, r, w, c, h); h = count of the context
+    contexts: DataFrame   # bigram: (prev, h, e);     trigram: (l, r, h, e); e = entropy of the context's distribution
     vocab: int
     alpha: float
     order: int
 
+    @property
+    def keys(self) -> list[str]:
+        return ["prev"] if self.order == 2 else ["l", "r"]
+
+    def stored(self) -> "NgramModel":
+        return self._replace(grams=cut_lineage(self.grams), contexts=cut_lineage(self.contexts))
+
 
 def vocab_size(sentences: DataFrame) -> int:
     """V: one scalar, computed by a distributed distinct count."""
     return word_rows(sentences).select(F.explode("words").alias("f")).select(F.countDistinct("f")).first()[0]
 
 
+def _fit(ngrams: DataFrame, keys: list[str], order: int, alpha: float, vocab: int) -> NgramModel:
+    counts = cut_lineage(ngrams.groupBy(*keys, "w").agg(F.count(F.lit(1)).alias("c")))
+    a, v = float(alpha), float(vocab)
+    seen = F.col("c") + F.lit(a)
+    ctx = counts.groupBy(*keys).agg(F.sum("c").alias("h"), F.sum(seen * F.log(seen)).alias("_s"), F.count(F.lit(1)).alias("_n"))
+    mass = F.col("h") + F.lit(a * v)
+    entropy = F.log(mass) - (F.col("_s") + (F.lit(v) - F.col("_n")) * F.lit(a * math.log(a))) / mass
+    ctx = cut_lineage(ctx.select(*keys, "h", entropy.alias("e")))
+    return NgramModel(counts.join(ctx.select(*keys, "h"), keys), ctx, vocab, alpha, order)
+
+
 def fit_bigram(sentences: DataFrame, alpha: float = DEFAULT_ALPHA, vocab: int | None = None) -> NgramModel:
     """Bigram counts (map-side combined aggregations over exploded pairs)."""
-    bg = bigrams(sentences)
-    grams = bg.groupBy("prev", "w").agg(F.count(F.lit(1)).alias("c"))
-    ctx = bg.groupBy("prev").agg(F.count(F.lit(1)).alias("h"))
-    return NgramModel(grams, ctx, vocab if vocab is not None else vocab_size(sentences), alpha, 2)
+    return _fit(bigrams(sentences), ["prev"], 2, alpha, vocab if vocab is not None else vocab_size(sentences))
 
 
 def fit_masked(sentences: DataFrame, alpha: float = DEFAULT_ALPHA, vocab: int | None = None) -> NgramModel:
-    tg = trigrams(sentences)
-    grams = tg.groupBy("l", "w", "r").agg(F.count(F.lit(1)).alias("c"))
-    ctx = tg.groupBy("l", "r").agg(F.count(F.lit(1)).alias("h"))
-    return NgramModel(grams, ctx, vocab if vocab is not None else vocab_size(sentences), alpha, 3)
-
-
-def _ctx_keys(model: NgramModel) -> list[str]:
-    return ["prev"] if model.order == 2 else ["l", "r"]
-
-
-def probability(df: DataFrame, model: NgramModel, word_col: str, out: str) -> DataFrame:
-    """Add ``out`` = smoothed probability of ``word_col`` in the context
-    columns of ``df`` (``prev``, or ``l`` and ``r``).  Unseen events get
-    count 0; an unseen context gets the uniform 1/V."""
-    keys = _ctx_keys(model)
-    g = model.grams.select(*[F.col(k).alias(f"_g{k}") for k in keys], F.col("w").alias("_gw"),
-                           F.col("c").alias("_c"))
-    cond = [F.col(f"_g{k}") == F.col(k) for k in keys] + [F.col("_gw") == F.col(word_col)]
-    df = df.join(g, cond[0] if len(cond) == 1 else _and(cond), "left")
-    if "_h" not in df.columns:
-        h = model.contexts.select(*[F.col(k).alias(f"_h{k}") for k in keys], F.col("h").alias("_h"))
-        df = df.join(h, _and([F.col(f"_h{k}") == F.col(k) for k in keys]), "left").drop(*[f"_h{k}" for k in keys])
+    return _fit(trigrams(sentences), ["l", "r"], 3, alpha, vocab if vocab is not None else vocab_size(sentences))
+
+
+def smoothed(model: NgramModel, c: Column, h: Column) -> Column:
+    """(c + a) / (h + a V); a missing count is 0, a missing context gives 1/V."""
     a, v = float(model.alpha), float(model.vocab)
-    p = (F.coalesce(F.col("_c"), F.lit(0)).cast("double") + F.lit(a)) / \
-        (F.coalesce(F.col("_h"), F.lit(0)).cast("double") + F.lit(a * v))
-    return df.withColumn(out, p).drop(*[f"_g{k}" for k in keys], "_gw", "_c")
+    return (F.coalesce(c, F.lit(0)).cast("double") + F.lit(a)) / (F.coalesce(h, F.lit(0)).cast("double") + F.lit(a * v))
+
+
+def looked_up(df: DataFrame, model: NgramModel, word: str = "w") -> DataFrame:
+    """Add ``p``, the smoothed probability of ``word`` in the context columns
+    of ``df``, and ``e``, the entropy of that context's distribution."""
+    keys = model.keys
+    g = model.grams.select(*[F.col(k).alias(f"_g{k}") for k in keys], F.col("w").alias("_gw"), F.col("c").alias("_c"))
+    h = model.contexts.select(*[F.col(k).alias(f"_h{k}") for k in keys], F.col("h").alias("_h"), F.col("e").alias("e"))
+    df = df.join(g, _and([F.col(f"_g{k}") == F.col(k) for k in keys] + [F.col("_gw") == F.col(word)]), "left")
+    df = df.join(h, _and([F.col(f"_h{k}") == F.col(k) for k in keys]), "left")
+    df = df.withColumn("p", smoothed(model, F.col("_c"), F.col("_h")))
+    df = df.withColumn("e", F.coalesce("e", F.lit(math.log(model.vocab))))
+    return df.drop(*[f"_g{k}" for k in keys], *[f"_h{k}" for k in keys], "_gw", "_c", "_h")
 
 
 def _and(conds):
@@ -124,57 +139,88 @@ def _and(conds):
 
 def sentence_scores(sentences: DataFrame, model: NgramModel) -> DataFrame:
     """S6 with the bigram model: sum of log2 p(w_i | w_i-1) over each
-    sentence, first word skipped (a 1-word sentence has no row)."""
-    bg = bigrams(sentences)
-    scored = probability(bg, model, "w", "p").drop("_h")
-    return scored.groupBy(F.col("sid").alias("sentence_id")).agg(
-        F.count(F.lit(1)).alias("n_scored"), F.sum(F.log2("p")).alias("log2_prob"))
-
-
-def token_scores(pairs: DataFrame, sentences: DataFrame, model: NgramModel,
-                 cols=("form_grammatical", "form_ungrammatical"), key=("sentence_id", "match_id")) -> DataFrame:
-    """S3/S5 (and S9 for any list of target columns): score each target
-    column in the context of the target position (``match_id``).
-
-    The lookups run on a narrow frame (key, target forms, context words):
-    AQE can measure it small and broadcast it against the count tables,
-    and the wide input rows are joined back once at the end."""
-    key = list(key)
-    cols = list(cols)
-    narrow = pairs.select(*key, *[F.regexp_replace(F.col(c), r"^ ", "").alias(f"_w_{c}") for c in cols]) \
-        .dropDuplicates(key)
-    ctx = word_rows(sentences).select(F.col("sid").alias("_cs"), F.col("words").alias("_words"))
-    df = narrow.join(ctx, F.col(key[0]) == F.col("_cs"), "left").drop("_cs")
-    prev = F.when(F.col("match_id") > 1, F.try_element_at("_words", F.col("match_id") - 1))
-    nxt = F.try_element_at("_words", F.col("match_id") + 1)
-    if model.order == 2:
-        df = df.withColumn("prev", F.coalesce(prev, F.lit(BOS)))
-    else:
-        df = df.withColumn("l", F.coalesce(prev, F.lit(BOS))).withColumn("r", F.coalesce(nxt, F.lit(EOS)))
-    df = df.drop("_words")
-    for c in cols:
-        df = probability(df, model, f"_w_{c}", f"p_{c}").drop(f"_w_{c}")
-        df = df.withColumn(f"I_{c}", surprisal(F.col(f"p_{c}")))
-    scored = df.drop("_h", *_ctx_keys(model))
-    back = scored.select(*[F.col(k).alias(f"_k_{k}") for k in key], *[c for c in scored.columns if c not in key])
-    cond = None
-    for k in key:
-        e = F.col(k) == F.col(f"_k_{k}")
-        cond = e if cond is None else cond & e
-    return pairs.join(back, cond, "left").drop(*[f"_k_{k}" for k in key])
-
-
-def ood_average(picks: DataFrame, sentences: DataFrame, model: NgramModel,
-                key=("sentence_id", "match_id")) -> DataFrame:
+    sentence, first word skipped (a 1-word sentence has no row).
+
+    Every bigram of the corpus is in the count table, which holds its
+    context's count too: one lookup per token."""
+    g = model.grams.select(F.col("prev").alias("_gp"), F.col("w").alias("_gw"), "c", "h")
+    scored = bigrams(sentences).join(g, (F.col("prev") == F.col("_gp")) & (F.col("w") == F.col("_gw")))
+    return scored.groupBy("sent_ord").agg(F.first("sid").alias("sentence_id"), F.count(F.lit(1)).alias("n_scored"),
+                                          F.sum(F.log2(smoothed(model, F.col("c"), F.col("h")))).alias("log2_prob"))
+
+
+def _require_context(pairs: DataFrame) -> DataFrame:
+    return require_columns(pairs, "sent_ord", "match_id", "prev_word", "next_word")
+
+
+def _bare(c: str) -> Column:
+    return F.regexp_replace(F.col(c), "^ ", "")
+
+
+def token_scores(pairs: DataFrame, model: NgramModel, cols=("form_grammatical", "form_ungrammatical"),
+                 key=("sent_ord", "match_id")) -> DataFrame:
+    """S3/S5 (and S9 for any list of target columns): score each target column
+    in the context of the target position; ``certainty`` is the context's.
+
+    ``pairs`` carries its neighbours (``masked_with_context``), so no sentence
+    is read.  The lookups run on narrow rows (key, word, context), one per
+    target column, and meet the wide rows once at the end."""
+    pairs = _require_context(pairs)
+    key, cols = list(key), list(cols)
+    require_columns(pairs, *key, *cols)
+    before, after = F.coalesce("prev_word", F.lit(BOS)), F.coalesce("next_word", F.lit(EOS))
+    context = [before.alias("prev")] if model.order == 2 else [before.alias("l"), after.alias("r")]
+    # a null form has no probability
+    words = F.array(*[F.struct(F.lit(i).alias("col"), _bare(c).alias("w")) for i, c in enumerate(cols)])
+    narrow = pairs.select(*key, *context, F.explode(words).alias("x")).select(*key, *model.keys, "x.col", "x.w")
+    got = looked_up(narrow, model)
+    per = got.groupBy(*key).agg(
+        *[F.max(F.when((F.col("col") == i) & F.col("w").isNotNull(), F.col("p"))).alias(f"p_{c}") for i, c in enumerate(cols)],
+        F.max(round_half_even(F.lit(1.0) - F.col("e") / F.lit(math.log(model.vocab)))).alias("certainty"))
+    per = per.select(*[F.col(k).alias(f"_k{k}") for k in key], *[F.col(f"p_{c}") for c in cols],
+                     *[surprisal(F.col(f"p_{c}")).alias(f"I_{c}") for c in cols], "certainty")
+    return pairs.join(per, _and([F.col(k) == F.col(f"_k{k}") for k in key]), "left").drop(*[f"_k{k}" for k in key])
+
+
+def sentence_pair_scores(pairs: DataFrame, sentences: DataFrame, model: NgramModel,
+                         cols=("form_grammatical", "form_ungrammatical"), key=("sent_ord", "match_id")) -> DataFrame:
+    """log2 probability of the sentence with each target filled in.
+
+    Only the two bigrams around the target change, so the score is the
+    sentence's own sum, less its two, plus the two of the filled-in form.
+    Adds ``n_scored`` and ``p_<col>`` (log2) and ``I_<col>`` = -p."""
+    pairs = _require_context(pairs)
+    key, cols = list(key), list(cols)
+    require_columns(pairs, "form_grammatical", *key, *cols)
+    original = F.coalesce(F.col("match_token"), _bare("form_grammatical")) if "match_token" in pairs.columns else _bare("form_grammatical")
+    steps = []
+    for i, word in enumerate([original, *[_bare(c) for c in cols]]):
+        steps += [F.struct(F.lit(i).alias("col"), F.col("prev_word").alias("prev"), word.alias("w")),
+                  F.struct(F.lit(i).alias("col"), word.alias("prev"), F.col("next_word").alias("w"))]
+    narrow = pairs.select(*key, F.explode(F.array(*steps)).alias("x")).select(*key, "x.*")
+    got = looked_up(narrow.where("prev is not null and w is not null"), model)
+    part = lambda i: F.coalesce(F.sum(F.when(F.col("col") == i, F.log2("p"))), F.lit(0.0))
+    per = got.groupBy(*key).agg(part(0).alias("_own"), *[part(i + 1).alias(f"_d{i}") for i in range(len(cols))])
+    base = sentence_scores(sentences, model).select(F.col("sent_ord").alias("_so"), "n_scored", "log2_prob")
+    per = per.select(*[F.col(k).alias(f"_k{k}") for k in key], "_own", *[f"_d{i}" for i in range(len(cols))])
+    out = pairs.join(per, _and([F.col(k) == F.col(f"_k{k}") for k in key]), "left").join(base, F.col("sent_ord") == F.col("_so"), "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))  # noqa: E731  a one-word sentence scores nothing
+    for i, c in enumerate(cols):
+        out = out.withColumn(f"p_{c}", F.when(F.col(c).isNotNull(), zero("log2_prob") - zero("_own") + zero(f"_d{i}")))
+        out = out.withColumn(f"I_{c}", surprisal(F.col(f"p_{c}"), is_log=True))
+    out = out.withColumn("n_scored", F.coalesce("n_scored", F.lit(0)))
+    return out.drop("_so", "_own", "log2_prob", *[f"_d{i}" for i in range(len(cols))], *[f"_k{k}" for k in key])
+
+
+def ood_average(picks: DataFrame, model: NgramModel, key=("sent_ord", "match_id")) -> DataFrame:
     """Mean probability of each row's OOD pairs (scored in the row's
     own context) and the surprisal of that mean."""
     key = list(key)
+    cols = ("ood_form_grammatical", "ood_form_ungrammatical")
     # several picks per row: the pick number is part of the row key here
-    s = token_scores(picks, sentences, model, cols=("ood_form_grammatical", "ood_form_ungrammatical"),
-                     key=key + ["pick"])
-    agg = s.groupBy(*key).agg(F.avg("p_ood_form_grammatical").alias("ood_avg_p_grammatical"),
-                              F.avg("p_ood_form_ungrammatical").alias("ood_avg_p_ungrammatical"))
-    return agg.select(*key, "ood_avg_p_grammatical", "ood_avg_p_ungrammatical",
+    s = token_scores(picks, model, cols=cols, key=[*key, "pick"])
+    agg = s.groupBy(*key).agg(F.first("sentence_id").alias("sentence_id"), *[F.avg(f"p_{c}").alias(c.replace("ood_form", "ood_avg_p")) for c in cols])
+    return agg.select(*key, "sentence_id", "ood_avg_p_grammatical", "ood_avg_p_ungrammatical",
                       surprisal("ood_avg_p_grammatical").alias("ood_avg_I_grammatical"),
                       surprisal("ood_avg_p_ungrammatical").alias("ood_avg_I_ungrammatical"))
 
@@ -192,21 +238,24 @@ def evaluate(dataset: DataFrame, scorer_factory: Callable, task_type: str,
              order_cols=("sentence_id", "match_id")) -> DataFrame:
     """Score every row with a user model.
 
-    ``scorer_factory()`` is called once per Python worker and must return
-    an object with ``score(text, targets) -> list[float]`` (probabilities
-    at token level, log-probabilities at sentence level) and, for token
-    level, ``certainty(k) -> float``.  Text is ``masked_text`` for MLM and
-    for sentence-level NTP, ``prompt_text`` for token-level NTP."""
+    ``scorer_factory()`` is called once per Python worker and must return an
+    object with ``score_batch(texts, targets) -> scores``, where ``texts`` is a
+    list, ``targets`` a list of the targets of each text, and ``scores`` has a
+    list of numbers per text: probabilities at token level, log-probabilities at
+    sentence level.  At token level it returns ``(scores, certainties)`` and is
+    also given ``entropy_topk=``.  Text is ``masked_text`` for MLM and for
+    sentence-level NTP, ``prompt_text`` for token-level NTP.  ``row_limit``:
+    the first n rows by ``order_cols``; None for all, 0 is an error."""
     if task_type not in TASKS:
         raise ValueError(f"task_type must be one of {TASKS}")
     if evaluation_type not in LEVELS:
         raise ValueError(f"evaluation_type must be one of {LEVELS}")
     text_col = "prompt_text" if (task_type == "ntp" and evaluation_type == "token-level") else "masked_text"
     cols = list(evaluation_cols)
-    missing = [c for c in [text_col, *cols] if c not in dataset.columns]
-    if missing:
-        raise KeyError(f"missing column(s): {missing}")
-    if row_limit:                                                   # S7: the first n rows
+    require_columns(dataset, text_col, *cols)
+    if row_limit is not None and row_limit < 1:
+        raise ValueError(f"row_limit is {row_limit}: give None to score all rows")
+    if row_limit is not None:                                       # S7: the first n rows
         dataset = dataset.orderBy(*order_cols).limit(row_limit)
     token_level = evaluation_type == "token-level"
     out_fields = [T.StructField(f"p_{c}", T.DoubleType()) for c in cols]
@@ -217,17 +266,31 @@ def evaluate(dataset: DataFrame, scorer_factory: Callable, task_type: str,
     def run(batches):
         scorer = scorer_factory()
         for pdf in batches:
-            rows = []
-            for text, *targets in pdf[[text_col, *cols]].itertuples(index=False):
-                probs = list(scorer.score(text, list(targets)))
-                if token_level:
-                    probs.append(scorer.certainty(entropy_topk))
-                rows.append(probs)
-            import pandas as pd
-            res = pd.DataFrame(rows, columns=[f.name for f in out_fields], index=pdf.index)
-            yield pd.concat([pdf, res], axis=1)
+            texts, targets = pdf[text_col].tolist(), list(map(list, pdf[cols].itertuples(index=False, name=None)))
+            if token_level:
+                scores, sure = scorer.score_batch(texts, targets, entropy_topk=entropy_topk)
+                pdf["certainty"] = [float(x) for x in sure]
+            else:
+                scores = scorer.score_batch(texts, targets)
+            for i, c in enumerate(cols):
+                pdf[f"p_{c}"] = [float(x[i]) for x in scores]
+            yield pdf[[f.name for f in schema.fields]]
 
     scored = dataset.mapInPandas(run, schema)
     for c in cols:
         scored = scored.withColumn(f"I_{c}", surprisal(F.col(f"p_{c}"), is_log=not token_level))
     return scored
+
+
+def evaluate_file(spark, path: str, score: Callable[[DataFrame], DataFrame], out_path: str | None = None,
+                  fmt: str | None = None, targets=("form_grammatical", "form_ungrammatical")) -> DataFrame:
+    """Load a stored pair table (checked), score it, check that it was
+    scored, and store the result if ``out_path`` is given.  ``score`` maps the
+    table to the scored one: ``evaluate`` or ``token_scores`` with its options."""
+    from ..functions.metrics import require_scored
+
+    scored = require_scored(score(require_columns(tables.load_pairs(spark, path, fmt), *targets)), *targets)
+    if out_path is None:
+        return scored
+    tables.save_table(scored, out_path, fmt or "parquet")
+    return spark.read.parquet(out_path) if (fmt or "parquet") == "parquet" else tables.load_evaluation(spark, out_path, fmt)

@@ -16,16 +16,16 @@ d_lines AS (
 ),
 d_sent AS MATERIALIZED (
   SELECT 'd' || CAST(doc_id AS VARCHAR) || '-s' || CAST(ln AS VARCHAR) AS sid,
-         doc_id * 100000 + ln AS sent_ord, doc_id, lang, source, line AS text,
+         doc_id, ln, lang, source, line AS text,
          list_filter(string_split(line, ' '), lambda x: x <> '') AS forms,
-         (doc_id * 100000 + ln) % 3 = 0 AND len(list_filter(string_split(line, ' '), lambda x: x <> '')) >= 3 AS ranged
+         (doc_id + ln) % 3 = 0 AND len(list_filter(string_split(line, ' '), lambda x: x <> '')) >= 3 AS ranged
   FROM d_lines
 ),
 d_w AS (
-  SELECT sid, sent_ord, doc_id, ranged, unnest(forms) AS form, generate_subscripts(forms, 1) AS tid FROM d_sent
+  SELECT sid, doc_id, ln, ranged, unnest(forms) AS form, generate_subscripts(forms, 1) AS tid FROM d_sent
 ),
 d_tok0 AS (
-  SELECT sid, sent_ord, doc_id, ranged, tid, form,
+  SELECT sid, doc_id, ln, ranged, tid, form,
          CASE WHEN ranged AND tid >= 2 THEN tid ELSE tid - 1 END AS pos,
          lower(substr(form, 1, 4)) AS lemma,
          CASE length(form) % 3 WHEN 0 THEN 'VERB' WHEN 1 THEN 'NOUN' ELSE 'ADJ' END AS upos,
@@ -41,11 +41,11 @@ d_tok AS MATERIALIZED (
   FROM d_tok0
 ),
 d_rng AS (
-  SELECT sid, sent_ord, 1 AS pos, '2-3' AS id, forms[2] || ' ' || forms[3] AS form FROM d_sent WHERE ranged
+  SELECT sid, doc_id, ln, 1 AS pos, '2-3' AS id, forms[2] || ' ' || forms[3] AS form FROM d_sent WHERE ranged
 ),
 d_lex AS MATERIALIZED (
   SELECT sid AS sentence_id, tid - 1 AS token_id, form, lemma, upos, CAST(NULL AS VARCHAR) AS xpos,
-         cas AS feats__case, num AS feats__number, sent_ord, tid
+         cas AS feats__case, num AS feats__number, doc_id, ln, tid
   FROM d_tok WHERE form NOT IN ('.', ',', '!', '?', '*')
 )
 """
@@ -195,7 +195,7 @@ own AS (SELECT m.*, l.lemma, l.feats__case AS cas FROM mk m
         JOIN d_lex l ON l.sentence_id = m.sid AND l.token_id = m.tid - 1),
 idx AS MATERIALIZED (
   SELECT lemma, feats__case AS cas, feats__number AS num, """ + UP.format(f="form") + """ AS up,
-         arg_min(form, sent_ord * 100000 + tid) AS alt
+         first(form ORDER BY doc_id, ln, tid) AS alt
   FROM d_lex WHERE length(form) > 0 AND lemma IS NOT NULL GROUP BY ALL
 ),
 mp AS MATERIALIZED (
@@ -227,13 +227,15 @@ SQL["pair_vocabulary"] = w(DERIVED, EDGE_MATCHES) + PAIRS + "SELECT * FROM vocab
 
 SQL["ood_pairs"] = w(DERIVED, EDGE_MATCHES) + PAIRS + """,
 n AS (SELECT count(*) AS n FROM vocab),
+fit AS (SELECT list_filter([1, 3, 7, 11, 13, 17, 19, 23, 29, 31, 37, 41, 43, 47, 53, 59], lambda x: gcd(x, n - 1) = 1) AS f FROM n),
 ownp AS (
   SELECT m.sentence_id, m.match_id, v.pair_pos,
-         ('0x' || substr(md5(m.sentence_id || ':' || CAST(m.match_id AS VARCHAR) || ':7'), 1, 8))::BIGINT AS h
-  FROM mps m JOIN vocab v USING (form_grammatical, form_ungrammatical)
+         ('0x' || substr(md5(m.sentence_id || ':' || CAST(m.match_id AS VARCHAR) || ':7'), 1, 8))::BIGINT AS h,
+         fit.f[('0x' || substr(md5(m.sentence_id || ':' || CAST(m.match_id AS VARCHAR) || ':8'), 1, 8))::BIGINT % len(fit.f) + 1] AS st
+  FROM mps m JOIN vocab v USING (form_grammatical, form_ungrammatical), fit
 ),
 picks AS (
-  SELECT o.sentence_id, o.match_id, j AS pick, (o.pair_pos + 1 + ((o.h + j) % (n.n - 1))) % n.n AS p
+  SELECT o.sentence_id, o.match_id, j AS pick, (o.pair_pos + 1 + ((o.h + j * o.st) % (n.n - 1))) % n.n AS p
   FROM ownp o, n, range(0, 3) r(j)
 )
 SELECT p.sentence_id, p.match_id, p.pick, v.form_grammatical AS ood_form_grammatical,
@@ -297,7 +299,8 @@ R6 = "(round_even(({x}) * CAST(1000000 AS DOUBLE), 0) / CAST(1000000 AS DOUBLE))
 R2 = "(round_even(({x}) * CAST(100 AS DOUBLE), 0) / CAST(100 AS DOUBLE))"
 
 LI = """li AS (SELECT l_orderkey, l_linenumber, l_returnflag, l_linestatus, l_discount AS p_g, l_tax AS p_u,
-                 l_quantity / CAST(500 AS DOUBLE) AS p_u2 FROM lineitem)"""
+                 l_quantity / CAST(500 AS DOUBLE) AS p_u2, (l_discount + CAST(0.005 AS DOUBLE)) / CAST(1.01 AS DOUBLE) AS s_g,
+                 (l_tax + CAST(0.005 AS DOUBLE)) / CAST(1.01 AS DOUBLE) AS s_u FROM lineitem)"""
 
 SQL["surprisal"] = w(LI) + f"""
 SELECT l_orderkey, l_linenumber, p_g, p_u, {R6.format(x=I.format(p='p_g'))} AS I_g, {R6.format(x=I.format(p='p_u'))} AS I_u FROM li
@@ -305,14 +308,12 @@ SELECT l_orderkey, l_linenumber, p_g, p_u, {R6.format(x=I.format(p='p_g'))} AS I
 
 SQL["avg_surprisal"] = w(LI) + f"""
 SELECT {R2.format(x='avg(' + I.format(p='p_g') + ')')} AS avg_I_g, {R2.format(x='avg(' + I.format(p='p_u') + ')')} AS avg_I_u,
-       {R2.format(x='avg(' + I.format(p='p_g') + ') FILTER (WHERE p_g > 0 AND p_u > 0)')} AS avg_I_g_pos,
-       {R2.format(x='avg(' + I.format(p='p_u') + ') FILTER (WHERE p_g > 0 AND p_u > 0)')} AS avg_I_u_pos
+       {R2.format(x='avg(' + I.format(p='s_g') + ')')} AS avg_I_g_smooth, {R2.format(x='avg(' + I.format(p='s_u') + ')')} AS avg_I_u_smooth
 FROM li
 """
 
-POSAVG = w(LI) + f""", pos AS (SELECT {R2.format(x='avg(' + I.format(p='p_g') + ')')} AS g,
-                                     {R2.format(x='avg(' + I.format(p='p_u') + ')')} AS u
-                              FROM li WHERE p_g > 0 AND p_u > 0)"""
+POSAVG = w(LI) + f""", pos AS (SELECT {R2.format(x='avg(' + I.format(p='s_g') + ')')} AS g,
+                                     {R2.format(x='avg(' + I.format(p='s_u') + ')')} AS u FROM li)"""
 SQL["asd"] = POSAVG + f" SELECT {R2.format(x='u - g')} AS asd FROM pos"
 SQL["norm_asd"] = POSAVG + " SELECT CASE WHEN g <> 0 THEN round_even((u - g) / g, 0) END AS norm_asd FROM pos"
 
@@ -362,59 +363,66 @@ SELECT label, {R2.format(x='avg(' + R2.format(x='1.0::DOUBLE - h_k10 / ln(n)') +
 """
 
 # --- n-gram scoring --------------------------------------------------------------------
-NGRAM = """,
-bg AS MATERIALIZED (SELECT b.sid, b.tid, a.form AS prev, b.form AS w FROM d_tok a JOIN d_tok b ON b.sid = a.sid AND b.tid = a.tid + 1),
+BIGRAM = """,
+bg AS MATERIALIZED (SELECT sid, i + 1 AS tid, forms[i] AS prev, forms[i + 1] AS w FROM d_sent, unnest(range(1, len(forms))) AS u(i)),
 bc AS MATERIALIZED (SELECT prev, w, count(*) AS c FROM bg GROUP BY ALL),
-hist AS MATERIALIZED (SELECT prev, count(*) AS h FROM bg GROUP BY ALL),
-vv AS (SELECT CAST(count(DISTINCT form) AS DOUBLE) AS v FROM d_tok),
+hist AS MATERIALIZED (SELECT prev, sum(c) AS h, count(*) AS n, sum((c + CAST(0.1 AS DOUBLE)) * ln(c + CAST(0.1 AS DOUBLE))) AS s FROM bc GROUP BY prev),
+vv AS MATERIALIZED (SELECT CAST(count(DISTINCT f) AS DOUBLE) AS v FROM (SELECT unnest(forms) AS f FROM d_sent))
+"""
+TRIGRAM = """,
 tri AS MATERIALIZED (
-  SELECT t.sid, t.tid, coalesce(a.form, '<s>') AS l, t.form AS w, coalesce(b.form, '</s>') AS r
-  FROM d_tok t LEFT JOIN d_tok a ON a.sid = t.sid AND a.tid = t.tid - 1
-               LEFT JOIN d_tok b ON b.sid = t.sid AND b.tid = t.tid + 1
+  SELECT sid, i AS tid, CASE WHEN i > 1 THEN forms[i - 1] ELSE '<s>' END AS l, forms[i] AS w,
+         CASE WHEN i < len(forms) THEN forms[i + 1] ELSE '</s>' END AS r FROM d_sent, unnest(range(1, len(forms) + 1)) AS u(i)
 ),
 tc AS MATERIALIZED (SELECT l, w, r, count(*) AS c FROM tri GROUP BY ALL),
-th AS MATERIALIZED (SELECT l, r, count(*) AS h FROM tri GROUP BY ALL)
+th AS MATERIALIZED (SELECT l, r, sum(c) AS h FROM tc GROUP BY ALL),
+vv AS MATERIALIZED (SELECT CAST(count(DISTINCT f) AS DOUBLE) AS v FROM (SELECT unnest(forms) AS f FROM d_sent))
 """
-P = "((coalesce({c}, 0) + CAST(0.1 AS DOUBLE)) / (coalesce({h}, 0) + CAST(0.1 AS DOUBLE) * vv.v))"
+P = "((coalesce({c}, 0) + CAST(0.1 AS DOUBLE)) / (coalesce({h}, 0) + CAST(0.1 AS DOUBLE) * (SELECT v FROM vv)))"
 
-SQL["ngram_sentence_score"] = w(DERIVED) + NGRAM + f"""
+SQL["ngram_sentence_score"] = w(DERIVED) + BIGRAM + f"""
 SELECT bg.sid AS sentence_id, count(*) AS n_scored, {R6.format(x='sum(log2(' + P.format(c='bc.c', h='hist.h') + '))')} AS log2_prob
-FROM bg JOIN bc USING (prev, w) JOIN hist USING (prev), vv GROUP BY bg.sid
-"""
-
-TOKSCORE = """,
-ctx AS (
-  SELECT m.sentence_id, m.match_id, regexp_replace(m.form_grammatical, '^ ', '') AS g,
-         regexp_replace(m.form_ungrammatical, '^ ', '') AS u,
-         coalesce(a.form, '<s>') AS prev, coalesce(a.form, '<s>') AS l, coalesce(b.form, '</s>') AS r
-  FROM mps m LEFT JOIN d_tok a ON a.sid = m.sentence_id AND a.tid = m.match_id - 1
-             LEFT JOIN d_tok b ON b.sid = m.sentence_id AND b.tid = m.match_id + 1
-),
+FROM bg JOIN bc USING (prev, w) JOIN hist USING (prev) GROUP BY bg.sid
+"""
+
+# a target and its neighbours, from the sentence's own word list
+CTX = """,
+ctx AS MATERIALIZED (
+  SELECT m.sentence_id, m.match_id, s.lang, s.source, substr(m.form_grammatical, 2) AS g, substr(m.form_ungrammatical, 2) AS u,
+         CASE WHEN m.match_id > 1 THEN s.forms[m.match_id - 1] ELSE '<s>' END AS l,
+         CASE WHEN m.match_id < len(s.forms) THEN s.forms[m.match_id + 1] ELSE '</s>' END AS r
+  FROM mps m JOIN d_sent s ON s.sid = m.sentence_id
+)"""
+TOKSCORE = CTX + """,
 ntp AS (
-  SELECT c.sentence_id, c.match_id, """ + P.format(c="cg.c", h="h.h") + " AS pg, " + P.format(c="cu.c", h="h.h") + """ AS pu
-  FROM ctx c CROSS JOIN vv LEFT JOIN bc cg ON cg.prev = c.prev AND cg.w = c.g
-       LEFT JOIN bc cu ON cu.prev = c.prev AND cu.w = c.u LEFT JOIN hist h ON h.prev = c.prev
-),
+  SELECT c.sentence_id, c.match_id, c.lang, c.source, c.l, """ + P.format(c="cg.c", h="h.h") + " AS pg, " + P.format(c="cu.c", h="h.h") + """ AS pu
+  FROM ctx c LEFT JOIN bc cg ON cg.prev = c.l AND cg.w = c.g
+       LEFT JOIN bc cu ON cu.prev = c.l AND cu.w = c.u LEFT JOIN hist h ON h.prev = c.l
+)
+"""
+MASKSCORE = CTX + """,
 mlm AS (
   SELECT c.sentence_id, c.match_id, """ + P.format(c="cg.c", h="h.h") + " AS pg, " + P.format(c="cu.c", h="h.h") + """ AS pu
-  FROM ctx c CROSS JOIN vv LEFT JOIN tc cg ON cg.l = c.l AND cg.r = c.r AND cg.w = c.g
+  FROM ctx c LEFT JOIN tc cg ON cg.l = c.l AND cg.r = c.r AND cg.w = c.g
        LEFT JOIN tc cu ON cu.l = c.l AND cu.r = c.r AND cu.w = c.u LEFT JOIN th h ON h.l = c.l AND h.r = c.r
 )
 """
 TOKOUT = f"""SELECT sentence_id, match_id, {R6.format(x='pg')} AS p_form_grammatical, {R6.format(x='pu')} AS p_form_ungrammatical,
        {R6.format(x=I.format(p='pg'))} AS I_form_grammatical, {R6.format(x=I.format(p='pu'))} AS I_form_ungrammatical FROM """
-SQL["ngram_token_score"] = w(DERIVED, EDGE_MATCHES) + PAIRS + NGRAM + TOKSCORE + TOKOUT + "ntp"
-SQL["ngram_masked_score"] = w(DERIVED, EDGE_MATCHES) + PAIRS + NGRAM + TOKSCORE + TOKOUT + "mlm"
+SQL["ngram_token_score"] = w(DERIVED, EDGE_MATCHES) + PAIRS + BIGRAM + TOKSCORE + TOKOUT + "ntp"
+SQL["ngram_masked_score"] = w(DERIVED, EDGE_MATCHES) + PAIRS + TRIGRAM + MASKSCORE + TOKOUT + "mlm"
 
-SQL["ood_average"] = w(DERIVED, EDGE_MATCHES) + PAIRS + NGRAM + """,
+SQL["ood_average"] = w(DERIVED, EDGE_MATCHES) + PAIRS + BIGRAM + """,
 n AS (SELECT count(*) AS n FROM vocab),
+fit AS (SELECT list_filter([1, 3, 7, 11, 13, 17, 19, 23, 29, 31, 37, 41, 43, 47, 53, 59], lambda x: gcd(x, n - 1) = 1) AS f FROM n),
 ownp AS (
   SELECT m.sentence_id, m.match_id, v.pair_pos,
-         ('0x' || substr(md5(m.sentence_id || ':' || CAST(m.match_id AS VARCHAR) || ':7'), 1, 8))::BIGINT AS h
-  FROM mps m JOIN vocab v USING (form_grammatical, form_ungrammatical)
+         ('0x' || substr(md5(m.sentence_id || ':' || CAST(m.match_id AS VARCHAR) || ':7'), 1, 8))::BIGINT AS h,
+         fit.f[('0x' || substr(md5(m.sentence_id || ':' || CAST(m.match_id AS VARCHAR) || ':8'), 1, 8))::BIGINT % len(fit.f) + 1] AS st
+  FROM mps m JOIN vocab v USING (form_grammatical, form_ungrammatical), fit
 ),
 picks AS (
-  SELECT o.sentence_id, o.match_id, (o.pair_pos + 1 + ((o.h + j) % (n.n - 1))) % n.n AS p
+  SELECT o.sentence_id, o.match_id, (o.pair_pos + 1 + ((o.h + j * o.st) % (n.n - 1))) % n.n AS p
   FROM ownp o, n, range(0, 3) r(j)
 ),
 pk AS (
@@ -425,7 +433,7 @@ pk AS (
 ),
 sc AS (
   SELECT k.sentence_id, k.match_id, """ + P.format(c="cg.c", h="h.h") + " AS pg, " + P.format(c="cu.c", h="h.h") + """ AS pu
-  FROM pk k CROSS JOIN vv LEFT JOIN bc cg ON cg.prev = k.prev AND cg.w = k.g
+  FROM pk k LEFT JOIN bc cg ON cg.prev = k.prev AND cg.w = k.g
        LEFT JOIN bc cu ON cu.prev = k.prev AND cu.w = k.u LEFT JOIN hist h ON h.prev = k.prev
 ),
 av AS (SELECT sentence_id, match_id, avg(pg) AS ag, avg(pu) AS au FROM sc GROUP BY ALL)
@@ -434,8 +442,8 @@ SELECT sentence_id, match_id, """ + R6.format(x="ag") + " AS ood_avg_p_grammatic
 FROM av
 """
 
-SQL["metrics_by_group"] = w(DERIVED, EDGE_MATCHES) + PAIRS + NGRAM + TOKSCORE + """,
-g AS (SELECT s.lang, n.pg, n.pu FROM ntp n JOIN d_sent s ON s.sid = n.sentence_id),
+SQL["metrics_by_group"] = w(DERIVED, EDGE_MATCHES) + PAIRS + BIGRAM + TOKSCORE + """,
+g AS (SELECT lang, pg, pu FROM ntp),
 a AS (SELECT lang, count(*) AS n,
              coalesce(""" + R2.format(x="avg(CAST(coalesce(pg > pu, false) AS INTEGER))") + """, 0.0) AS accuracy,
              """ + R2.format(x="avg(" + I.format(p="pg") + ")") + """ AS avg_I_g,
@@ -453,10 +461,10 @@ lng AS (
   SELECT sentence_id, match_id, 'p_form_ungrammatical', 'ungrammatical', pu FROM ntp
 )
 """
-SQL["melt_long"] = w(DERIVED, EDGE_MATCHES) + PAIRS + NGRAM + TOKSCORE + LONG + f"""
+SQL["melt_long"] = w(DERIVED, EDGE_MATCHES) + PAIRS + BIGRAM + TOKSCORE + LONG + f"""
 SELECT sentence_id, match_id, source, x_label, {R6.format(x='prob')} AS prob, {R6.format(x=I.format(p='prob'))} AS surprisal FROM lng
 """
-SQL["surprisal_distribution"] = w(DERIVED, EDGE_MATCHES) + PAIRS + NGRAM + TOKSCORE + LONG + """,
+SQL["surprisal_distribution"] = w(DERIVED, EDGE_MATCHES) + PAIRS + BIGRAM + TOKSCORE + LONG + """,
 su AS (SELECT x_label, """ + I.format(p="prob") + """ AS s FROM lng)
 SELECT x_label, count(s) AS n, """ + ", ".join(R6.format(x=e) + f" AS {a}" for e, a in [
     ("min(s)", "min"), ("quantile_cont(s, 0.25)", "p25"), ("quantile_cont(s, 0.5)", "median"),
@@ -473,15 +481,86 @@ SELECT m.sid AS sentence_id, m.tid - 1 AS token_id, l.lemma, l.feats__number AS
 FROM mk m JOIN d_lex l ON l.sentence_id = m.sid AND l.token_id = m.tid - 1
 """
 
-SQL["metrics_rollup"] = w(DERIVED, EDGE_MATCHES) + PAIRS + NGRAM + TOKSCORE + """,
-g AS (SELECT s.lang, s.source, n.pg, n.pu FROM ntp n JOIN d_sent s ON s.sid = n.sentence_id)
+SQL["metrics_rollup"] = w(DERIVED, EDGE_MATCHES) + PAIRS + BIGRAM + TOKSCORE + """,
+g AS (SELECT lang, source, pg, pu FROM ntp)
 SELECT lang, source, count(*) AS n,
        coalesce(""" + R2.format(x="avg(CAST(coalesce(pg > pu, false) AS INTEGER))") + """, 0.0) AS accuracy,
        """ + R2.format(x=R2.format(x="avg(" + I.format(p="pu") + ")") + " - " + R2.format(x="avg(" + I.format(p="pg") + ")")) + """ AS asd
 FROM g GROUP BY ROLLUP (lang, source)
 """
 
-SQL["scores_row_limit"] = w(DERIVED, EDGE_MATCHES) + PAIRS + NGRAM + TOKSCORE + TOKOUT + """
+SQL["scores_row_limit"] = w(DERIVED, EDGE_MATCHES) + PAIRS + BIGRAM + TOKSCORE + TOKOUT + """
 (SELECT n.* FROM ntp n JOIN (SELECT sentence_id, match_id FROM mps ORDER BY sentence_id, match_id LIMIT 100) f
  USING (sentence_id, match_id))
 """
+
+SQL["histogram"] = w(DERIVED, EDGE_MATCHES) + PAIRS + BIGRAM + TOKSCORE + LONG + """
+SELECT x_label, CAST(floor(""" + I.format(p="prob") + """) AS BIGINT) AS bin, count(*) AS n FROM lng GROUP BY ALL
+"""
+
+# --- CoNLL-U text made from the derived treebank: every word tid % 4 = 0 gets a subtype ---------
+SUB = "CASE WHEN tid % 4 = 0 THEN deprel || ':x' ELSE deprel END"
+SQL["conllu_parse"] = w(DERIVED) + f"""
+SELECT sid AS sentence_id, pos, CAST(tid AS VARCHAR) AS id, tid, CAST(NULL AS INTEGER) AS range_from, CAST(NULL AS INTEGER) AS range_to, form, lemma,
+       upos, num AS feats__number, cas AS feats__case, head, {SUB} AS deprel FROM d_tok
+UNION ALL
+SELECT sid, pos, id, NULL, 2, 3, form, '_', NULL, NULL, NULL, NULL, NULL FROM d_rng
+"""
+SQL["conllu_two_files"] = w(DERIVED, EDGE_MATCHES.replace("n.deprel = 'nsubj'", "n.deprel = 'nsubj' AND n.tid % 4 <> 0")) + """
+SELECT regexp_replace(sid, '^.*-', '') AS sentence_id, tid AS match_id, form AS match_token, trim(text, ' ' || chr(9)) AS original_text,
+       substr(text, 1, CAST(off0 AS BIGINT)) || '[MASK]' || substr(text, CAST(off0 + length(form) + 1 AS BIGINT)) AS masked_text
+FROM surf WHERE NOT inside
+"""
+SQL["conllu_mixed_endings"] = SQL["lexicon_filter"]
+SQL["pattern_subtype"] = w(DERIVED) + """
+SELECT DISTINCT n.sid AS sentence_id, n.tid AS match_id FROM d_tok n JOIN d_tok v ON v.sid = n.sid AND v.tid = n.head
+WHERE n.upos = 'NOUN' AND v.upos = 'VERB' AND n.deprel = 'nsubj' AND n.tid % 4 = 0
+"""
+SQL["lexicon_nan"] = w(DERIVED) + """
+SELECT sentence_id, token_id, form, CASE WHEN lemma <> 'and' THEN lemma END AS lemma, upos, xpos, feats__case, feats__number FROM d_lex
+"""
+SQL["lexicon_csv_roundtrip"] = SQL["minimal_pairs"]
+SQL["masked_custom"] = SQL["masked_dataset"].replace("'[MASK]'", "'<mask>'")
+SQL["pairs_csv_roundtrip"] = SQL["minimal_pairs_spaced"]
+SQL["upos_override"] = w(DERIVED, EDGE_MATCHES) + PAIRS + """,
+vi AS (SELECT lemma, """ + UP.format(f="form") + """ AS up, first(form ORDER BY doc_id, ln, tid) AS alt
+       FROM d_lex WHERE upos = 'VERB' AND feats__number = 'Plur' AND feats__case IS NULL GROUP BY ALL)
+SELECT o.sid AS sentence_id, o.tid AS match_id, o.form AS form_grammatical, v.alt AS form_ungrammatical
+FROM own o JOIN vi v ON v.lemma = o.lemma AND v.up = """ + UP.format(f="o.form") + " WHERE v.alt <> o.form"
+SQL["ood_array"] = SQL["ood_pairs"].replace("SELECT p.sentence_id, p.match_id, p.pick, v.form_grammatical AS ood_form_grammatical,", "SELECT p.sentence_id, p.match_id, string_agg(v.form_grammatical || '>' ||").replace(
+    "       v.form_ungrammatical AS ood_form_ungrammatical\nFROM picks p JOIN vocab v ON v.pair_pos = p.p", "       v.form_ungrammatical, ';' ORDER BY p.pick) AS ood\nFROM picks p JOIN vocab v ON v.pair_pos = p.p GROUP BY ALL")
+SQL["evaluate_from_table"] = SQL["ngram_token_score"]
+SQL["many_targets"] = w(DERIVED, EDGE_MATCHES) + PAIRS + BIGRAM + TOKSCORE + f""",
+third AS (SELECT c.sentence_id, c.match_id, {P.format(c='b.c', h='h.h')} AS pl
+          FROM ctx c LEFT JOIN bc b ON b.prev = c.l AND b.w = lower(substr(c.g, 1, 4)) LEFT JOIN hist h ON h.prev = c.l)
+SELECT sentence_id, match_id, {R6.format(x='pg')} AS p_form_grammatical, {R6.format(x='pu')} AS p_form_ungrammatical, {R6.format(x='pl')} AS p_lemma
+FROM ntp JOIN third USING (sentence_id, match_id)
+"""
+CERT = "CAST(1 AS DOUBLE) - coalesce(ln(h.h + CAST(0.1 AS DOUBLE) * v.v) - (h.s + (v.v - h.n) * CAST(0.1 AS DOUBLE) * ln(CAST(0.1 AS DOUBLE))) / (h.h + CAST(0.1 AS DOUBLE) * v.v), ln(v.v)) / ln(v.v)"
+SQL["ngram_certainty"] = w(DERIVED, EDGE_MATCHES) + PAIRS + BIGRAM + TOKSCORE + f"""
+SELECT n.sentence_id, n.match_id, {R2.format(x=CERT)} AS certainty FROM ntp n LEFT JOIN hist h ON h.prev = n.l, vv v
+"""
+# every filled-in sentence is scored from its own word list
+FILL = """,
+fill AS (SELECT m.sentence_id, m.match_id, s.forms, list_concat(list_concat(s.forms[1:m.match_id - 1], [substr(m.form_ungrammatical, 2)]), s.forms[m.match_id + 1:]) AS uforms
+         FROM mps m JOIN d_sent s ON s.sid = m.sentence_id),
+steps AS (SELECT sentence_id, match_id, k, f[i] AS prev, f[i + 1] AS w
+          FROM (SELECT sentence_id, match_id, 'g' AS k, forms AS f FROM fill UNION ALL SELECT sentence_id, match_id, 'u', uforms FROM fill),
+               unnest(range(1, len(f))) AS t(i)),
+sums AS (SELECT sentence_id, match_id, k, count(*) AS n, sum(log2(""" + P.format(c="b.c", h="h.h") + """)) AS s
+         FROM steps x LEFT JOIN bc b ON b.prev = x.prev AND b.w = x.w LEFT JOIN hist h ON h.prev = x.prev GROUP BY ALL)
+"""
+SQL["ngram_sentence_pairs"] = w(DERIVED, EDGE_MATCHES) + PAIRS + BIGRAM + FILL + f"""
+SELECT m.sentence_id, m.match_id, coalesce(g.n, 0) AS n_scored, {R6.format(x='coalesce(g.s, 0)')} AS p_form_grammatical,
+       {R6.format(x='coalesce(u.s, 0)')} AS p_form_ungrammatical
+FROM mps m LEFT JOIN sums g ON g.sentence_id = m.sentence_id AND g.match_id = m.match_id AND g.k = 'g'
+     LEFT JOIN sums u ON u.sentence_id = m.sentence_id AND u.match_id = m.match_id AND u.k = 'u'
+"""
+SQL["evaluate_contract"] = w(DERIVED, EDGE_MATCHES) + PAIRS + f"""
+SELECT sentence_id, match_id, {R6.format(x='length(form_grammatical) / CAST(length(masked_text) AS DOUBLE)')} AS p_form_grammatical,
+       {R6.format(x='length(form_ungrammatical) / CAST(length(masked_text) AS DOUBLE)')} AS p_form_ungrammatical,
+       {R6.format(x='CAST(1 AS DOUBLE) / length(masked_text)')} AS certainty
+FROM mp
+"""
+
+SQL["pattern_edge_tokens"] = SQL["pattern_edge"]

@@ -13,23 +13,26 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import lexicon as L
-from ..functions.text import truncate_text
-from ..operators.mask import build_masked, mask_check
-from ..operators.pairs import minimal_pairs, ood_picks, override_feats, pair_vocabulary
 from ..functions import metrics as MT
+from ..functions.text import truncate_text
+from ..operators import lexicon as L
 from ..operators import score as S
-from ..operators.reshape import distribution, histogram, melt_long
-from ..plans.tasks import Task, run_summary, summary_one_pass, task_batch
+from ..operators.mask import build_masked, mask_check
+from ..operators.pairs import alternative_forms, lexicon_index, minimal_pairs, ood_picks, override_feats, pair_vocabulary, with_ood_pairs
 from ..operators.pattern import Pattern, match, match_in_row
+from ..operators.reshape import distribution, histogram, melt_long
+from ..plans.tasks import Task, run_summary, task_batch
 from ..session import ensure_checkpoint_dir
+from ..sources import tables
+from ..sources.conllu import parse_blocks, read_conllu
 from ..sources.derived import derived_treebank
-from ..sources.scan import exists, input_fingerprint, publish
-from ..sources.treebank import read_treebank
+from ..sources.scan import delete, input_fingerprint, publish, published
+from ..sources.treebank import Treebank, explode_tokens, read_treebank
 
 # Patterns used by the registered queries (fixed test definitions).
 P_NODE = Pattern(nodes={"V": {"upos": "VERB", "Number": "Sing"}})
 P_EDGE = Pattern(nodes={"V": {"upos": "VERB"}, "N": {"upos": "NOUN"}}, edges=[("V", "nsubj", "N")])
+P_SUBTYPE = Pattern(nodes={"V": {"upos": "VERB"}, "N": {"upos": "NOUN"}}, edges=[("V", "nsubj:x", "N")])
 P_CHAIN3 = Pattern(nodes={"V": {"upos": "VERB"}, "N": {"upos": "NOUN"}, "A": {"upos": "ADJ"}},
                    edges=[("V", "nsubj", "N"), ("N", "dep", "A")])
 P_WITHOUT = Pattern(nodes={"V": {"upos": "VERB"}, "N": {"upos": "NOUN"}}, edges=[("V", "nsubj", "N")],
@@ -42,47 +45,67 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 _MATERIALISED: dict = {}
-_LOCK = threading.Lock()
+_LOCK = threading.RLock()
 # bump when the stored layout of the derived treebank changes
-LAYOUT_VERSION = 2
+LAYOUT_VERSION = 3
 
 
-def treebank(spark: SparkSession, sf: str):
+def treebank(spark: SparkSession, sf: str) -> Treebank:
     """The derived treebank of ``sf``, parsed once per input version.
 
     The first query writes sentences and tokens as parquet into the shared
     checkpoint folder (keyed by the documents' path, size and mtime);
     every query then scans those tables, with column pruning and pushed
-    filters, instead of re-deriving them from the raw text."""
+    filters, instead of re-deriving them from the raw text.  A version is
+    named in a manifest once it is complete; one that fails is deleted."""
     docs = f"{sf}/documents.parquet"
     key = input_fingerprint(spark, docs)
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/treebank-v{LAYOUT_VERSION}-{key}"
-    memo = (spark.sparkContext.applicationId, path)
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/treebank-v{LAYOUT_VERSION}-{key}"
+    memo = (spark.sparkContext.applicationId, folder)
     with _LOCK:  # queries may be planned from several threads
-        tb = _MATERIALISED.get(memo)
-        if tb is None:
-            if not (exists(spark, f"{path}/tokens/_SUCCESS") and exists(spark, f"{path}/sentences/_SUCCESS")):
-                # write aside, then publish with one rename: concurrent
-                # sessions never read a half-written treebank
-                tmp = f"{path}.tmp-{uuid.uuid4().hex}"
-                derived_treebank(spark.read.parquet(docs)).write(tmp)
-                publish(spark, tmp, path)
-            tb = read_treebank(spark, path)
-            _MATERIALISED[memo] = tb
-    return tb
+        if memo not in _MATERIALISED:
+            path = published(spark, folder)
+            if path is None:
+                version = uuid.uuid4().hex
+                try:
+                    derived_treebank(spark.read.parquet(docs)).write(f"{folder}/{version}")
+                except BaseException:
+                    delete(spark, f"{folder}/{version}")
+                    raise
+                path = publish(spark, folder, version)
+            _MATERIALISED[memo] = read_treebank(spark, path)
+        return _MATERIALISED[memo]
 
 
-_VOCAB: dict = {}
+_SHARED: dict = {}
 
 
-def vocab(spark: SparkSession, sf: str) -> int:
-    """V of the derived treebank, counted once per session and input version."""
+def shared(spark: SparkSession, sf: str, name: str, make):
+    """``make(treebank)``, computed once per session and input version."""
     tb = treebank(spark, sf)
-    key = (spark.sparkContext.applicationId, id(tb))
+    key = (spark.sparkContext.applicationId, id(tb), name)
     with _LOCK:
-        if key not in _VOCAB:
-            _VOCAB[key] = S.vocab_size(tb.sentences)
-        return _VOCAB[key]
+        if key not in _SHARED:
+            _SHARED[key] = make(tb)
+        return _SHARED[key]
+
+
+def index(spark: SparkSession, sf: str):
+    return shared(spark, sf, "index", lambda tb: lexicon_index(L.lexicon(tb.tokens), names=DERIVED_FEATURES).stored())
+
+
+def vocab(spark: SparkSession, sf: str) -> int:
+    return shared(spark, sf, "vocab", lambda tb: S.vocab_size(tb.sentences))
+
+
+def bigram(spark: SparkSession, sf: str):
+    v = vocab(spark, sf)
+    return shared(spark, sf, "bigram", lambda tb: S.fit_bigram(tb.sentences, vocab=v).stored())
+
+
+def trigram(spark: SparkSession, sf: str):
+    v = vocab(spark, sf)
+    return shared(spark, sf, "trigram", lambda tb: S.fit_masked(tb.sentences, vocab=v).stored())
 
 
 def q_tokens_scan(spark, sf):
@@ -109,32 +132,37 @@ def q_candidate_set(spark, sf):
 
 def q_pattern_node(spark, sf):
     # a one-node pattern is a filter on the token table (no join, no shuffle)
-    return match(treebank(spark, sf).tokens, P_NODE, "V")
+    return match(treebank(spark, sf).tokens, P_NODE, "V").drop("sent_ord")
+
+
+def q_pattern_edge_tokens(spark, sf):
+    """The same pattern by joins of the token table (no sentence rows at hand)."""
+    return match(treebank(spark, sf).tokens, P_EDGE, "N").drop("sent_ord")
 
 
 def q_pattern_edge(spark, sf):
-    return match(treebank(spark, sf).tokens, P_EDGE, "N")
+    return match_in_row(treebank(spark, sf).sentences, P_EDGE, "N", keep="all").drop("sent_ord")
 
 
 def q_pattern_chain3(spark, sf):
-    return match(treebank(spark, sf).tokens, P_CHAIN3, "V")
+    return match_in_row(treebank(spark, sf).sentences, P_CHAIN3, "V", keep="all").drop("sent_ord")
 
 
 def q_pattern_without(spark, sf):
-    return match(treebank(spark, sf).tokens, P_WITHOUT, "N")
+    return match_in_row(treebank(spark, sf).sentences, P_WITHOUT, "N", keep="all").drop("sent_ord")
 
 
 def q_match_last(spark, sf):
-    return match(treebank(spark, sf).tokens, P_EDGE, "N", keep="last")
+    return match_in_row(treebank(spark, sf).sentences, P_EDGE, "N", keep="last").drop("sent_ord")
 
 
 def q_match_all(spark, sf):
-    return match(treebank(spark, sf).tokens, P_EDGE, "V", keep="all")
+    return match_in_row(treebank(spark, sf).sentences, P_EDGE, "V", keep="all").drop("sent_ord")
 
 
 def _mask(spark, sf, legacy=False, mask="[MASK]"):
     tb = treebank(spark, sf)
-    return build_masked(tb.sentences, P_EDGE, "N", mask_token=mask, keep="last", legacy=legacy, tokens=tb.tokens)
+    return build_masked(tb.sentences, P_EDGE, "N", mask_token=mask, keep="last", legacy=legacy)
 
 
 def _exc_flat(df):
@@ -165,41 +193,138 @@ OVERRIDE = {"number": "Plur"}
 OOD_K, OOD_SEED = 3, 7
 
 
+PAIR_COLUMNS = ["sentence_id", "match_id", "form_grammatical", "original_text", "masked_text", "form_ungrammatical"]
+
+
 def _pairs(spark, sf, leading_space=False):
-    tb = treebank(spark, sf)
-    masked = build_masked(tb.sentences, P_EDGE, "N", tokens=tb.tokens).masked
-    return minimal_pairs(masked, L.lexicon(tb.tokens), OVERRIDE, leading_space=leading_space,
-                         names=DERIVED_FEATURES)
+    """The minimal pairs with their context columns."""
+    return minimal_pairs(_mask(spark, sf).masked_with_context, L.lexicon(treebank(spark, sf).tokens), OVERRIDE,
+                         leading_space=leading_space, index=index(spark, sf))
 
 
 def q_feature_override(spark, sf):
-    tb = treebank(spark, sf)
-    lex = L.lexicon(tb.tokens)
-    t = match(tb.tokens, P_EDGE, "N", keep="last")
-    own = lex.select("sentence_id", (F.col("token_id") + 1).alias("match_id"),
-                     override_feats(F.col("feats"), OVERRIDE).alias("alt"))
-    return t.join(own, ["sentence_id", "match_id"]).select(
-        "sentence_id", "match_id", F.col("alt")["number"].alias("alt_number"), F.col("alt")["case"].alias("alt_case"))
+    t = _mask(spark, sf).frame.where(~F.col("match_token").isin(L.LEXICON_EXCLUDED_FORMS))
+    alt = t.select("sentence_id", "match_id", override_feats(F.col("feats"), OVERRIDE).alias("alt"))
+    return alt.select("sentence_id", "match_id", F.col("alt")["number"].alias("alt_number"), F.col("alt")["case"].alias("alt_case"))
 
 
 def q_minimal_pairs(spark, sf):
-    return _pairs(spark, sf, leading_space=False)
+    return _pairs(spark, sf, leading_space=False).select(*PAIR_COLUMNS)
 
 
 def q_minimal_pairs_spaced(spark, sf):
-    return _pairs(spark, sf, leading_space=True)
+    return _pairs(spark, sf, leading_space=True).select(*PAIR_COLUMNS)
 
 
 def q_pair_vocabulary(spark, sf):
     return pair_vocabulary(_pairs(spark, sf, leading_space=True))
 
 
+def _ood(spark, sf, carry=()):
+    return ood_picks(_pairs(spark, sf, leading_space=True), OOD_K, OOD_SEED, carry=carry)
+
+
 def q_ood_pairs(spark, sf):
-    return ood_picks(_pairs(spark, sf, leading_space=True), OOD_K, OOD_SEED)
+    return _ood(spark, sf)
+
+
+def q_ood_array(spark, sf):
+    """E6 in its array form, shown as text."""
+    d = with_ood_pairs(_pairs(spark, sf, leading_space=True).select(*PAIR_COLUMNS), OOD_K, OOD_SEED)
+    text = F.transform("ood_minimal_pairs", lambda x: F.concat(x["form_grammatical"], F.lit(">"), x["form_ungrammatical"]))
+    return d.select("sentence_id", "match_id", F.array_join(text, ";").alias("ood"))
+
+
+def q_upos_override(spark, sf):
+    """A verb of the same lemma, plural and without case."""
+    lex = L.lexicon(treebank(spark, sf).tokens)
+    found = alternative_forms(_mask(spark, sf).masked_with_context, lex, {"number": "Plur", "case": None}, {"upos": "VERB"}, names=DERIVED_FEATURES)
+    found = found.where("form_ungrammatical <> match_token")
+    return found.select("sentence_id", "match_id", F.col("match_token").alias("form_grammatical"), "form_ungrammatical")
+
+
+def q_masked_custom(spark, sf):
+    return _mask(spark, sf, mask="<mask>").masked
+
+
+def q_lexicon_nan(spark, sf):
+    """The word "nan" is read as missing (here a lemma renamed to it)."""
+    t = treebank(spark, sf).tokens.withColumn("lemma", F.when(F.col("lemma") == "and", "nan").otherwise(F.col("lemma")))
+    return L.wide(L.lexicon(t, legacy_nan=True), DERIVED_FEATURES)
+
+
+# --- CoNLL-U text made from the derived treebank, then parsed by the source ---------------
+
+def _scratch(spark, name: str) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def conllu_blocks(sentences: DataFrame, sid) -> DataFrame:
+    """(doc_id, value): one CoNLL-U block per sentence; every fourth word's relation gets a subtype."""
+    def line(t):
+        pairs = F.transform(F.array_sort(F.map_entries(t["feats"])), lambda e: F.concat(F.initcap(e["key"]), F.lit("="), e["value"]))
+        rel = F.when(t["tid"] % 4 == 0, F.concat(t["deprel"], F.lit(":x"))).otherwise(t["deprel"])
+        or_none = lambda c: F.coalesce(c.cast("string"), F.lit("_"))
+        feats = F.when(F.size(pairs) > 0, F.array_join(pairs, "|")).otherwise("_")
+        return F.concat_ws("\t", t["id"], t["form"], or_none(t["lemma"]), or_none(t["upos"]), F.lit("_"), feats, or_none(t["head"]), or_none(rel), F.lit("_"), F.lit("_"))
+    head = F.array(F.concat(F.lit("# sent_id = "), sid), F.concat(F.lit("# text = "), F.col("text")))
+    return sentences.select("doc_id", F.array_join(F.concat(head, F.transform("tokens", line)), "\n").alias("value"))
+
+
+def q_conllu_parse(spark, sf):
+    blocks = conllu_blocks(treebank(spark, sf).sentences, F.col("sid")).select("value", F.monotonically_increasing_id().alias("sent_ord"))
+    t = explode_tokens(parse_blocks(blocks))
+    return t.select(F.col("sid").alias("sentence_id"), "pos", "id", "tid", "range_from", "range_to", "form", "lemma", "upos",
+                    F.col("feats")["number"].alias("feats__number"), F.col("feats")["case"].alias("feats__case"), "head", "deprel")
+
+
+def _conllu_files(spark, blocks: DataFrame, endings: tuple[str, str], folders: tuple[str, str]) -> None:
+    """Blocks of even documents go to the first folder, of odd ones to the second, each with its own line ending."""
+    for k, (end, folder) in enumerate(zip(endings, folders)):
+        text = blocks.where(F.col("doc_id") % 2 == k).select(F.replace("value", F.lit("\n"), F.lit(end)).alias("value"))
+        text.write.mode("append").option("lineSep", end + end).text(folder)
+
+
+def q_conllu_two_files(spark, sf):
+    """A2: sentence ids restart in every document, so both folders hold the same ones many times."""
+    base = _scratch(spark, "conllu")
+    sid = F.regexp_replace("sid", "^.*-", "")
+    _conllu_files(spark, conllu_blocks(treebank(spark, sf).sentences, sid), ("\n", "\n"), (f"{base}/a", f"{base}/b"))
+    return build_masked(read_conllu(spark, [f"{base}/a", f"{base}/b"]).sentences, P_EDGE, "N").masked
+
+
+def q_conllu_mixed_endings(spark, sf):
+    """Files with LF and files with CRLF line ends in one folder."""
+    base = _scratch(spark, "conllu")
+    _conllu_files(spark, conllu_blocks(treebank(spark, sf).sentences, F.col("sid")), ("\n", "\r\n"), (base, base))
+    return L.wide(L.lexicon(read_conllu(spark, base).tokens), DERIVED_FEATURES)
+
+
+def q_pattern_subtype(spark, sf):
+    """A label with a subtype matches that subtype only."""
+    blocks = conllu_blocks(treebank(spark, sf).sentences, F.col("sid")).select("value", F.monotonically_increasing_id().alias("sent_ord"))
+    return match_in_row(parse_blocks(blocks), P_SUBTYPE, "N").drop("sent_ord")
+
+
+# --- tables written and read back ---------------------------------------------------------
+
+def q_pairs_csv_roundtrip(spark, sf):
+    path = _scratch(spark, "pairs") + "/pairs.csv"
+    tables.save_table(q_minimal_pairs_spaced(spark, sf), path, "csv")
+    return tables.load_pairs(spark, path)
+
+
+def q_lexicon_csv_roundtrip(spark, sf):
+    """Pairs found with a lexicon that was saved as CSV and loaded again: the same ones."""
+    path = _scratch(spark, "lexicon") + "/lexicon.csv"
+    tables.save_lexicon(L.lexicon(treebank(spark, sf).tokens), path, "csv")
+    lex = tables.load_lexicon(spark, path)
+    mp = minimal_pairs(_mask(spark, sf).masked_with_context, lex, OVERRIDE, leading_space=False, names=L.collect_feature_names(lex))
+    return mp.select(*PAIR_COLUMNS)
 
 
 def q_run_summary(spark, sf):
-    return summary_one_pass(treebank(spark, sf), Task("nsubj_noun_number", P_EDGE, "N", OVERRIDE))
+    return run_summary(treebank(spark, sf), Task("nsubj_noun_number", P_EDGE, "N", OVERRIDE), DERIVED_FEATURES, index(spark, sf))
 
 
 TASKS = [
@@ -210,7 +335,7 @@ TASKS = [
 
 
 def q_task_batch(spark, sf):
-    return task_batch(treebank(spark, sf), TASKS)
+    return task_batch(treebank(spark, sf), TASKS, DERIVED_FEATURES, index(spark, sf))
 
 
 def q_mask_check(spark, sf):
@@ -235,11 +360,10 @@ def r6(c):
 def _li(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus",
                                                F.col("l_discount").alias("p_g"), F.col("l_tax").alias("p_u"),
-                                               (F.col("l_quantity") / F.lit(500.0)).alias("p_u2"))
-
-
-def _pos(df):
-    return df.where((F.col("p_g") > 0) & (F.col("p_u") > 0))
+                                               (F.col("l_quantity") / F.lit(500.0)).alias("p_u2"),
+                                               # never 0, so means over all rows are finite
+                                               ((F.col("l_discount") + F.lit(0.005)) / F.lit(1.01)).alias("s_g"),
+                                               ((F.col("l_tax") + F.lit(0.005)) / F.lit(1.01)).alias("s_u"))
 
 
 def q_surprisal(spark, sf):
@@ -249,19 +373,16 @@ def q_surprisal(spark, sf):
 
 
 def q_avg_surprisal(spark, sf):
-    d = _li(spark, sf)
-    pos = (F.col("p_g") > 0) & (F.col("p_u") > 0)
-    return d.agg(MT.avg_surprisal("p_g").alias("avg_I_g"), MT.avg_surprisal("p_u").alias("avg_I_u"),
-                 MT.round_half_even(F.avg(F.when(pos, MT.surprisal("p_g")))).alias("avg_I_g_pos"),
-                 MT.round_half_even(F.avg(F.when(pos, MT.surprisal("p_u")))).alias("avg_I_u_pos"))
+    return _li(spark, sf).agg(MT.avg_surprisal("p_g").alias("avg_I_g"), MT.avg_surprisal("p_u").alias("avg_I_u"),
+                              MT.avg_surprisal("s_g").alias("avg_I_g_smooth"), MT.avg_surprisal("s_u").alias("avg_I_u_smooth"))
 
 
 def q_asd(spark, sf):
-    return _pos(_li(spark, sf)).agg(MT.avg_surprisal_difference("p_g", "p_u").alias("asd"))
+    return _li(spark, sf).agg(MT.avg_surprisal_difference("s_g", "s_u").alias("asd"))
 
 
 def q_norm_asd(spark, sf):
-    return _pos(_li(spark, sf)).agg(MT.norm_avg_surprisal_difference("p_g", "p_u").alias("norm_asd"))
+    return _li(spark, sf).agg(MT.norm_avg_surprisal_difference("s_g", "s_u").alias("norm_asd"))
 
 
 def q_predictions(spark, sf):
@@ -306,18 +427,13 @@ def q_avg_certainty(spark, sf):
 
 # --- n-gram scoring on the derived treebank ---------------------------------------------
 
-def _scored_pairs(spark, sf, order=2):
-    tb = treebank(spark, sf)
-    masked = build_masked(tb.sentences, P_EDGE, "N", tokens=tb.tokens).masked
-    mp = minimal_pairs(masked, L.lexicon(tb.tokens), OVERRIDE, leading_space=True, names=DERIVED_FEATURES)
-    v = vocab(spark, sf)
-    model = S.fit_bigram(tb.sentences, vocab=v) if order == 2 else S.fit_masked(tb.sentences, vocab=v)
-    return tb, mp, model
+def _scored(spark, sf, order=2):
+    """Minimal pairs with token scores; they carry their own context, so no sentence is joined."""
+    return S.token_scores(_pairs(spark, sf, leading_space=True), (bigram if order == 2 else trigram)(spark, sf))
 
 
 def q_ngram_sentence_score(spark, sf):
-    tb = treebank(spark, sf)
-    s = S.sentence_scores(tb.sentences, S.fit_bigram(tb.sentences, vocab=vocab(spark, sf)))
+    s = S.sentence_scores(treebank(spark, sf).sentences, bigram(spark, sf))
     return s.select("sentence_id", "n_scored", r6("log2_prob").alias("log2_prob"))
 
 
@@ -327,37 +443,63 @@ def _token_out(df):
 
 
 def q_ngram_token_score(spark, sf):
-    tb, mp, model = _scored_pairs(spark, sf, 2)
-    return _token_out(S.token_scores(mp, tb.sentences, model))
+    return _token_out(_scored(spark, sf, 2))
 
 
 def q_ngram_masked_score(spark, sf):
-    tb, mp, model = _scored_pairs(spark, sf, 3)
-    return _token_out(S.token_scores(mp, tb.sentences, model))
+    return _token_out(_scored(spark, sf, 3))
+
+
+def q_ngram_certainty(spark, sf):
+    return _scored(spark, sf).select("sentence_id", "match_id", "certainty")
+
+
+def q_ngram_sentence_pairs(spark, sf):
+    """Each target filled into its sentence, whole sentences compared."""
+    s = S.sentence_pair_scores(_pairs(spark, sf, leading_space=True), treebank(spark, sf).sentences, bigram(spark, sf))
+    return s.select("sentence_id", "match_id", "n_scored", r6("p_form_grammatical").alias("p_form_grammatical"),
+                    r6("p_form_ungrammatical").alias("p_form_ungrammatical"))
+
+
+def q_many_targets(spark, sf):
+    """Three target columns in one lookup."""
+    mp = _pairs(spark, sf, leading_space=True)
+    s = S.token_scores(mp, bigram(spark, sf), cols=("form_grammatical", "form_ungrammatical", "lemma"))
+    return s.select("sentence_id", "match_id", *[r6(f"p_{c}").alias(f"p_{c}") for c in ("form_grammatical", "form_ungrammatical", "lemma")])
+
+
+def q_evaluate_from_table(spark, sf):
+    """Pairs stored, loaded, checked, scored, stored and read again."""
+    path = _scratch(spark, "evaluation")
+    tables.save_table(_pairs(spark, sf, leading_space=True), f"{path}/pairs")
+    return _token_out(S.evaluate_file(spark, f"{path}/pairs", lambda df: S.token_scores(df, bigram(spark, sf)), f"{path}/scores"))
+
+
+def q_evaluate_contract(spark, sf):
+    """S1/S3 with a scorer object whose numbers SQL can state: lengths of target and text."""
+    def factory():
+        class Lengths:
+            def score_batch(self, texts, targets, entropy_topk=None):
+                return [[len(w) / len(t) for w in ws] for t, ws in zip(texts, targets)], [1.0 / len(t) for t in texts]
+        return Lengths()
+
+    s = S.evaluate(q_minimal_pairs(spark, sf), factory, "mlm")
+    return s.select("sentence_id", "match_id", *[r6(c).alias(c) for c in ("p_form_grammatical", "p_form_ungrammatical", "certainty")])
 
 
 def q_ood_average(spark, sf):
-    tb, mp, model = _scored_pairs(spark, sf, 2)
-    o = S.ood_average(ood_picks(mp, OOD_K, OOD_SEED), tb.sentences, model)
-    return o.select("sentence_id", "match_id", *[r6(c).alias(c) for c in o.columns[2:]])
+    o = S.ood_average(_ood(spark, sf, carry=["sent_ord", "prev_word", "next_word"]), bigram(spark, sf))
+    return o.select("sentence_id", "match_id", *[r6(c).alias(c) for c in o.columns if c.startswith("ood_")])
 
 
 def q_metrics_by_group(spark, sf):
-    tb, mp, model = _scored_pairs(spark, sf, 2)
-    sc = S.token_scores(mp, tb.sentences, model)
-    lang = tb.sentences.select(F.col("sid").alias("sentence_id"), "lang")
-    g, u = "p_form_grammatical", "p_form_ungrammatical"
-    return sc.join(lang, "sentence_id").groupBy("lang").agg(
-        F.count(F.lit(1)).alias("n"), MT.accuracy(g, u).alias("accuracy"),
-        MT.avg_surprisal(g).alias("avg_I_g"), MT.avg_surprisal(u).alias("avg_I_u"),
-        MT.avg_surprisal_difference(g, u).alias("asd"), MT.norm_avg_surprisal_difference(g, u).alias("norm_asd"))
+    lang = treebank(spark, sf).sentences.select("sent_ord", "lang")
+    return MT.pair_metrics(_scored(spark, sf).join(lang, "sent_ord"), by=["lang"])
 
 
 def _long(spark, sf):
-    tb, mp, model = _scored_pairs(spark, sf, 2)
-    sc = S.token_scores(mp, tb.sentences, model)
-    return melt_long(sc, ["sentence_id", "match_id"], ["p_form_grammatical", "p_form_ungrammatical"],
-                     ["grammatical", "ungrammatical"])
+    return melt_long(_scored(spark, sf), ["sentence_id", "match_id"], ["p_form_grammatical", "p_form_ungrammatical"],
+                     ["grammatical", "ungrammatical"], pair_col="form_ungrammatical")
 
 
 def q_melt_long(spark, sf):
@@ -371,7 +513,7 @@ def q_surprisal_distribution(spark, sf):
 
 
 def q_histogram(spark, sf):
-    return histogram(_long(spark, sf))
+    return histogram(_long(spark, sf), width=1.0)
 
 
 def q_morph_features(spark, sf):
@@ -382,8 +524,7 @@ def q_morph_features(spark, sf):
 def q_feature_lookup(spark, sf):
     """C11: lemma and features of every masked target, by key join."""
     tb = treebank(spark, sf)
-    masked = build_masked(tb.sentences, P_EDGE, "N", tokens=tb.tokens).masked
-    keys = masked.select("sentence_id", (F.col("match_id") - 1).alias("token_id"))
+    keys = _mask(spark, sf).masked_with_context.select("sent_ord", (F.col("match_id") - 1).alias("token_id"))
     got = L.lookup(L.lexicon(tb.tokens), keys)
     return got.select("sentence_id", "token_id", "lemma", F.col("feats")["number"].alias("number"),
                       F.col("feats")["case"].alias("case"))
@@ -391,11 +532,10 @@ def q_feature_lookup(spark, sf):
 
 def q_metrics_rollup(spark, sf):
     """M12 with subtotals: per (lang, source), per lang and overall."""
-    tb, mp, model = _scored_pairs(spark, sf, 2)
-    sc = S.token_scores(mp, tb.sentences, model)
-    meta = tb.sentences.select(F.col("sid").alias("sentence_id"), "lang", "source")
+    sc = _scored(spark, sf)
+    meta = treebank(spark, sf).sentences.select("sent_ord", "lang", "source")
     g, u = "p_form_grammatical", "p_form_ungrammatical"
-    return sc.join(meta, "sentence_id").rollup("lang", "source").agg(
+    return sc.join(meta, "sent_ord").rollup("lang", "source").agg(
         F.count(F.lit(1)).alias("n"), MT.accuracy(g, u).alias("accuracy"),
         MT.avg_surprisal_difference(g, u).alias("asd"))
 
@@ -403,57 +543,8 @@ def q_metrics_rollup(spark, sf):
 def q_scores_row_limit(spark, sf):
     """The first 100 pairs in key order are scored (the limit is the
     feature: evaluation of a sample of the dataset)."""
-    tb, mp, model = _scored_pairs(spark, sf, 2)
-    first = mp.orderBy("sentence_id", "match_id").limit(100)
-    return _token_out(S.token_scores(first, tb.sentences, model))
-
-
-QUERIES = {
-    "tokens_scan": q_tokens_scan,
-    "lexicon_filter": q_lexicon_filter,
-    "feature_names": q_feature_names,
-    "candidate_set": q_candidate_set,
-    "pattern_node": q_pattern_node,
-    "pattern_edge": q_pattern_edge,
-    "pattern_chain3": q_pattern_chain3,
-    "pattern_without": q_pattern_without,
-    "match_last": q_match_last,
-    "match_all": q_match_all,
-    "masked_dataset": q_masked_dataset,
-    "exception_dataset": q_exception_dataset,
-    "prompt_dataset": q_prompt_dataset,
-    "masked_legacy": q_masked_legacy,
-    "exception_legacy": q_exception_legacy,
-    "feature_override": q_feature_override,
-    "minimal_pairs": q_minimal_pairs,
-    "minimal_pairs_spaced": q_minimal_pairs_spaced,
-    "pair_vocabulary": q_pair_vocabulary,
-    "ood_pairs": q_ood_pairs,
-    "run_summary": q_run_summary,
-    "task_batch": q_task_batch,
-    "mask_check": q_mask_check,
-    "truncate_display": q_truncate_display,
-    "surprisal": q_surprisal,
-    "avg_surprisal": q_avg_surprisal,
-    "asd": q_asd,
-    "norm_asd": q_norm_asd,
-    "predictions": q_predictions,
-    "accuracy": q_accuracy,
-    "accuracy_multi": q_accuracy_multi,
-    "classification_summary": q_classification_summary,
-    "entropy_topk": q_entropy_topk,
-    "certainty": q_certainty,
-    "avg_certainty": q_avg_certainty,
-    "ngram_sentence_score": q_ngram_sentence_score,
-    "ngram_token_score": q_ngram_token_score,
-    "ngram_masked_score": q_ngram_masked_score,
-    "ood_average": q_ood_average,
-    "metrics_by_group": q_metrics_by_group,
-    "melt_long": q_melt_long,
-    "surprisal_distribution": q_surprisal_distribution,
-    "histogram": q_histogram,
-    "morph_features": q_morph_features,
-    "feature_lookup": q_feature_lookup,
-    "metrics_rollup": q_metrics_rollup,
-    "scores_row_limit": q_scores_row_limit,
-}
+    first = _pairs(spark, sf, leading_space=True).orderBy("sentence_id", "match_id").limit(100)
+    return _token_out(S.token_scores(first, bigram(spark, sf)))
+
+
+QUERIES = {name[2:]: f for name, f in list(globals().items()) if name.startswith("q_")}

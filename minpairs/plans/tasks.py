@@ -1,8 +1,8 @@
 """Run summaries and multi-task batches.
 
 A task is one (pattern, target, override) configuration.  All tasks run
-over one token table; their yields are tagged with the task name and
-folded in a single ``groupBy`` -- one job for the whole batch.
+over one pass of the sentences; their yields are tagged with the task name
+and folded in a single ``groupBy``.
 """
 
 from __future__ import annotations
@@ -13,11 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import lexicon as L
-from ..operators.mask import build_masked
-from ..operators.pairs import alternative_forms, lexicon_index, minimal_pairs
-from ..session import cut_lineage
-from ..operators.pattern import Pattern, match
-from ..sources.treebank import Treebank
+from ..operators.mask import aligned
+from ..operators.pairs import LexiconIndex, alternative_forms, lexicon_index, override_feats
+from ..operators.pattern import Pattern, target_ids_in_row
+from ..sources.treebank import Treebank, with_alignment_columns
 
 
 @dataclass(frozen=True)
@@ -31,68 +30,65 @@ class Task:
     legacy: bool = False
 
 
-def task_outputs(tb: Treebank, task: Task, lex: DataFrame | None = None, names: list[str] | None = None,
-                 index: DataFrame | None = None):
-    """(masked, exceptions, pairs) of one task."""
-    lex = lex if lex is not None else L.lexicon(tb.tokens)
-    # matches come from the token table (a filter or joins, no token arrays)
-    m = match(tb.tokens, task.pattern, task.target, keep=task.keep)
-    r = build_masked(tb.sentences, matches=m, legacy=task.legacy)
-    pairs = minimal_pairs(r.masked, lex, task.morph, leading_space=task.leading_space, names=names, index=index)
-    return r.masked, r.exceptions, pairs
+def _rows(tb: Treebank, tasks: list[Task], lex: DataFrame, names: list[str], index: LexiconIndex) -> DataFrame:
+    """(task_name, _ok, _pair) per target of every task.
+
+    All tasks match inside the sentence row, in one pass: a sentence yields its
+    (task, target) structs, which are aligned together.  The alternative's
+    features differ per task, so the override is a conditional on the task name;
+    one join with the index serves all."""
+    sentences = with_alignment_columns(tb.sentences)
+    parts = []
+    for legacy in sorted({t.legacy for t in tasks}):
+        mine = [t for t in tasks if t.legacy == legacy]
+        tagged = sentences.withColumn("_tagged", F.concat(*[_tagged(t) for t in mine])).withColumn("_targets", F.array_distinct(F.transform("_tagged", lambda x: x["id"])))
+        parts.append(aligned(tagged, legacy=legacy, targets_ready=True, carry=["_tagged"]))
+    al = parts[0]
+    for x in parts[1:]:
+        al = al.unionByName(x)
+    per = al.withColumn("_task", F.explode_outer(F.filter("_tagged", lambda x: x["id"] == F.col("match_id")))).where(F.col("_task").isNotNull())
+    per = per.withColumn("task_name", F.col("_task.task"))
+    feats = F.col("feats")
+    for t in tasks:
+        feats = F.when(F.col("task_name") == t.name, override_feats(F.col("feats"), t.morph)).otherwise(feats)
+    alt = alternative_forms(per.withColumn("feats", feats), lex, {}, names=names, index=index)
+    ok = F.col("reason").isNull()
+    is_pair = ok & F.col("form_ungrammatical").isNotNull() & (F.col("form_ungrammatical") != F.col("match_token"))
+    return alt.select("task_name", ok.alias("_ok"), is_pair.alias("_pair"))
 
 
-def run_summary(masked: DataFrame, exceptions: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Targets (= masked + exceptions), masked, exceptions, pairs --
-    one aggregation over a tagged union."""
-    tagged = (masked.select(F.lit("m").alias("k"))
-              .unionByName(exceptions.select(F.lit("e").alias("k")))
-              .unionByName(pairs.select(F.lit("p").alias("k"))))
-    c = lambda v: F.count(F.when(F.col("k") == v, 1))
-    return tagged.agg((c("m") + c("e")).alias("targets"), c("m").alias("masked"),
-                      c("e").alias("exceptions"), c("p").alias("pairs"))
+def _tagged(t: Task):
+    return F.transform(target_ids_in_row(t.pattern, t.target, t.keep), lambda i: F.struct(F.lit(t.name).alias("task"), i.alias("id")))
 
 
-def summary_one_pass(tb: Treebank, task: Task) -> DataFrame:
-    """D7 for one task in a single pass over its aligned targets."""
+def _checked(tb: Treebank, tasks: list[Task], names: list[str] | None) -> tuple[DataFrame, list[str]]:
+    if len({t.name for t in tasks}) != len(tasks):
+        raise ValueError("task names must be unique")
     lex = L.lexicon(tb.tokens)
-    names = L.collect_feature_names(lex)
-    rows = _task_rows(tb, task, lex, names, None)
+    names = names if names is not None else L.collect_feature_names(lex)
+    for t in tasks:
+        unknown = [k for k in t.morph if k.lower() not in set(names)]
+        if unknown:
+            raise KeyError(f"task {t.name}: cannot override {unknown}; features are {sorted(names)}")
+    return lex, names
+
+
+def run_summary(tb: Treebank, task: Task, names: list[str] | None = None, index: LexiconIndex | None = None) -> DataFrame:
+    """Targets (= masked + exceptions), masked, exceptions and pairs of one task, in one pass."""
+    lex, names = _checked(tb, [task], names)
+    rows = _rows(tb, [task], lex, names, index or lexicon_index(lex, names=names).stored())
     return rows.agg(F.count(F.lit(1)).alias("targets"), F.count(F.when(F.col("_ok"), 1)).alias("masked"),
                     F.count(F.when(~F.col("_ok"), 1)).alias("exceptions"),
                     F.count(F.when(F.col("_pair"), 1)).alias("pairs"))
 
 
-def _task_rows(tb: Treebank, t: Task, lex: DataFrame, names: list[str], index: DataFrame | None) -> DataFrame:
-    """One pass per task: aligned targets with their alternative form; the
-    masked / exception / pair counts are conditions on these rows."""
-    m = match(tb.tokens, t.pattern, t.target, keep=t.keep)
-    al = build_masked(tb.sentences, matches=m, legacy=t.legacy).frame
-    alt = alternative_forms(al, lex, t.morph, names=names, index=index)
-    ok = F.col("reason").isNull()
-    is_pair = ok & F.col("form_ungrammatical").isNotNull() & (F.col("form_ungrammatical") != F.col("match_token"))
-    return alt.select(F.lit(t.name).alias("task_name"), ok.alias("_ok"), is_pair.alias("_pair"))
-
-
-def task_batch(tb: Treebank, tasks: list[Task]) -> DataFrame:
+def task_batch(tb: Treebank, tasks: list[Task], names: list[str] | None = None, index: LexiconIndex | None = None) -> DataFrame:
     """One row per task: structures masked, exceptions, pairs found.
 
-    All tasks share the token table, the lexicon index (materialised once)
-    and a single final aggregation."""
-    if len({t.name for t in tasks}) != len(tasks):
-        raise ValueError("task names must be unique")
-    lex = L.lexicon(tb.tokens)
-    names = L.collect_feature_names(lex)
-    for t in tasks:
-        unknown = [k for k in t.morph if k.lower() not in set(names)]
-        if unknown:
-            raise KeyError(f"task {t.name}: invalid feature(s) {unknown}")
-    index = cut_lineage(lexicon_index(lex, names=names))
-    u = None
-    for t in tasks:
-        rows = _task_rows(tb, t, lex, names, index)
-        u = rows if u is None else u.unionByName(rows)
-    return u.groupBy("task_name").agg(
+    One pass over the sentences and one index join for the whole batch."""
+    lex, names = _checked(tb, tasks, names)
+    rows = _rows(tb, tasks, lex, names, index or lexicon_index(lex, names=names).stored())
+    return rows.groupBy("task_name").agg(
         F.count(F.when(F.col("_ok"), 1)).alias("structures_masked"),
         F.count(F.when(~F.col("_ok"), 1)).alias("exceptions"),
         F.count(F.when(F.col("_pair"), 1)).alias("minimal_pairs_found"))

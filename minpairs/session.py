@@ -7,7 +7,9 @@ notebooks; on a cluster the user's own session is used as is.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +22,7 @@ PLAN_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # joins on (sid, x) may reuse a hash partitioning on sid alone
+    # joins on (sentence, x) may reuse a hash partitioning on the sentence alone
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
     # broadcast only what is measured: no broadcast from planner estimates,
     # AQE converts a join once the shuffled side is known to be small
@@ -60,15 +62,19 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint folder, setting a scratch one only
-    when none is configured (local runs).  On a cluster the shared folder
-    named by ``spark.checkpoint.dir`` is used untouched."""
+    """The session's shared checkpoint folder (``spark.checkpoint.dir``).
+
+    Where none is set, a scratch folder is made, but only for a session whose
+    driver and executors are one process (``local[...]``): on a cluster, files in
+    a folder of one machine are lost to all others, so that raises."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if d:
-        spark.sparkContext.setCheckpointDir(d)
-        return d
-    d = tempfile.mkdtemp(prefix="minpairs-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    spark.conf.set("spark.checkpoint.dir", d)
+    if not d:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError(f"spark.checkpoint.dir is not set on {master}: name a folder that all executors share")
+        d = tempfile.mkdtemp(prefix="minpairs-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+        atexit.register(shutil.rmtree, d, ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
     return d
 

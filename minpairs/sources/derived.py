@@ -8,7 +8,7 @@ testing at scale, not a linguistic analysis.
 
 Fixed rule (every value below is part of the definition):
   sid      'd' || doc_id || '-s' || ln   (ln: 0-based line index)
-  sent_ord doc_id * 100000 + ln
+  sent_ord struct (doc_id, ln)
   tid      1-based position among the non-empty pieces of split(line, ' ')
   lemma    lower(first 4 characters of form)
   upos     length(form) mod 3: 0 VERB, 1 NOUN, 2 ADJ
@@ -16,7 +16,7 @@ Fixed rule (every value below is part of the definition):
   case     NOUN only: even tid -> Nom, odd tid -> Acc
   head     tid - 1 (0 = root)
   deprel   tid 1 -> root; NOUN with even tid -> nsubj; other NOUN -> obj; else dep
-  ranges   sentences with sent_ord % 3 = 0 and at least 3 words get a
+  ranges   sentences with (doc_id + ln) % 3 = 0 and at least 3 words get a
            multi-word row '2-3' (form: words 2 and 3 joined by a space)
            placed before word 2
 """
@@ -29,8 +29,6 @@ from pyspark.sql import functions as F
 from .scan import spread
 from .treebank import TOKEN_TYPE, Treebank
 
-ORD_STRIDE = 100000
-
 
 def _word(f: Column, i: Column, ranged: Column) -> Column:
     tid = i + 1
@@ -89,19 +87,18 @@ def _lines(documents: DataFrame, with_ranges: bool) -> DataFrame:
     s = lines.select(
         "*",
         F.filter(F.split(F.col("line"), " "), lambda x: x != "").alias("forms"),
-        (F.col("doc_id") * ORD_STRIDE + F.col("ln")).alias("sent_ord"),
+        F.struct("doc_id", "ln").alias("sent_ord"),
         F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit("-s"), F.col("ln").cast("string")).alias("sid"),
     )
-    ranged = (F.col("sent_ord") % 3 == 0) & (F.size("forms") >= 3) if with_ranges else F.lit(False)
+    ranged = ((F.col("doc_id") + F.col("ln")) % 3 == 0) & (F.size("forms") >= 3) if with_ranges else F.lit(False)
     return s.select("*", ranged.alias("ranged"))
 
 
 def sentences_from_lines(s: DataFrame, token_arrays: bool = False) -> DataFrame:
     """Sentence rows with the alignment arrays, built with native array
     functions only.  ``token_arrays=True`` also builds the per-sentence
-    token struct array (needed only by in-row pattern matching; it costs
-    one interpreted lambda per token, so it is off by default and the
-    token table serves pattern matching instead)."""
+    token struct array, which in-row pattern matching reads (one
+    interpreted lambda per token, paid once at ingest)."""
     n = F.size("forms")
     tids = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
     rng = F.array(F.concat(F.col("forms")[1], F.lit(" "), F.col("forms")[2]))
@@ -122,12 +119,12 @@ def sentences_from_lines(s: DataFrame, token_arrays: bool = False) -> DataFrame:
     ]
     if token_arrays:
         # separate projection: the word array is referenced several times
-        s = s.select("*", F.transform("forms", lambda f, i: _word(f, i, F.col("ranged"))).alias("words"))
+        s = s.select("*", F.transform("forms", lambda f, i: _word(f, i, F.col("ranged"))).alias("_tokens"))
         tokens = F.when(
             F.col("ranged"),
-            F.concat(F.slice("words", 1, 1), F.array(_range_row(F.col("forms"))),
-                     F.slice("words", 2, F.size("words"))),
-        ).otherwise(F.col("words"))
+            F.concat(F.slice("_tokens", 1, 1), F.array(_range_row(F.col("forms"))),
+                     F.slice("_tokens", 2, F.size("_tokens"))),
+        ).otherwise(F.col("_tokens"))
         cols.insert(3, tokens.alias("tokens"))
     return s.select(*cols)
 
@@ -166,7 +163,7 @@ def sentences_from_documents(documents: DataFrame, with_ranges: bool = True,
     return sentences_from_lines(_lines(documents, with_ranges), token_arrays)
 
 
-def derived_treebank(documents: DataFrame, with_ranges: bool = True, token_arrays: bool = False) -> Treebank:
+def derived_treebank(documents: DataFrame, with_ranges: bool = True, token_arrays: bool = True) -> Treebank:
     docs = spread(documents.select("doc_id", "text", "lang", "source"), "doc_id")
     lines = _lines(docs, with_ranges)
     return Treebank(sentences_from_lines(lines, token_arrays), tokens_from_lines(lines))

@@ -44,11 +44,46 @@ def exists(spark, path: str) -> bool:
     return bool(fs.exists(p))
 
 
-def publish(spark, tmp: str, final: str) -> bool:
-    """Atomically move a finished output folder into place; False when
-    another writer published ``final`` first."""
-    src, fs = _fs(spark, tmp)
-    dst, _ = _fs(spark, final)
-    if fs.exists(dst):
-        return False
-    return bool(fs.rename(src, dst))
+def delete(spark, path: str) -> None:
+    p, fs = _fs(spark, path)
+    fs.delete(p, True)
+
+
+MANIFEST = "CURRENT"
+
+
+def published(spark, folder: str) -> str | None:
+    """The version of ``folder`` that its manifest names, if there is one."""
+    p, fs = _fs(spark, f"{folder}/{MANIFEST}")
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        name = bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+    return f"{folder}/{name}" if name else None
+
+
+def publish(spark, folder: str, version: str) -> str:
+    """Name the finished ``folder/version`` in the manifest, which is written
+    last and never replaced: of several writers the first one's version
+    holds, the others delete theirs.  Returns the version that holds."""
+    p, fs = _fs(spark, f"{folder}/{MANIFEST}")
+    jvm = spark.sparkContext._jvm
+    try:
+        out = fs.create(p, False)
+        try:
+            out.write(bytearray(version.encode()))
+        finally:
+            out.close()
+    except Exception as e:  # noqa: BLE001  another writer was first
+        if not fs.exists(p):
+            raise
+        for _ in range(50):
+            if held := published(spark, folder):
+                delete(spark, f"{folder}/{version}")
+                return held
+            jvm.java.lang.Thread.sleep(100)
+        raise RuntimeError(f"the manifest in {folder} is empty; delete it to start afresh") from e
+    return f"{folder}/{version}"

@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.mask import build_masked
 from ..operators.pattern import Pattern
-from ..sources.conllu import parse_blocks
+from ..sources.conllu import parse_blocks, split_blocks
 from ..sources.treebank import with_alignment_columns
 
 
@@ -31,10 +31,10 @@ def masked_stream(spark: SparkSession, input_dir: str, pattern: Pattern, target:
     raw = reader.text(input_dir).select("value", F.col("_metadata.file_path").alias("file_path"))
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        blocks = batch.select(
-            "value",
-            F.struct(F.lit(batch_id).alias("batch_id"), F.col("file_path"),
-                     F.monotonically_increasing_id().alias("row_id")).alias("sent_ord"))
+        # records are split again at blank lines: files may end lines either way
+        records = batch.select("value", "file_path", F.monotonically_increasing_id().alias("row_id"))
+        blocks = split_blocks(records).select(
+            "value", F.struct(F.lit(batch_id).alias("batch_id"), "file_path", "row_id", "part").alias("sent_ord"))
         sentences = with_alignment_columns(parse_blocks(blocks)).persist()
         try:
             r = build_masked(sentences, pattern, target, mask_token=mask_token, keep=keep, legacy=legacy)
