@@ -53,6 +53,8 @@ class Model:
             starts = np.arange(0, len(r), STEP)
             heads.append(np.maximum.reduceat(r, np.stack([starts, np.minimum(starts + OVERLAP, len(r) - 1)], 1).ravel(), axis=0)[::2])
             rests.append(np.maximum.reduceat(r, starts, axis=0))
+            if len(r) - starts[-1] <= OVERLAP:  # the last chunk is no longer than its head
+                heads[-1][-1] = rests[-1][-1]
         head, rest = np.concatenate(heads), np.concatenate(rests)
         rest[:-1] = np.maximum(rest[:-1], head[1:])  # a chunk reaches into the next one
         return np.maximum(rest + self.bias, 0)
@@ -63,9 +65,9 @@ class Model:
         return 1 / (1 + np.exp(-z))
 
 
-def train(chunks: np.ndarray, lengths: np.ndarray, owner: np.ndarray, y: np.ndarray, *, epochs: int = 8, batch: int = 64,
+def train(chunks: np.ndarray, lengths: np.ndarray, owner: np.ndarray, y: np.ndarray, *, steps: int = 368, batch: int = 64,
           rate: float = 0.02, decay: float = 1e-4, seed: int = 5) -> Model:
-    """Fit by Adam. ``chunks``: (n, CHUNK_BYTES) bytes, ``lengths``: used bytes of each,
+    """Fit by Adam in at least ``steps`` steps. ``chunks``: (n, CHUNK_BYTES) bytes, ``lengths``: used bytes of each,
     ``owner``: document of each (ascending), ``y``: label per document."""
     rng = np.random.default_rng(seed)
     p = {"table": rng.normal(0, 0.1, (WIDTH, 256, FILTERS)).astype(np.float32), "bias": np.full(FILTERS, 0.1, np.float32),
@@ -74,6 +76,7 @@ def train(chunks: np.ndarray, lengths: np.ndarray, owner: np.ndarray, y: np.ndar
     v = {k: np.zeros_like(x) for k, x in p.items()}
     first = np.searchsorted(owner, np.arange(len(y) + 1))
     n_batches = max(1, len(y) // batch)
+    epochs = -(-steps // n_batches)
     step, steps = 0, epochs * n_batches
     for _ in range(epochs):
         for docs in np.array_split(rng.permutation(len(y)), n_batches):
