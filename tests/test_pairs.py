@@ -80,3 +80,32 @@ def test_universal_override_and_legacy_nan(spark, tiny, tmp_path):
     legacy = {r.token_id: (r.form, r.feats) for r in L.lexicon(tb.tokens, legacy_nan=True).collect()}
     assert keep[0][0] == "nan" and keep[1][1] == {"number": "nan"}
     assert legacy[0][0] is None and legacy[1][1] == {}
+
+
+def test_carried_context_gives_the_same_pairs(tiny):
+    lex = L.lexicon(tiny.tokens)
+    res = build_masked(tiny.sentences, SUBJ, "N", keep="all")
+    cols = ["sentence_id", "match_id", "form_grammatical", "form_ungrammatical"]
+    looked_up = minimal_pairs(res.masked, lex, {"number": "Plur"}).select(*cols).collect()
+    carried = minimal_pairs(res.masked_with_context, lex, {"number": "Plur"}).select(*cols).collect()
+    assert sorted(looked_up) == sorted(carried) and carried
+
+
+def test_index_knows_its_feature_names(tiny):
+    from minpairs.operators.pairs import lexicon_index
+
+    lex = L.lexicon(tiny.tokens)
+    masked = build_masked(tiny.sentences, SUBJ, "N", keep="all").masked
+    index = lexicon_index(lex)  # keyed by whole maps
+    same = minimal_pairs(masked, lex, {"number": "Plur"}, index=index, validate=False).count()
+    assert same == minimal_pairs(masked, lex, {"number": "Plur"}).count() > 0
+    with pytest.raises(ValueError, match="built on features"):
+        minimal_pairs(masked, lex, {"number": "Plur"}, names=["number"], index=lexicon_index(lex, names=L.collect_feature_names(lex)))
+    with pytest.raises(ValueError, match="upos"):
+        minimal_pairs(masked, lex, {"number": "Plur"}, universal={"upos": "NOUN"}, index=index, validate=False)
+
+
+def test_too_many_feature_names_raise(tiny, monkeypatch):
+    monkeypatch.setattr(L, "MAX_FEATURES", 2)
+    with pytest.raises(ValueError, match="more than 2 feature names"):
+        L.collect_feature_names(L.lexicon(tiny.tokens))

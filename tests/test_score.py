@@ -23,19 +23,25 @@ def test_bigram_model_against_brute_force(tiny):
 
 
 def test_token_scores_context(spark, tiny):
-    pairs = spark.createDataFrame([("t-4", 5, " dog", " dogs"), ("t-1", 1, "The", "A")],
-                                  "sentence_id string, match_id int, form_grammatical string, "
-                                  "form_ungrammatical string")
+    pairs = spark.createDataFrame([("t-4", 4, 5, "the", "barks", " dog", " dogs"), ("t-1", 1, 1, None, "dogs", "The", None)],
+                                  "sentence_id string, sent_ord int, match_id int, prev_word string, next_word string, "
+                                  "form_grammatical string, form_ungrammatical string")
     model = S.fit_bigram(tiny.sentences)
-    r = {x.sentence_id: x for x in S.token_scores(pairs, tiny.sentences, model).collect()}
+    r = {x.sentence_id: x for x in S.token_scores(pairs, model).collect()}
     V = model.vocab
     # history 'the' occurs twice ('the cat', 'the dog'); 'the dogs' never
     assert r["t-4"].p_form_grammatical == pytest.approx((1 + 0.1) / (2 + 0.1 * V))
     assert r["t-4"].p_form_ungrammatical == pytest.approx((0 + 0.1) / (2 + 0.1 * V))
     # first word: sentence-start context is unseen -> uniform
     assert r["t-1"].p_form_grammatical == pytest.approx(1 / V)
+    assert r["t-1"].p_form_ungrammatical is None
+    # certainty: 1 - H / ln V over the whole vocabulary
+    seen = {"cat": 1, "dog": 1}
+    p = [(c + 0.1) / (2 + 0.1 * V) for c in seen.values()] + [0.1 / (2 + 0.1 * V)] * (V - 2)
+    assert r["t-4"].certainty == pytest.approx(round(1 + sum(x * math.log(x) for x in p) / math.log(V), 2))
+    assert r["t-1"].certainty == 0.0  # unseen context: uniform
     m3 = S.fit_masked(tiny.sentences)
-    r3 = {x.sentence_id: x for x in S.token_scores(pairs, tiny.sentences, m3).collect()}
+    r3 = {x.sentence_id: x for x in S.token_scores(pairs, m3).collect()}
     assert r3["t-4"].p_form_grammatical == pytest.approx((1 + 0.1) / (1 + 0.1 * m3.vocab))
 
 
@@ -48,11 +54,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 class StubScorer:
-    def score(self, text, targets):
-        return [1.0 / (1 + len(t)) for t in targets]
-
-    def certainty(self, k):
-        return 0.5
+    def score_batch(self, texts, targets, entropy_topk):
+        assert len(texts) == len(targets) and entropy_topk == 100
+        return [[1.0 / (1 + len(w)) for w in ws] for ws in targets], [0.5] * len(texts)
 
 
 def test_evaluate_contract(spark):
@@ -69,3 +73,53 @@ def test_evaluate_contract(spark):
         S.evaluate(df, StubScorer, "encoder")
     with pytest.raises(KeyError):
         S.evaluate(df, StubScorer, "ntp")        # token-level NTP needs prompt_text
+    with pytest.raises(ValueError, match="row_limit"):
+        S.evaluate(df, StubScorer, "mlm", row_limit=0)
+
+
+def test_sentence_pair_scores_against_rescored_sentences(spark, tiny):
+    model = S.fit_bigram(tiny.sentences).stored()
+    words = {r.sid: (r.sent_ord, r.words) for r in with_alignment_columns(tiny.sentences).select("sid", "sent_ord", "words").collect()}
+    bg = Counter((w[i - 1], w[i]) for _, w in words.values() for i in range(1, len(w)))
+    hist = Counter(p for p, _ in bg.elements())
+    score = lambda w: sum(math.log2((bg[w[i - 1], w[i]] + 0.1) / (hist[w[i - 1]] + 0.1 * model.vocab)) for i in range(1, len(w)))
+    for sid in words:
+        for i in (1, 3, len(words[sid][1])):
+            w = words[sid][1]
+            row = tiny.sentences.where(f"sid = '{sid}'").selectExpr("sent_ord", f"{i} as match_id").withColumns(
+                {"prev_word": S.F.lit(w[i - 2] if i > 1 else None).cast("string"), "next_word": S.F.lit(w[i] if i < len(w) else None).cast("string"),
+                 "form_grammatical": S.F.lit(" " + w[i - 1]), "form_ungrammatical": S.F.lit(" dogs")})
+            r = S.sentence_pair_scores(row, tiny.sentences, model).first()
+            assert r.p_form_grammatical == pytest.approx(score(w)) and r.n_scored == len(w) - 1
+            assert r.p_form_ungrammatical == pytest.approx(score([*w[:i - 1], "dogs", *w[i:]]))
+            assert r.I_form_ungrammatical == -r.p_form_ungrammatical
+
+
+def test_a_frequent_word_is_split(spark):
+    """Half of all words are equal: both lookups of the scorer read it in parts."""
+    rows = [(k, f"s{k}", " ".join("the" if (k + j) % 2 else f"w{(k * j) % 997}" for j in range(40))) for k in range(4000)]
+    sents = spark.createDataFrame(rows, "sent_ord long, sid string, text string").select(
+        "*", S.F.split("text", " ").alias("words"), *[S.F.lit(None).cast("int").alias(c) for c in ("forms_all", "tids_all", "forms_surface", "tids_surface", "spans")])
+    keys = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        model = S.fit_bigram(sents).stored()
+        pairs = S.bigrams(sents).select("sent_ord", S.F.col("tid").alias("match_id"), S.F.col("prev").alias("prev_word"),
+                                        S.F.lit(None).cast("string").alias("next_word"), S.F.col("w").alias("form_grammatical"))
+        scored = S.token_scores(pairs, model, cols=("form_grammatical",))
+        assert scored.count() == 4000 * 39
+        plan = scored._jdf.queryExecution().executedPlan().toString()
+        got = S.looked_up(pairs.select("sent_ord", S.F.col("prev_word").alias("prev"), S.F.col("form_grammatical").alias("w")), model)
+        got.write.format("noop").mode("overwrite").save()
+        assert got.agg(S.F.count("p")).first()[0] == 4000 * 39
+        x = got.agg(S.F.sum("p"))
+        x.collect()
+        plan = x._jdf.queryExecution().executedPlan().toString()
+        assert "skewed" in plan or "skew=true" in plan
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
