@@ -22,7 +22,7 @@ from ..operators.pairs import alternative_forms, lexicon_index, minimal_pairs, o
 from ..operators.pattern import Pattern, match, match_in_row
 from ..operators.reshape import distribution, histogram, melt_long
 from ..plans.tasks import Task, run_summary, task_batch
-from ..session import ensure_checkpoint_dir
+from ..session import cut_lineage, ensure_checkpoint_dir
 from ..sources import tables
 from ..sources.conllu import parse_blocks, read_conllu
 from ..sources.derived import derived_treebank
@@ -202,6 +202,11 @@ def _pairs(spark, sf, leading_space=False):
                          leading_space=leading_space, index=index(spark, sf))
 
 
+def stored_pairs(spark, sf):
+    """The spaced pairs, stored once per session: scoring reads them twice (lookup rows, wide rows)."""
+    return shared(spark, sf, "pairs", lambda tb: cut_lineage(_pairs(spark, sf, leading_space=True)))
+
+
 def q_feature_override(spark, sf):
     t = _mask(spark, sf).frame.where(~F.col("match_token").isin(L.LEXICON_EXCLUDED_FORMS))
     alt = t.select("sentence_id", "match_id", override_feats(F.col("feats"), OVERRIDE).alias("alt"))
@@ -221,7 +226,7 @@ def q_pair_vocabulary(spark, sf):
 
 
 def _ood(spark, sf, carry=()):
-    return ood_picks(_pairs(spark, sf, leading_space=True), OOD_K, OOD_SEED, carry=carry)
+    return ood_picks(stored_pairs(spark, sf), OOD_K, OOD_SEED, carry=carry)
 
 
 def q_ood_pairs(spark, sf):
@@ -230,7 +235,7 @@ def q_ood_pairs(spark, sf):
 
 def q_ood_array(spark, sf):
     """E6 in its array form, shown as text."""
-    d = with_ood_pairs(_pairs(spark, sf, leading_space=True).select(*PAIR_COLUMNS), OOD_K, OOD_SEED)
+    d = with_ood_pairs(stored_pairs(spark, sf).select(*PAIR_COLUMNS), OOD_K, OOD_SEED)
     text = F.transform("ood_minimal_pairs", lambda x: F.concat(x["form_grammatical"], F.lit(">"), x["form_ungrammatical"]))
     return d.select("sentence_id", "match_id", F.array_join(text, ";").alias("ood"))
 
@@ -429,7 +434,7 @@ def q_avg_certainty(spark, sf):
 
 def _scored(spark, sf, order=2):
     """Minimal pairs with token scores; they carry their own context, so no sentence is joined."""
-    return S.token_scores(_pairs(spark, sf, leading_space=True), (bigram if order == 2 else trigram)(spark, sf))
+    return S.token_scores(stored_pairs(spark, sf), (bigram if order == 2 else trigram)(spark, sf))
 
 
 def q_ngram_sentence_score(spark, sf):
@@ -456,14 +461,14 @@ def q_ngram_certainty(spark, sf):
 
 def q_ngram_sentence_pairs(spark, sf):
     """Each target filled into its sentence, whole sentences compared."""
-    s = S.sentence_pair_scores(_pairs(spark, sf, leading_space=True), treebank(spark, sf).sentences, bigram(spark, sf))
+    s = S.sentence_pair_scores(stored_pairs(spark, sf), treebank(spark, sf).sentences, bigram(spark, sf))
     return s.select("sentence_id", "match_id", "n_scored", r6("p_form_grammatical").alias("p_form_grammatical"),
                     r6("p_form_ungrammatical").alias("p_form_ungrammatical"))
 
 
 def q_many_targets(spark, sf):
     """Three target columns in one lookup."""
-    mp = _pairs(spark, sf, leading_space=True)
+    mp = stored_pairs(spark, sf)
     s = S.token_scores(mp, bigram(spark, sf), cols=("form_grammatical", "form_ungrammatical", "lemma"))
     return s.select("sentence_id", "match_id", *[r6(f"p_{c}").alias(f"p_{c}") for c in ("form_grammatical", "form_ungrammatical", "lemma")])
 
@@ -471,7 +476,7 @@ def q_many_targets(spark, sf):
 def q_evaluate_from_table(spark, sf):
     """Pairs stored, loaded, checked, scored, stored and read again."""
     path = _scratch(spark, "evaluation")
-    tables.save_table(_pairs(spark, sf, leading_space=True), f"{path}/pairs")
+    tables.save_table(stored_pairs(spark, sf), f"{path}/pairs")
     return _token_out(S.evaluate_file(spark, f"{path}/pairs", lambda df: S.token_scores(df, bigram(spark, sf)), f"{path}/scores"))
 
 
@@ -543,7 +548,7 @@ def q_metrics_rollup(spark, sf):
 def q_scores_row_limit(spark, sf):
     """The first 100 pairs in key order are scored (the limit is the
     feature: evaluation of a sample of the dataset)."""
-    first = _pairs(spark, sf, leading_space=True).orderBy("sentence_id", "match_id").limit(100)
+    first = stored_pairs(spark, sf).orderBy("sentence_id", "match_id").limit(100)
     return _token_out(S.token_scores(first, bigram(spark, sf)))
 
 
