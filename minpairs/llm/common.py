@@ -46,6 +46,24 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def hash_sample(df: DataFrame, rows: int, *on: str) -> DataFrame:
+    """At most ``rows`` rows, the same on every run: those with the least hash of ``on``.
+
+    A cut on the hash, set from the row count, comes first: all tasks together
+    then pass on about four times ``rows``, not ``rows`` each."""
+    h = F.xxhash64(*on)
+    cut = -2**63 + int(2**64 * min(1.0, 4 * rows / max(1, df.count())))
+    return (df.where(h < F.lit(cut)) if cut < 2**63 else df).orderBy(h, *on).limit(rows)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only; null counts as empty.
 

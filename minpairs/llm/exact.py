@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import extendible
-from .common import ascii_lower, bounded, partitions, stage
+from .common import ascii_lower, bounded, fresh, partitions, stage
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
                 bucket_keys: int = 200_000, key_bits: int = 64) -> DataFrame:
@@ -78,17 +78,17 @@ def keep_distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Of repeated rows (same id, equal text) one stays."""
     found = stage(exact_dedup(docs, id_col, text_col, **options), "exact")
     sha = F.sha2(ascii_lower(F.col(text_col)), 256)
+    ids, digests, own = (fresh(docs, n) for n in ("_gone_id", "_gone_sha", "_sha"))
     keep_one = found.where("kept").groupBy("doc_id", "text_sha256").agg(F.count("*").alias("n"))
     again = stage(keep_one.where("n > 1").select("doc_id", "text_sha256"), "repeated_rows")
     gone = stage(found.where("not kept").select("doc_id", "text_sha256").distinct(), "gone")
 
     def matches(other: DataFrame, how: str, rows: DataFrame) -> DataFrame:
-        other = other.select(F.col("doc_id").alias("_gone_id"), F.col("text_sha256").alias("_gone_sha"))
-        return rows.join(bounded(other), F.col(id_col).eqNullSafe(F.col("_gone_id")) & (sha == F.col("_gone_sha")), how)
+        other = other.select(F.col("doc_id").alias(ids), F.col("text_sha256").alias(digests))
+        return rows.join(bounded(other), F.col(id_col).eqNullSafe(F.col(ids)) & (sha == F.col(digests)), how)
 
     out = matches(gone, "left_anti", docs)
     if not again.isEmpty():
-        twice = matches(again, "left_semi", docs).withColumn("_sha", sha)
-        one = twice.dropDuplicates([id_col, "_sha"]).drop("_sha")
+        one = matches(again, "left_semi", docs).withColumn(own, sha).dropDuplicates([id_col, own]).drop(own)
         out = matches(again, "left_anti", out).unionByName(one)
     return out

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, partitions, stage
+from .common import bounded, fresh, partitions, stage
 
 SHINGLE = 5
 REGISTERS = 256  # the leading 8 bits of a hash name the bucket
@@ -214,7 +214,8 @@ def _across(mates: DataFrame, reps: DataFrame, sets: DataFrame, low: float, perc
                                                 F.max("n").alias("top")).where("labels > 1")
                     .select("key", "major", F.ceil(F.col("n") / BLOCK).alias("m_blocks"),
                             F.ceil((F.col("n") - F.col("top")) / BLOCK).alias("q_blocks")), "mixed")
-    rows = mates.join(bounded(buckets), "key").join(reps.select("id", "sketch", "n_shingles"), "id").join(sets.select("id", "low"), "id")
+    rows = mates.join(bounded(buckets), "key").join(reps.select("id", "sketch", "n_shingles"), "id").join(
+        sets.select("id", F.size("shingles").cast("long").alias("n_shingles"), "low"), ["id", "n_shingles"])
     rows = rows.withColumn("minor", F.col("label") != F.col("major"))
     own = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
@@ -286,6 +287,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
       words: the whole sequence is the only shingle;
     * null id: linked with nothing, ``component_id`` null, kept;
     * repeated rows and copies: one class, compared once; each row is returned;
+      an id that repeats with other texts: each row has its own set, links that
+      one of them has hold for the id;
     * very long texts are read whole; empty table: empty result; extra columns
       of any name are ignored. Ids must be integers."""
     sketches = stage(sketch_table(docs, id_col, text_col), "sketches")
@@ -338,5 +341,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that are not near-duplicates of a document with a smaller id, with all their columns."""
     found = near_duplicates(docs, id_col, text_col, **options)
-    gone = stage(found.where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(bounded(gone), F.col(id_col) == F.col("_gone"), "left_anti")
+    name = fresh(docs, "_gone")
+    gone = stage(found.where("not kept").select(F.col("doc_id").alias(name)).distinct(), "gone")
+    return docs.join(bounded(gone), F.col(id_col) == F.col(name), "left_anti")

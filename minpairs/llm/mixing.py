@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, bounded, stage
+from .common import WORD, bounded, fresh, stage
 
 LEVELS = ["domain", "lang", "source"]
 RANGE_CHARS = 3  # hex digits of the order key that name a range
@@ -108,18 +108,21 @@ def mix(docs: DataFrame, *, weights: dict[str, dict[str, int]], domain: Column,
     * repeated rows stand next to each other in an epoch's order and count singly
       (a cut between equal ids takes all of them);
     * very long texts are counted whole; a text is taken or left whole;
-    * empty table: empty result; extra columns stay as they are."""
+    * empty table: empty result; extra columns stay as they are, but columns that
+      are already called ``mix_...`` are replaced."""
     names = {"domain": "mix_domain", "lang": "mix_lang", "source": "mix_source"}
+    docs = docs.drop(*names.values(), "mix_tokens", "mix_epoch")
+    epochs, cut_key, cut_id, n_copies = (fresh(docs, n) for n in ("_epochs", "_cut_key", "_cut_id", "_copies"))
     rows = docs.select("*", F.coalesce(domain, F.lit("")).alias(names["domain"]), F.coalesce(F.col(lang_col), F.lit("")).alias(names["lang"]),
                        F.coalesce(F.col(source_col), F.lit("")).alias(names["source"]), word_tokens(F.col(text_col)).alias("mix_tokens"))
     narrow = stage(rows.select(F.col(id_col).alias("doc_id"), *(F.col(v).alias(k) for k, v in names.items()),
                                F.col("mix_tokens").alias("n_tokens")), "mix_rows")
     leaves = plan(narrow, weights=weights, share=share, max_epochs=max_epochs, seed=seed)
-    side = leaves.select(*(F.col(k).alias(v) for k, v in names.items()), F.col("epochs").alias("_epochs"),
-                         F.col("cut_key").alias("_cut_key"), F.col("cut_id").alias("_cut_id"))
-    key = _order_key(seed, F.col("_epochs") + 1, F.col(id_col))
-    extra = (key < F.col("_cut_key")) | ((key == F.col("_cut_key")) & F.coalesce(F.col(id_col) <= F.col("_cut_id"), F.lit(True)))
-    copies = F.col("_epochs") + F.when(extra, 1).otherwise(0)
-    return (rows.where("mix_tokens > 0").join(bounded(side), list(names.values())).withColumn("_copies", copies).where("_copies > 0")
-            .withColumn("mix_epoch", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
+    side = leaves.select(*(F.col(k).alias(v) for k, v in names.items()), F.col("epochs").alias(epochs),
+                         F.col("cut_key").alias(cut_key), F.col("cut_id").alias(cut_id))
+    key = _order_key(seed, F.col(epochs) + 1, F.col(id_col))
+    extra = (key < F.col(cut_key)) | ((key == F.col(cut_key)) & F.coalesce(F.col(id_col) <= F.col(cut_id), F.lit(True)))
+    copies = F.col(epochs) + F.when(extra, 1).otherwise(0)
+    return (rows.where("mix_tokens > 0").join(bounded(side), list(names.values())).withColumn(n_copies, copies).where(F.col(n_copies) > 0)
+            .withColumn("mix_epoch", F.explode(F.sequence(F.lit(1).cast("long"), F.col(n_copies))))
             .select(*docs.columns, *names.values(), "mix_tokens", "mix_epoch"))

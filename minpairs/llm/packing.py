@@ -28,7 +28,7 @@ from .common import stage
 # distinct word chunks whose ids a worker remembers before it starts afresh
 CACHE_CHUNKS = 1_200_000
 # rows of one length that are ranked together; a length with more is salted
-RANK_ROWS = 5_000
+RANK_ROWS = 1_000
 
 # A pre-token of the byte-level vocabulary never holds a non-space followed by a
 # space, so a text may be cut before a run of blanks or line feeds. Texts with any
@@ -192,8 +192,10 @@ def pack(docs: DataFrame, tokenizer_path: str, *, end_id: int = 1, max_tokens: i
     * null or repeated ids: every row is packed on its own;
     * very long texts: encoded whole, cut into as many pieces as needed;
     * empty table: empty result; extra columns are ignored."""
-    pieces = stage(token_pieces(docs, tokenizer_path, end_id=end_id, max_tokens=max_tokens, id_col=id_col,
-                                text_col=text_col, with_ids=with_ids), "pieces")
+    pieces = token_pieces(docs, tokenizer_path, end_id=end_id, max_tokens=max_tokens, id_col=id_col, text_col=text_col, with_ids=with_ids)
+    names = pieces.columns
+    # a row number is stored with each piece: later reads agree on it, however the files are split then
+    pieces = stage(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces")
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most max_tokens rows
     ranges = sorted(pack_histogram(counts, max_tokens))
 
@@ -201,8 +203,7 @@ def pack(docs: DataFrame, tokenizer_path: str, *, end_id: int = 1, max_tokens: i
     salts = F.create_map(*[F.lit(x) for n, c in sorted(counts.items()) if c > RANK_ROWS
                            for x in (n, -(-c // RANK_ROWS))]) if any(c > RANK_ROWS for c in counts.values()) else None
     n_salts = F.coalesce(F.try_element_at(salts, F.col("length").cast("int")), F.lit(1)) if salts is not None else F.lit(1)
-    rows = pieces.withColumn("_row", F.monotonically_increasing_id())  # of a stored table: the same on a retry
-    rows = rows.withColumn("_salt", F.pmod(F.xxhash64("_row"), n_salts).cast("int"))
+    rows = pieces.withColumn("_salt", F.pmod(F.xxhash64("_row"), n_salts).cast("int"))
     sizes = rows.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
     sizes = sizes.withColumn("_before", F.sum("_n").over(
         Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)))
@@ -212,8 +213,6 @@ def pack(docs: DataFrame, tokenizer_path: str, *, end_id: int = 1, max_tokens: i
               .withColumn("_rank", F.col("_order") - 1 + F.col("_before")))
 
     table = np.array(ranges, dtype=np.int64).reshape(-1, 6)  # at most some entries per length: bounded
-    names = [c for c in pieces.columns]
-
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = table[:, 0] * (1 << 44) + table[:, 1]
         for b in batches:
@@ -225,5 +224,5 @@ def pack(docs: DataFrame, tokenizer_path: str, *, end_id: int = 1, max_tokens: i
                 [*(b.column(c) for c in names), pa.array(sequence + (rank - r0) // copies),
                  pa.array(offset + length * ((rank - r0) % copies))], names=[*names, "sequence_id", "offset"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields if f.name in names)
     return ranked.select(*names, "_rank").mapInArrow(place, f"{fields}, sequence_id long, offset long")
