@@ -5,7 +5,8 @@ SCHEMA = StructType([StructField("doc_id", LongType()), StructField("text", Stri
                      StructField("source", StringType()), StructField("n_chars", LongType())])
 # names that operators use for columns of their own
 CLASHES = ["key", "norm", "slot", "size", "label", "id", "rep", "band", "sketch", "n_shingles", "length", "_rank", "tokens", "epoch", "h1", "k",
-           "covered", "s", "n_words", "bad", "kept", "row", "n_bytes", "shard_depth", "sequence_id", "start"]
+           "covered", "s", "n_words", "bad", "kept", "row", "n_bytes", "shard_depth", "sequence_id", "start",
+           "_gone", "_gone_id", "_Gone_sha", "_sha", "_epochs", "_cut_key", "_copies", "norm_", "_id", "_text", "_y"]
 
 
 def words(n, seed=0, size=900):

@@ -45,6 +45,15 @@ def test_odd_rows(docs_of, odd_rows):
     assert result(minhash.near_duplicates(docs_of(rows, extra=True))) == brute(rows)
 
 
+def test_an_id_with_several_texts(docs_of, odd_rows, monkeypatch):
+    a, b = " ".join(words(60, 1)), " ".join(words(80, 2))
+    rows = [*odd_rows, (50, a), (50, b), (51, a + " end"), (52, b + " end"), (53, a + " more"), (54, b + " more")]
+    got = {}
+    for r in minhash.near_duplicates(docs_of(rows)).collect():
+        got.setdefault(r["doc_id"], set()).add(r["component_id"])
+    assert got[50] == got[51] == got[52] == got[53] == got[54] == {50} and len(got) == len({r[0] for r in rows})
+
+
 def cloud(n, base, changes, seed):
     import random
 
