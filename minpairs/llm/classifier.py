@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import hash_sample, stage
+
 WIDTH, STRIDE, FILTERS = 8, 2, 16
 STEP, OVERLAP = 224, 29  # filter positions between chunk starts, and shared by neighbours
 CHUNK = STEP + OVERLAP
@@ -146,9 +148,9 @@ def fold(id_col: str) -> Column:
 def train_on(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
              sample_rows: int = SAMPLE_ROWS) -> Model:
     """Fit on at most ``sample_rows`` labelled rows outside the held-out fold, chosen by a hash of their id."""
-    picked = (labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("_y")).dropna()
-              .where(fold("_id") != 0).groupBy("_id").agg(F.avg("_y").alias("_y"))  # repeated labels of a row: their mean
-              .orderBy(F.xxhash64("_id", F.lit(11)), "_id").limit(sample_rows))
+    marks = (labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("_y")).dropna()
+             .where(fold("_id") != 0).groupBy("_id").agg(F.avg("_y").alias("_y")))  # repeated labels of a row: their mean
+    picked = stage(hash_sample(marks, sample_rows, "_id"), "train_sample")
 
     def chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

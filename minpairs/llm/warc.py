@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, scratch_path, stage
+from .common import bounded, hash_sample, scratch_path, stage
 
 DICTIONARY_MAGIC = 0x184D2A5D  # fixed value: skippable frame that holds a dictionary
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"  # fixed value
@@ -195,7 +195,7 @@ def archive(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     rows = rows.withColumn("sha", F.sha2("html", 256)).withColumn("n", F.octet_length("html"))
     repeated = stage(rows.where(F.col("n") >= min_bytes).groupBy("sha", "n").agg(F.max("page_id").alias("keep_id"), F.count("*").alias("copies"))
                      .where("copies > 1").select("sha", "n", "keep_id"), "repeated_payloads")
-    picked = rows.select("page_id", "url", F.substring("html", 1, SAMPLE_CHARS).alias("html"), "sha").orderBy("sha", "page_id").limit(SAMPLE_RECORDS)
+    picked = hash_sample(rows.select("page_id", "url", F.substring("html", 1, SAMPLE_CHARS).alias("html"), "sha"), SAMPLE_RECORDS, "sha", "page_id")
     samples = [record(r["page_id"], r["url"], (r["html"] or "").encode("utf-8", "surrogatepass"), None, date) for r in picked.collect()]
     marked = rows.join(bounded(repeated), ["sha", "n"], "left")
     manifest = stage(write_archives(marked, folder, train_dictionary(samples), date, archive_bytes), "manifest")
