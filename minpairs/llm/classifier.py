@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_sample, stage
+from .common import hash_sample, stage, text_batches
 
 WIDTH, STRIDE, FILTERS = 8, 2, 16
 STEP, OVERLAP = 224, 29  # filter positions between chunk starts, and shared by neighbours
@@ -157,7 +157,7 @@ def train_on(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([sample_chunks(t.as_py()) for t in b.column(2)], pa.list_(pa.binary()))],
                                              names=["id", "y", "chunks"])
 
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(picked), "_id")
+    rows = text_batches(docs).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(picked), "_id")
     got = rows.select(F.col("_id").cast("string").alias("id"), F.col("_y").alias("y"), F.col("_text")).mapInArrow(chunk, "id string, y double, chunks array<binary>").collect()
     return fit([(r["y"], [bytes(c) for c in r["chunks"]]) for r in sorted(got, key=lambda r: (r["id"], r["chunks"]))])
 
@@ -178,7 +178,7 @@ def classify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
                                               pa.array([int(s >= cut) for s in scores], pa.int32())],
                                              names=["doc_id", "held_out", "score", "predicted"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), (fold(id_col) == 0).alias("held_out"), F.col(text_col).alias("text")).mapInArrow(
+    return text_batches(docs).select(F.col(id_col).alias("doc_id"), (fold(id_col) == 0).alias("held_out"), F.col(text_col).alias("text")).mapInArrow(
         run, f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
@@ -191,4 +191,4 @@ def keep_good(docs: DataFrame, model: Model, *, text_col: str = "text", cut: flo
             good = [model.score(np.frombuffer((t.as_py() or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)) >= cut for t in b.column(at)]
             yield b.filter(pa.array(good, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return text_batches(docs).mapInArrow(run, docs.schema)

@@ -16,6 +16,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # a side of a join is broadcast only if it was counted and has at most so many narrow rows
 BROADCAST_ROWS = 500_000
 
+# whole texts cross to Python in batches of at most so many rows
+TEXT_BATCH_ROWS = 1000
+
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared checkpoint folder, under this application's own sub-folder."""
@@ -46,6 +49,15 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def text_batches(df: DataFrame) -> DataFrame:
+    """``df``, for a Python step over whole texts: its session passes on small Arrow
+    batches from now on, as a batch is held several times over by a worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key)) <= TEXT_BATCH_ROWS:
+        df.sparkSession.conf.set(key, str(TEXT_BATCH_ROWS))
+    return df
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, with underscores in front until ``df`` has no such column."""
     taken = {c.lower() for c in df.columns}

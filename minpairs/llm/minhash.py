@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, fresh, partitions, stage
+from .common import bounded, fresh, partitions, stage, text_batches
 
 SHINGLE = 5
 REGISTERS = 256  # the leading 8 bits of a hash name the bucket
@@ -144,7 +144,7 @@ def sketch_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()),
                  pa.array(regs, pa.binary())], names=["doc_id", "n_shingles", "f1", "f2", "sketch"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
+    return text_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
         run, f"doc_id {kind}, n_shingles long, f1 long, f2 long, sketch binary")
 
 

@@ -23,10 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stage
+from .common import stage, text_batches
 
 # distinct word chunks whose ids a worker remembers before it starts afresh
-CACHE_CHUNKS = 1_200_000
+CACHE_CHUNKS = 800_000
 # rows of one length that are ranked together; a length with more is salted
 RANK_ROWS = 1_000
 
@@ -128,7 +128,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, *, end_id: int = 1, max_t
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return text_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
 def pack_histogram(counts: dict[int, int], max_tokens: int) -> list[tuple[int, int, int, int, int, int]]:

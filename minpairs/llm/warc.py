@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, hash_sample, scratch_path, stage
+from .common import bounded, hash_sample, scratch_path, stage, text_batches
 
 DICTIONARY_MAGIC = 0x184D2A5D  # fixed value: skippable frame that holds a dictionary
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"  # fixed value
@@ -94,7 +94,7 @@ def write_archives(records: DataFrame, folder: str, dictionary: bytes, date: str
         yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.string()), *(pa.array([d[i] for d in done], pa.int64()) for i in (1, 2))],
                                          names=["path", "records", "bytes"])
 
-    return records.select("page_id", "url", "html", "keep_id").mapInArrow(run, "path string, records long, bytes long")
+    return text_batches(records).select("page_id", "url", "html", "keep_id").mapInArrow(run, "path string, records long, bytes long")
 
 
 def parse(stream: io.BufferedReader) -> Iterator[tuple[dict[str, str], bytes]]:

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_batches
+
 CACHE_WORDS = 500_000  # counts that a worker remembers before it starts afresh
 NONE = -1
 
@@ -123,5 +125,5 @@ def token_counts(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (words, tokens, unknown))],
                                              names=["doc_id", "n_words", "n_tokens", "n_unknown"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
+    return text_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
         run, f"doc_id {kind}, n_words long, n_tokens long, n_unknown long")
