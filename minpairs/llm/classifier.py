@@ -67,8 +67,8 @@ class Model:
         return 1 / (1 + np.exp(-z))
 
 
-def train(chunks: np.ndarray, lengths: np.ndarray, owner: np.ndarray, y: np.ndarray, *, steps: int = 368, batch: int = 64,
-          rate: float = 0.02, decay: float = 1e-4, seed: int = 5) -> Model:
+def train(chunks: np.ndarray, lengths: np.ndarray, owner: np.ndarray, y: np.ndarray, *, steps: int = 552, batch: int = 64,
+          rate: float = 0.03, decay: float = 1e-4, seed: int = 5) -> Model:
     """Fit by Adam in at least ``steps`` steps. ``chunks``: (n, CHUNK_BYTES) bytes, ``lengths``: used bytes of each,
     ``owner``: document of each (ascending), ``y``: label per document."""
     rng = np.random.default_rng(seed)
@@ -80,6 +80,9 @@ def train(chunks: np.ndarray, lengths: np.ndarray, owner: np.ndarray, y: np.ndar
     n_batches = max(1, len(y) // batch)
     epochs = -(-steps // n_batches)
     step, steps = 0, epochs * n_batches
+    # the rarer class counts more, by the root of the classes' ratio
+    share = y.mean()
+    weight = np.where(y == 1, ((1 - share) / share) ** 0.25, (share / (1 - share)) ** 0.25).astype(np.float32)
     for _ in range(epochs):
         for docs in np.array_split(rng.permutation(len(y)), n_batches):
             step += 1
@@ -97,7 +100,7 @@ def train(chunks: np.ndarray, lengths: np.ndarray, owner: np.ndarray, y: np.ndar
             mean = np.add.reduceat(act, at, axis=0) / counts[:, None]
             low = np.minimum.reduceat(act, at, axis=0)
             x = np.concatenate([mean, low], axis=1)
-            err = (1 / (1 + np.exp(-(x @ p["out"] + p["shift"]))) - y[docs]) / len(docs)
+            err = (1 / (1 + np.exp(-(x @ p["out"] + p["shift"]))) - y[docs]) * weight[docs] / len(docs)
             dx = err[:, None] * p["out"]
             which = np.repeat(np.arange(len(docs)), counts)
             is_low = act == low[which]
