@@ -5,8 +5,9 @@
 * Sketch: ``REGISTERS`` minima of a bucketed hash. Buckets that stay empty are filled
   in further rounds with fresh hashes, so that small sets have full sketches too. A
   minimum is stored as its leading-zero count and ten mantissa bits (16 bits).
-* Bands of ``ROWS`` registers are hashed; documents sharing a band are candidates.
-  At a similarity of 0.85 a pair shares none of the 36 bands once in a million.
+* Bands of registers are hashed; documents sharing a band are candidates. The threshold
+  sets their size (``banding``): 36 bands of 7 registers at 0.85, 42 of 6 at 0.80. A pair
+  at the threshold shares none of them about once in a million (0.85), thrice (0.80).
 * The share of equal registers, corrected for chance collisions of compressed
   registers, estimates the similarity; pairs well below the threshold go no further.
 * What remains is confirmed on full sets, 100 * intersection >= percent * union.
@@ -32,15 +33,15 @@ from .common import bounded, fresh, partitions, stage, text_batches
 
 SHINGLE = 5
 REGISTERS = 256  # the leading 8 bits of a hash name the bucket
-ROWS, BANDS = 7, 36
+MISS = 1e-5  # a pair at the threshold shares no band at most this often
 VALUE_BITS, MANTISSA_BITS = 50, 10
-MARGIN = 0.12  # over five standard errors of the estimate at 0.85
+MARGIN = 0.12  # over five standard errors of the estimate at 0.85; lower thresholds widen it alike
 LEADER_ROUNDS = 2
 BLOCK = 1024  # rows of a bucket compared at once
 
 _rng = np.random.default_rng(20)
 _WEIGHTS = _rng.integers(0, 2**63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BAND_WEIGHTS = _rng.integers(0, 2**63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BAND_WEIGHTS = _rng.integers(0, 2**63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -86,10 +87,23 @@ def sketch(x: np.ndarray) -> np.ndarray:
     return ((VALUE_BITS - exponent).astype(np.uint16) << MANTISSA_BITS) | mantissa
 
 
-def band_keys(registers: np.ndarray) -> np.ndarray:
+def banding(percent: int) -> tuple[int, int]:
+    """Registers in a band and number of bands: the longest bands that miss a pair at ``percent`` at most ``MISS`` often."""
+    fits = [r for r in range(1, REGISTERS + 1) if (1 - (percent / 100) ** r) ** (REGISTERS // r) <= MISS]
+    size = max(fits, default=1)
+    return size, REGISTERS // size
+
+
+def least_estimate(percent: int) -> float:
+    """Pairs with a lower estimate go no further."""
+    s = percent / 100
+    return s - MARGIN * max(1.0, (s * (1 - s) / (0.85 * 0.15)) ** 0.5)
+
+
+def band_keys(registers: np.ndarray, size: int, bands: int) -> np.ndarray:
     """One 64-bit key per band for each row of ``registers``; the band number is part of the key."""
-    r = registers[:, :ROWS * BANDS].reshape(len(registers), BANDS, ROWS).astype(np.uint64)
-    return _mix((r * _BAND_WEIGHTS).sum(axis=2, dtype=np.uint64) + (np.arange(BANDS, dtype=np.uint64) + np.uint64(1)) * _STEP)
+    r = registers[:, :size * bands].reshape(len(registers), bands, size).astype(np.uint64)
+    return _mix((r * _BAND_WEIGHTS[:size]).sum(axis=2, dtype=np.uint64) + (np.arange(bands, dtype=np.uint64) + np.uint64(1)) * _STEP)
 
 
 def chance_rate(n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
@@ -148,15 +162,15 @@ def sketch_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         run, f"doc_id {kind}, n_shingles long, f1 long, f2 long, sketch binary")
 
 
-def _band_rows(reps: DataFrame) -> DataFrame:
+def _band_rows(reps: DataFrame, size: int, bands: int) -> DataFrame:
     """``key, band, id`` per representative and band."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 regs = np.frombuffer(b"".join(b.column(1).to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS)
-                ids = np.repeat(b.column(0).to_numpy(zero_copy_only=False), BANDS)
+                ids = np.repeat(b.column(0).to_numpy(zero_copy_only=False), bands)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(band_keys(regs).ravel().view(np.int64)), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(regs))),
+                    [pa.array(band_keys(regs, size, bands).ravel().view(np.int64)), pa.array(np.tile(np.arange(bands, dtype=np.int32), len(regs))),
                      pa.array(ids, pa.int64())], names=["key", "band", "id"])
 
     return reps.select("id", "sketch").mapInArrow(run, "key long, band int, id long")
@@ -209,6 +223,7 @@ def _across(mates: DataFrame, reps: DataFrame, sets: DataFrame, low: float, perc
     member outside it. Members and queries meet in blocks of bounded size. After the
     estimate, the low 16 bits of the sets bound the intersection from above; as hardly
     any pair passes that is not linked, few pairs leave the task however large a group is."""
+    size, bands = banding(percent)
     by_label = mates.groupBy("key", "label").agg(F.count("*").alias("n"))
     buckets = stage(by_label.groupBy("key").agg(F.count("*").alias("labels"), F.sum("n").alias("n"), F.max_by("label", F.struct("n", "label")).alias("major"),
                                                 F.max("n").alias("top")).where("labels > 1")
@@ -237,7 +252,7 @@ def _across(mates: DataFrame, reps: DataFrame, sets: DataFrame, low: float, perc
             near = estimate(same.sum(axis=1), np.full(len(ok), sizes[i]), sizes[ok]) >= low
             ok, same = ok[near], same[near]
             # a pair belongs to the first band it shares
-            ok = ok[same[:, :ROWS * BANDS].reshape(len(ok), BANDS, ROWS).all(axis=2).argmax(axis=1) == band] if len(ok) else ok
+            ok = ok[same[:, :size * bands].reshape(len(ok), bands, size).all(axis=2).argmax(axis=1) == band] if len(ok) else ok
             if len(ok):
                 own = np.frombuffer(group["low"][i], dtype=np.uint16)
                 member[own] = 1
@@ -299,13 +314,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = stage(sketches.where(linkable).withColumn("id", F.col("doc_id").cast("long"))
                  .join(firsts, ["id", "n_shingles", "f1", "f2"], "left_semi")
                  .dropDuplicates(["id", "n_shingles", "f1", "f2"]).select("id", "n_shingles", "sketch"), "reps")
-    bands = stage(_band_rows(reps), "bands")
+    bands = stage(_band_rows(reps, *banding(percent)), "bands")
     shared = stage(bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared")
     mates = stage(bands.join(bounded(shared), "key", "left_semi"), "mates")
     ids = stage(mates.select("id").distinct(), "mate_ids")
     sets = stage(_set_table(docs, ids, id_col, text_col), "sets")
     reps = stage(reps.join(bounded(ids), "id", "left_semi"), "mate_sketches")
-    low = percent / 100 - MARGIN
+    low = least_estimate(percent)
 
     labels = ids.select("id", F.col("id").alias("label"))
 

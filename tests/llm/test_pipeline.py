@@ -86,3 +86,23 @@ def test_entry_lists_every_operator():
 
     names = __spark_entry__.queries()
     assert "pipeline" in names and {int(n[2:].split("_")[0]) for n in names if n.startswith("op") and n[2].isdigit()} == set(range(1, 11))
+
+
+def test_near_stage_takes_pairs_from_80_percent(spark, docs_of):
+    rows = []
+    for k in range(30):  # 96 shingles each; two changed words leave 86 of 106 (0.81), three 81 of 111 (0.73)
+        w = words(100, 5000 + k, 10**6)
+        other = list(w)
+        for at in (20, 50, 80)[:2 + (k % 3 == 0)]:
+            other[at] = f"z{k}y{at}"
+        rows += [(2 * k, " ".join(w), "en", "src0"), (2 * k + 1, " ".join(other), "en", "src0")]
+    want = {r[0] for r in test_minhash.brute(rows, percent=80) if r[3]}
+    assert len(want) == 40 and all(r[3] for r in test_minhash.brute(rows))
+    assert {r["doc_id"] for r in corpus_pipeline.near_stage(spark, docs_of(rows), "").collect()} == want
+
+
+def test_bands_follow_the_threshold():
+    assert minhash.banding(85) == (7, 36) and minhash.banding(80) == (6, 42)
+    for percent in (50, 70, 80, 85, 90, 95):
+        size, bands = minhash.banding(percent)
+        assert size * bands <= minhash.REGISTERS and (1 - (percent / 100) ** size) ** bands <= 1e-5
