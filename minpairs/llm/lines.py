@@ -3,7 +3,8 @@
 Windows run over the lines that hold a word. Equal windows are found globally by a
 128-bit hash, aggregated map-side first; of each, the first occurrence by document
 and position stays. Later occurrences cover their three lines (less those that the
-first occurrence itself covers); covered positions are merged and removed.
+first occurrence itself covers); covered positions are merged and removed, per row:
+an occurrence is known by its id and text, without an id by its row.
 """
 
 from __future__ import annotations
@@ -43,24 +44,27 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     * null text stays null with no lines; fewer than three worded lines: unchanged;
       blank lines are never removed;
-    * repeated rows (same id) count as one occurrence and are treated alike;
-      null ids share one document that comes after all others;
+    * repeated rows (same id, same text) count as one occurrence and are treated
+      alike; an id that repeats with other texts: each text is a document of its own;
+      null ids: each row is a document of its own, after all others;
     * texts of any length are read whole; a very frequent window travels as one row
       per task; empty table: empty result; extra columns of any name are ignored."""
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k")
-    windows = stage(docs.select("doc_id", F.explode(_windows(_worded(F.col("text")))).alias("w")).select("doc_id", "w.*"), "windows")
+    docs = stage(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row")), "line_docs")
+    none = F.col("doc_id").isNull()
+    docs = docs.select("doc_id", "text", F.struct(none.alias("last"), "doc_id", F.xxhash64("text").alias("t"), F.when(none, F.col("row")).otherwise(F.lit(0)).alias("row")).alias("at"))
+    windows = stage(docs.select("at", F.explode(_windows(_worded(F.col("text")))).alias("w")).select("at", "w.*"), "windows")
+    place = F.struct("at", "k")
     repeated = stage(windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("top"))
-                     .where("first <> top").select("h1", "h2", F.col("first.doc_id").alias("f_doc"), F.col("first.k").alias("f_k")), "repeated")
+                     .where("first <> top").select("h1", "h2", F.col("first.at").alias("f_at"), F.col("first.k").alias("f_k")), "repeated")
     later = windows.join(bounded(repeated), ["h1", "h2"])
-    own = F.col("doc_id").eqNullSafe(F.col("f_doc"))
+    own = F.col("at") == F.col("f_at")
     begin = F.when(own, F.greatest(F.col("k"), F.col("f_k") + SPAN)).otherwise(F.col("k"))
     spans = later.where(~(own & (F.col("k") == F.col("f_k")))).select(
-        "doc_id", F.explode(F.when(begin < F.col("k") + SPAN, F.sequence(begin, F.col("k") + SPAN - 1))).alias("j"))
-    gone = stage(spans.groupBy("doc_id").agg(F.collect_set("j").alias("covered")), "covered")  # at most a document's lines
+        "at", F.explode(F.when(begin < F.col("k") + SPAN, F.sequence(begin, F.col("k") + SPAN - 1))).alias("j"))
+    gone = stage(spans.groupBy("at").agg(F.collect_set("j").alias("covered")), "covered")  # at most a document's lines
     rows = gone.agg(F.coalesce(F.sum(F.size("covered")), F.lit(0))).first()[0]
-    side = gone.withColumnRenamed("doc_id", "g_doc")
-    joined = docs.join(bounded(side) if rows < 2_000_000 else side, F.col("doc_id").eqNullSafe(F.col("g_doc")), "left")
+    side = gone.withColumnRenamed("at", "g_at")
+    joined = docs.join(bounded(side) if rows < 2_000_000 else side, F.col("at") == F.col("g_at"), "left")
 
     def strip(w: Column) -> Column:
         removed = F.transform(F.col("covered"), lambda j: F.get(w, j)["i"])

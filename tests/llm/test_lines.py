@@ -52,3 +52,11 @@ def test_long_text(docs_of):
     text = "\n".join(f"line {k % 4000}" for k in range(9000))
     rows = [(1, text), (2, "\n".join(f"line {k}" for k in range(100)))]
     assert result(lines.line_dedup(docs_of(rows))) == brute(rows)
+
+
+def test_rows_without_an_id_and_ids_with_several_texts(docs_of):
+    rows = [(1, "a\nb\nc"), (None, "a\nb\nc"), (None, "e\nf\ng"), (None, "h\ni\nj"), (None, "h\ni\nj"),
+            (5, "p\nq\nr"), (5, "s\nt\nu"), (6, "p\nq\nr\nv"), (5, "a\nb\nc\nw")]
+    got = result(lines.line_dedup(docs_of(rows)))
+    assert got == sorted([(1, 3, 0, "a\nb\nc"), (None, 3, 3, ""), (None, 3, 0, "e\nf\ng"), (None, 3, 0, "h\ni\nj"), (None, 3, 3, ""),
+                          (5, 3, 0, "p\nq\nr"), (5, 3, 0, "s\nt\nu"), (6, 4, 3, "v"), (5, 4, 3, "w")], key=str)
