@@ -4,8 +4,11 @@ Statistics of every text are computed inside its row. Labelled rows then teach a
 ordered list of reject rules by sequential covering: a rule grows condition by
 condition (threshold on one statistic, largest information gain on the growing
 rows), is pruned to the prefix that does best on the pruning rows, and the rows it
-covers are set aside. Each step is one aggregation of all labelled rows into counts
-per statistic, threshold and class. The list becomes one conditional expression.
+covers are set aside. Thresholds are quantiles of the rows that the rule still covers,
+and of the bad ones among them, taken anew for each condition. Each step is two
+aggregations of all labelled rows, into quantiles and into counts per statistic,
+threshold and class. A rule that fails on the pruning rows gives way to one with
+another first condition. The list becomes one conditional expression.
 """
 
 from __future__ import annotations
@@ -112,54 +115,71 @@ def _bin(stat: str, thresholds: list[float]) -> Column:
     return F.size(F.filter(F.array(*map(F.lit, thresholds)), lambda t: t < F.col(stat)))
 
 
-def _grow(rows: DataFrame, thresholds: dict[str, list[float]]) -> list[Condition]:
+def _thresholds(rows: DataFrame) -> dict[str, list[float]]:
+    """Quantiles of each statistic over all rows and over the bad ones; a cut may lie at or just below a bad row's value."""
+    def quantiles(x: Column) -> Column:
+        return F.percentile_approx(x, [i / THRESHOLDS for i in range(THRESHOLDS)], 10000)
+
+    grid = rows.agg(*[quantiles(F.col(s)).alias(s) for s in RATIOS],
+                    *[quantiles(F.when(F.col("bad") == 1, F.col(s))).alias(f"bad_{s}") for s in RATIOS]).first()
+    out = {}
+    for s in RATIOS:
+        bad = {float(t) for t in grid[f"bad_{s}"] or ()}
+        out[s] = sorted({float(t) for t in grid[s] or ()} | bad | {math.nextafter(t, -math.inf) for t in bad})
+    return out
+
+
+def _choices(rows: DataFrame) -> list[Condition]:
+    """Per statistic and direction the condition of the largest gain, best first; none if the rows are of one class."""
+    thresholds = _thresholds(rows)
+    bins = F.array(*[_bin(s, t) if t else F.lit(0) for s, t in thresholds.items()])
+    counts = (rows.select("bad", F.posexplode(bins).alias("stat", "bin")).groupBy("stat", "bin")
+              .agg(F.sum("bad").alias("p"), F.sum(1 - F.col("bad")).alias("n")).collect())  # statistics x thresholds: bounded
+    per = {s: {} for s in range(len(thresholds))}
+    for r in counts:
+        per[r["stat"]][r["bin"]] = (r["p"], r["n"])
+    total = [sum(v[i] for v in per[0].values()) for i in (0, 1)]
+    if not total[0] or not total[1]:
+        return []
+    base = math.log2(total[0] / sum(total))
+    best: dict[tuple[str, bool], tuple[float, Condition]] = {}
+    for s, name in enumerate(thresholds):
+        low_p = low_n = 0
+        for k, threshold in enumerate(thresholds[name]):  # bin <= k: at or below threshold k
+            p, n = per[s].get(k, (0, 0))
+            low_p, low_n = low_p + p, low_n + n
+            for above, p, n in ((False, low_p, low_n), (True, total[0] - low_p, total[1] - low_n)):
+                if p and (gain := p * (math.log2(p / (p + n)) - base)) > best.get((name, above), (1e-9,))[0]:
+                    best[name, above] = gain, Condition(name, above, threshold)
+    return [c for _, c in sorted(best.values(), key=lambda x: -x[0])]
+
+
+def _grow(rows: DataFrame, first: Condition) -> list[Condition]:
     """Add the condition of the largest gain until no good row is covered."""
-    rule: list[Condition] = []
-    bins = F.array(*[_bin(s, t) for s, t in thresholds.items()])
-    names = list(thresholds)
-    while len(rule) < MAX_CONDITIONS:
-        counts = (rows.where(_all(rule)).select("bad", F.posexplode(bins).alias("stat", "bin")).groupBy("stat", "bin")
-                  .agg(F.sum("bad").alias("p"), F.sum(1 - F.col("bad")).alias("n")).collect())  # statistics x thresholds: bounded
-        per = {s: {} for s in range(len(names))}
-        for r in counts:
-            per[r["stat"]][r["bin"]] = (r["p"], r["n"])
-        total = [sum(v[i] for v in per[0].values()) for i in (0, 1)]
-        if not total[0] or not total[1]:
-            break
-        best, choice = 1e-9, None
-        base = math.log2(total[0] / sum(total))
-        for s, name in enumerate(names):
-            low_p = low_n = 0
-            for k, threshold in enumerate(thresholds[name]):  # bin <= k: at or below threshold k
-                p, n = per[s].get(k, (0, 0))
-                low_p, low_n = low_p + p, low_n + n
-                for above, p, n in ((False, low_p, low_n), (True, total[0] - low_p, total[1] - low_n)):
-                    if p and (gain := p * (math.log2(p / (p + n)) - base)) > best:
-                        best, choice = gain, Condition(name, above, threshold)
-        if choice is None:
-            break
-        rule.append(choice)
+    rule = [first]
+    while len(rule) < MAX_CONDITIONS and (found := _choices(rows.where(_all(rule)))):
+        rule.append(found[0])
     return rule
 
 
 def learn(rows: DataFrame) -> list[list[Condition]]:
     """Ordered reject rules from ``rows``: the ratios, ``bad`` (1 or 0) and ``pruning`` (a third of the rows)."""
     rows = stage(rows.select(*RATIOS, "bad", "pruning"), "labelled")
-    grid = rows.agg(*[F.percentile_approx(s, [i / THRESHOLDS for i in range(THRESHOLDS)], 10000).alias(s) for s in RATIOS]).first()
-    thresholds = {s: sorted({float(t) for t in grid[s]}) for s in RATIOS if grid[s]}
     rules: list[list[Condition]] = []
-    while thresholds and len(rules) < MAX_RULES:
+    while len(rules) < MAX_RULES:
         left = rows.where(~_any(rules))
-        rule = _grow(left.where("not pruning"), thresholds)
-        if not rule:
-            break
-        prefixes = [rule[:k + 1] for k in range(len(rule))]
-        held = left.where("pruning").agg(*[F.coalesce(F.sum(F.when(_all(p), x)), F.lit(0)).alias(f"{c}{k}") for k, p in enumerate(prefixes)
-                                          for c, x in (("p", F.col("bad")), ("n", 1 - F.col("bad")))]).first()
-        value, k = max(((held[f"p{k}"] - held[f"n{k}"]) / max(1, held[f"p{k}"] + held[f"n{k}"]), -k) for k in range(len(prefixes)))
-        if value <= 0:
+        growing, pruning = left.where("not pruning"), left.where("pruning")
+        for first in _choices(growing):  # the next best first condition if a rule fails
+            rule = _grow(growing, first)
+            prefixes = [rule[:k + 1] for k in range(len(rule))]
+            held = pruning.agg(*[F.coalesce(F.sum(F.when(_all(p), x)), F.lit(0)).alias(f"{c}{k}") for k, p in enumerate(prefixes)
+                                 for c, x in (("p", F.col("bad")), ("n", 1 - F.col("bad")))]).first()
+            value, k = max(((held[f"p{k}"] - held[f"n{k}"]) / max(1, held[f"p{k}"] + held[f"n{k}"]), -k) for k in range(len(prefixes)))
+            if value > 0:
+                rules.append(prefixes[-k])
+                break
+        else:
             break
-        rules.append(prefixes[-k])
     return rules
 
 

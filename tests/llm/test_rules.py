@@ -75,3 +75,19 @@ def test_rules_are_pruned_conjunctions(spark):
 def test_no_python_in_the_plan(docs_of, labels_of):
     plan = rules.quality_rules(docs_of([(1, good(1))]), labels_of([(1, 1)]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def rare(spark, percent):
+    """60000 rows, a share of them bad: those with ``words`` above every good row's; good rows are spread evenly."""
+    at = (F.col("id") * 7919) % 60000
+    bad = at >= 60000 * (100 - percent) / 100
+    return spark.range(60000).select(*[((F.col("id") * (31 + 2 * k)) % 997).cast("double").alias(s) for k, s in enumerate(rules.RATIOS) if s != "words"],
+                                     at.cast("double").alias("words"), bad.cast("int").alias("bad"), (F.xxhash64("id") % 3 == 0).alias("pruning"))
+
+
+@pytest.mark.parametrize("percent", [0.5, 1, 2])
+def test_rare_junk_is_cut_off_alone(spark, percent):
+    rows = rare(spark, percent)
+    found = rules.learn(rows)
+    got = rows.agg(F.sum("bad"), F.sum(F.when(rules._any(found), F.col("bad"))), F.sum(F.when(rules._any(found), 1 - F.col("bad")))).first()
+    assert got[1] >= 0.97 * got[0] and got[2] <= 0.03 * got[0], [list(map(str, r)) for r in found]
