@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import types
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,8 +18,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # a side of a join is broadcast only if it was counted and has at most so many narrow rows
 BROADCAST_ROWS = 500_000
 
-# whole texts cross to Python in batches of at most so many rows
-TEXT_BATCH_ROWS = 1000
+# whole texts cross to Python in Arrow batches of about so many bytes
+TEXT_BATCH_BYTES = 4 << 20
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -50,14 +52,22 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def text_batches(df: DataFrame) -> DataFrame:
-    """``df``, for a Python step over whole texts: its session passes on small Arrow
-    batches from now on, as a batch is held several times over by a worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(df.sparkSession.conf.get(key)) <= TEXT_BATCH_ROWS:
-        df.sparkSession.conf.set(key, str(TEXT_BATCH_ROWS))
+    """``df``, for a Python step over whole texts. A worker holds a batch several times
+    over, so its session's limit on the bytes of an Arrow batch is lowered, whatever the
+    number of rows; a plan setting like those of ``session.tune``, it stays lowered."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    limit = df.sparkSession.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(df.sparkSession.conf.get(key))
+    if not 0 < limit <= TEXT_BATCH_BYTES:
+        df.sparkSession.conf.set(key, str(TEXT_BATCH_BYTES))
     return df
 
 
+def worker_memory() -> dict:
+    """What a Python worker keeps over its tasks: a dict in a module of its own, as this
+    package's code is unpickled anew for every task."""
+    return vars(sys.modules.setdefault("minpairs_worker_memory", types.ModuleType("minpairs_worker_memory")))
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, with underscores in front until ``df`` has no such column."""
     taken = {c.lower() for c in df.columns}

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stage, text_batches
+from .common import stage, text_batches, worker_memory
 
 # distinct word chunks whose ids a worker remembers before it starts afresh
 CACHE_CHUNKS = 800_000
@@ -32,7 +32,7 @@ RANK_ROWS = 1_000
 
 # A pre-token of the byte-level vocabulary never holds a non-space followed by a
 # space, so a text may be cut before a run of blanks or line feeds. Texts with any
-# other white space are encoded whole.
+# other white space, or with the string of a special token, are encoded whole.
 _CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 _OTHER_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 
@@ -48,7 +48,7 @@ class ChunkEncoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.specials = [t.content for t in self.tok.get_added_tokens_decoder().values()]  # the tokenizer finds them in a text
         self.cache: dict[str, bytes] = {"": b""}
         bytewise = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         one = lambda c: bytewise.pre_tokenize_str(c)[0][0]
@@ -57,9 +57,7 @@ class ChunkEncoder:
     @classmethod
     def of_worker(cls, path: str) -> "ChunkEncoder":
         """One encoder per worker process, kept over its tasks."""
-        import tokenizers
-
-        known = vars(tokenizers).setdefault("_chunk_encoders", {})
+        known = worker_memory().setdefault("chunk_encoders", {})
         if path not in known:
             known[path] = cls(path)
         return known[path]
@@ -85,7 +83,7 @@ class ChunkEncoder:
         return ids
 
     def __call__(self, text: str) -> bytes:
-        if any(c in text for c in _OTHER_SPACES):
+        if any(c in text for c in _OTHER_SPACES) or any(t in text for t in self.specials):
             return self._whole(text)
         if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or "\0" in text:
             chunks = _CHUNK.findall(text)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_batches
+from .common import text_batches, worker_memory
 
 CACHE_WORDS = 500_000  # counts that a worker remembers before it starts afresh
 NONE = -1
@@ -107,8 +107,9 @@ def token_counts(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = Automaton(*read_pieces(vocabulary_path))
-        known: dict[bytes, int] = {}
+        # the automaton and the counted words stay with the worker over its tasks
+        automaton, known = worker_memory().setdefault("automata", {}).get(vocabulary_path) or (Automaton(*read_pieces(vocabulary_path)), {})
+        worker_memory()["automata"][vocabulary_path] = automaton, known
         for batch in batches:
             words, tokens, unknown = [], [], []
             for text in batch.column(1):

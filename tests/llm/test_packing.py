@@ -14,9 +14,7 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 @pytest.fixture(scope="module")
 def tok():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 def ids_of(tok, text):
@@ -29,6 +27,8 @@ def test_encoder_equals_the_tokenizer(tok):
            "º ª aº ßẞ ǅ a² ²", "a　b c  d", "..", ".", " .,x", "it's It'S", "🙂 a🙂"]
     r = random.Random(1)
     odd += ["".join(r.choice("ab .,\n'é9²\t_-Z") for _ in range(60)) for _ in range(300)]
+    odd += ["a<|endoftext|>b", "<|endoftext|>", "x <|endoftext|> <|endoftext|>y\n", "<|endoftext", "a <|endof text|> b", "z " * 5000 + "<|endoftext|>" + " z" * 5000]
+    assert len(ids_of(tok, "a<|endoftext|>b")) == 4
     for t in odd:
         assert enc(t) == np.array(ids_of(tok, t)[:-1], dtype="<u4").tobytes(), repr(t)
 

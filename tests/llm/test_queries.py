@@ -52,7 +52,6 @@ def test_against_sql(spark, duck, name):
 
 def test_packing(spark, texts):
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     rows = QUERIES["op1_packing"](spark, SF).collect()
     pieces = defaultdict(list)
     for r in rows:
