@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, exact, lines, minhash, mixing, packing, rules, sharding, warc, wordpiece
+from . import bpe, classifier, exact, lines, minhash, mixing, packing, rules, sharding, warc, wordpiece
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -103,6 +103,14 @@ def op10_classifier(spark: SparkSession, sf: str) -> DataFrame:
     return classifier.classify(docs, classifier.train_on(docs, table(spark, sf, "labels")))
 
 
+def op11_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    both = bpe.decode(bpe.encode(table(spark, sf, "documents"), ranks, pattern), ranks, pattern)
+    return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_minhash": op2_minhash,
@@ -114,6 +122,7 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_mixing": op9_mixing,
     "op10_classifier": op10_classifier,
+    "op11_bpe": op11_bpe,
 }
 
 SQL = {

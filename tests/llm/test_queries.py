@@ -89,3 +89,19 @@ def test_classifier(spark, texts, duck):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in rows)
     good = dict(duck.execute("SELECT doc_id, quality FROM labels").fetchall())
     assert np.mean([r["predicted"] == good[r["doc_id"]] for r in rows if r["held_out"] and r["doc_id"] in good]) > 0.8
+
+
+def test_bpe(spark, texts):
+    import base64
+    import hashlib
+
+    import tiktoken
+
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    enc = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = []
+    for i, t in texts.items():
+        ids = np.array(enc.encode_ordinary(t or ""), dtype="<u4")
+        want.append((i, len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
+    assert sorted(map(tuple, QUERIES["op11_bpe"](spark, SF).collect())) == sorted(want)
