@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, classifier, exact, lines, minhash, mixing, packing, rules, sharding, warc, wordpiece
+from . import bpe, classifier, exact, lines, minhash, mixing, packing, ranked, rules, sharding, warc, wordpiece
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -111,6 +111,10 @@ def op11_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op12_ranked_search(spark: SparkSession, sf: str) -> DataFrame:
+    return ranked.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_minhash": op2_minhash,
@@ -123,6 +127,7 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_classifier": op10_classifier,
     "op11_bpe": op11_bpe,
+    "op12_ranked_search": op12_ranked_search,
 }
 
 SQL = {
@@ -173,6 +178,19 @@ b AS (SELECT *, list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRST
       ((('0x' || substr(x, (i // 8) * 10 + 1, 10))::BIGINT >> (35 - 5 * (i % 8))) & 31) + 1, 1)) AS c FROM d)
 SELECT page_id, n AS payload_bytes, array_to_string(c, '') AS payload_digest, CASE WHEN page_id = keep_id THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id <> keep_id THEN keep_id END AS refers_to FROM b""",
+    # every document of every item's terms scored, then ranked
+    "op12_ranked_search": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+c AS (SELECT count(*) AS n_docs, sum(len(ts))::BIGINT AS n_terms FROM d WHERE len(ts) > 0),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark),
+p AS (SELECT doc_id, t, count(*) AS tf, any_value(n) AS n FROM (SELECT doc_id, len(ts) AS n, unnest(ts) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY doc_id, t),
+w AS (SELECT t, floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM p CROSS JOIN c GROUP BY t),
+s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_terms))))::BIGINT AS score
+      FROM p JOIN w USING (t) JOIN q USING (t) CROSS JOIN c GROUP BY item_id, doc_id),
+r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT * FROM r WHERE rank <= 10""",
     # the shortest md5 prefix whose rows fit
     "op8_sharding": f"""
 WITH RECURSIVE d AS (SELECT doc_id, coalesce(strlen(text), 0) AS n_bytes, ('0x' || substr(md5(doc_id::VARCHAR), 1, 10))::BIGINT AS key FROM documents),
