@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, classifier, exact, lines, minhash, mixing, packing, ranked, rules, sharding, warc, wordpiece
+from . import bpe, classifier, exact, lines, minhash, mixing, packing, ranked, rules, sharding, warc, whiten, wordpiece
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -115,6 +115,10 @@ def op12_ranked_search(spark: SparkSession, sf: str) -> DataFrame:
     return ranked.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
+def op13_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    return whiten.whiten(table(spark, sf, "embeddings"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_minhash": op2_minhash,
@@ -128,6 +132,7 @@ QUERIES = {
     "op10_classifier": op10_classifier,
     "op11_bpe": op11_bpe,
     "op12_ranked_search": op12_ranked_search,
+    "op13_whitening": op13_whitening,
 }
 
 SQL = {
