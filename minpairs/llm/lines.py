@@ -1,8 +1,10 @@
 """Line dedup over overlapping windows of three consecutive lines.
 
-Windows run over the lines that hold a word. Equal windows are found globally by a
-128-bit hash, aggregated map-side first; of each, the first occurrence by document
-and position stays. Later occurrences cover their three lines (less those that the
+A line is cut into units after its sentence ends, so that a passage inside long lines is
+found too; a line without one is a single unit. Windows of three units run over the
+units that hold a word; a text with fewer has one window of all it has. Equal windows are
+found globally by a 128-bit hash, counted map-side first; of each, the first occurrence
+by document and position stays. Later occurrences cover their units (less those that the
 first occurrence itself covers); covered positions are merged and removed, per row:
 an occurrence is known by its id and text, without an id by its row.
 """
@@ -16,62 +18,83 @@ from .common import WORD, bounded, stage
 from .rules import _let
 
 SPAN = 3
+# a sentence end, the blanks after it, and what the next unit begins with
+SENTENCE_END = "([.!?][\"')\\]]*[ \t]+)([^ \t\r\x0b\x0c])"
+BLANKS = " \t\r"  # not compared at either end of a unit
+JOIN_ROWS = 200_000  # hashes and covered places are broadcast up to so many rows
 
 
-def _worded(text: Column) -> Column:
-    """Array of (i, line): the lines with a word and their places among all lines."""
-    pairs = F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda x, i: F.struct(i.alias("i"), x.alias("line")))
-    return F.filter(pairs, lambda p: p["line"].rlike(WORD))
+def _units(text: Column) -> Column:
+    """Array of (line, unit) of a whole text. Only blank lines have no word, and are one unit each."""
+    cut = lambda x: F.split(F.regexp_replace(x, SENTENCE_END, "$1\n$2"), "\n", -1)  # noqa: E731  a line holds no line feed
+    return F.flatten(F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1),
+                                 lambda x, i: F.transform(cut(x), lambda u: F.struct(i.alias("line"), u.alias("unit")))))
 
 
-def _windows(worded: Column) -> Column:
-    """Array of (k, h1, h2), one per window."""
-    def at(k: Column) -> Column:
-        lines = F.transform(F.slice(worded_var[0], k, SPAN), lambda p: p["line"])
-        return F.struct((k - 1).alias("k"), F.xxhash64(lines).alias("h1"), F.xxhash64(F.lit(1), lines).alias("h2"))
+def _worded(units: Column) -> Column:
+    """Places of the units that hold a word."""
+    return F.filter(F.transform(units, lambda u, p: F.when(u["unit"].rlike(WORD), p)), lambda p: p.isNotNull())
 
-    worded_var: list[Column] = []
 
-    def body(w: Column) -> Column:
-        worded_var[:] = [w]
-        return F.when(F.size(w) >= SPAN, F.transform(F.sequence(F.lit(1), F.size(w) - SPAN + 1), at))
+def _windows(text: Column) -> Column:
+    """Array of (k, h1, h2), one per window over the worded units."""
+    def hashed(units: Column) -> Column:
+        def at(k: Column) -> Column:
+            part = F.slice(units, k, SPAN)
+            return F.struct((k - 1).alias("k"), F.xxhash64(part).alias("h1"), F.xxhash64(F.lit(1), part).alias("h2"))
+        return F.when(F.size(units) >= 1, F.transform(F.sequence(F.lit(1), F.greatest(F.size(units) - SPAN + 1, F.lit(1))), at))
 
-    return _let(worded, body)
+    worded = F.filter(F.transform(_units(text), lambda u: F.trim(u["unit"], F.lit(BLANKS))), lambda u: u.rlike(WORD))
+    return _let(worded, hashed)
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: ``doc_id, n_lines, n_removed, text``; ``n_lines`` counts lines with a word.
+    """One row per input row: ``doc_id, n_lines, n_units, n_removed, text``; ``n_lines`` and
+    ``n_units`` count lines and units with a word, ``n_removed`` the units that went.
 
-    * null text stays null with no lines; fewer than three worded lines: unchanged;
-      blank lines are never removed;
+    * a line all of whose units go, goes with its line feed; blank lines are never removed;
+    * null text stays null with no lines; fewer than three worded units: one window of
+      all of them, equal only to a text that has the same ones and no others;
     * repeated rows (same id, same text) count as one occurrence and are treated
       alike; an id that repeats with other texts: each text is a document of its own;
       null ids: each row is a document of its own, after all others;
     * texts of any length are read whole; a very frequent window travels as one row
       per task; empty table: empty result; extra columns of any name are ignored."""
     docs = stage(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row")), "line_docs")
-    none = F.col("doc_id").isNull()
-    docs = docs.select("doc_id", "text", F.struct(none.alias("last"), "doc_id", F.xxhash64("text").alias("t"), F.when(none, F.col("row")).otherwise(F.lit(0)).alias("row")).alias("at"))
-    windows = stage(docs.select("at", F.explode(_windows(_worded(F.col("text")))).alias("w")).select("at", "w.*"), "windows")
-    place = F.struct("at", "k")
-    repeated = stage(windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("top"))
-                     .where("first <> top").select("h1", "h2", F.col("first.at").alias("f_at"), F.col("first.k").alias("f_k")), "repeated")
-    later = windows.join(bounded(repeated), ["h1", "h2"])
-    own = F.col("at") == F.col("f_at")
+    # with the id, ``part`` names a document: its text's hash, or the row where there is no id
+    docs = docs.select("doc_id", "text", F.when(F.col("doc_id").isNull(), F.col("row")).otherwise(F.xxhash64("text")).alias("part"))
+    windows = stage(docs.select("doc_id", "part", F.explode(_windows(F.col("text"))).alias("w")).select("doc_id", "part", "w.*"), "windows")
+    # all windows are only counted; where an occurrence stands matters for the repeated ones alone
+    hashes = stage(windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"), "repeated")
+    again = stage(windows.join(bounded(hashes, JOIN_ROWS), ["h1", "h2"], "left_semi"), "occurrences")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "part", "k")
+    first = stage(again.groupBy("h1", "h2").agg(F.min(place).alias("f"))
+                  .select("h1", "h2", F.col("f.doc_id").alias("f_doc"), F.col("f.part").alias("f_part"), F.col("f.k").alias("f_k")), "first_places")
+    own = F.col("doc_id").eqNullSafe(F.col("f_doc")) & (F.col("part") == F.col("f_part"))
+    later = again.join(bounded(first, JOIN_ROWS), ["h1", "h2"]).where(~(own & (F.col("k") == F.col("f_k"))))
     begin = F.when(own, F.greatest(F.col("k"), F.col("f_k") + SPAN)).otherwise(F.col("k"))
-    spans = later.where(~(own & (F.col("k") == F.col("f_k")))).select(
-        "at", F.explode(F.when(begin < F.col("k") + SPAN, F.sequence(begin, F.col("k") + SPAN - 1))).alias("j"))
-    gone = stage(spans.groupBy("at").agg(F.collect_set("j").alias("covered")), "covered")  # at most a document's lines
-    rows = gone.agg(F.coalesce(F.sum(F.size("covered")), F.lit(0))).first()[0]
-    side = gone.withColumnRenamed("at", "g_at")
-    joined = docs.join(bounded(side) if rows < 2_000_000 else side, F.col("at") == F.col("g_at"), "left")
-
-    def strip(w: Column) -> Column:
-        removed = F.transform(F.col("covered"), lambda j: F.get(w, j)["i"])
-        return F.when(F.col("covered").isNull(), F.col("text")).otherwise(_let(F.split("text", "\n", -1), lambda lines: F.array_join(
-            F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), removed), lambda i: F.get(lines, i)), "\n")))
-
-    n_removed = F.coalesce(F.size("covered"), F.lit(0))
-    n_removed = F.when(F.col("covered").isNull(), F.lit(0)).otherwise(F.size("covered"))
-    return joined.select("doc_id", F.size(_worded(F.col("text"))).cast("long").alias("n_lines"), n_removed.cast("long").alias("n_removed"),
-                         _let(_worded(F.col("text")), strip).alias("text"))
+    spans = later.select("doc_id", "part", "k", begin.alias("begin")).where(F.col("begin") < F.col("k") + SPAN)
+    # a span is its first unit and its length, in one number: at most one per unit and document
+    gone = stage(spans.groupBy(F.col("doc_id").alias("g_doc"), F.col("part").alias("g_part"))
+                 .agg(F.collect_set(F.col("begin") * 4 + F.col("k") + SPAN - F.col("begin")).alias("spans")), "covered")
+    size = gone.agg(F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()[0]
+    joined = docs.join(bounded(gone, JOIN_ROWS) if size <= 4 * JOIN_ROWS else gone,
+                       F.col("doc_id").eqNullSafe(F.col("g_doc")) & (F.col("part") == F.col("g_part")), "left")
+
+    def strip(units: Column) -> Column:
+        """The units that stay, and how many go."""
+        def rest(worded: Column) -> Column:
+            covered = F.flatten(F.transform("spans", lambda s: F.sequence(F.shiftright(s, 2), F.shiftright(s, 2) + F.pmod(s, F.lit(4)) - 1)))
+            removed = F.array_distinct(F.filter(F.transform(covered, lambda j: F.get(worded, j)), lambda p: p.isNotNull()))
+            kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(units) - 1), removed), lambda p: F.get(units, p))
+            lined = _let(kept, lambda x: F.transform(x, lambda u, i: F.when(
+                (i > 0) & (F.get(x, i - 1)["line"] != u["line"]), F.concat(F.lit("\n"), u["unit"])).otherwise(u["unit"])))
+            return F.struct(F.size(removed).cast("long").alias("n"), F.array_join(lined, "").alias("text"))
+        return _let(_worded(units), rest)
+
+    stripped = F.when(F.col("spans").isNotNull(), _let(_units(F.col("text")), strip))
+    lines = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: x.rlike(WORD)))
+    out = joined.select("doc_id", "text", lines.cast("long").alias("n_lines"), F.size(_worded(_units(F.col("text")))).cast("long").alias("n_units"),
+                        F.explode(F.array(stripped)).alias("s"))
+    return out.select("doc_id", "n_lines", "n_units", F.coalesce("s.n", F.lit(0)).cast("long").alias("n_removed"),
+                      F.when(F.col("s").isNull(), F.col("text")).otherwise(F.col("s.text")).alias("text"))

@@ -156,23 +156,26 @@ k AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
 SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, w.doc_id = component_id AS kept
 FROM w LEFT JOIN n USING (doc_id) JOIN k ON k.doc_id = w.doc_id""",
     "op9_mixing": _mix_sql(share=0.8, max_epochs=3, seed=17),
-    # a later window covers its three lines, less those its first occurrence covers itself
+    # lines cut at sentence ends; a later window covers its three units, less those its first occurrence covers itself
     "op3_line_dedup": r"""
 WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
-w AS (SELECT doc_id, i - 1 AS i, ls[i] AS line, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS j
-      FROM l, unnest(range(1, len(ls) + 1)) AS u(i) WHERE regexp_matches(ls[i], '[^\x20\x09-\x0D]')),
-t AS (SELECT doc_id, j AS k, line AS a, lead(line) OVER d AS b, lead(line, 2) OVER d AS c, lead(j, 2) OVER d AS z FROM w
+p AS (SELECT doc_id, i, string_split(regexp_replace(ls[i], '([.!?]["'')\]]*[ \t]+)([^ \t\r\x0b\x0c])', '\1' || chr(10) || '\2', 'g'), chr(10)) AS cut
+      FROM l, unnest(range(1, len(ls) + 1)) AS x(i)),
+u AS (SELECT doc_id, i, unnest(cut) AS unit, generate_subscripts(cut, 1) AS c FROM p),
+w AS (SELECT doc_id, i, c, trim(unit, ' ' || chr(9) || chr(13)) AS t, row_number() OVER (PARTITION BY doc_id ORDER BY i, c) - 1 AS j
+      FROM u WHERE regexp_matches(unit, '[^\x20\x09-\x0D]')),
+v AS (SELECT doc_id, j, t AS a, lead(t) OVER d AS b, lead(t, 2) OVER d AS c, count(*) OVER (PARTITION BY doc_id) AS m FROM w
       WINDOW d AS (PARTITION BY doc_id ORDER BY j)),
-f AS (SELECT *, first_value(doc_id) OVER o AS f_doc, first_value(k) OVER o AS f_k FROM t WHERE z IS NOT NULL
-      WINDOW o AS (PARTITION BY a, b, c ORDER BY doc_id, k)),
+t AS (SELECT doc_id, j AS k, a, b, c FROM v WHERE c IS NOT NULL OR m < 3 AND j = 0),
+f AS (SELECT *, first_value(doc_id) OVER o AS f_doc, first_value(k) OVER o AS f_k FROM t WINDOW o AS (PARTITION BY a, b, c ORDER BY doc_id, k)),
 g AS (SELECT DISTINCT doc_id, unnest(range(CASE WHEN doc_id = f_doc THEN greatest(k, f_k + 3) ELSE k END, k + 3)) AS j
       FROM f WHERE NOT (doc_id = f_doc AND k = f_k)),
-r AS (SELECT doc_id, w.i FROM g JOIN w USING (doc_id, j)),
-n AS (SELECT doc_id, count(*) AS n_lines FROM w GROUP BY doc_id),
+r AS (SELECT doc_id, w.i, w.c FROM g JOIN w USING (doc_id, j)),
+n AS (SELECT doc_id, count(DISTINCT i) AS n_lines, count(*) AS n_units FROM w GROUP BY doc_id),
 m AS (SELECT doc_id, count(*) AS n_removed FROM r GROUP BY doc_id),
-x AS (SELECT doc_id, string_agg(ls[i], chr(10) ORDER BY i) AS text FROM l, unnest(range(1, len(ls) + 1)) AS u(i)
-      WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.doc_id = l.doc_id AND r.i = u.i - 1) GROUP BY doc_id)
-SELECT l.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed,
+y AS (SELECT doc_id, i, string_agg(unit, '' ORDER BY c) AS line FROM u ANTI JOIN r USING (doc_id, i, c) GROUP BY doc_id, i),
+x AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS text FROM y GROUP BY doc_id)
+SELECT l.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_units, 0) AS n_units, coalesce(n_removed, 0) AS n_removed,
        CASE WHEN l.text IS NULL THEN NULL ELSE coalesce(x.text, '') END AS text
 FROM l LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id) LEFT JOIN x USING (doc_id)""",
     "op5_warc": """

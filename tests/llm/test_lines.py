@@ -1,27 +1,38 @@
+import re
+
 from minpairs.llm import lines
 
 
+def units_of(text):
+    """(line, unit): lines cut after their sentence ends."""
+    return [(i, u) for i, x in enumerate(text.split("\n")) for u in re.sub("([.!?][\"')\\]]*[ \t]+)([^ \t\r\x0b\x0c])", "\\1\n\\2", x).split("\n")]
+
+
 def brute(rows):
     """Rows by (doc, window); the first occurrence of a window stays, later ones lose what it does not cover itself."""
-    docs = {}
+    docs, worded = {}, {}
     for i, t, *_ in rows:
         if t is not None and i is not None:
-            docs[i] = [(k, x) for k, x in enumerate(t.split("\n")) if x.strip(" \t\r\x0b\x0c")]
+            docs[i] = units_of(t)
+            worded[i] = [p for p, (_, u) in enumerate(docs[i]) if u.strip(" \t\r\x0b\x0c")]
     first, gone = {}, {i: set() for i in docs}
     for i in sorted(docs):
-        w = docs[i]
-        for k in range(len(w) - 2):
-            key = tuple(x for _, x in w[k:k + 3])
+        w = [docs[i][p][1].strip(" \t\r") for p in worded[i]]
+        for k in range(max(len(w) - 2, min(1, len(w)))):
+            key = tuple(w[k:k + 3])
             f = first.setdefault(key, (i, k))
             if f != (i, k):
-                gone[i] |= set(range(max(k, f[1] + 3) if f[0] == i else k, k + 3))
+                gone[i] |= set(range(max(k, f[1] + 3) if f[0] == i else k, min(k + 3, len(w))))
     out = []
     for i, t, *_ in rows:
         if i not in docs:
             out.append((i, 0, 0, t))
             continue
-        drop = {docs[i][j][0] for j in gone[i]}
-        out.append((i, len(docs[i]), len(gone[i]), "\n".join(x for k, x in enumerate(t.split("\n")) if k not in drop)))
+        drop, kept = {worded[i][j] for j in gone[i]}, {}
+        for p, (line, u) in enumerate(docs[i]):
+            if p not in drop:
+                kept[line] = kept.get(line, "") + u
+        out.append((i, len({docs[i][p][0] for p in worded[i]}), len(gone[i]), "\n".join(kept[k] for k in sorted(kept))))
     return sorted(out, key=str)
 
 
@@ -60,3 +71,22 @@ def test_rows_without_an_id_and_ids_with_several_texts(docs_of):
     got = result(lines.line_dedup(docs_of(rows)))
     assert got == sorted([(1, 3, 0, "a\nb\nc"), (None, 3, 3, ""), (None, 3, 0, "e\nf\ng"), (None, 3, 0, "h\ni\nj"), (None, 3, 3, ""),
                           (5, 3, 0, "p\nq\nr"), (5, 3, 0, "s\nt\nu"), (6, 4, 3, "v"), (5, 4, 3, "w")], key=str)
+
+
+def test_passages_inside_long_lines(docs_of):
+    """A line is cut at its sentence ends: three equal sentences are found wherever they stand."""
+    shared = "First things come first. Second thoughts are best! Is a third one needed? Nobody knows."
+    rows = [(1, f"One opens. {shared} One ends.\nother line"), (2, f"Two opens here.\n{shared}\nTwo ends."), (3, f"Three says: {shared}"),
+            (4, "First things come first. Second thoughts are best!"), (5, "e.g. this v1.5 is one.  Two (here.) Three \"so.\" Four"), (6, "x. \n y.\t\r\nz. \x0b"),
+            (7, "First things come first."), (8, "First things come first. Second thoughts are best!"), (9, "First things come first.\n\n"), (10, ". . . a")]
+    got = result(lines.line_dedup(docs_of(rows, extra=True)))
+    assert got == brute(rows)
+    by = {r[0]: r for r in got}
+    assert by[2][3] == "Two opens here.\nTwo ends." and by[3][3] == "Three says: First things come first. " and by[8][3] == "" and by[9][3] == "\n"
+    assert by[4][2] == by[7][2] == 0
+
+
+def test_hot_passage_and_very_long_text(docs_of):
+    rows = [(k, f"Own start {k}. Very common one. Very common two. Very common three. Own end {k}.") for k in range(300)]
+    rows.append((999, " ".join(f"Sentence {k % 20000} of a long text." for k in range(60_000))))  # one line of 1.7 MB
+    assert result(lines.line_dedup(docs_of(rows))) == brute(rows)
