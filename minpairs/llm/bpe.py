@@ -32,9 +32,10 @@ from .common import text_batches, worker_memory
 
 LEAF_BYTES, MEMO_BYTES, LEAF_IDS = 4, 10, 4096
 SEGMENT = 1 << 16  # characters of a text that are split into chunks at once
-CACHE_CHUNKS, CACHE_JOINS = 400_000, 250_000  # what a worker remembers of each kind before it starts afresh
+CACHE_CHUNKS, CACHE_JOINS = 300_000, 250_000  # what a worker remembers of each kind before it forgets
 HEAP_TOKENS = 48  # windows of more bytes are merged with a heap
-# fixed values: white space besides blank and line feed, as the pattern's \s has it
+# fixed values: marks that a chunk may end in; white space besides blank and line feed, as the pattern's \s has it
+MARKS = (",", ".", ";", ":", "!", "?", ")")
 OTHER_SPACES = "\t\x0b\x0c\r\x85\xa0     　" + "".join(map(chr, range(0x2000, 0x200b)))
 
 Ids = tuple[int, ...]
@@ -59,6 +60,7 @@ class Codec:
         self.seams: dict[int, bool] = {}  # two ids -> whether they stand side by side
         self.small: dict[bytes, Ids] = {}  # leaves and short windows
         self.chunks: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
         self.spaces = regex.compile(f"[{OTHER_SPACES}]").search
         self.words = regex.compile(rf"[ \n{OTHER_SPACES}]*[^ \n{OTHER_SPACES}]+|[ \n{OTHER_SPACES}]+").findall
 
@@ -152,11 +154,12 @@ class Codec:
         if n <= LEAF_BYTES:
             return self.merge(data)
         if n > MEMO_BYTES:
-            half = n // 2 if n <= 64 else 1 << (n - 1).bit_length() - 1  # in long runs seams fall where merges end
+            half = 1 << (n - 1).bit_length() - 1  # in long runs seams fall where merges end
             return self.join(self.reduce(data[:half]), self.reduce(data[half:]))
         out = self.small.get(data)
         if out is None:
-            a, b = self.reduce(data[:n // 2]), self.reduce(data[n // 2:])
+            half = n // 2
+            a, b = self.reduce(data[:half]), self.reduce(data[half:])
             out = a + b if self.seams.get(a[-1] << 32 | b[0]) else self.join(a, b)
             self._remember(data, out)
         return out
@@ -172,11 +175,21 @@ class Codec:
     def chunk(self, chunk: str) -> bytes:
         """Ids, little-endian unsigned 32-bit, of a chunk: white space and what follows up to the next."""
         ids = self.chunks.get(chunk)
+        if ids is None and (ids := self.older.get(chunk)) is not None:
+            self.chunks[chunk] = ids
         if ids is None:
-            ids = array("I", [x for m in self.matches(chunk) for x in self.piece(m)]).tobytes()
+            # a word of letters and one mark after it are two matches, each remembered alone
+            tail = chunk[-1:] if chunk[-1:] in MARKS else ""
+            word = chunk[:-1] if tail else chunk
+            if not (word[1:] if word[:1] == " " else word).isalpha():
+                ids = array("I", [x for m in self.matches(chunk) for x in self.piece(m)]).tobytes()
+            elif tail:
+                ids = self.chunk(word) + self.chunk(tail)
+            else:
+                ids = array("I", self.piece(word)).tobytes()
             if len(chunk) <= 64:
-                if len(self.chunks) >= CACHE_CHUNKS:
-                    self.chunks = {"": b""}
+                if len(self.chunks) >= CACHE_CHUNKS:  # a full memory is kept aside for what is asked for again
+                    self.older, self.chunks = self.chunks, {"": b""}
                 self.chunks[chunk] = ids
         return ids
 
