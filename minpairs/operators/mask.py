@@ -31,7 +31,7 @@ from .pattern import Pattern, match, target_ids_in_row
 MASKED_COLUMNS = ["sentence_id", "match_id", "match_token", "original_text", "masked_text"]
 PROMPT_COLUMNS = ["sentence_id", "match_id", "match_token", "original_text", "prompt_text"]
 # what later steps need of a target and its neighbours, taken while its sentence row is in hand
-CONTEXT_COLUMNS = ["sent_ord", "lemma", "upos", "feats", "prev_word", "next_word"]
+CONTEXT_COLUMNS = ["sent_ord", "lemma", "upos", "feats", "prev_word", "next_word", "prev2_word", "next2_word"]
 EXCEPTION_COLUMNS = ["sentence_id", "match_id", "all_tokens", "match_token", "original_text", "reason"]
 
 
@@ -124,7 +124,9 @@ def aligned(sentences: DataFrame, pattern: Pattern | None = None, target: str |
     s = s.select("sid", "sent_ord", "text", *carry, *ALIGN_COLUMNS, "_target.match_id", F.col("_target.t.lemma").alias("lemma"),
                  F.col("_target.t.upos").alias("upos"), F.col("_target.t.feats").alias("feats"),
                  F.get("words", F.col("_target.match_id") - 2).alias("prev_word"),
-                 F.get("words", F.col("_target.match_id")).alias("next_word"))
+                 F.get("words", F.col("_target.match_id")).alias("next_word"),
+                 F.get("words", F.col("_target.match_id") - 3).alias("prev2_word"),
+                 F.get("words", F.col("_target.match_id") + 1).alias("next2_word"))
     forms, tids = ("forms_all", "tids_all") if legacy else ("forms_surface", "tids_surface")
     k = F.array_position(tids, F.col("match_id")).cast("int")
     k_all = F.array_position("tids_all", F.col("match_id")).cast("int")

@@ -15,7 +15,7 @@ and, at token level, ``certainty``):
 n-grams are built inside each sentence row from its word array
 (``arrays_zip`` of shifted slices, then explode): no self join, no window.
 Contexts are sums over the n-gram counts, not a second pass over tokens.
-Count tables are stored before use (``NgramModel.stored``): a lookup join
+Both count tables are stored by the fit: a lookup join
 then has an exchange on both sides, which is what AQE needs to split a very
 frequent word; an aggregate joined on its own keys would be read in place.
 Targets are unpivoted, so any number of target columns is one lookup.
@@ -72,8 +72,8 @@ def trigrams(sentences: DataFrame) -> DataFrame:
 
 
 class NgramModel(NamedTuple):
-    grams: DataFrame      # bigram: (prev, w, c, h);  trigram: (l, r, w, c, h); h = count of the context
-    contexts: DataFrame   # bigram: (prev, h, e);     trigram: (l, r, h, e); e = entropy of the context's distribution
+    grams: DataFrame      # bigram: (prev, w, c);  trigram: (l, r, w, c)
+    contexts: DataFrame   # bigram: (prev, h, e);  trigram: (l, r, h, e); h = count, e = entropy of the context's distribution
     vocab: int
     alpha: float
     order: int
@@ -83,7 +83,8 @@ class NgramModel(NamedTuple):
         return ["prev"] if self.order == 2 else ["l", "r"]
 
     def stored(self) -> "NgramModel":
-        return self._replace(grams=cut_lineage(self.grams), contexts=cut_lineage(self.contexts))
+        """The model itself: both tables are stored by the fit."""
+        return self
 
 
 def vocab_size(sentences: DataFrame) -> int:
@@ -91,15 +92,19 @@ def vocab_size(sentences: DataFrame) -> int:
     return word_rows(sentences).select(F.explode("words").alias("f")).select(F.countDistinct("f")).first()[0]
 
 
-def _fit(ngrams: DataFrame, keys: list[str], order: int, alpha: float, vocab: int) -> NgramModel:
-    counts = cut_lineage(ngrams.groupBy(*keys, "w").agg(F.count(F.lit(1)).alias("c")))
+def fit_counts(counts: DataFrame, keys: list[str], order: int, alpha: float, vocab: int) -> NgramModel:
+    """Model from n-gram counts (keys, w, c): both tables are stored, each once; contexts are sums over the stored counts."""
+    counts = cut_lineage(counts, "ngrams")
     a, v = float(alpha), float(vocab)
     seen = F.col("c") + F.lit(a)
     ctx = counts.groupBy(*keys).agg(F.sum("c").alias("h"), F.sum(seen * F.log(seen)).alias("_s"), F.count(F.lit(1)).alias("_n"))
     mass = F.col("h") + F.lit(a * v)
     entropy = F.log(mass) - (F.col("_s") + (F.lit(v) - F.col("_n")) * F.lit(a * math.log(a))) / mass
-    ctx = cut_lineage(ctx.select(*keys, "h", entropy.alias("e")))
-    return NgramModel(counts.join(ctx.select(*keys, "h"), keys), ctx, vocab, alpha, order)
+    return NgramModel(counts, cut_lineage(ctx.select(*keys, "h", entropy.alias("e")), "contexts"), vocab, alpha, order)
+
+
+def _fit(ngrams: DataFrame, keys: list[str], order: int, alpha: float, vocab: int) -> NgramModel:
+    return fit_counts(ngrams.groupBy(*keys, "w").agg(F.count(F.lit(1)).alias("c")), keys, order, alpha, vocab)
 
 
 def fit_bigram(sentences: DataFrame, alpha: float = DEFAULT_ALPHA, vocab: int | None = None) -> NgramModel:
@@ -137,16 +142,28 @@ def _and(conds):
     return out
 
 
+def gram_scores(model: NgramModel) -> DataFrame:
+    """(keys, w, lp): log2 probability of every n-gram of the corpus, from narrow distinct rows.
+
+    The keys pass through ``coalesce`` (they are never null): a join on all of them
+    then shuffles by all of them, and not by a context that many n-grams share."""
+    h = model.contexts.select(*[F.col(k).alias(f"_h{k}") for k in model.keys], "h")
+    got = model.grams.join(h, _and([F.col(k) == F.col(f"_h{k}") for k in model.keys]))
+    return got.select(*[F.coalesce(F.col(k), F.lit("")).alias(f"_g{k}") for k in model.keys], F.col("w").alias("_gw"),
+                      F.log2(smoothed(model, F.col("c"), F.col("h"))).alias("lp"))
+
+
 def sentence_scores(sentences: DataFrame, model: NgramModel) -> DataFrame:
-    """S6 with the bigram model: sum of log2 p(w_i | w_i-1) over each
-    sentence, first word skipped (a 1-word sentence has no row).
+    """Sentence log2 probability.  Bigram model (S6): sum of log2 p(w_i | w_i-1), first
+    word skipped (a 1-word sentence has no row).  Masked model (S4): every word is
+    masked in turn and predicted from both neighbours.
 
-    Every bigram of the corpus is in the count table, which holds its
-    context's count too: one lookup per token."""
-    g = model.grams.select(F.col("prev").alias("_gp"), F.col("w").alias("_gw"), "c", "h")
-    scored = bigrams(sentences).join(g, (F.col("prev") == F.col("_gp")) & (F.col("w") == F.col("_gw")))
-    return scored.groupBy("sent_ord").agg(F.first("sid").alias("sentence_id"), F.count(F.lit(1)).alias("n_scored"),
-                                          F.sum(F.log2(smoothed(model, F.col("c"), F.col("h")))).alias("log2_prob"))
+    Every n-gram of the corpus has its probability in one table of distinct
+    n-grams: one lookup per token, contexts are looked up once per n-gram."""
+    tokens = bigrams(sentences) if model.order == 2 else trigrams(sentences)
+    on = [F.col(k) == F.col(f"_g{k}") for k in model.keys] + [F.col("w") == F.col("_gw")]
+    return tokens.join(gram_scores(model), _and(on)).groupBy("sent_ord").agg(
+        F.first("sid").alias("sentence_id"), F.count(F.lit(1)).alias("n_scored"), F.sum("lp").alias("log2_prob"))
 
 
 def _require_context(pairs: DataFrame) -> DataFrame:
@@ -182,23 +199,32 @@ def token_scores(pairs: DataFrame, model: NgramModel, cols=("form_grammatical",
     return pairs.join(per, _and([F.col(k) == F.col(f"_k{k}") for k in key]), "left").drop(*[f"_k{k}" for k in key])
 
 
+def _changed(model: NgramModel, word: Column) -> list[Column]:
+    """The n-grams of a sentence that its target takes part in, as structs; NULL members where there is none."""
+    col = F.col
+    if model.order == 2:
+        return [F.struct(col("prev_word").alias("prev"), word.alias("w")), F.struct(word.alias("prev"), col("next_word").alias("w"))]
+    start, end = F.lit(BOS), F.lit(EOS)
+    return [F.struct(F.coalesce("prev2_word", start).alias("l"), word.alias("r"), col("prev_word").alias("w")),
+            F.struct(F.coalesce("prev_word", start).alias("l"), F.coalesce("next_word", end).alias("r"), word.alias("w")),
+            F.struct(word.alias("l"), F.coalesce("next2_word", end).alias("r"), col("next_word").alias("w"))]
+
+
 def sentence_pair_scores(pairs: DataFrame, sentences: DataFrame, model: NgramModel,
                          cols=("form_grammatical", "form_ungrammatical"), key=("sent_ord", "match_id")) -> DataFrame:
     """log2 probability of the sentence with each target filled in.
 
-    Only the two bigrams around the target change, so the score is the
-    sentence's own sum, less its two, plus the two of the filled-in form.
-    Adds ``n_scored`` and ``p_<col>`` (log2) and ``I_<col>`` = -p."""
+    Only the n-grams around the target change (two with the bigram model; with
+    the masked model three, as the target is a neighbour of both its neighbours),
+    so the score is the sentence's own sum, less those, plus the same of the
+    filled-in form.  Adds ``n_scored`` and ``p_<col>`` (log2) and ``I_<col>`` = -p."""
     pairs = _require_context(pairs)
     key, cols = list(key), list(cols)
-    require_columns(pairs, "form_grammatical", *key, *cols)
+    require_columns(pairs, "form_grammatical", *key, *cols, *(["prev2_word", "next2_word"] if model.order == 3 else []))
     original = F.coalesce(F.col("match_token"), _bare("form_grammatical")) if "match_token" in pairs.columns else _bare("form_grammatical")
-    steps = []
-    for i, word in enumerate([original, *[_bare(c) for c in cols]]):
-        steps += [F.struct(F.lit(i).alias("col"), F.col("prev_word").alias("prev"), word.alias("w")),
-                  F.struct(F.lit(i).alias("col"), word.alias("prev"), F.col("next_word").alias("w"))]
-    narrow = pairs.select(*key, F.explode(F.array(*steps)).alias("x")).select(*key, "x.*")
-    got = looked_up(narrow.where("prev is not null and w is not null"), model)
+    steps = [F.struct(F.lit(i).alias("col"), x.alias("x")) for i, word in enumerate([original, *[_bare(c) for c in cols]]) for x in _changed(model, word)]
+    narrow = pairs.select(*key, F.explode(F.array(*steps)).alias("s")).select(*key, "s.col", "s.x.*")
+    got = looked_up(narrow.where(_and([F.col(k).isNotNull() for k in [*model.keys, "w"]])), model)
     part = lambda i: F.coalesce(F.sum(F.when(F.col("col") == i, F.log2("p"))), F.lit(0.0))
     per = got.groupBy(*key).agg(part(0).alias("_own"), *[part(i + 1).alias(f"_d{i}") for i in range(len(cols))])
     base = sentence_scores(sentences, model).select(F.col("sent_ord").alias("_so"), "n_scored", "log2_prob")

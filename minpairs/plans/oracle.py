@@ -536,9 +536,10 @@ third AS (SELECT c.sentence_id, c.match_id, {P.format(c='b.c', h='h.h')} AS pl
 SELECT sentence_id, match_id, {R6.format(x='pg')} AS p_form_grammatical, {R6.format(x='pu')} AS p_form_ungrammatical, {R6.format(x='pl')} AS p_lemma
 FROM ntp JOIN third USING (sentence_id, match_id)
 """
-CERT = "CAST(1 AS DOUBLE) - coalesce(ln(h.h + CAST(0.1 AS DOUBLE) * v.v) - (h.s + (v.v - h.n) * CAST(0.1 AS DOUBLE) * ln(CAST(0.1 AS DOUBLE))) / (h.h + CAST(0.1 AS DOUBLE) * v.v), ln(v.v)) / ln(v.v)"
+V_ = "(SELECT v FROM vv)"
+CERT = f"CAST(1 AS DOUBLE) - coalesce(ln(h.h + CAST(0.1 AS DOUBLE) * {V_}) - (h.s + ({V_} - h.n) * CAST(0.1 AS DOUBLE) * ln(CAST(0.1 AS DOUBLE))) / (h.h + CAST(0.1 AS DOUBLE) * {V_}), ln({V_})) / ln({V_})"
 SQL["ngram_certainty"] = w(DERIVED, EDGE_MATCHES) + PAIRS + BIGRAM + TOKSCORE + f"""
-SELECT n.sentence_id, n.match_id, {R2.format(x=CERT)} AS certainty FROM ntp n LEFT JOIN hist h ON h.prev = n.l, vv v
+SELECT n.sentence_id, n.match_id, {R2.format(x=CERT)} AS certainty FROM ntp n LEFT JOIN hist h ON h.prev = n.l
 """
 # every filled-in sentence is scored from its own word list
 FILL = """,
@@ -556,6 +557,67 @@ SELECT m.sentence_id, m.match_id, coalesce(g.n, 0) AS n_scored, {R6.format(x='co
 FROM mps m LEFT JOIN sums g ON g.sentence_id = m.sentence_id AND g.match_id = m.match_id AND g.k = 'g'
      LEFT JOIN sums u ON u.sentence_id = m.sentence_id AND u.match_id = m.match_id AND u.k = 'u'
 """
+# the same with every word masked in turn
+SQL["masked_sentence_pairs"] = w(DERIVED, EDGE_MATCHES) + PAIRS + TRIGRAM + """,
+fill AS (SELECT m.sentence_id, m.match_id, s.forms, list_concat(list_concat(s.forms[1:m.match_id - 1], [substr(m.form_ungrammatical, 2)]), s.forms[m.match_id + 1:]) AS uforms
+         FROM mps m JOIN d_sent s ON s.sid = m.sentence_id),
+steps AS (SELECT sentence_id, match_id, k, CASE WHEN i > 1 THEN f[i - 1] ELSE '<s>' END AS l, f[i] AS w, CASE WHEN i < len(f) THEN f[i + 1] ELSE '</s>' END AS r
+          FROM (SELECT sentence_id, match_id, 'g' AS k, forms AS f FROM fill UNION ALL SELECT sentence_id, match_id, 'u', uforms FROM fill),
+               unnest(range(1, len(f) + 1)) AS t(i)),
+sums AS (SELECT sentence_id, match_id, count(*) FILTER (k = 'g') AS n, sum(lp) FILTER (k = 'g') AS g, sum(lp) FILTER (k = 'u') AS u
+         FROM (SELECT x.*, log2(""" + P.format(c="tc.c", h="th.h") + """) AS lp FROM steps x LEFT JOIN tc ON tc.l = x.l AND tc.r = x.r AND tc.w = x.w
+               LEFT JOIN th ON th.l = x.l AND th.r = x.r) GROUP BY ALL)
+""" + f"SELECT sentence_id, match_id, n AS n_scored, {R6.format(x='g')} AS p_form_grammatical, {R6.format(x='u')} AS p_form_ungrammatical FROM sums"
+
+# words split greedily into pieces of 2 to 4 characters that occur 200 times, and single characters; then the chain rule
+PIECES = CTX + """,
+wc AS MATERIALIZED (SELECT w, count(*) AS c FROM (SELECT unnest(forms) AS w FROM d_sent) GROUP BY w),
+pt AS MATERIALIZED (SELECT substr(w, p, n) AS piece FROM wc, range(2, 5) AS a(n), unnest(range(1, greatest(length(w) - n + 2, 1))) AS b(p) GROUP BY 1 HAVING sum(c) >= 200),
+cut AS MATERIALIZED (
+  WITH RECURSIVE walk(w, i, pos, piece) AS (
+    SELECT w, 0, 1, '' FROM wc
+    UNION ALL
+    SELECT k.w, k.i + 1, k.pos + n.n, substr(k.w, k.pos, n.n) FROM walk k, LATERAL (
+      SELECT CASE WHEN k.pos + 3 <= length(k.w) AND substr(k.w, k.pos, 4) IN (SELECT piece FROM pt) THEN 4
+                  WHEN k.pos + 2 <= length(k.w) AND substr(k.w, k.pos, 3) IN (SELECT piece FROM pt) THEN 3
+                  WHEN k.pos + 1 <= length(k.w) AND substr(k.w, k.pos, 2) IN (SELECT piece FROM pt) THEN 2 ELSE 1 END AS n) n
+    WHERE k.pos <= length(k.w))
+  SELECT w, list(piece ORDER BY i) AS ps FROM walk WHERE i > 0 GROUP BY w),
+pv AS (SELECT CAST(count(DISTINCT x) AS DOUBLE) AS v FROM (SELECT unnest(ps) AS x FROM cut)),
+"""
+# {seq}: pieces of a sentence; targets are words of the corpus
+PIECE_SENT = """
+sp AS MATERIALIZED (SELECT sid, list(x ORDER BY t, i) AS f FROM (SELECT s.sid, s.t, unnest(ps) AS x, generate_subscripts(ps, 1) AS i
+       FROM (SELECT sid, unnest(forms) AS w, generate_subscripts(forms, 1) AS t FROM d_sent) s JOIN cut USING (w)) GROUP BY sid),
+"""
+PIECE_TARGETS = """
+tg AS (SELECT c.sentence_id, c.match_id, k.k, cut.ps, coalesce(b.ps[-1], '<s>') AS before, coalesce(a.ps[1], '</s>') AS after
+       FROM ctx c CROSS JOIN (VALUES ('g'), ('u')) k(k) JOIN cut ON cut.w = CASE k.k WHEN 'g' THEN c.g ELSE c.u END
+       LEFT JOIN cut b ON b.w = c.l LEFT JOIN cut a ON a.w = c.r),
+st AS (SELECT sentence_id, match_id, k, i, CASE WHEN i = 1 THEN before ELSE ps[i - 1] END AS l, ps[i] AS w, after AS r FROM tg, unnest(range(1, len(ps) + 1)) AS t(i)),
+"""
+PIECE_OUT = """
+pr AS (SELECT sentence_id, match_id, k, i, (coalesce(c, 0) + 0.1::DOUBLE) / (coalesce(h, 0) + 0.1::DOUBLE * (SELECT v FROM pv)) AS p,
+              CASE WHEN h IS NULL THEN ln((SELECT v FROM pv)) ELSE ln(h + 0.1::DOUBLE * (SELECT v FROM pv))
+                   - (s + ((SELECT v FROM pv) - n) * 0.1::DOUBLE * ln(0.1::DOUBLE)) / (h + 0.1::DOUBLE * (SELECT v FROM pv)) END AS e FROM lk),
+pp AS (SELECT sentence_id, match_id, k, exp(sum(ln(greatest(p, 1e-12::DOUBLE)))) AS p, count(*) AS n,
+              max(CASE WHEN i = 1 THEN """ + R2.format(x="1.0::DOUBLE - e / ln((SELECT v FROM pv))") + """ END) AS sure FROM pr GROUP BY ALL)
+SELECT sentence_id, match_id, max(n) FILTER (k = 'g') AS n_pieces_form_grammatical, max(n) FILTER (k = 'u') AS n_pieces_form_ungrammatical,
+       """ + R6.format(x="max(-log2(p)) FILTER (k = 'g')") + " AS I_form_grammatical, " + R6.format(x="max(-log2(p)) FILTER (k = 'u')") + """ AS I_form_ungrammatical,
+       max(sure) AS certainty FROM pp GROUP BY sentence_id, match_id
+"""
+HALF = "sum((c + 0.1::DOUBLE) * ln(c + 0.1::DOUBLE)) AS s"
+SQL["ngram_piece_score"] = w(DERIVED, EDGE_MATCHES) + PAIRS + PIECES + PIECE_SENT + PIECE_TARGETS + f"""
+pb AS MATERIALIZED (SELECT f[i] AS l, f[i + 1] AS w, count(*) AS c FROM sp, unnest(range(1, len(f))) AS t(i) GROUP BY ALL),
+ph AS MATERIALIZED (SELECT l, sum(c) AS h, count(*) AS n, {HALF} FROM pb GROUP BY l),
+lk AS (SELECT st.*, pb.c, ph.h, ph.n, ph.s FROM st LEFT JOIN pb ON pb.l = st.l AND pb.w = st.w LEFT JOIN ph ON ph.l = st.l),
+""" + PIECE_OUT
+SQL["masked_piece_score"] = w(DERIVED, EDGE_MATCHES) + PAIRS + PIECES + PIECE_SENT + PIECE_TARGETS + f"""
+pb AS MATERIALIZED (SELECT CASE WHEN i > 1 THEN f[i - 1] ELSE '<s>' END AS l, f[i] AS w, CASE WHEN i < len(f) THEN f[i + 1] ELSE '</s>' END AS r, count(*) AS c
+       FROM sp, unnest(range(1, len(f) + 1)) AS t(i) GROUP BY ALL),
+ph AS MATERIALIZED (SELECT l, r, sum(c) AS h, count(*) AS n, {HALF} FROM pb GROUP BY l, r),
+lk AS (SELECT st.*, pb.c, ph.h, ph.n, ph.s FROM st LEFT JOIN pb ON pb.l = st.l AND pb.w = st.w AND pb.r = st.r LEFT JOIN ph ON ph.l = st.l AND ph.r = st.r),
+""" + PIECE_OUT
 SQL["evaluate_contract"] = w(DERIVED, EDGE_MATCHES) + PAIRS + f"""
 SELECT sentence_id, match_id, {R6.format(x='length(form_grammatical) / CAST(length(masked_text) AS DOUBLE)')} AS p_form_grammatical,
        {R6.format(x='length(form_ungrammatical) / CAST(length(masked_text) AS DOUBLE)')} AS p_form_ungrammatical,

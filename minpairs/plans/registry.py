@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import metrics as MT
 from ..functions.text import truncate_text
 from ..operators import lexicon as L
+from ..operators import pieces as P
 from ..operators import score as S
 from ..operators.mask import build_masked, mask_check
 from ..operators.pairs import alternative_forms, lexicon_index, minimal_pairs, ood_picks, override_feats, pair_vocabulary, with_ood_pairs
@@ -466,6 +467,33 @@ def q_ngram_sentence_pairs(spark, sf):
                     r6("p_form_ungrammatical").alias("p_form_ungrammatical"))
 
 
+def q_masked_sentence_pairs(spark, sf):
+    """S4 with the masked model: every word of the filled sentence masked in turn."""
+    s = S.sentence_pair_scores(stored_pairs(spark, sf), treebank(spark, sf).sentences, trigram(spark, sf))
+    return s.select("sentence_id", "match_id", "n_scored", r6("p_form_grammatical").alias("p_form_grammatical"),
+                    r6("p_form_ungrammatical").alias("p_form_ungrammatical"))
+
+
+def piece_model(spark, sf, order: int):
+    return shared(spark, sf, f"pieces{order}", lambda tb: P.fit_pieces(tb.sentences, order))
+
+
+def _piece_out(spark, sf, order):
+    s = P.piece_scores(stored_pairs(spark, sf), piece_model(spark, sf, order))
+    return s.select("sentence_id", "match_id", "n_pieces_form_grammatical", "n_pieces_form_ungrammatical",
+                    r6("I_form_grammatical").alias("I_form_grammatical"), r6("I_form_ungrammatical").alias("I_form_ungrammatical"), "certainty")
+
+
+def q_ngram_piece_score(spark, sf):
+    """S5 for targets of several pieces: chain rule over the pieces, left context."""
+    return _piece_out(spark, sf, 2)
+
+
+def q_masked_piece_score(spark, sf):
+    """S3 for targets of several pieces: the word after the target is every piece's right context."""
+    return _piece_out(spark, sf, 3)
+
+
 def q_many_targets(spark, sf):
     """Three target columns in one lookup."""
     mp = stored_pairs(spark, sf)

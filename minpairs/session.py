@@ -11,6 +11,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -79,11 +80,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the reliable checkpoint folder.
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the checkpoint folder, under this application's own sub-folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:
+    """``df`` written as Parquet in the checkpoint folder and read back.
 
     Used where one expensive frame feeds several outputs; a lost executor
-    then re-reads the checkpoint instead of recomputing the whole plan.
-    """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    then re-reads the table instead of recomputing the whole plan.  Unlike an
+    RDD checkpoint it is compressed, later reads take only the columns they
+    need, and the planner knows its size."""
+    spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete all tables this application has stored; call it when results are."""
+    base = spark._jvm.org.apache.hadoop.fs.Path(f"{ensure_checkpoint_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}")
+    base.getFileSystem(spark._jsc.hadoopConfiguration()).delete(base, True)
