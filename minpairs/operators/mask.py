@@ -170,9 +170,10 @@ class MaskResult(NamedTuple):
     """One plan, two outputs (D3/D4); ``persist()`` before using both."""
     frame: DataFrame
     mask_token: str = DEFAULT_MASK
+    carry: tuple[str, ...] = ()
 
     def persist(self) -> "MaskResult":
-        return MaskResult(self.frame.persist(), self.mask_token)
+        return self._replace(frame=self.frame.persist())
 
     @property
     def masked(self) -> DataFrame:
@@ -183,7 +184,7 @@ class MaskResult(NamedTuple):
         """The masked dataset with the columns that pair search and scoring use."""
         f = self.frame.where(F.col("reason").isNull())
         return f.select(
-            "sentence_id", "match_id", "match_token", "original_text", *CONTEXT_COLUMNS,
+            "sentence_id", "match_id", "match_token", "original_text", *CONTEXT_COLUMNS, *self.carry,
             token_surgery(F.col("original_text"), F.col("offset"), F.col("match_token"),
                           F.lit(self.mask_token)).alias("masked_text"),
         )
@@ -205,12 +206,13 @@ class MaskResult(NamedTuple):
 
 def build_masked(sentences: DataFrame, pattern: Pattern | None = None, target: str | None = None,
                  mask_token: str = DEFAULT_MASK, matches: DataFrame | None = None, keep: str = "last",
-                 legacy: bool = False, tokens: DataFrame | None = None) -> MaskResult:
+                 legacy: bool = False, tokens: DataFrame | None = None, carry: list[str] | None = None) -> MaskResult:
     """D3: masked and exception datasets for a pattern (or given matches).
+    ``carry``: columns of the sentence that ``masked_with_context`` keeps.
 
     ``tokens`` (the treebank's token table) is used by multi-node
     patterns; by default it is exploded from ``sentences``."""
-    return MaskResult(aligned(sentences, pattern, target, matches, keep, legacy, tokens), mask_token)
+    return MaskResult(aligned(sentences, pattern, target, matches, keep, legacy, tokens, carry=carry), mask_token, tuple(carry or ()))
 
 
 def masked_dataset(sentences, pattern=None, target=None, mask_token=DEFAULT_MASK, **kw) -> DataFrame:

@@ -158,42 +158,57 @@ def pair_vocabulary(pairs: DataFrame, buckets: int | None = None) -> DataFrame:
         "form_grammatical", "form_ungrammatical", (F.col("_off") + F.col("_rk") - 1).alias("pair_pos"))
 
 
-def _row_hash(cols: list, seed: int) -> Column:
-    m = F.md5(F.concat_ws(":", *[F.col(c).cast("string") for c in cols], F.lit(str(seed))))
-    return F.conv(F.substring(m, 1, 8), 16, 10).cast("long")
+ROUNDS, WALKS = 4, 24  # of a permutation; walks beyond the first are rarely taken, see below
 
 
-STRIDES = (1, 3, 7, 11, 13, 17, 19, 23, 29, 31, 37, 41, 43, 47, 53, 59)  # 1 and primes
+def keyed_permutation(x: Column, key: Column, m: int) -> Column:
+    """A permutation of 0..m-1 per ``key``, as a column expression: a Feistel network with cycle walking.
 
+    A number below ``m`` is a pair (l, r) of digits in a grid a x b of just over m
+    cells.  Rounds add a hash of the key, the round and one digit to the other digit,
+    in turn, which is a permutation of the grid; a result beyond m is permuted again.
+    Less than one cell in sqrt(m) is beyond, and at most a - 1 in all, so that
+    ``WALKS`` repetitions leave nothing but a chance below m ** -12 (an error)."""
+    a = math.isqrt(max(m, 1) - 1) + 1
+    b = -(-m // a)
+    walks = min(WALKS, a * b - m)
 
-def coprime_stride(cols: list, seed: int, m: int) -> Column:
-    """A stride per row, by hash, among those of ``STRIDES`` that are coprime to ``m``."""
-    fit = [s for s in STRIDES if math.gcd(s, m) == 1]
-    return F.get(F.array(*map(F.lit, fit)), F.pmod(_row_hash(cols, seed + 1), F.lit(len(fit))).cast("int")).cast("long")
+    def step(acc: Column, s: Column) -> Column:
+        left = s % 2 == 0
+        digest = F.md5(F.concat_ws(":", key, (s % ROUNDS + 1).cast("string"), F.when(left, acc["r"]).otherwise(acc["l"]).cast("string")))
+        h = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
+        settled = acc["done"] | (s > 0) & (s % ROUNDS == 0) & (acc["l"] * b + acc["r"] < m)
+        return F.struct(F.when(settled | ~left, acc["l"]).otherwise((acc["l"] + h) % a).alias("l"),
+                        F.when(settled | left, acc["r"]).otherwise((acc["r"] + h) % b).alias("r"), settled.alias("done"))
+
+    def finish(acc: Column) -> Column:
+        return F.coalesce(F.when(acc["l"] * b + acc["r"] < m, acc["l"] * b + acc["r"]), F.raise_error(F.lit("no position below the limit")).cast("long"))
+
+    start = F.struct(F.floor(x / F.lit(b)).cast("long").alias("l"), F.pmod(x, F.lit(b)).cast("long").alias("r"), F.lit(False).alias("done"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS * (walks + 1) - 1)), start, step, finish)
 
 
 def ood_picks(mp: DataFrame, k: int, seed: int = 0, key_cols=("sentence_id", "match_id"), carry=()) -> DataFrame:
     """E6 (long form): for every row, ``k`` distinct pairs other than its own,
     drawn deterministically: with n pairs and the row's own position p,
-    pick j (0..k-1) is position ``(p + 1 + ((h + j * s) mod (n-1))) mod n``
-    where h and the stride s hash the row key and the seed; s is made
-    coprime to n-1, so rows that share a pick do not share the others.
-    Never the own pair, no repeats, no cross join; one lookup join on the
-    position."""
+    pick j (0..k-1) is position ``(p + 1 + f(j)) mod n``, where f is a permutation
+    of 0..n-2 of its own for every row key and seed.  Never the own pair, no
+    repeats, rows that share a pick share others by chance only; no cross
+    join, one lookup join on the position."""
     key_cols = list(key_cols)
     # the input feeds a count and two joins: materialise it once in the
     # checkpoint folder instead of recomputing the pair pipeline each time
     carry = [c for c in carry if c not in key_cols]
-    mp = cut_lineage(mp.select(*key_cols, *carry, "form_grammatical", "form_ungrammatical"))
-    vocab = pair_vocabulary(mp)
+    mp = cut_lineage(mp.select(*key_cols, *carry, "form_grammatical", "form_ungrammatical"), "pairs")
+    vocab = cut_lineage(pair_vocabulary(mp), "pair_vocabulary")  # counted, and read for the own and the picked positions
     n = vocab.count()
     if n - 1 < k:
         raise ValueError(f"Sample larger than population: {k} OOD pairs requested, {n - 1} available")
-    own = mp.join(vocab, ["form_grammatical", "form_ungrammatical"]).select(*key_cols, *carry, "pair_pos", _row_hash(key_cols, seed).alias("_h"), coprime_stride(key_cols, seed, n - 1).alias("_st"))
-    picks = own.select(*key_cols, *carry, "pair_pos", "_h", "_st", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("pick"))
-    picks = picks.select(*key_cols, *carry, "pick",
-                         F.pmod(F.col("pair_pos") + 1 + F.pmod(F.col("_h") + F.col("pick") * F.col("_st"), F.lit(n - 1)),
-                                F.lit(n)).alias("_p"))
+    own = mp.join(vocab, ["form_grammatical", "form_ungrammatical"]).select(*key_cols, *carry, "pair_pos")
+    picks = own.select(*key_cols, *carry, "pair_pos", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("pick"))
+    key = F.concat_ws(":", *[F.col(c).cast("string") for c in key_cols], F.lit(str(seed)))
+    drawn = keyed_permutation(F.col("pick").cast("long"), key, n - 1)
+    picks = picks.select(*key_cols, *carry, "pick", F.pmod(F.col("pair_pos") + 1 + drawn, F.lit(n)).alias("_p"))
     v = vocab.select(F.col("pair_pos").alias("_p"),
                      F.col("form_grammatical").alias("ood_form_grammatical"),
                      F.col("form_ungrammatical").alias("ood_form_ungrammatical"))

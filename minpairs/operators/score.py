@@ -10,7 +10,7 @@ and, at token level, ``certainty``):
   distinct word forms and a = 0.1 by default.  Certainty is 1 - H / ln V of
   the whole distribution, from sums per context plus the unseen mass.
 * model scorers (S1-S5): a user object scored batch by batch with
-  ``mapInPandas``; the model is loaded once per Python worker.
+  ``mapInArrow``; the model is loaded once per Python worker.
 
 n-grams are built inside each sentence row from its word array
 (``arrays_zip`` of shifted slices, then explode): no self join, no window.
@@ -174,14 +174,9 @@ def _bare(c: str) -> Column:
     return F.regexp_replace(F.col(c), "^ ", "")
 
 
-def token_scores(pairs: DataFrame, model: NgramModel, cols=("form_grammatical", "form_ungrammatical"),
-                 key=("sent_ord", "match_id")) -> DataFrame:
-    """S3/S5 (and S9 for any list of target columns): score each target column
-    in the context of the target position; ``certainty`` is the context's.
-
-    ``pairs`` carries its neighbours (``masked_with_context``), so no sentence
-    is read.  The lookups run on narrow rows (key, word, context), one per
-    target column, and meet the wide rows once at the end."""
+def target_probabilities(pairs: DataFrame, model: NgramModel, cols, key) -> DataFrame:
+    """``key``, ``p_<col>`` per target column and the context's ``certainty``, from narrow
+    rows (key, word, context), one per target column."""
     pairs = _require_context(pairs)
     key, cols = list(key), list(cols)
     require_columns(pairs, *key, *cols)
@@ -190,10 +185,20 @@ def token_scores(pairs: DataFrame, model: NgramModel, cols=("form_grammatical",
     # a null form has no probability
     words = F.array(*[F.struct(F.lit(i).alias("col"), _bare(c).alias("w")) for i, c in enumerate(cols)])
     narrow = pairs.select(*key, *context, F.explode(words).alias("x")).select(*key, *model.keys, "x.col", "x.w")
-    got = looked_up(narrow, model)
-    per = got.groupBy(*key).agg(
+    return looked_up(narrow, model).groupBy(*key).agg(
         *[F.max(F.when((F.col("col") == i) & F.col("w").isNotNull(), F.col("p"))).alias(f"p_{c}") for i, c in enumerate(cols)],
         F.max(round_half_even(F.lit(1.0) - F.col("e") / F.lit(math.log(model.vocab)))).alias("certainty"))
+
+
+def token_scores(pairs: DataFrame, model: NgramModel, cols=("form_grammatical", "form_ungrammatical"),
+                 key=("sent_ord", "match_id")) -> DataFrame:
+    """S3/S5 (and S9 for any list of target columns): score each target column
+    in the context of the target position; ``certainty`` is the context's.
+
+    ``pairs`` carries its neighbours (``masked_with_context``), so no sentence
+    is read.  The narrow lookups meet the wide rows once at the end."""
+    key, cols = list(key), list(cols)
+    per = target_probabilities(pairs, model, cols, key)
     per = per.select(*[F.col(k).alias(f"_k{k}") for k in key], *[F.col(f"p_{c}") for c in cols],
                      *[surprisal(F.col(f"p_{c}")).alias(f"I_{c}") for c in cols], "certainty")
     return pairs.join(per, _and([F.col(k) == F.col(f"_k{k}") for k in key]), "left").drop(*[f"_k{k}" for k in key])
@@ -240,12 +245,12 @@ def sentence_pair_scores(pairs: DataFrame, sentences: DataFrame, model: NgramMod
 
 def ood_average(picks: DataFrame, model: NgramModel, key=("sent_ord", "match_id")) -> DataFrame:
     """Mean probability of each row's OOD pairs (scored in the row's
-    own context) and the surprisal of that mean."""
+    own context) and the surprisal of that mean.  The picks themselves are not
+    read again: sentence id and pick number travel in the key."""
     key = list(key)
     cols = ("ood_form_grammatical", "ood_form_ungrammatical")
-    # several picks per row: the pick number is part of the row key here
-    s = token_scores(picks, model, cols=cols, key=[*key, "pick"])
-    agg = s.groupBy(*key).agg(F.first("sentence_id").alias("sentence_id"), *[F.avg(f"p_{c}").alias(c.replace("ood_form", "ood_avg_p")) for c in cols])
+    s = target_probabilities(picks, model, cols, [*key, "sentence_id", "pick"])
+    agg = s.groupBy(*key, "sentence_id").agg(*[F.avg(f"p_{c}").alias(c.replace("ood_form", "ood_avg_p")) for c in cols])
     return agg.select(*key, "sentence_id", "ood_avg_p_grammatical", "ood_avg_p_ungrammatical",
                       surprisal("ood_avg_p_grammatical").alias("ood_avg_I_grammatical"),
                       surprisal("ood_avg_p_ungrammatical").alias("ood_avg_I_ungrammatical"))
@@ -257,21 +262,40 @@ TASKS = ("mlm", "ntp")
 LEVELS = ("token-level", "sentence-level")
 
 
+def batches_by_length(lengths: list[int], budget: int) -> list[list[int]]:
+    """Places in batches: shortest first, the longest of a batch times its size within ``budget``;
+    a text over the budget is a batch of its own."""
+    out: list[list[int]] = []
+    for i in sorted(range(len(lengths)), key=lambda i: (lengths[i], i)):
+        if out and lengths[i] * (len(out[-1]) + 1) <= budget:
+            out[-1].append(i)
+        else:
+            out.append([i])
+    return out
+
+
 def evaluate(dataset: DataFrame, scorer_factory: Callable, task_type: str,
              evaluation_type: str = "token-level",
              evaluation_cols=("form_grammatical", "form_ungrammatical"),
              entropy_topk: int = 100, row_limit: int | None = None,
-             order_cols=("sentence_id", "match_id")) -> DataFrame:
+             order_cols=("sentence_id", "match_id"), token_budget: int = 16_384,
+             token_count: Callable[[str], int] = lambda text: len(text.split()) + 2) -> DataFrame:
     """Score every row with a user model.
 
     ``scorer_factory()`` is called once per Python worker and must return an
-    object with ``score_batch(texts, targets) -> scores``, where ``texts`` is a
-    list, ``targets`` a list of the targets of each text, and ``scores`` has a
-    list of numbers per text: probabilities at token level, log-probabilities at
-    sentence level.  At token level it returns ``(scores, certainties)`` and is
-    also given ``entropy_topk=``.  Text is ``masked_text`` for MLM and for
-    sentence-level NTP, ``prompt_text`` for token-level NTP.  ``row_limit``:
-    the first n rows by ``order_cols``; None for all, 0 is an error."""
+    object with ``score_batch(texts, targets) -> scores``, where ``texts`` is an
+    array of strings, ``targets`` an array with a row of targets per text, and
+    ``scores`` has a row of numbers per text: probabilities at token level,
+    log-probabilities at sentence level.  At token level it returns ``(scores,
+    certainties)`` and is also given ``entropy_topk=``.  Text is ``masked_text`` for
+    MLM and for sentence-level NTP, ``prompt_text`` for token-level NTP.  ``row_limit``:
+    the first n rows by ``order_cols``; None for all, 0 is an error.
+
+    Only a row number, the text and the targets cross to Python; scores are joined
+    back on the row number of the stored dataset.  Texts of an Arrow batch
+    are sorted by length, and a call gets as many as, padded to the longest, stay
+    within ``token_budget`` tokens (``token_count`` of a text; a longer text is
+    scored alone).  A NULL text is scored as an empty one."""
     if task_type not in TASKS:
         raise ValueError(f"task_type must be one of {TASKS}")
     if evaluation_type not in LEVELS:
@@ -284,25 +308,32 @@ def evaluate(dataset: DataFrame, scorer_factory: Callable, task_type: str,
     if row_limit is not None:                                       # S7: the first n rows
         dataset = dataset.orderBy(*order_cols).limit(row_limit)
     token_level = evaluation_type == "token-level"
-    out_fields = [T.StructField(f"p_{c}", T.DoubleType()) for c in cols]
-    if token_level:
-        out_fields.append(T.StructField("certainty", T.DoubleType()))
-    schema = T.StructType(list(dataset.schema.fields) + out_fields)
+    names = [f"p_{c}" for c in cols] + (["certainty"] if token_level else [])
+    stored = cut_lineage(dataset.withColumn("_row", F.monotonically_increasing_id()), "to_score")
 
     def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
         scorer = scorer_factory()
-        for pdf in batches:
-            texts, targets = pdf[text_col].tolist(), list(map(list, pdf[cols].itertuples(index=False, name=None)))
-            if token_level:
-                scores, sure = scorer.score_batch(texts, targets, entropy_topk=entropy_topk)
-                pdf["certainty"] = [float(x) for x in sure]
-            else:
-                scores = scorer.score_batch(texts, targets)
-            for i, c in enumerate(cols):
-                pdf[f"p_{c}"] = [float(x[i]) for x in scores]
-            yield pdf[[f.name for f in schema.fields]]
-
-    scored = dataset.mapInPandas(run, schema)
+        for batch in batches:
+            texts = np.array([t or "" for t in batch.column(1).to_pylist()] + [""], dtype=object)[:-1]
+            targets = np.empty((len(texts), len(cols)), dtype=object)
+            for j in range(len(cols)):
+                targets[:, j] = batch.column(2 + j).to_pylist()
+            result = np.empty((len(texts), len(names)))
+            for at in batches_by_length([token_count(t) for t in texts], token_budget):
+                if token_level:
+                    scores, sure = scorer.score_batch(texts[at], targets[at], entropy_topk=entropy_topk)
+                    result[at, len(cols)] = np.asarray(sure, dtype=float)
+                else:
+                    scores = scorer.score_batch(texts[at], targets[at])
+                result[at, :len(cols)] = np.asarray(scores, dtype=float)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(result[:, j]) for j in range(len(names)))], names=["_key", *names])
+
+    narrow = stored.select("_row", F.col(text_col).alias("t"), *[F.col(c).cast("string").alias(f"c{j}") for j, c in enumerate(cols)])
+    schema = T.StructType([T.StructField("_key", T.LongType()), *[T.StructField(n, T.DoubleType()) for n in names]])
+    scored = stored.join(narrow.mapInArrow(run, schema), F.col("_row") == F.col("_key"), "left").drop("_row", "_key")
     for c in cols:
         scored = scored.withColumn(f"I_{c}", surprisal(F.col(f"p_{c}"), is_log=not token_level))
     return scored

@@ -225,19 +225,23 @@ SQL["minimal_pairs"] = w(DERIVED, EDGE_MATCHES) + PAIRS + "SELECT * FROM mp"
 SQL["minimal_pairs_spaced"] = w(DERIVED, EDGE_MATCHES) + PAIRS + "SELECT * FROM mps"
 SQL["pair_vocabulary"] = w(DERIVED, EDGE_MATCHES) + PAIRS + "SELECT * FROM vocab"
 
-SQL["ood_pairs"] = w(DERIVED, EDGE_MATCHES) + PAIRS + """,
-n AS (SELECT count(*) AS n FROM vocab),
-fit AS (SELECT list_filter([1, 3, 7, 11, 13, 17, 19, 23, 29, 31, 37, 41, 43, 47, 53, 59], lambda x: gcd(x, n - 1) = 1) AS f FROM n),
-ownp AS (
-  SELECT m.sentence_id, m.match_id, v.pair_pos,
-         ('0x' || substr(md5(m.sentence_id || ':' || CAST(m.match_id AS VARCHAR) || ':7'), 1, 8))::BIGINT AS h,
-         fit.f[('0x' || substr(md5(m.sentence_id || ':' || CAST(m.match_id AS VARCHAR) || ':8'), 1, 8))::BIGINT % len(fit.f) + 1] AS st
-  FROM mps m JOIN vocab v USING (form_grammatical, form_ungrammatical), fit
-),
+# every row permutes 0..n-2 by rounds on a grid a x b; results beyond n - 2 are permuted again
+PICKS = """,
+n AS (SELECT n, n - 1 AS m, a, (n - 2 + a) // a AS b FROM (SELECT count(*) AS n, ceil(sqrt(count(*) - 1))::BIGINT AS a FROM vocab)),
 picks AS (
-  SELECT o.sentence_id, o.match_id, j AS pick, (o.pair_pos + 1 + ((o.h + j * o.st) % (n.n - 1))) % n.n AS p
-  FROM ownp o, n, range(0, 3) r(j)
+  WITH RECURSIVE walk(sentence_id, match_id, pair_pos, pick, s, l, r) AS (
+    SELECT m.sentence_id, m.match_id, v.pair_pos, j, 0, j // n.b, j % n.b
+    FROM mps m JOIN vocab v USING (form_grammatical, form_ungrammatical), n, range(0, 3) t(j)
+    UNION ALL
+    SELECT k.sentence_id, k.match_id, k.pair_pos, k.pick, k.s + 1,
+           CASE WHEN k.s % 2 = 0 THEN (k.l + h.h) % n.a ELSE k.l END, CASE WHEN k.s % 2 = 1 THEN (k.r + h.h) % n.b ELSE k.r END
+    FROM walk k, n, LATERAL (SELECT ('0x' || substr(md5(k.sentence_id || ':' || k.match_id::VARCHAR || ':7:' || (k.s % 4 + 1)::VARCHAR || ':'
+                                                       || (CASE WHEN k.s % 2 = 0 THEN k.r ELSE k.l END)::VARCHAR), 1, 8))::BIGINT AS h) h
+    WHERE NOT (k.s > 0 AND k.s % 4 = 0 AND k.l * n.b + k.r < n.m))
+  SELECT sentence_id, match_id, pick, (pair_pos + 1 + l * n.b + r) % n.n AS p FROM walk, n WHERE s > 0 AND s % 4 = 0 AND l * n.b + r < n.m
 )
+"""
+SQL["ood_pairs"] = w(DERIVED, EDGE_MATCHES) + PAIRS + PICKS + """
 SELECT p.sentence_id, p.match_id, p.pick, v.form_grammatical AS ood_form_grammatical,
        v.form_ungrammatical AS ood_form_ungrammatical
 FROM picks p JOIN vocab v ON v.pair_pos = p.p
@@ -393,9 +397,11 @@ ctx AS MATERIALIZED (
          CASE WHEN m.match_id < len(s.forms) THEN s.forms[m.match_id + 1] ELSE '</s>' END AS r
   FROM mps m JOIN d_sent s ON s.sid = m.sentence_id
 )"""
+V_ = "(SELECT v FROM vv)"
+CERT = f"CAST(1 AS DOUBLE) - coalesce(ln(h.h + CAST(0.1 AS DOUBLE) * {V_}) - (h.s + ({V_} - h.n) * CAST(0.1 AS DOUBLE) * ln(CAST(0.1 AS DOUBLE))) / (h.h + CAST(0.1 AS DOUBLE) * {V_}), ln({V_})) / ln({V_})"
 TOKSCORE = CTX + """,
 ntp AS (
-  SELECT c.sentence_id, c.match_id, c.lang, c.source, c.l, """ + P.format(c="cg.c", h="h.h") + " AS pg, " + P.format(c="cu.c", h="h.h") + """ AS pu
+  SELECT c.sentence_id, c.match_id, c.lang, c.source, c.l, """ + P.format(c="cg.c", h="h.h") + " AS pg, " + P.format(c="cu.c", h="h.h") + " AS pu, " + R2.format(x=CERT) + """ AS sure
   FROM ctx c LEFT JOIN bc cg ON cg.prev = c.l AND cg.w = c.g
        LEFT JOIN bc cu ON cu.prev = c.l AND cu.w = c.u LEFT JOIN hist h ON h.prev = c.l
 )
@@ -412,19 +418,7 @@ TOKOUT = f"""SELECT sentence_id, match_id, {R6.format(x='pg')} AS p_form_grammat
 SQL["ngram_token_score"] = w(DERIVED, EDGE_MATCHES) + PAIRS + BIGRAM + TOKSCORE + TOKOUT + "ntp"
 SQL["ngram_masked_score"] = w(DERIVED, EDGE_MATCHES) + PAIRS + TRIGRAM + MASKSCORE + TOKOUT + "mlm"
 
-SQL["ood_average"] = w(DERIVED, EDGE_MATCHES) + PAIRS + BIGRAM + """,
-n AS (SELECT count(*) AS n FROM vocab),
-fit AS (SELECT list_filter([1, 3, 7, 11, 13, 17, 19, 23, 29, 31, 37, 41, 43, 47, 53, 59], lambda x: gcd(x, n - 1) = 1) AS f FROM n),
-ownp AS (
-  SELECT m.sentence_id, m.match_id, v.pair_pos,
-         ('0x' || substr(md5(m.sentence_id || ':' || CAST(m.match_id AS VARCHAR) || ':7'), 1, 8))::BIGINT AS h,
-         fit.f[('0x' || substr(md5(m.sentence_id || ':' || CAST(m.match_id AS VARCHAR) || ':8'), 1, 8))::BIGINT % len(fit.f) + 1] AS st
-  FROM mps m JOIN vocab v USING (form_grammatical, form_ungrammatical), fit
-),
-picks AS (
-  SELECT o.sentence_id, o.match_id, (o.pair_pos + 1 + ((o.h + j * o.st) % (n.n - 1))) % n.n AS p
-  FROM ownp o, n, range(0, 3) r(j)
-),
+SQL["ood_average"] = w(DERIVED, EDGE_MATCHES) + PAIRS + BIGRAM + PICKS + """,
 pk AS (
   SELECT p.sentence_id, p.match_id, regexp_replace(v.form_grammatical, '^ ', '') AS g,
          regexp_replace(v.form_ungrammatical, '^ ', '') AS u, coalesce(a.form, '<s>') AS prev
@@ -442,17 +436,19 @@ SELECT sentence_id, match_id, """ + R6.format(x="ag") + " AS ood_avg_p_grammatic
 FROM av
 """
 
-SQL["metrics_by_group"] = w(DERIVED, EDGE_MATCHES) + PAIRS + BIGRAM + TOKSCORE + """,
-g AS (SELECT lang, pg, pu FROM ntp),
-a AS (SELECT lang, count(*) AS n,
+# {by}: grouping, {cols}: its columns
+METRICS = """,
+a AS (SELECT {cols}, count(*) AS n,
              coalesce(""" + R2.format(x="avg(CAST(coalesce(pg > pu, false) AS INTEGER))") + """, 0.0) AS accuracy,
              """ + R2.format(x="avg(" + I.format(p="pg") + ")") + """ AS avg_I_g,
-             """ + R2.format(x="avg(" + I.format(p="pu") + ")") + """ AS avg_I_u
-      FROM g GROUP BY lang)
-SELECT lang, n, accuracy, avg_I_g, avg_I_u, """ + R2.format(x="avg_I_u - avg_I_g") + """ AS asd,
-       CASE WHEN avg_I_g <> 0 THEN round_even((avg_I_u - avg_I_g) / avg_I_g, 0) END AS norm_asd
+             """ + R2.format(x="avg(" + I.format(p="pu") + ")") + """ AS avg_I_u, """ + R2.format(x="avg(sure)") + """ AS avg_certainty
+      FROM g GROUP BY {by})
+SELECT * EXCLUDE (avg_certainty), """ + R2.format(x="avg_I_u - avg_I_g") + """ AS asd,
+       CASE WHEN avg_I_g <> 0 THEN round_even((avg_I_u - avg_I_g) / avg_I_g, 0) END AS norm_asd, avg_certainty
 FROM a
 """
+SQL["metrics_by_group"] = w(DERIVED, EDGE_MATCHES) + PAIRS + BIGRAM + TOKSCORE + """,
+g AS (SELECT lang, pg, pu, sure FROM ntp)""" + METRICS.replace("{cols}", "lang").replace("{by}", "lang")
 
 LONG = """,
 lng AS (
@@ -482,12 +478,8 @@ FROM mk m JOIN d_lex l ON l.sentence_id = m.sid AND l.token_id = m.tid - 1
 """
 
 SQL["metrics_rollup"] = w(DERIVED, EDGE_MATCHES) + PAIRS + BIGRAM + TOKSCORE + """,
-g AS (SELECT lang, source, pg, pu FROM ntp)
-SELECT lang, source, count(*) AS n,
-       coalesce(""" + R2.format(x="avg(CAST(coalesce(pg > pu, false) AS INTEGER))") + """, 0.0) AS accuracy,
-       """ + R2.format(x=R2.format(x="avg(" + I.format(p="pu") + ")") + " - " + R2.format(x="avg(" + I.format(p="pg") + ")")) + """ AS asd
-FROM g GROUP BY ROLLUP (lang, source)
-"""
+g AS (SELECT nullif(lang, 'es') AS lang, source, pg, pu, sure FROM ntp)""" + METRICS.replace(
+    "{cols}", "lang, source, grouping_id(lang, source) AS level").replace("{by}", "ROLLUP (lang, source)")
 
 SQL["scores_row_limit"] = w(DERIVED, EDGE_MATCHES) + PAIRS + BIGRAM + TOKSCORE + TOKOUT + """
 (SELECT n.* FROM ntp n JOIN (SELECT sentence_id, match_id FROM mps ORDER BY sentence_id, match_id LIMIT 100) f
@@ -520,6 +512,10 @@ SQL["lexicon_nan"] = w(DERIVED) + """
 SELECT sentence_id, token_id, form, CASE WHEN lemma <> 'and' THEN lemma END AS lemma, upos, xpos, feats__case, feats__number FROM d_lex
 """
 SQL["lexicon_csv_roundtrip"] = SQL["minimal_pairs"]
+SQL["lexicon_foreign_csv"] = SQL["minimal_pairs"]
+SQL["evaluation_csv"] = SQL["ngram_token_score"]
+SQL["exceptions_csv"] = SQL["exception_legacy"]
+SQL["task_table_csv"] = SQL["task_batch"]
 SQL["masked_custom"] = SQL["masked_dataset"].replace("'[MASK]'", "'<mask>'")
 SQL["pairs_csv_roundtrip"] = SQL["minimal_pairs_spaced"]
 SQL["upos_override"] = w(DERIVED, EDGE_MATCHES) + PAIRS + """,
@@ -536,10 +532,8 @@ third AS (SELECT c.sentence_id, c.match_id, {P.format(c='b.c', h='h.h')} AS pl
 SELECT sentence_id, match_id, {R6.format(x='pg')} AS p_form_grammatical, {R6.format(x='pu')} AS p_form_ungrammatical, {R6.format(x='pl')} AS p_lemma
 FROM ntp JOIN third USING (sentence_id, match_id)
 """
-V_ = "(SELECT v FROM vv)"
-CERT = f"CAST(1 AS DOUBLE) - coalesce(ln(h.h + CAST(0.1 AS DOUBLE) * {V_}) - (h.s + ({V_} - h.n) * CAST(0.1 AS DOUBLE) * ln(CAST(0.1 AS DOUBLE))) / (h.h + CAST(0.1 AS DOUBLE) * {V_}), ln({V_})) / ln({V_})"
 SQL["ngram_certainty"] = w(DERIVED, EDGE_MATCHES) + PAIRS + BIGRAM + TOKSCORE + f"""
-SELECT n.sentence_id, n.match_id, {R2.format(x=CERT)} AS certainty FROM ntp n LEFT JOIN hist h ON h.prev = n.l
+SELECT sentence_id, match_id, sure AS certainty FROM ntp
 """
 # every filled-in sentence is scored from its own word list
 FILL = """,

@@ -163,7 +163,7 @@ def q_match_all(spark, sf):
 
 def _mask(spark, sf, legacy=False, mask="[MASK]"):
     tb = treebank(spark, sf)
-    return build_masked(tb.sentences, P_EDGE, "N", mask_token=mask, keep="last", legacy=legacy)
+    return build_masked(tb.sentences, P_EDGE, "N", mask_token=mask, keep="last", legacy=legacy, carry=["lang", "source"])
 
 
 def _exc_flat(df):
@@ -329,6 +329,39 @@ def q_lexicon_csv_roundtrip(spark, sf):
     return mp.select(*PAIR_COLUMNS)
 
 
+def q_lexicon_foreign_csv(spark, sf):
+    """A4: a lexicon without an order column, as another tool would write it: first means first in reading order."""
+    path = _scratch(spark, "lexicon") + "/foreign"
+    lex = L.lexicon(treebank(spark, sf).tokens)
+    L.wide(lex.orderBy("sent_ord", "tid"), DERIVED_FEATURES).write.option("header", True).options(**tables.CSV_EXACT, emptyValue='""').csv(path)
+    loaded = tables.load_lexicon(spark, path, "csv")
+    mp = minimal_pairs(_mask(spark, sf).masked_with_context, loaded, OVERRIDE, leading_space=False, names=L.collect_feature_names(loaded))
+    return mp.select(*PAIR_COLUMNS)
+
+
+def q_evaluation_csv(spark, sf):
+    """Results as CSV, loaded again with their numbers as doubles."""
+    path = _scratch(spark, "evaluation") + "/scores.csv"
+    tables.save_table(_scored(spark, sf).drop("feats", "sent_ord"), path, "csv")
+    return _token_out(tables.load_evaluation(spark, path))
+
+
+def q_exceptions_csv(spark, sf):
+    """Exceptions with their tokens as JSON in CSV, read back as arrays."""
+    path = _scratch(spark, "exceptions") + "/exceptions.csv"
+    found = _mask(spark, sf, legacy=True).exceptions
+    tables.save_table(found, path, "csv")
+    return _exc_flat(tables.load_table(spark, path, found.schema))
+
+
+def q_task_table_csv(spark, sf):
+    """A10: the table of tasks as CSV and back."""
+    path = _scratch(spark, "tasks") + "/tasks.csv"
+    batch = task_batch(treebank(spark, sf), TASKS, DERIVED_FEATURES, index(spark, sf))
+    tables.save_table(batch, path, "csv")
+    return tables.load_table(spark, path, batch.schema)
+
+
 def q_run_summary(spark, sf):
     return run_summary(treebank(spark, sf), Task("nsubj_noun_number", P_EDGE, "N", OVERRIDE), DERIVED_FEATURES, index(spark, sf))
 
@@ -526,8 +559,8 @@ def q_ood_average(spark, sf):
 
 
 def q_metrics_by_group(spark, sf):
-    lang = treebank(spark, sf).sentences.select("sent_ord", "lang")
-    return MT.pair_metrics(_scored(spark, sf).join(lang, "sent_ord"), by=["lang"])
+    """The group travels with the target, no sentence is joined."""
+    return MT.pair_metrics(_scored(spark, sf), by=["lang"])
 
 
 def _long(spark, sf):
@@ -564,13 +597,10 @@ def q_feature_lookup(spark, sf):
 
 
 def q_metrics_rollup(spark, sf):
-    """M12 with subtotals: per (lang, source), per lang and overall."""
-    sc = _scored(spark, sf)
-    meta = treebank(spark, sf).sentences.select("sent_ord", "lang", "source")
-    g, u = "p_form_grammatical", "p_form_ungrammatical"
-    return sc.join(meta, "sent_ord").rollup("lang", "source").agg(
-        F.count(F.lit(1)).alias("n"), MT.accuracy(g, u).alias("accuracy"),
-        MT.avg_surprisal_difference(g, u).alias("asd"))
+    """M12 with subtotals per (lang, source), per lang and overall; one language is
+    unknown (NULL), which ``level`` tells from the subtotals."""
+    scored = _scored(spark, sf).withColumn("lang", F.nullif("lang", F.lit("es")))
+    return MT.pair_metrics(scored, by=["lang", "source"], subtotals="rollup")
 
 
 def q_scores_row_limit(spark, sf):

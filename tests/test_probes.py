@@ -1,5 +1,7 @@
 """Edge cases of sources, tables and small operators that once went wrong."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,7 +9,7 @@ from minpairs import session
 from minpairs.functions import metrics as M
 from minpairs.operators import lexicon as L
 from minpairs.operators.mask import build_masked, mask_check
-from minpairs.operators.pairs import coprime_stride, minimal_pairs
+from minpairs.operators.pairs import keyed_permutation, minimal_pairs, ood_picks
 from minpairs.operators.pattern import Pattern, match, match_in_row
 from minpairs.operators.reshape import histogram, melt_long
 from minpairs.sources import scan
@@ -139,11 +141,46 @@ def test_histogram_counts_every_row(spark):
     assert {r.bin: r.n for r in histogram(df).collect()} == {0: 2, 1: 1, -1: 1, None: 3}
 
 
-@pytest.mark.parametrize("m", [1, 2, 6, 30, 4810, 2 * 3 * 5 * 7 * 11 * 13])
-def test_strides_reach_every_position(spark, m):
-    got = spark.range(50).select(coprime_stride(["id"], 3, m).alias("s")).distinct().collect()
-    for r in got:
-        assert len({(j * r.s) % m for j in range(m)}) == m
+def brute_permutation(x, key, m):
+    import hashlib
+    a = math.isqrt(m - 1) + 1
+    b = -(-m // a)
+    left, right = divmod(x, b)
+    while True:
+        for s in range(4):
+            h = int(hashlib.md5(f"{key}:{s + 1}:{right if s % 2 == 0 else left}".encode()).hexdigest()[:8], 16)
+            left, right = ((left + h) % a, right) if s % 2 == 0 else (left, (right + h) % b)
+        if left * b + right < m:
+            return left * b + right
+
+
+@pytest.mark.parametrize("m", [1, 2, 3, 7, 30, 101, 1000, 4810])
+def test_permutation_reaches_every_position_once(spark, m):
+    df = spark.range(m).crossJoin(spark.createDataFrame([("k1",), ("s:2:7",)], "key string"))
+    got = df.select("id", "key", keyed_permutation(F.col("id"), F.col("key"), m).alias("y")).collect()
+    for key in ("k1", "s:2:7"):
+        assert sorted(r.y for r in got if r.key == key) == list(range(m))
+    assert all(r.y == brute_permutation(r.id, r.key, m) for r in got[:300])
+
+
+def test_rows_that_share_a_pick_share_no_more_than_chance(spark):
+    n, k = 400, 3
+    mp = spark.createDataFrame([(f"s{i}", 1, f"g{i % n}", f"u{i % n}") for i in range(4000)], "sentence_id string, match_id int, form_grammatical string, form_ungrammatical string")
+    picks = {}
+    for r in ood_picks(mp, k, seed=5).collect():
+        picks.setdefault(r.sentence_id, set()).add(r.ood_form_grammatical)
+    by = {}
+    for s, p in picks.items():
+        for x in p:
+            by.setdefault(x, []).append(s)
+    pairs = again = 0
+    for rows in by.values():
+        for i, a in enumerate(rows):
+            for b in rows[i + 1:]:
+                pairs += 1
+                again += len(picks[a] & picks[b]) > 1
+    # two further picks of each among about 400: (2 * 2) / 400 of the pairs
+    assert pairs > 10_000 and again / pairs < 0.02
 
 
 def test_scratch_folder_only_in_one_process(spark):
