@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_sample, stage, text_batches
+from .common import bounded, hash_sample, stage, text_batches
 
 WIDTH, STRIDE, FILTERS = 8, 2, 16
 STEP, OVERLAP = 224, 29  # filter positions between chunk starts, and shared by neighbours
@@ -150,19 +150,23 @@ def fold(id_col: str) -> Column:
 
 def train_on(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
              sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Fit on at most ``sample_rows`` labelled rows outside the held-out fold, chosen by a hash of their id."""
-    marks = (labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("_y")).dropna()
-             .where(fold("_id") != 0).groupBy("_id").agg(F.avg("_y").alias("_y")))  # repeated labels of a row: their mean
-    picked = stage(hash_sample(marks, sample_rows, "_id"), "train_sample")
+    """Fit on at most ``sample_rows`` labelled rows outside the held-out fold, chosen by a
+    hash of their id and text. Equal rows count once, an id that repeats with other texts
+    gives a row for each; repeated labels of an id: their mean."""
+    marks = stage(labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("_y")).dropna()
+                  .where(fold("_id") != 0).groupBy("_id").agg(F.avg("_y").alias("_y")), "marks")
+    docs = text_batches(docs).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(F.col(text_col)).alias("_h"))
+    labelled = docs.select("_id", "_h").join(bounded(marks), "_id").groupBy("_id", "_h").agg(F.first("_y").alias("_y"))
+    picked = stage(hash_sample(stage(labelled, "labelled"), sample_rows, "_id", "_h"), "train_sample")
 
     def chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([sample_chunks(t.as_py()) for t in b.column(2)], pa.list_(pa.binary()))],
-                                             names=["id", "y", "chunks"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([sample_chunks(t.as_py()) for t in b.column(3)], pa.list_(pa.binary()))],
+                                             names=["id", "h", "y", "chunks"])
 
-    rows = text_batches(docs).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(picked), "_id")
-    got = rows.select(F.col("_id").cast("string").alias("id"), F.col("_y").alias("y"), F.col("_text")).mapInArrow(chunk, "id string, y double, chunks array<binary>").collect()
-    return fit([(r["y"], [bytes(c) for c in r["chunks"]]) for r in sorted(got, key=lambda r: (r["id"], r["chunks"]))])
+    rows = docs.join(F.broadcast(picked), ["_id", "_h"]).select(F.col("_id").cast("string").alias("id"), F.col("_h").alias("h"), F.col("_y").alias("y"), "_text")
+    once = rows.mapInArrow(chunk, "id string, h long, y double, chunks array<binary>").groupBy("id", "h").agg(F.first("y").alias("y"), F.first("chunks").alias("chunks"))
+    return fit([(r["y"], [bytes(c) for c in r["chunks"]]) for r in sorted(once.collect(), key=lambda r: (r["id"], r["chunks"]))])
 
 
 def classify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", cut: float = 0.3) -> DataFrame:
@@ -186,7 +190,8 @@ def classify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
 
 
 def keep_good(docs: DataFrame, model: Model, *, text_col: str = "text", cut: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` that score ``cut`` or more, with all their columns, unchanged."""
+    """The rows of ``docs`` that score ``cut`` or more, with all their columns, unchanged.
+    Null and empty texts are scored as ``classify`` does; empty table: empty result."""
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import sys
 import types
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,27 +24,48 @@ BROADCAST_ROWS = 500_000
 TEXT_BATCH_BYTES = 4 << 20
 
 
+_scopes: list[str] = []  # open scopes on the driver, innermost last
+
+
+def scratch_base(spark: SparkSession) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared checkpoint folder, under this application's own sub-folder."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/llm-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared checkpoint folder, under this application's own sub-folder (and the open scope's)."""
+    return "/".join([scratch_base(spark), *_scopes, f"{name}-{uuid.uuid4().hex}"])
+
+
+@contextlib.contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Tables staged inside are deleted at the end; results must be stored outside by then."""
+    _scopes.append(f"scope-{uuid.uuid4().hex}")
+    folder = "/".join([scratch_base(spark), *_scopes])
+    try:
+        yield
+    finally:
+        _scopes.pop()
+        _delete(spark, folder)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Cuts the lineage: a lost executor re-reads the table. Unlike an RDD
     checkpoint it is compressed, and later reads take only their columns."""
-    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
+    spark, path = df.sparkSession, path or scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_scratch(spark: SparkSession) -> None:
     """Delete all tables this application has staged; call it when results are stored."""
-    base = spark._jvm.org.apache.hadoop.fs.Path(
-        f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{spark.sparkContext.applicationId}")
-    base.getFileSystem(spark._jsc.hadoopConfiguration()).delete(base, True)
+    _delete(spark, scratch_base(spark))
 
 
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

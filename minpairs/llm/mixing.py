@@ -7,13 +7,16 @@ take is shared by its siblings; only when a whole family is short does the budge
 to the family's own siblings, as its capacity limits what it gets one level up.
 
 A leaf with budget ``b`` and ``t`` tokens gives ``b // t`` whole epochs and a
-prefix of one more epoch in that epoch's seeded order. Prefix sums run over 4096
-hash ranges per leaf first; rows are ordered only inside the one range that the cut
-falls into, so a leaf that holds most rows is no bottleneck.
+prefix of one more epoch in that epoch's seeded order. Prefix sums run over hash ranges
+first, about as many as the root of the largest leaf's rows; rows are ordered only
+inside the one range that the cut falls into. A leaf of n rows thus puts about
+sqrt(n) ranges and sqrt(n) rows into a task, and one that holds most rows is no bottleneck.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -21,7 +24,7 @@ from pyspark.sql.window import Window
 from .common import WORD, bounded, fresh, stage
 
 LEVELS = ["domain", "lang", "source"]
-RANGE_CHARS = 3  # hex digits of the order key that name a range
+MAX_RANGE_CHARS = 8  # hex digits of the order key that name a range, at most
 
 
 def word_tokens(text: Column) -> Column:
@@ -64,9 +67,10 @@ def plan(rows: DataFrame, *, weights: dict[str, dict[str, int]], share: float, m
     ``rows`` has ``doc_id, domain, lang, source, n_tokens``. The budget of the root is
     ``share`` of all tokens. ``epochs`` are whole; of epoch ``epochs + 1`` a leaf gives
     the rows up to ``(cut_key, cut_id)`` in that epoch's order."""
-    leaves = stage(rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens")), "leaves")
+    leaves = stage(rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n_rows")), "leaves")
+    total, most = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.max("n_rows"), F.lit(0))).first()
+    range_chars = min(MAX_RANGE_CHARS, max(1, math.ceil(math.log(max(2, most), 256))))  # 16 ** chars is the root or up to 16 times it
     leaves = leaves.withColumn("cap", F.col("tokens") * max_epochs)
-    total = leaves.agg(F.sum("tokens")).first()[0] or 0
     parent = None
     for depth, level in enumerate(LEVELS):
         at = LEVELS[:depth + 1]
@@ -80,7 +84,7 @@ def plan(rows: DataFrame, *, weights: dict[str, dict[str, int]], share: float, m
 
     keyed = (rows.where("n_tokens > 0").join(bounded(leaves.select(*LEVELS, "epochs", "rest")), LEVELS).where("rest > 0")
              .withColumn("key", _order_key(seed, F.col("epochs") + 1, F.col("doc_id")))
-             .withColumn("range", F.substring("key", 1, RANGE_CHARS)))
+             .withColumn("range", F.substring("key", 1, range_chars)))
     ranges = keyed.groupBy(*LEVELS, "range", "rest").agg(F.sum("n_tokens").alias("n"))
     running = F.sum("n").over(Window.partitionBy(*LEVELS).orderBy("range").rowsBetween(Window.unboundedPreceding, 0))
     edge = stage(ranges.withColumn("end", running).where((F.col("end") >= F.col("rest")) & (F.col("end") - F.col("n") < F.col("rest")))

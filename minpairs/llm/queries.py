@@ -27,7 +27,7 @@ def op3_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op4_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    return exact.exact_dedup(table(spark, sf, "documents"))
+    return exact.exact_dedup(table(spark, sf, "documents"), bucket_entries=512)
 
 
 def op5_warc(spark: SparkSession, sf: str) -> DataFrame:

@@ -25,7 +25,7 @@ from .common import bounded, hash_sample, scratch_path, stage, text_batches
 
 DICTIONARY_MAGIC = 0x184D2A5D  # fixed value: skippable frame that holds a dictionary
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"  # fixed value
-# bounds of the dictionary's training sample (documented parameters): records, and characters of each
+# bounds of the dictionary's training sample (documented parameters): records, and characters of each, at a place chosen by hash
 SAMPLE_RECORDS, SAMPLE_CHARS, DICTIONARY_BYTES = 1000, 8192, 64 * 1024
 ARCHIVE_BYTES = 64 << 20
 
@@ -195,7 +195,9 @@ def archive(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     rows = rows.withColumn("sha", F.sha2("html", 256)).withColumn("n", F.octet_length("html"))
     repeated = stage(rows.where(F.col("n") >= min_bytes).groupBy("sha", "n").agg(F.max("page_id").alias("keep_id"), F.count("*").alias("copies"))
                      .where("copies > 1").select("sha", "n", "keep_id"), "repeated_payloads")
-    picked = hash_sample(rows.select("page_id", "url", F.substring("html", 1, SAMPLE_CHARS).alias("html"), "sha"), SAMPLE_RECORDS, "sha", "page_id")
+    room = F.greatest(F.char_length("html") - SAMPLE_CHARS, F.lit(0)) + 1
+    part = F.substr("html", (F.pmod(F.xxhash64("sha", "page_id"), room) + 1).cast("int"), F.lit(SAMPLE_CHARS))
+    picked = hash_sample(rows.select("page_id", "url", part.alias("html"), "sha"), SAMPLE_RECORDS, "sha", "page_id")
     samples = [record(r["page_id"], r["url"], (r["html"] or "").encode("utf-8", "surrogatepass"), None, date) for r in picked.collect()]
     marked = rows.join(bounded(repeated), ["sha", "n"], "left")
     manifest = stage(write_archives(marked, folder, train_dictionary(samples), date, archive_bytes), "manifest")

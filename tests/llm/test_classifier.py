@@ -62,3 +62,17 @@ def test_keep_good_agrees_with_classify(docs_of, model, odd_rows):
     df = docs_of(odd_rows + [(500 + k, junk(k)) for k in range(20)], extra=True)
     kept = C.keep_good(df, model)
     assert sorted(map(str, kept.collect())) == sorted(str(r) for r in df.collect() if model.score(np.frombuffer((r["text"] or "").encode(), np.uint8)) >= 0.3)
+
+
+def test_sample_counts_rows_and_equal_rows_once(spark, docs_of, labels_of, monkeypatch):
+    """Two labelled ids on thousands of rows: the driver gets a bounded number of them, a repeated row once."""
+    rows = [(1, "good text")] * 3000 + [(2, f"bad ### text {k}") for k in range(3000)] + [(3, "fine words here")]
+    got = []
+    monkeypatch.setattr(C, "fit", lambda sample, **_: got.extend(sample))
+    labels = labels_of([(1, 1), (2, 0), (3, 1)])
+    C.train_on(docs_of(rows), labels, sample_rows=50)
+    assert len(got) <= 50
+    got.clear()
+    C.train_on(docs_of(rows), labels, sample_rows=10_000)
+    held = {k for k in (1, 2, 3) if zlib.crc32(str(k).encode()) % 5 == 0}
+    assert len(got) == sum(n for k, n in ((1, 1), (2, 3000), (3, 1)) if k not in held)

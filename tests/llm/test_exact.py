@@ -27,7 +27,7 @@ def result(df):
 @pytest.mark.parametrize("key_bits", [64, 2])  # two bits: nearly every key is a chain of collisions
 def test_matches_brute_force(docs_of, odd_rows, key_bits):
     rows = odd_rows + [(100 + i, f"Text {i % 7}".upper() if i % 2 else f"text {i % 7}") for i in range(60)]
-    got = exact.exact_dedup(docs_of(rows, extra=True), key_bits=key_bits, bucket_keys=3)
+    got = exact.exact_dedup(docs_of(rows, extra=True), key_bits=key_bits, bucket_entries=3)
     assert result(got) == brute(rows)
 
 
@@ -38,7 +38,7 @@ def test_only_ascii_letters_fold(docs_of):
 
 def test_hot_copy_and_empty(docs_of):
     rows = [(i, "same" if i % 3 else f"t{i}") for i in range(300)]
-    assert result(exact.exact_dedup(docs_of(rows), bucket_keys=10)) == brute(rows)
+    assert result(exact.exact_dedup(docs_of(rows), bucket_entries=10)) == brute(rows)
     assert exact.exact_dedup(docs_of([])).collect() == []
 
 

@@ -75,6 +75,36 @@ def test_run_equals_the_stages(spark, folder):
     assert sorted(map(tuple, got.select(key).collect())) == sorted(map(tuple, docs.select(key).collect()))
 
 
+def test_odd_rows(spark, docs_of, labels_of, tmp_path, odd_rows):
+    """Null, empty and blank texts, null and repeated ids, repeated rows, extra columns with names the stages use."""
+    rows = [(i, t, None if k % 3 == 0 else "en", None if k % 4 == 0 else "src1") for k, (i, t, *_) in enumerate(odd_rows)] + DOCS
+    docs_of(rows, extra=True).write.parquet(str(tmp_path / "documents.parquet"))
+    labels_of([(k, int(k % 5 != 0)) for k in range(160)] + [(None, 1), (5, None), (6, 1), (6, 0)]).write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    columns, counts = docs.columns, [docs.count()]
+    seen = {(r["doc_id"], r["text"]) for r in docs.collect()}
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, str(tmp_path))
+        out.write.parquet(str(tmp_path / f"out{k}"))
+        docs = spark.read.parquet(str(tmp_path / f"out{k}"))
+        if name != "pack":
+            assert docs.columns == columns and {(r["doc_id"], r["text"]) for r in docs.collect()} <= seen
+            counts.append(docs.count())
+        if name == "exact_dedup":
+            norm = [test_exact.brute([(0, r["text"])])[0][4] for r in docs.where("doc_id is not null").collect()]
+            assert len(norm) == len(set(norm))
+        if name == "mix_sources":
+            assert docs.where("text is null or trim(text) = ''").count() == 0
+    assert counts[1] <= counts[0] and counts[3] <= counts[2] <= counts[1]
+    from minpairs.llm import common
+
+    before = spark._jvm.org.apache.hadoop.fs.Path(common.scratch_base(spark))
+    listing = lambda: {x.getPath().getName() for x in before.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(before)}
+    old = listing()
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count()
+    assert not any(x.startswith("scope-") for x in listing()) and len(listing() - old) <= 4 + 4  # the stored stages, and the last one's own tables
+
+
 def test_empty_tables(spark, docs_of, labels_of, tmp_path):
     docs_of([]).write.parquet(str(tmp_path / "documents.parquet"))
     labels_of([]).write.parquet(str(tmp_path / "labels.parquet"))
@@ -85,7 +115,7 @@ def test_entry_lists_every_operator():
     import __spark_entry__
 
     names = __spark_entry__.queries()
-    assert "pipeline" in names and {int(n[2:].split("_")[0]) for n in names if n.startswith("op") and n[2].isdigit()} == set(range(1, 11))
+    assert "pipeline" in names and {int(n[2:].split("_")[0]) for n in names if n.startswith("op") and n[2].isdigit()} == set(range(1, 14))
 
 
 def test_near_stage_takes_pairs_from_80_percent(spark, docs_of):
