@@ -17,24 +17,22 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.mask import build_masked
 from ..operators.pattern import Pattern
-from ..sources.conllu import parse_blocks, split_blocks
+from ..sources.conllu import parse_blocks, sentence_blocks
 from ..sources.treebank import with_alignment_columns
 
 
 def masked_stream(spark: SparkSession, input_dir: str, pattern: Pattern, target: str, output_path: str,
                   checkpoint_location: str, mask_token: str = "[MASK]", keep: str = "last",
-                  legacy: bool = False, line_sep: str = "\n\n", available_now: bool = False,
+                  legacy: bool = False, available_now: bool = False,
                   max_files_per_trigger: int | None = None) -> StreamingQuery:
-    reader = spark.readStream.option("lineSep", line_sep)
+    reader = spark.readStream.option("lineSep", "\n")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    raw = reader.text(input_dir).select("value", F.col("_metadata.file_path").alias("file_path"))
+    raw = reader.text(input_dir).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block_start"))
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        # records are split again at blank lines: files may end lines either way
-        records = batch.select("value", "file_path", F.monotonically_increasing_id().alias("row_id"))
-        blocks = split_blocks(records).select(
-            "value", F.struct(F.lit(batch_id).alias("batch_id"), "file_path", "row_id", "part").alias("sent_ord"))
+        blocks = sentence_blocks(batch).select(
+            "value", F.struct(F.lit(batch_id).alias("batch_id"), "path", "block_start", "row_id").alias("sent_ord"))
         sentences = with_alignment_columns(parse_blocks(blocks)).persist()
         try:
             r = build_masked(sentences, pattern, target, mask_token=mask_token, keep=keep, legacy=legacy)

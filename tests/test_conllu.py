@@ -96,3 +96,59 @@ def test_multi_split_read_equals_single_split(spark, tmp_path, tiny_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert got == expected
     assert [g[0] for g in got][:4] == ["c0-t-1", "c0-t-2", "c0-t-3", "c0-t-4"]
+
+
+def sentence_of(k, end):
+    return f"# sent_id = {k}{end}# text = go on{end}1\tgo\tgo\tVERB\t_\t_\t0\troot\t_\t_{end}2\ton\ton\tADP\t_\t_\t1\tobl\t_\t_{end}{end}"
+
+
+def sids(tb):
+    return [r.sid for r in tb.sentences.orderBy("sent_ord").collect()]
+
+
+def test_a_file_that_changes_its_line_ending(spark, tmp_path):
+    p = tmp_path / "x.conllu"
+    body = "".join(sentence_of(k, "\n" if k < 300 else "\r\n") for k in range(600)) + " \t\n\n" + sentence_of(600, "\r\n").rstrip()
+    p.write_bytes(b"\n\r\n" + body.encode())
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in (old, "700"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            tb = read_conllu(spark, str(p))
+            assert sids(tb) == [str(k) for k in range(601)]
+            assert tb.sentences.where(F.size("tokens") != 2).count() == 0
+        small = tmp_path / "y.conllu"  # splits shorter than a sentence: it goes on over several
+        small.write_bytes("".join(sentence_of(k, "\n") for k in range(5)).encode())
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "25")
+        assert sids(read_conllu(spark, str(small))) == [str(k) for k in range(5)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_fragments_meet_only_across_one_edge(spark):
+    """Splits that begin or end with a blank line, hold none, or hold nothing else."""
+    from minpairs.sources.conllu import sentence_blocks
+
+    splits = [["a", "b"], ["c", "", "d"], ["e"], ["f", ""], ["", ""], ["g"], ["", "h"], ["i", "j", "", "", "k", ""], ["l"]]
+    rows = [(x, f"file:/{name}", 100 * i, 1000 * i + j) for name in ("x", "y") for i, s in enumerate(splits) for j, x in enumerate(s)]
+    lines = spark.createDataFrame(rows, "value string, path string, block_start long, o long")
+    want = ["a\nb\nc", "d\ne\nf", "g", "h\ni\nj", "k", "l"]
+    for n in (1, 4):
+        placed = lines.repartitionByRange(n, "path").sortWithinPartitions("path", "block_start", "o")
+        got = sentence_blocks(placed)
+        for name in ("x", "y"):
+            assert [r.value for r in got.where(f"path = 'file:/{name}'").orderBy("block_start", "row_id").collect()] == want
+        assert got.select("path", "block_start", "row_id").distinct().count() == 12
+    assert sentence_blocks(lines.limit(0)).count() == 0
+
+
+def test_many_small_files(spark, tmp_path):
+    import time
+
+    for k in range(3000):
+        (tmp_path / f"{k:05}.conllu").write_text(sentence_of(k, "\n"))
+    started = time.time()
+    tb = read_conllu(spark, str(tmp_path))
+    named = read_conllu(spark, [str(tmp_path / f"{k:05}.conllu") for k in range(2999, 2400, -1)])
+    assert time.time() - started < 60
+    assert tb.sentences.count() == 3000 and sids(named) == [str(k) for k in range(2999, 2400, -1)]
