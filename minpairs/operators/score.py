@@ -24,6 +24,7 @@ Targets are unpivoted, so any number of target columns is one lookup.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 from typing import NamedTuple
 
@@ -32,12 +33,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.metrics import require_columns, round_half_even, surprisal
-from ..session import cut_lineage
+from ..session import cut_lineage, scratch
 from ..sources import tables
 from ..sources.treebank import with_alignment_columns
 
 BOS, EOS = "<s>", "</s>"
 DEFAULT_ALPHA = 0.1
+HOT_SHARE = 64  # contexts with more than one in so many of all n-grams are dealt out in a bucketed model
 
 
 def word_rows(sentences: DataFrame) -> DataFrame:
@@ -77,6 +79,7 @@ class NgramModel(NamedTuple):
     vocab: int
     alpha: float
     order: int
+    hot: tuple | None = None  # a bucketed model: ((context values), parts) of the contexts that are dealt out
 
     @property
     def keys(self) -> list[str]:
@@ -86,6 +89,38 @@ class NgramModel(NamedTuple):
         """The model itself: both tables are stored by the fit."""
         return self
 
+    def part(self, word: str = "w") -> Column:
+        """Which part of its context an n-gram is in: 0, or by the word's hash for a hot context."""
+        n = F.lit(1)
+        for values, parts in self.hot or ():
+            n = F.when(_and([F.col(k) == F.lit(v) for k, v in zip(self.keys, values)]), F.lit(parts)).otherwise(n)
+        return F.pmod(F.xxhash64(F.col(word)), n).cast("int")
+
+    def bucketed(self, buckets: int | None = None) -> "NgramModel":
+        """The model as tables bucketed on the context: lookups then shuffle their own rows only,
+        never the model, which pays where one model scores many datasets.
+
+        A bucket is one task's share and AQE cannot split it, so contexts with more than one in
+        ``HOT_SHARE`` of all n-grams (at most as many contexts) are dealt out by the word's hash
+        on both sides: their n-grams to parts, their context row to every part."""
+        spark = self.grams.sparkSession
+        buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        total = self.contexts.agg(F.coalesce(F.sum("h"), F.lit(0))).first()[0]
+        hot = self.contexts.where(F.col("h") * HOT_SHARE > total).select(*self.keys, F.ceil(F.col("h") * HOT_SHARE / F.lit(max(1, total))).alias("n")).collect()
+        model = self._replace(hot=tuple((tuple(r[k] for k in self.keys), int(r["n"])) for r in hot))
+        n = F.lit(1)
+        for values, parts in model.hot:
+            n = F.when(_and([F.col(k) == F.lit(v) for k, v in zip(self.keys, values)]), F.lit(parts)).otherwise(n)
+
+        def store(df: DataFrame, name: str) -> DataFrame:
+            table, by = f"minpairs_{name}_{uuid.uuid4().hex}", [*self.keys, "_part"]
+            (df.repartition(buckets, *by).write.bucketBy(buckets, *by).sortBy(*by)
+             .option("path", scratch(spark, name)).saveAsTable(table))  # an external table: its files lie in the checkpoint folder
+            return spark.table(table)
+
+        contexts = self.contexts.withColumn("_part", F.explode(F.sequence(F.lit(0), n - 1)))
+        return model._replace(grams=store(self.grams.withColumn("_part", model.part()), "ngrams"), contexts=store(contexts, "contexts"))
+
 
 def vocab_size(sentences: DataFrame) -> int:
     """V: one scalar, computed by a distributed distinct count."""
@@ -125,14 +160,17 @@ def smoothed(model: NgramModel, c: Column, h: Column) -> Column:
 def looked_up(df: DataFrame, model: NgramModel, word: str = "w") -> DataFrame:
     """Add ``p``, the smoothed probability of ``word`` in the context columns
     of ``df``, and ``e``, the entropy of that context's distribution."""
-    keys = model.keys
+    bucketed = model.hot is not None
+    if bucketed:  # same buckets on both sides: the context and its part
+        df = df.withColumn("_part", model.part(word))
+    keys = model.keys + ["_part"] * bucketed
     g = model.grams.select(*[F.col(k).alias(f"_g{k}") for k in keys], F.col("w").alias("_gw"), F.col("c").alias("_c"))
     h = model.contexts.select(*[F.col(k).alias(f"_h{k}") for k in keys], F.col("h").alias("_h"), F.col("e").alias("e"))
     df = df.join(g, _and([F.col(f"_g{k}") == F.col(k) for k in keys] + [F.col("_gw") == F.col(word)]), "left")
     df = df.join(h, _and([F.col(f"_h{k}") == F.col(k) for k in keys]), "left")
     df = df.withColumn("p", smoothed(model, F.col("_c"), F.col("_h")))
     df = df.withColumn("e", F.coalesce("e", F.lit(math.log(model.vocab))))
-    return df.drop(*[f"_g{k}" for k in keys], *[f"_h{k}" for k in keys], "_gw", "_c", "_h")
+    return df.drop(*[f"_g{k}" for k in keys], *[f"_h{k}" for k in keys], "_gw", "_c", "_h", *["_part"] * bucketed)
 
 
 def _and(conds):
@@ -147,7 +185,8 @@ def gram_scores(model: NgramModel) -> DataFrame:
 
     The keys pass through ``coalesce`` (they are never null): a join on all of them
     then shuffles by all of them, and not by a context that many n-grams share."""
-    h = model.contexts.select(*[F.col(k).alias(f"_h{k}") for k in model.keys], "h")
+    contexts = model.contexts if model.hot is None else model.contexts.where("_part = 0")
+    h = contexts.select(*[F.col(k).alias(f"_h{k}") for k in model.keys], "h")
     got = model.grams.join(h, _and([F.col(k) == F.col(f"_h{k}") for k in model.keys]))
     return got.select(*[F.coalesce(F.col(k), F.lit("")).alias(f"_g{k}") for k in model.keys], F.col("w").alias("_gw"),
                       F.log2(smoothed(model, F.col("c"), F.col("h"))).alias("lp"))

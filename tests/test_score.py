@@ -123,3 +123,25 @@ def test_a_frequent_word_is_split(spark):
     finally:
         for k, v in old.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_bucketed_model_scores_alike_without_shuffling_itself(spark, tiny):
+    import re
+
+    sents = spark.createDataFrame([(k, f"s{k}", " ".join("the" if (k + j) % 2 else f"w{(k * j) % 97}" for j in range(30))) for k in range(300)],
+                                  "sent_ord long, sid string, text string").select(
+        "*", S.F.split("text", " ").alias("words"), *[S.F.lit(None).cast("int").alias(c) for c in ("forms_all", "tids_all", "forms_surface", "tids_surface", "spans")])
+    pairs = S.bigrams(sents).select("sent_ord", S.F.col("tid").alias("match_id"), S.F.col("prev").alias("prev_word"), S.F.lit(None).cast("string").alias("next_word"),
+                                    S.F.col("w").alias("form_grammatical"), S.F.when(S.F.col("tid") % 3 > 0, " unseen").alias("form_ungrammatical"))
+    pairs = S.cut_lineage(pairs)
+    for model in (S.fit_bigram(sents), S.fit_masked(sents)):
+        stored = model.bucketed(5)
+        # half of all words are equal: that context is in several parts (and so in several buckets)
+        parts = stored.grams.groupBy(*model.keys).agg(S.F.countDistinct("_part").alias("n")).agg(S.F.max("n")).first()[0]
+        assert model.order == 3 or (parts > 10 and any(v == ("the",) for v, _ in stored.hot) and len(stored.hot) <= S.HOT_SHARE)
+        a, b = (S.token_scores(pairs, m).select("sent_ord", "match_id", "p_form_grammatical", "p_form_ungrammatical", "certainty") for m in (model, stored))
+        assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+        sa, sb = (sorted(map(tuple, S.sentence_scores(sents, m).select("sent_ord", "n_scored", S.F.round("log2_prob", 9)).collect())) for m in (model, stored))
+        assert sa == sb
+    plan = S.token_scores(pairs, S.fit_bigram(sents).bucketed(8))._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Exchange ", plan)) <= 4
