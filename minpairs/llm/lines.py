@@ -22,7 +22,7 @@ SPAN = 3
 SENTENCE_END = "([.!?][\"')\\]]*[ \t]+)([^ \t\r\x0b\x0c])"
 SPACES = " \t\n\x0b\x0c\r"  # what words are separated by
 BLANKS = " \t\r"  # not compared at either end of a unit
-BROADCAST_PLACES = 2_000_000  # covered places that are broadcast at most
+BROADCAST_SPANS = 8_000_000  # covered spans (4 bytes each) that are broadcast at most; beyond, texts are shuffled
 
 
 def _lines(text: Column) -> Column:
@@ -97,7 +97,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     others = stage(others.select(F.col("row").alias("o_row"), "home", (~F.coalesce(F.col("doc_id") == F.col("f_doc"), F.lit(False))).alias("copy")), "other_texts")
 
     fresh = docs.where("n_units > 0").select("doc_id", "row", "w").join(bounded(others.select("o_row")), F.col("row") == F.col("o_row"), "left_anti")
-    windows = stage(fresh.select("doc_id", "row", F.posexplode("w").alias("k", "h")).select("doc_id", "row", "k", "h.h1", "h.h2"), "windows")
+    windows = fresh.select("doc_id", "row", F.posexplode("w").alias("k", "h")).select("doc_id", "row", "k", "h.h1", "h.h2")  # stored with their rows
     # all windows are only counted; where an occurrence stands matters for the repeated ones alone
     hashes = stage(windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"), "repeated")
     again = stage(windows.join(hashes, ["h1", "h2"], "left_semi"), "occurrences")
@@ -112,7 +112,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     size = gone.agg(F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()[0]
 
     rows = docs.select("doc_id", "text", "row", "n_lines", "n_units").join(bounded(others), F.col("row") == F.col("o_row"), "left")
-    joined = rows.join(bounded(gone) if size <= BROADCAST_PLACES else gone, F.coalesce("home", "row") == F.col("g_row"), "left")
+    joined = rows.join(bounded(gone) if size <= BROADCAST_SPANS else gone, F.coalesce("home", "row") == F.col("g_row"), "left")
     blank = F.struct(F.col("n_units").cast("long").alias("n"), F.array_join(F.filter(_lines(F.col("text")), lambda x: ~_has_word(x)), "\n").alias("text"))
     same = F.struct(F.lit(0).cast("long").alias("n"), F.col("text").alias("text"))
     result = F.when(F.coalesce("copy", F.lit(False)), blank).when(F.col("spans").isNotNull(), _without(F.col("text"), F.col("spans"))).otherwise(same)
