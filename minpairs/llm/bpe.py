@@ -36,7 +36,7 @@ CACHE_CHUNKS, CACHE_JOINS = 300_000, 250_000  # what a worker remembers of each
 HEAP_TOKENS = 48  # windows of more bytes are merged with a heap
 # fixed values: marks that a chunk may end in; white space besides blank and line feed, as the pattern's \s has it
 MARKS = (",", ".", ";", ":", "!", "?", ")")
-OTHER_SPACES = "\t\x0b\x0c\r\x85\xa0     　" + "".join(map(chr, range(0x2000, 0x200b)))
+OTHER_SPACES = "\t\x0b\x0c\r\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200b)))
 
 Ids = tuple[int, ...]
 
