@@ -26,7 +26,7 @@ def summarise(plan: str) -> dict:
         "bnlj": len(re.findall(r"BroadcastNestedLoopJoin|CartesianProduct", plan)),
         "window": len(re.findall(r"\bWindow \[", plan)),
         "generate": len(re.findall(r"\bGenerate ", plan)),
-        "python": len(re.findall(r"MapInPandas|ArrowEvalPython|BatchEvalPython", plan)),
+        "python": len(re.findall(r"MapInArrow|MapInPandas|ArrowEvalPython|BatchEvalPython", plan)),
         "scans": sorted(set(re.findall(r"ReadSchema: struct<([^>]*(?:<[^>]*>[^>]*)*)>", plan))),
         "pushed": sorted(set(p for p in re.findall(r"PushedFilters: \[([^\]]*)\]", plan) if p)),
     }
