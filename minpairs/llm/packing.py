@@ -25,7 +25,7 @@ from pyspark.sql.window import Window
 
 from .common import stage, text_batches, worker_memory
 
-# distinct word chunks whose ids a worker remembers before it starts afresh
+# distinct word chunks whose ids a worker remembers before it starts afresh, unless told otherwise (about 200 bytes each)
 CACHE_CHUNKS = 800_000
 # rows of one length that are ranked together; a length with more is salted
 RANK_ROWS = 1_000
@@ -43,7 +43,8 @@ class ChunkEncoder:
     A chunk is a word with the white space before it. Plain words go to the
     tokenizer's model directly, everything else through the whole tokenizer."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remember: int = CACHE_CHUNKS):
+        self.remember = remember
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -55,12 +56,12 @@ class ChunkEncoder:
         self.letters = {i: one(chr(i)) for i in range(32, 0x250) if chr(i) == " " or chr(i).isalpha()}
 
     @classmethod
-    def of_worker(cls, path: str) -> "ChunkEncoder":
+    def of_worker(cls, path: str, remember: int) -> "ChunkEncoder":
         """One encoder per worker process, kept over its tasks."""
         known = worker_memory().setdefault("chunk_encoders", {})
-        if path not in known:
-            known[path] = cls(path)
-        return known[path]
+        if (path, remember) not in known:
+            known[path, remember] = cls(path, remember)
+        return known[path, remember]
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
@@ -77,7 +78,7 @@ class ChunkEncoder:
     def of(self, chunk: str) -> bytes:
         ids = self.cache.get(chunk)
         if ids is None:
-            if len(self.cache) >= CACHE_CHUNKS:
+            if len(self.cache) >= self.remember:
                 self.cache = {"": b""}
             ids = self.cache[chunk] = self._chunk(chunk)
         return ids
@@ -96,7 +97,7 @@ class ChunkEncoder:
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, *, end_id: int = 1, max_tokens: int = 2048,
-                 id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+                 id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, remember: int = CACHE_CHUNKS) -> DataFrame:
     """``doc_id, start, length, ids_crc32, doc_tokens`` (and ``ids``) per piece."""
     id_type = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long"
@@ -105,7 +106,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, *, end_id: int = 1, max_t
     step = 4 * max_tokens
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = ChunkEncoder.of_worker(tokenizer_path)
+        encode = ChunkEncoder.of_worker(tokenizer_path, remember)
         for batch in batches:
             row, start, length, crc, total, ids = [], [], [], [], [], []
             for i, text in enumerate(batch.column(1)):
@@ -179,18 +180,18 @@ def pack_histogram(counts: dict[int, int], max_tokens: int) -> list[tuple[int, i
 
 
 def pack(docs: DataFrame, tokenizer_path: str, *, end_id: int = 1, max_tokens: int = 2048,
-         id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+         id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, remember: int = CACHE_CHUNKS) -> DataFrame:
     """Pack all documents into sequences of at most ``max_tokens`` ids.
 
     One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset`` and, ``with_ids``, the piece's ids as little-endian
-    unsigned 32-bit ``binary``.
+    unsigned 32-bit ``binary``. ``remember``: word chunks whose ids a worker keeps.
 
     * null or empty text: one piece that holds the end id alone;
     * null or repeated ids: every row is packed on its own;
     * very long texts: encoded whole, cut into as many pieces as needed;
     * empty table: empty result; extra columns are ignored."""
-    pieces = token_pieces(docs, tokenizer_path, end_id=end_id, max_tokens=max_tokens, id_col=id_col, text_col=text_col, with_ids=with_ids)
+    pieces = token_pieces(docs, tokenizer_path, end_id=end_id, max_tokens=max_tokens, id_col=id_col, text_col=text_col, with_ids=with_ids, remember=remember)
     names = pieces.columns
     # a row number is stored with each piece: later reads agree on it, however the files are split then
     pieces = stage(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces")
