@@ -44,7 +44,8 @@ def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix as sequences of 2048 ids; every row is packed on its own, whatever its id."""
     import public_tokenizers
 
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    # workers live on from stage to stage, next to what the others hold: a smaller memory than the operator's own
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), remember=250_000)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
