@@ -1,0 +1,80 @@
+"""Steps that run over all tokens: no sort for an aggregate, nothing stored twice, nothing computed twice."""
+
+import glob
+
+from pyspark.sql import functions as F
+
+from minpairs.operators import lexicon as L
+from minpairs.operators import score as S
+from minpairs.operators.pairs import _hashed_order, lexicon_index
+from minpairs.plans import registry
+from minpairs.sources import tables as T
+from minpairs.sources.conllu import parse_blocks
+from minpairs.sources.derived import derived_treebank
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def lexicon_rows(spark, rows, order):
+    return spark.createDataFrame([(o, t, f, "x", "NOUN", {"number": "Sing"}) for o, t, f in rows],
+                                 f"sent_ord {order}, tid int, form string, lemma string, upos string, feats map<string,string>")
+
+
+def test_index_reduces_tokens_without_sorting(spark):
+    kinds = {
+        "struct<doc_id:bigint,ln:int>": [(2**62 + 5, 0), (-(2**62), 7), (3, -1), (3, None), (None, 4), (2**63 - 1, 2**31 - 1), (-(2**63), 0)],
+        "struct<file_ord:int,block_start:bigint,row_id:bigint,part:int>": [(1, 0, 0, 0), (0, 2**40, 3, 0), (0, 2**40, 2**62, 0), (None, 1, 1, 1)],
+        "int": [7, -3, 2**31 - 1, 0], "bigint": [2**62, -(2**62), 0, -1],
+    }
+    for kind, places in kinds.items():
+        lex = lexicon_rows(spark, [(o, t, f"w{i}_{t}") for i, o in enumerate(places) for t in (5, 2, -1)], kind)
+        index = lexicon_index(lex, names=["number"]).frame
+        assert plan(index).count("SortAggregate") <= 2  # over distinct forms only
+        assert "HashAggregate" in plan(index)
+        expected = lex.agg(F.min_by("form", F.struct("sent_ord", "tid"))).first()[0]
+        assert index.first().form_ungrammatical == expected, kind
+        lead, place = _hashed_order(lex)  # the whole order, not only its least row
+        keys = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(lead)], place.alias("k"))
+        assert [r.form for r in lex.orderBy(keys).collect()] == [r.form for r in lex.orderBy("sent_ord", "tid").collect()], kind
+    assert _hashed_order(lexicon_rows(spark, [("a", 1, "w")], "string")) is None
+
+
+def test_saved_order_is_read_as_numbers(spark, tiny, tmp_path):
+    lex = L.lexicon(tiny.tokens)
+    T.save_lexicon(lex, str(tmp_path / "l.csv"), "csv", compression="gzip")
+    assert glob.glob(str(tmp_path / "l.csv" / "*.csv.gz")) and not glob.glob(str(tmp_path / "l.csv" / "*.csv"))
+    back = T.load_lexicon(spark, str(tmp_path / "l.csv"))
+    assert back.schema["sent_ord"].dataType.typeName() == "struct"
+    key = lambda d: [(r.sentence_id, r.token_id, r.form) for r in d.orderBy("sent_ord", "tid").collect()]
+    assert key(back) == key(lex)
+
+
+def test_sentence_scores_do_not_sort_for_the_id(spark, tiny):
+    model = S.fit_bigram(tiny.sentences)
+    assert "SortAggregate" not in plan(S.sentence_scores(tiny.sentences, model))
+
+
+def test_treebank_is_a_view_on_stored_lines(spark, tmp_path):
+    rows = [(1, "the Dog saw  a cats\n\n word", "en", "s"), (2, None, "en", "s"), (3, "abcd ab abcd", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    tb = registry.treebank(spark, str(tmp_path))
+    files = tb.tokens.inputFiles()
+    assert files and set(spark.read.parquet(*files).columns) == {"doc_id", "lang", "source", "ln", "line", "forms"}
+    own = derived_treebank(docs)
+    for a, b in ((tb.sentences, own.sentences), (tb.tokens, own.tokens)):
+        assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    inside = tb.sentences.select("sid", "sent_ord", F.inline("tokens"))
+    assert sorted(map(str, inside.collect())) == sorted(map(str, tb.tokens.select(*inside.columns).collect()))
+    # words alone are read without building tokens
+    assert "VERB" not in plan(S.bigrams(tb.arrays)) and "tokens" not in tb.arrays.columns
+
+
+def test_blocks_are_normalised_once(spark):
+    blocks = spark.createDataFrame([("\n# sent_id = a\r\n# text = x\r\n1\tx\tx\tNOUN\t_\t_\t0\troot\t_\t_\n", 1)], "value string, k int")
+    got = parse_blocks(blocks)
+    assert plan(got).count("regexp_replace(replace(") == 1
+    row = got.first()
+    assert (row.sid, row.text, [t.form for t in row.tokens], row.k) == ("a", "x", ["x"], 1)
