@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from minpairs.operators import lexicon as L
 from minpairs.operators import score as S
-from minpairs.operators.pairs import _hashed_order, lexicon_index
+from minpairs.operators.mask import build_masked, mask_treebank
+from minpairs.operators.pairs import ROUNDS, _hashed_order, keyed_permutation, lexicon_index
 from minpairs.plans import registry
 from minpairs.sources import tables as T
 from minpairs.sources.conllu import parse_blocks
@@ -78,3 +79,56 @@ def test_blocks_are_normalised_once(spark):
     assert plan(got).count("regexp_replace(replace(") == 1
     row = got.first()
     assert (row.sid, row.text, [t.form for t in row.tokens], row.k) == ("a", "x", ["x"], 1)
+
+
+def test_a_pick_pays_one_permutation(spark):
+    df = spark.range(50).select("id", F.col("id").cast("string").alias("key"))
+    got = df.select(keyed_permutation(F.col("id"), F.lit("k"), 50).alias("y"))
+    assert f"sequence(0, {ROUNDS - 1}" in got._jdf.queryExecution().analyzed().toString()
+    assert sorted(r.y for r in got.collect()) == list(range(50))
+    # the walks of those beyond the limit: a by-hand permutation of the same key
+    import hashlib
+    import math
+
+    def by_hand(x, key, m):
+        a = math.isqrt(m - 1) + 1
+        b = -(-m // a)
+        left, right = x // b, x % b
+        while True:
+            for s in range(ROUNDS):
+                h = int(hashlib.md5(f"{key}:{s + 1}:{right if s % 2 == 0 else left}".encode()).hexdigest()[:8], 16)
+                left, right = ((left + h) % a, right) if s % 2 == 0 else (left, (right + h) % b)
+            if left * b + right < m:
+                return left * b + right
+    for m in (50, 43, 31):
+        rows = df.where(F.col("id") < m).select("id", "key", keyed_permutation(F.col("id"), F.col("key"), m).alias("y")).collect()
+        assert all(r.y == by_hand(r.id, r.key, m) for r in rows)
+
+
+def test_index_order_is_one_long(spark):
+    places = [(2**31 + 1, 0), (2**31 - 1, 2**16 + 3), (2**31 - 1, 2**16 - 1), (5, 2**31 - 1), (5, 2**16), (-7, 3), (-(2**40), 2**20), (None, 2), (9, None)]
+    for kind in ("struct<doc_id:bigint,ln:int>", "bigint"):
+        for skip in (0, 1, 3, 5, 6, 8) if kind != "bigint" else (0, 4):  # each place is the first one of some lexicon
+            at = sorted(places, key=lambda p: tuple((x is not None, x or 0) for x in p))[skip:]
+            at = at if kind.startswith("struct") else [p[0] for p in at if p[0] is not None]
+            if not at:
+                continue
+            lex = lexicon_rows(spark, [(o, t, f"w{i}_{t}") for i, o in enumerate(at) for t in (2**16 + 5, 5, 2**16 - 1)], kind)
+            index = lexicon_index(lex, names=["number"]).frame
+            assert "decimal" not in plan(index)
+            assert index.first().form_ungrammatical == lex.agg(F.min_by("form", F.struct("sent_ord", "tid"))).first()[0], (kind, skip)
+
+
+def test_masking_builds_no_whole_tokens(spark):
+    rows = [(1, "the Dog saw  a cats\n\n word", "en", "s"), (2, None, "en", "s"), (3, "abcd ab abcd", None, None),
+            (4, "sun moon tree bird cats four\nsun moon sun four", "de", "s"), (5, "sun moon tree bird cats four", "de", "s")]
+    tb = derived_treebank(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    assert tb.narrow(registry.P_EDGE.fields()).schema["tokens"].dataType.elementType.names == ["deprel", "head", "tid", "upos"]
+    for pattern, target in ((registry.P_EDGE, "N"), (registry.P_NODE, "V"), (registry.P_WITHOUT, "N"), (registry.P_CHAIN3, "V")):
+        for legacy in (False, True):
+            for keep in ("all", "last"):
+                a, b = (f(x, pattern, target, keep=keep, legacy=legacy, carry=["lang"]).frame
+                        for f, x in ((mask_treebank, tb), (build_masked, tb.sentences)))
+                assert a.columns == b.columns
+                assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    assert mask_treebank(tb, registry.P_EDGE, "N").frame.count() > 2
