@@ -132,3 +132,20 @@ def test_masking_builds_no_whole_tokens(spark):
                 assert a.columns == b.columns
                 assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
     assert mask_treebank(tb, registry.P_EDGE, "N").frame.count() > 2
+
+
+def test_lookup_joins_sentences_not_tokens(spark, tiny):
+    rows = [(1, "the Dog saw . a cats\n\n word", "en", "s"), (2, None, "en", "s"), (1, "abcd ab abcd", None, None), (None, "no key at all", "en", "s")]
+    tb = derived_treebank(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    keys = tb.tokens.select("sent_ord", (F.col("tid") - 1).alias("token_id"))
+    odd = keys.where("token_id in (0, 2)").selectExpr("sent_ord", "token_id + 40 as token_id").unionByName(keys.selectExpr("sent_ord", "-1 as token_id"))
+    for k in (keys, keys.where("token_id % 2 = 1").unionByName(odd), keys.unionByName(keys)):
+        a, b = L.lookup(L.lexicon(tb.tokens), k), L.lookup_in(tb, k)
+        assert a.columns == b.columns and a.count() > 0
+        assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    # the words are taken out of their line after the join
+    found = L.lookup_in(tb, tb.arrays.select("sent_ord", F.lit(0).alias("token_id")))
+    assert found.count() == 4 and "posexplode(forms" not in plan(found) and "posexplode(forms" in plan(tb.tokens).replace("posexplode_outer", "posexplode")
+    own = tiny.tokens.select("sent_ord", (F.col("tid") - 1).alias("token_id"))
+    a, b = L.lookup(L.lexicon(tiny.tokens), own), L.lookup_in(tiny, own)
+    assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
