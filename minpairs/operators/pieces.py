@@ -26,6 +26,7 @@ from . import score as S
 
 SIZE, LEAST = 4, 200
 FLOOR = 1e-12  # fixed value: least probability of a piece
+BROADCAST_PIECES = 1_000_000  # a piece table of up to so many rows is broadcast
 
 
 class PieceModel(NamedTuple):
@@ -34,49 +35,70 @@ class PieceModel(NamedTuple):
     ngrams: S.NgramModel   # of pieces
 
 
-def _sections(word: Column, size: int) -> Column:
-    """Array of (p, n, piece): all substrings of 2 to ``size`` characters, ``p`` from 1."""
-    at = lambda p: F.transform(F.sequence(F.lit(2), F.lit(size)), lambda n: F.struct(p.alias("p"), n.alias("n"), F.substr(word, p, n).alias("piece")))
-    every = F.flatten(F.transform(F.sequence(F.lit(1), F.length(word)), at))
-    return F.when(F.length(word) >= 2, F.filter(every, lambda x: x["p"] + x["n"] - 1 <= F.length(word)))
+def _sections(words: DataFrame, word: str, size: int) -> DataFrame:
+    """``words`` with (p, n, piece): a row per substring of 2 to ``size`` characters, ``p`` from 1."""
+    starts = words.where(F.length(word) >= 2).select("*", F.explode(F.sequence(F.lit(1), F.length(word) - 1)).alias("p"))
+    lengths = starts.select("*", F.explode(F.array(*[F.lit(n) for n in range(2, size + 1)])).alias("n"))
+    return lengths.where(F.col("p") + F.col("n") - 1 <= F.length(word)).withColumn("piece", F.substr(word, "p", "n"))
 
 
 def piece_table(words: DataFrame, size: int = SIZE, least: int = LEAST) -> DataFrame:
     """(piece, c) from distinct words (w, c)."""
-    return (words.select("c", F.explode(_sections(F.col("w"), size)).alias("x")).groupBy(F.col("x.piece").alias("piece"))
-            .agg(F.sum("c").alias("c")).where(F.col("c") >= least))
+    return _sections(words, "w", size).groupBy("piece").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
 
 
 def split_words(words: DataFrame, pieces: DataFrame, size: int = SIZE, word: str = "word") -> DataFrame:
-    """``words`` (distinct, one column ``word``) with ``pieces``: the greedy split, in time linear in the word."""
-    found = (words.select(word, F.explode(_sections(F.col(word), size)).alias("x")).select(word, "x.*")
-             .join(pieces.select("piece"), "piece", "left_semi").groupBy(word, "p").agg(F.max("n").alias("n")))
-    spots = found.groupBy(F.col(word).alias("_w")).agg(F.array_sort(F.collect_list(F.struct("p", "n"))).alias("_spots"))  # at most one per character
+    """``words`` (distinct in ``word``) with ``pieces``: the greedy split, in time linear in the word.
+
+    Substrings meet the table where they are made, if it is of up to ``BROADCAST_PIECES`` rows
+    (else they are shuffled).  What is found at ``span`` places of a word is one number, a bit per
+    place and length, so that hardly more than a row per word is shuffled."""
+    bits = size - 1
+    span = 63 // bits
+    table = pieces.select("piece")
+    if table.count() <= BROADCAST_PIECES:
+        table = F.broadcast(table)
+    at, bit = F.floor((F.col("p") - 1) / span).cast("int"), (F.col("p") - 1) % span * bits + F.col("n") - 2
+    found = (_sections(words.select(word), word, size).join(table, "piece", "left_semi")
+             .groupBy(F.col(word).alias("_w"), at.alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits")))
+    marks = found.groupBy("_w").agg(F.array_sort(F.collect_list(F.struct("at", "bits"))).alias("_marks"))
     w = F.col(word)
+
+    def longest(x: Column) -> Column:  # (p, n) of every place of a number; n is 1 where nothing is found
+        last = F.least(F.lit(span - 1), F.length(w) - 1 - x["at"] * span)
+        here = lambda i: F.call_function("shiftright", x["bits"], i * bits).bitwiseAND(2 ** bits - 1)
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(
+            (x["at"] * span + i + 1).alias("p"), F.when(here(i) > 0, F.length(F.bin(here(i))) + 1).otherwise(1).alias("n")))
+
+    spots = F.filter(F.flatten(F.transform("_marks", longest)), lambda x: x["n"] > 1)
     singles = lambda a, b: F.when(a <= b, F.transform(F.sequence(a, F.greatest(a, b)), lambda i: F.substr(w, i, F.lit(1)))).otherwise(F.array().cast("array<string>"))
     none = F.struct(F.lit(1).alias("next"), F.array().cast("array<string>").alias("out"))
     step = lambda acc, x: F.when(x["p"] < acc["next"], acc).otherwise(F.struct(
         (x["p"] + x["n"]).alias("next"), F.concat(acc["out"], singles(acc["next"], x["p"] - 1), F.array(F.substr(w, x["p"], x["n"]))).alias("out")))
     walked = F.aggregate(F.coalesce("_spots", F.array().cast("array<struct<p:int,n:int>>")), none, step,
                          lambda acc: F.concat(acc["out"], singles(acc["next"], F.length(w))))
-    return words.join(spots, w == F.col("_w"), "left").select(word, walked.alias("pieces"))
+    return words.join(marks, w == F.col("_w"), "left").withColumn("_spots", spots).select(*words.columns, walked.alias("pieces"))
 
 
-def fit_pieces(sentences: DataFrame, order: int = 2, alpha: float = S.DEFAULT_ALPHA, size: int = SIZE, least: int = LEAST) -> PieceModel:
-    """Piece table, splits and piece n-grams (``order`` 2: next piece, 3: masked piece) of a corpus."""
-    words = cut_lineage(S.word_rows(sentences).select(F.explode("words").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("c")), "words")
+def fit_pieces(sentences: DataFrame, order: int = 2, alpha: float = S.DEFAULT_ALPHA, size: int = SIZE, least: int = LEAST,
+               words: DataFrame | None = None, bigram: S.NgramModel | None = None) -> PieceModel:
+    """Piece table, splits and piece n-grams (``order`` 2: next piece, 3: masked piece) of a corpus.
+    ``words``: its ``word_counts``, ``bigram``: its bucketed bigram model (``order`` 2), where they are at hand."""
+    words = words if words is not None else S.word_counts(sentences)
     pieces = cut_lineage(piece_table(words, size, least), "pieces")
-    split = cut_lineage(split_words(words.select(F.col("w").alias("word")), pieces, size), "splits")
+    split = cut_lineage(split_words(words.withColumnRenamed("w", "word"), pieces, size), "splits")
     vocab = split.select(F.explode("pieces").alias("x")).agg(F.countDistinct("x")).first()[0]
     ends = cut_lineage(split.select("word", F.get("pieces", F.lit(0)).alias("first"), F.element_at("pieces", -1).alias("last")).where("first is not null"), "piece_ends")
     side = lambda c, end, name: ends.select(F.col("word").alias(f"_{name}"), F.col(end).alias(name))
     if order == 2:
         n = F.size("pieces")
         pairs = F.arrays_zip(F.slice("pieces", 1, n - 1).alias("prev"), F.slice("pieces", 2, n - 1).alias("w"))
-        inside = split.where(n >= 2).select("word", F.explode(pairs).alias("x")).join(words, F.col("word") == F.col("w")).select("x.prev", "x.w", "c")
-        seen = S.bigrams(sentences).groupBy("prev", "w").agg(F.count(F.lit(1)).alias("c")).withColumnsRenamed({"prev": "a", "w": "b"})
-        across = (seen.join(side("a", "last", "prev"), F.col("a") == F.col("_prev")).join(side("b", "first", "w"), F.col("b") == F.col("_w"))
-                  .select("prev", "w", "c"))
+        inside = split.where(n >= 2).select("c", F.explode(pairs).alias("x")).select("x.prev", "x.w", "c")
+        model = (bigram or S.fit_bucketed(sentences, words)).bucketed()
+        # the last piece of the first word is found where its bigrams lie; ends go to all parts of a hot word
+        last = ends.select(F.col("word").alias("prev"), F.col("last").alias("_last")).withColumn("_part", F.explode(F.sequence(F.lit(0), model.parts() - 1)))
+        seen = model.grams.join(last.hint("shuffle_hash"), ["prev", "_part"]).select(F.col("_last").alias("prev"), F.col("w").alias("b"), "c")
+        across = seen.join(side("b", "first", "w").hint("shuffle_hash"), F.col("b") == F.col("_w")).select("prev", "w", "c")
         counts, keys = inside.unionByName(across), ["prev"]
     else:
         seen = S.trigrams(sentences).groupBy("l", "w", "r").agg(F.count(F.lit(1)).alias("c")).withColumnsRenamed({"l": "a", "w": "b", "r": "d"})
