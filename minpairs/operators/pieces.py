@@ -87,7 +87,6 @@ def fit_pieces(sentences: DataFrame, order: int = 2, alpha: float = S.DEFAULT_AL
     words = words if words is not None else S.word_counts(sentences)
     pieces = cut_lineage(piece_table(words, size, least), "pieces")
     split = cut_lineage(split_words(words.withColumnRenamed("w", "word"), pieces, size), "splits")
-    vocab = split.select(F.explode("pieces").alias("x")).agg(F.countDistinct("x")).first()[0]
     ends = cut_lineage(split.select("word", F.get("pieces", F.lit(0)).alias("first"), F.element_at("pieces", -1).alias("last")).where("first is not null"), "piece_ends")
     side = lambda c, end, name: ends.select(F.col("word").alias(f"_{name}"), F.col(end).alias(name))
     if order == 2:
@@ -100,17 +99,42 @@ def fit_pieces(sentences: DataFrame, order: int = 2, alpha: float = S.DEFAULT_AL
         seen = model.grams.join(last.hint("shuffle_hash"), ["prev", "_part"]).select(F.col("_last").alias("prev"), F.col("w").alias("b"), "c")
         across = seen.join(side("b", "first", "w").hint("shuffle_hash"), F.col("b") == F.col("_w")).select("prev", "w", "c")
         counts, keys = inside.unionByName(across), ["prev"]
+        vocab = split.select(F.explode("pieces").alias("x")).agg(F.countDistinct("x")).first()[0]
     else:
-        seen = S.trigrams(sentences).groupBy("l", "w", "r").agg(F.count(F.lit(1)).alias("c")).withColumnsRenamed({"l": "a", "w": "b", "r": "d"})
-        full = (seen.join(split.select(F.col("word").alias("_b"), "pieces"), F.col("b") == F.col("_b"))
-                .join(side("a", "last", "l"), F.col("a") == F.col("_l"), "left").join(side("d", "first", "r"), F.col("d") == F.col("_r"), "left"))
-        chain = F.concat(F.array(F.coalesce("l", F.lit(S.BOS))), F.col("pieces"), F.array(F.coalesce("r", F.lit(S.EOS))))
-        n = F.size("pieces")
-        z = F.arrays_zip(F.slice("chain", 1, n).alias("l"), F.slice("chain", 2, n).alias("w"), F.slice("chain", 3, n).alias("r"))
-        counts, keys = full.select("c", "pieces", chain.alias("chain")).select("c", F.explode(z).alias("x")).select("x.l", "x.r", "x.w", "c"), ["l", "r"]
+        counts = cut_lineage(split.select("c", F.explode("pieces").alias("w")).groupBy("w").agg(F.sum("c").alias("c")), "piece_counts")
+        return PieceModel(pieces, ends, _fit_masked(sentences, words, split, ends, counts, alpha))
     return PieceModel(pieces, ends, S.fit_counts(counts.groupBy(*keys, "w").agg(F.sum("c").alias("c")), keys, order, alpha, vocab))
 
 
+def _fit_masked(sentences: DataFrame, words: DataFrame, split: DataFrame, ends: DataFrame, counts: DataFrame, alpha: float) -> S.NgramModel:
+    """The masked model of pieces, bucketed: every word with its neighbours becomes piece n-grams where the sentence is,
+    and these are shuffled once.  The splits of the most frequent words go to the sentences; n-grams with
+    another word are shuffled to their splits.  ``counts``: (w, c) of the pieces."""
+    common = F.broadcast(S.most_frequent(split.where(F.size("pieces") > 0), S.WORD_CODES).select("word", "pieces"))
+    real = {r.w for r in words.where(F.col("w").isin(S.BOS, S.EOS)).select("w").collect()}  # a marker may be a word as well
+    found = S.trigrams(sentences).select("l", "w", "r").where("w is not null")
+    for c in ("l", "w", "r"):
+        found = found.join(common.select(F.col("word").alias(f"_{c}"), F.col("pieces").alias(f"p{c}")), F.col(c) == F.col(f"_{c}"), "left").drop(f"_{c}")
+    known = F.col("pw").isNotNull()
+    for c, mark in (("l", S.BOS), ("r", S.EOS)):
+        known = known & (F.col(f"p{c}").isNotNull() | F.col(c).isNull() | (F.lit(mark not in real) & (F.col(c) == mark)))
+    near = found.where(known).select(F.element_at("pl", -1).alias("l"), F.col("pw").alias("pieces"), F.get("pr", F.lit(0)).alias("r"))
+    side = lambda c, end: ends.select(F.col("word").alias(f"_{c}"), F.col(end).alias(end))
+    far = found.where(~known).select("l", "w", "r").join(split.select(F.col("word").alias("_w"), "pieces"), F.col("w") == F.col("_w"))
+    far = far.join(side("l", "last"), F.col("l") == F.col("_l"), "left").join(side("r", "first"), F.col("r") == F.col("_r"), "left")
+    all_ = near.unionByName(far.select(F.col("last").alias("l"), "pieces", F.col("first").alias("r")))
+    chain = F.concat(F.array(F.coalesce("l", F.lit(S.BOS))), F.col("pieces"), F.array(F.coalesce("r", F.lit(S.EOS))))
+    n = F.size("pieces")
+    z = F.arrays_zip(F.slice("chain", 1, n).alias("l"), F.slice("chain", 2, n).alias("w"), F.slice("chain", 3, n).alias("r"))
+    ngrams = all_.select("pieces", chain.alias("chain")).select(F.explode(z).alias("x")).select("x.l", "x.r", "x.w")
+    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    # a context is at most as frequent as each of its two pieces
+    frequent = {r.w: r.c for r in counts.where(F.col("c") * S.HOT_SHARE > total).collect()}
+    lefts, rights = ({**frequent, mark: total} for mark in (S.BOS, S.EOS))
+    hot = tuple(((a, b), -(-min(x, y) * S.HOT_SHARE // max(1, total))) for a, x in lefts.items() for b, y in rights.items())
+    return S.fit_dealt(ngrams, counts, hot, 3, alpha, S.bucket_count(counts, total))
+
+
 def piece_scores(pairs: DataFrame, model: PieceModel, cols=("form_grammatical", "form_ungrammatical"), key=("sent_ord", "match_id"),
                  size: int = SIZE) -> DataFrame:
     """Adds ``p_<col>``, ``I_<col>``, ``n_pieces_<col>`` and ``certainty`` (of the first piece's
